@@ -1,0 +1,5 @@
+"""Nothing streams here: every operation is a batch command.
+
+Late arrival exists only as a load-time replay, which is a batch plan (see
+``plumbline.operators.quality.backfill``).
+"""
