@@ -24,6 +24,7 @@ class Dialect:
     timestamp: str
     add_days: str
     shift_days: str
+    series: str
 
     def ts(self, text: str) -> str:
         return f"{self.timestamp} '{text}'"
@@ -32,13 +33,18 @@ class Dialect:
         """Timestamp plus a computed number of days."""
         return self.shift_days.format(value=value, days=days)
 
+    def upto(self, count: str) -> str:
+        """One output row per number from 1 to ``count``."""
+        return self.series.format(count=count)
+
     def date_plus(self, value: str, days: str) -> str:
         return self.add_days.format(value=value, days=days)
 
 
 SPARK = Dialect("TIMESTAMP_NTZ", "date_add({value}, CAST({days} AS INT))",
-                "({value} + make_dt_interval(CAST({days} AS INT)))")
-ANSI = Dialect("TIMESTAMP", "({value} + CAST({days} AS INT))", "({value} + to_days(CAST({days} AS INT)))")
+                "({value} + make_dt_interval(CAST({days} AS INT)))", "explode(sequence(1, CAST({count} AS INT)))")
+ANSI = Dialect("TIMESTAMP", "({value} + CAST({days} AS INT))", "({value} + to_days(CAST({days} AS INT)))",
+               "unnest(generate_series(1, CAST({count} AS INT)))")
 
 
 def raw_sql(d: Dialect) -> dict[str, str]:
@@ -84,11 +90,9 @@ def raw_sql(d: Dialect) -> dict[str, str]:
         FROM (SELECT o.k, o.c, o.st, o.dt, o.copy_no,
                      CAST(coalesce(l.total, 0) + CASE WHEN o.k % 61 = 0 THEN 1 ELSE 0 END AS DECIMAL(12,2)) AS sub,
                      CAST(CASE WHEN o.k % 10 = 0 THEN 100 ELSE 0 END AS DECIMAL(12,2)) AS disc
-              FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS st, o_orderdate AS dt, 1 AS copy_no
-                    FROM {{orders}}
-                    UNION ALL
-                    SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, 2 FROM {{orders}}
-                    WHERE o_orderkey % 503 = 0) o
+              FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS st, o_orderdate AS dt,
+                           {d.upto('CASE WHEN o_orderkey % 503 = 0 THEN 2 ELSE 1 END')} AS copy_no
+                    FROM {{orders}}) o
               LEFT JOIN (SELECT l_orderkey,
                                 SUM(CAST({unit} * l_quantity AS DECIMAL(12,2))) AS total
                          FROM {{lineitem}} GROUP BY l_orderkey) l ON l.l_orderkey = o.k) x"""
@@ -118,10 +122,9 @@ def raw_sql(d: Dialect) -> dict[str, str]:
                     ELSE ordered_at + INTERVAL '10' MINUTE END AS processed_at,
                CASE WHEN copy_no = 2 THEN _loaded_at + INTERVAL '17' MINUTE
                     ELSE _loaded_at + INTERVAL '10' MINUTE END AS _loaded_at
-        FROM (SELECT k, c, total_amount, currency, ordered_at, _loaded_at, 1 AS copy_no FROM {{order_facts}}
-              UNION ALL
-              SELECT k, c, total_amount, currency, ordered_at, _loaded_at, 2 FROM {{order_facts}}
-              WHERE k % 409 = 0) p"""
+        FROM (SELECT k, c, total_amount, currency, ordered_at, _loaded_at,
+                     {d.upto('CASE WHEN k % 409 = 0 THEN 2 ELSE 1 END')} AS copy_no
+              FROM {{order_facts}}) p"""
     sql["refunds"] = f"""
         SELECT refund_id, payment_id, refund_amount, refund_reason, refunded_at,
                refunded_at + INTERVAL '10' MINUTE AS _loaded_at
@@ -132,15 +135,14 @@ def raw_sql(d: Dialect) -> dict[str, str]:
                           ELSE 'quality' END AS refund_reason,
                      CASE WHEN r.k % 139 = 0 THEN o.ordered_at - INTERVAL '1' DAY
                           ELSE o.ordered_at + INTERVAL '3' DAY END AS refunded_at
-              FROM (SELECT l_orderkey AS k, l_linenumber AS ln, MIN({unit}) AS unit FROM {{lineitem}}
-                    WHERE l_returnflag = 'R' AND l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber) r
+              FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS ln, {unit} AS unit FROM {{lineitem}}
+                    WHERE l_returnflag = 'R' AND l_linenumber <= 2) r
               JOIN {{order_facts}} o ON o.k = r.k
               UNION ALL
               SELECT 'RFS' || k || '-' || part_no, 'PAY' || k, CAST(total_amount * 0.6 AS DECIMAL(12,2)),
                      'goodwill', ordered_at + INTERVAL '5' DAY
-              FROM (SELECT k, total_amount, ordered_at, 1 AS part_no FROM {{order_facts}} WHERE k % 1009 = 5
-                    UNION ALL
-                    SELECT k, total_amount, ordered_at, 2 FROM {{order_facts}} WHERE k % 1009 = 5) s) y"""
+              FROM (SELECT k, total_amount, ordered_at, {d.upto('2')} AS part_no
+                    FROM {{order_facts}} WHERE k % 1009 = 5) s) y"""
     sql["subscriptions"] = f"""
         SELECT 'S' || k AS subscription_id,
                'C' || (k + CASE WHEN k % 399 = 0 THEN 900000 ELSE 0 END) AS customer_id,
