@@ -7,6 +7,7 @@ where dialects differ go through ``Dialect``.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -213,17 +214,26 @@ _INPUTS = {
 }
 
 
-def raw_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One raw commerce table derived from the driver tables, in its declared schema."""
-    inputs = {
-        source: raw_table(spark, folder, source) if source == "order_facts" else driver_table(spark, folder, source)
-        for source in _INPUTS[name]
-    }
+def raw_table(spark: SparkSession, folder: str, name: str,
+              ready: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """One raw commerce table derived from the driver tables, in its declared schema.
+
+    ``ready`` may hold intermediate tables that already exist.
+    """
+    have = ready or {}
+    inputs = {}
+    for source in _INPUTS[name]:
+        if source in have:
+            inputs[source] = have[source]
+        elif source == "order_facts":
+            inputs[source] = raw_table(spark, folder, source)
+        else:
+            inputs[source] = driver_table(spark, folder, source)
     df = spark.sql(_spark_text()[name], **inputs)
     if name not in RAW:
         return df
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in RAW[name]])
 
 
-def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: raw_table(spark, folder, name) for name in RAW}
+def raw_tables(spark: SparkSession, folder: str, ready: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    return {name: raw_table(spark, folder, name, ready) for name in RAW}

@@ -7,10 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.plans.marts import Models
-from plumbline.plans.staging import stage, stage_all
+from plumbline.plans.staging import stage_all
 from plumbline.session import tune
 from plumbline.sources.driver_tables import CUTOFF_DATE, driver_table, raw_table, raw_tables
 from plumbline.sources.schemas import STAGING
+from plumbline.sources.tables import read_raw, shared_folder, write_tables
+
+# Raw tables already landed as parquet, per application and source folder.
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def landed(spark: SparkSession, folder: str) -> str:
+    """Derive the raw tables once per session and keep them as parquet in the shared folder.
+
+    Checks run on loaded tables: without landing, each of the rules would derive its inputs again.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _LANDED:
+        target = shared_folder(spark)
+        raw_table(spark, folder, "order_facts").write.parquet(f"{target}/order_facts")
+        facts = spark.read.parquet(f"{target}/order_facts")
+        write_tables(raw_tables(spark, folder, {"order_facts": facts}), target)
+        _LANDED[key] = target
+    return _LANDED[key]
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -43,16 +62,18 @@ class Bed:
     def source(self, name: str) -> DataFrame:
         return driver_table(self.spark, self.folder, name)
 
-    def raw(self, name: str) -> DataFrame:
+    def derived(self, name: str) -> DataFrame:
+        """A raw table as a lazy derivation, without landing it."""
         return raw_table(self.spark, self.folder, name)
 
     def all_raw(self) -> dict[str, DataFrame]:
-        return raw_tables(self.spark, self.folder)
+        return read_raw(self.spark, landed(self.spark, self.folder))
+
+    def raw(self, name: str) -> DataFrame:
+        return self.all_raw()[name]
 
     def stg(self, name: str) -> DataFrame:
-        if self._staging is not None:
-            return self._staging[f"stg_{name}"]
-        return stage(name, self.raw(name))
+        return self.staging[f"stg_{name}"]
 
     @property
     def staging(self) -> dict[str, DataFrame]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.suite import models
+from plumbline.suite import models, quality
 
-FLAGSHIP = "m1_int_payments__with_refunds"
-_GROUPS = (models,)
+FLAGSHIP = "q11_run_improved_ruleset"
+_GROUPS = (models, quality)
 
 
 def queries() -> dict:
