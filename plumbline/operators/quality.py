@@ -23,36 +23,46 @@ def cutoff_sql(as_of: datetime | str) -> str:
     return f"TIMESTAMP_NTZ '{as_of}'"
 
 
-def _scope(rule: Rule, ctx: Context, df: DataFrame, load_column: str | None) -> Column:
+def _scope(rule: Rule, ctx: Context, df: DataFrame, load_column: str | None) -> Column | None:
     """Rows in scope of the rule; the load filter applies to the rule's own asset only."""
     conditions = [ctx.predicate(rule.where)] if rule.where else []
     if load_column and load_column in df.columns:
         conditions.append(F.col(f"p.`{load_column}`") <= ctx.cutoff_column)
-    return all_of(conditions) if conditions else F.lit(True)
+    return all_of(conditions)
+
+
+def _in_scope(rule: Rule, ctx: Context, df: DataFrame, load_column: str | None) -> DataFrame:
+    scope = _scope(rule, ctx, df, load_column)
+    return df if scope is None else df.filter(scope)
 
 
 def _plan_fused(asset: str, rules: list[Rule], ctx: Context, by: list[str], load_column: str | None,
                 primary: DataFrame | None = None) -> DataFrame:
-    """One aggregate over the asset for all its row rules: (by..., rule_key, scanned, failed)."""
+    """One aggregate over the asset: (by..., rule_key, scanned, failed).
+
+    Row rules get both counts. Set rules only need their scanned rows here; their failed count is NULL.
+    """
     df = (ctx.table(asset) if primary is None else primary).alias("p")
-    counters = []
+    counters, lines = [], []
     for i, rule in enumerate(rules):
-        scope = _scope(rule, ctx, df, load_column)
-        counters.append(F.count_if(scope).alias(f"_s{i}"))
-        counters.append(F.count_if(scope & row_check(rule)(rule, ctx)).alias(f"_f{i}"))
+        scope, check = _scope(rule, ctx, df, load_column), row_check(rule)
+        counters.append((F.count(F.lit(1)) if scope is None else F.count_if(scope)).alias(f"_s{i}"))
+        failed = F.lit(None).cast("bigint")
+        if check is not None:
+            bad = check(rule, ctx)
+            counters.append(F.count_if(bad if scope is None else scope & bad).alias(f"_f{i}"))
+            failed = F.col(f"_f{i}")
+        lines.append(F.struct(F.lit(rule.key).alias("rule_key"), F.col(f"_s{i}").alias("scanned"),
+                              failed.alias("failed")))
     totals = df.groupBy(*by).agg(*counters)
-    lines = F.array(*[
-        F.struct(F.lit(r.key).alias("rule_key"), F.col(f"_s{i}").alias("scanned"), F.col(f"_f{i}").alias("failed"))
-        for i, r in enumerate(rules)
-    ])
-    return totals.select(*by, F.explode(lines).alias("line")).select(*by, "line.*")
+    return totals.select(*by, F.explode(F.array(*lines)).alias("line")).select(*by, "line.*")
 
 
 def _combos(rule: Rule, ctx: Context, by: list[str], load_column: str | None,
             primary: DataFrame | None = None) -> DataFrame:
     df = (ctx.table(rule.asset) if primary is None else primary).alias("p")
     needed = set_check(rule).needs(rule, ctx, df)
-    scoped = df.filter(_scope(rule, ctx, df, load_column))
+    scoped = _in_scope(rule, ctx, df, load_column)
     return count_rows(scoped, list(dict.fromkeys([*by, *needed])))
 
 
@@ -64,33 +74,43 @@ def _plan_set(rule: Rule, ctx: Context, by: list[str], load_column: str | None,
     return failing.groupBy(*by).agg(failed).withColumn("rule_key", F.lit(rule.key))
 
 
-def _plan_scanned(asset: str, rules: list[Rule], ctx: Context, by: list[str], load_column: str | None,
-                  primary: DataFrame | None = None) -> DataFrame:
-    """Scanned rows of the set rules of one asset in one aggregate."""
-    df = (ctx.table(asset) if primary is None else primary).alias("p")
-    totals = df.groupBy(*by).agg(*[
-        F.count_if(_scope(r, ctx, df, load_column)).alias(f"_s{i}") for i, r in enumerate(rules)])
-    lines = F.array(*[F.struct(F.lit(r.key).alias("rule_key"), F.col(f"_s{i}").alias("scanned"))
-                      for i, r in enumerate(rules)])
-    return totals.select(*by, F.explode(lines).alias("line")).select(*by, "line.*")
-
-
 def _error_text(exc: Exception) -> str:
     return str(exc).strip()[:2000]
 
 
-def _check_plan(rule: Rule, ctx: Context, load_column: str | None) -> str | None:
-    """Analyse one rule on its own; returns the error text when it cannot be planned."""
+_PLAN_ERRORS = (PySparkException, RuleError, KeyError)
+
+
+def _plan_rules(asset: str, rules: list[Rule], ctx: Context, by: list[str], load_column: str | None,
+                primary: DataFrame | None = None) -> tuple[list[DataFrame], dict[str, str]]:
+    """Plans for all rules of one asset, and the errors of rules that cannot be planned.
+
+    Building a DataFrame analyses it, so a bad rule shows here and not in the job.
+    """
+    frames, errors, fused = [], {}, []
+    for rule in rules:
+        try:
+            if row_check(rule) is None:
+                if set_check(rule) is None:
+                    raise RuleError(f"unknown rule type '{rule.type}'")
+                frames.append(_plan_set(rule, ctx, by, load_column, primary))
+            fused.append(rule)
+        except _PLAN_ERRORS as exc:
+            errors[rule.key] = _error_text(exc)
     try:
-        if row_check(rule) is not None:
-            _plan_fused(rule.asset, [rule], ctx, [], load_column).schema  # noqa: B018 - forces analysis
-        elif set_check(rule) is not None:
-            _plan_set(rule, ctx, [], load_column).schema  # noqa: B018 - forces analysis
-        else:
-            raise RuleError(f"unknown rule type '{rule.type}'")
-    except (PySparkException, RuleError, KeyError) as exc:
-        return _error_text(exc)
-    return None
+        if fused:
+            frames.append(_plan_fused(asset, fused, ctx, by, load_column, primary))
+    except _PLAN_ERRORS:
+        fine = []
+        for rule in fused:
+            try:
+                _plan_fused(asset, [rule], ctx, by, load_column, primary)
+                fine.append(rule)
+            except _PLAN_ERRORS as exc:
+                errors[rule.key] = _error_text(exc)
+        if fine:
+            frames.append(_plan_fused(asset, fine, ctx, by, load_column, primary))
+    return frames, errors
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -113,25 +133,18 @@ def rule_counts(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Seq
     """
     ctx = Context(tables, cutoff_sql(as_of))
     load = LOAD_COLUMN if filter_by_load_time else None
-    errors = {r.key: e for r in rules if (e := _check_plan(r, ctx, load)) is not None}
-    good = [r for r in rules if r.key not in errors]
-    frames = []
-    for asset, group in _by_asset(good).items():
-        fused = [r for r in group if row_check(r) is not None]
-        sets = [r for r in group if row_check(r) is None]
-        if fused:
-            frames.append(_plan_fused(asset, fused, ctx, [], load))
-        if sets:
-            frames.append(_plan_scanned(asset, sets, ctx, [], load))
-            frames += [_plan_set(r, ctx, [], load) for r in sets]
-    total = _union(frames) if frames else spark.createDataFrame([], "rule_key string, scanned bigint, failed bigint")
-    merged = total.groupBy("rule_key").agg(
-        F.max("scanned").alias("scanned"), F.max("failed").alias("failed"),
-        F.lit(None).cast("string").alias("error"))
-    if not errors:
-        return merged
-    broken = spark.createDataFrame([(k, 0, 0, e) for k, e in errors.items()], COUNT_SCHEMA)
-    return merged.unionByName(broken)
+    frames, errors = [], {}
+    for asset, group in _by_asset(rules).items():
+        planned, broken = _plan_rules(asset, group, ctx, [], load)
+        frames += planned
+        errors |= broken
+    counts = spark.createDataFrame([(k, 0, 0, e) for k, e in errors.items()], COUNT_SCHEMA) if errors else None
+    if frames:
+        merged = _union(frames).groupBy("rule_key").agg(
+            F.max("scanned").alias("scanned"), F.max("failed").alias("failed"),
+            F.lit(None).cast("string").alias("error"))
+        counts = merged if counts is None else merged.unionByName(counts)
+    return counts if counts is not None else spark.createDataFrame([], COUNT_SCHEMA)
 
 
 def with_status(counts: DataFrame) -> DataFrame:
@@ -171,7 +184,7 @@ def failing_rows(tables: Mapping[str, DataFrame], rule: Rule, as_of: datetime |
     ctx = Context(tables, cutoff_sql(as_of))
     load = LOAD_COLUMN if filter_by_load_time else None
     primary = ctx.table(rule.asset).alias("p")
-    scoped = primary.filter(_scope(rule, ctx, primary, load))
+    scoped = _in_scope(rule, ctx, primary, load)
     check = row_check(rule)
     if check is not None:
         return scoped.filter(check(rule, ctx))
@@ -241,39 +254,42 @@ def backfill(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Sequen
     first = cutoffs[0].date()
     fixed = Context(tables, cutoff_sql(cutoffs[-1]))
     moving = Context(tables, "_as_of")
-    errors = {r.key: e for r in rules if (e := _check_plan(r, fixed, LOAD_COLUMN)) is not None}
-    good = [r for r in rules if r.key not in errors]
+    errors: dict[str, str] = {}
     changes, levels = [], []
-    for asset, group in _by_asset(good).items():
+    for asset, group in _by_asset(rules).items():
+        if asset not in tables:
+            errors |= {r.key: f"unknown asset '{asset}'" for r in group}
+            continue
         base = tables[asset]
         if LOAD_COLUMN in base.columns:
             seen = base.withColumn(_RUN, _first_run(first, LOAD_COLUMN)).filter(F.col(_RUN) <= F.lit(last))
         else:
             seen = base.withColumn(_RUN, F.lit(first))
         still = [r for r in group if not r.uses_cutoff]
-        fused = [r for r in still if row_check(r) is not None]
-        sets = [r for r in still if row_check(r) is None]
-        if fused:
-            changes.append(_plan_fused(asset, fused, fixed, [_RUN], None, seen))
-        if sets:
-            changes.append(_plan_scanned(asset, sets, fixed, [_RUN], None, seen))
-        for rule in sets:
-            changes.append(_unique_by_day(rule, fixed, seen) if rule.type == "unique"
-                           else _plan_set(rule, fixed, [_RUN], None, seen))
+        # Duplicates change with every later copy; their scanned rows come from the shared aggregate.
+        copies = [r for r in still if r.type == "unique"]
+        planned, broken = _plan_rules(asset, [r for r in still if r not in copies], fixed, [_RUN], None, seen)
+        changes += planned
+        errors |= broken
+        for rule in copies:
+            try:
+                changes.append(_unique_by_day(rule, fixed, seen))
+                changes.append(_plan_fused(asset, [rule], fixed, [_RUN], None, seen))
+            except _PLAN_ERRORS as exc:
+                errors[rule.key] = _error_text(exc)
         moved = [r for r in group if r.uses_cutoff]
         if not moved:
             continue
         needed = list(dict.fromkeys(
-            c for r in moved for c in [*r.columns, *mentioned(base, r.where, *map(str, r.params.values()))]))
+            c for r in moved for c in [*[c for c in r.columns if c in base.columns],
+                                       *mentioned(base, r.where, *map(str, r.params.values()))]))
         daily = seen.select(*needed, F.explode(F.sequence(F.col(_RUN), F.lit(last))).alias("_day")).withColumn(
             "_as_of", F.col("_day").cast("timestamp_ntz") + F.expr("INTERVAL '86399' SECOND")).withColumnRenamed(
             "_day", _RUN)
-        rows = [r for r in moved if row_check(r) is not None]
-        if rows:
-            levels.append(_plan_fused(asset, rows, moving, [_RUN], None, daily))
-        for rule in (r for r in moved if row_check(r) is None):
-            levels.append(_plan_scanned(asset, [rule], moving, [_RUN], None, daily))
-            levels.append(_plan_set(rule, moving, [_RUN, "_as_of"], None, daily).drop("_as_of"))
+        planned, broken = _plan_rules(asset, moved, moving, [_RUN, "_as_of"], None, daily)
+        levels += [f.drop("_as_of") for f in planned]
+        errors |= broken
+    good = [r for r in rules if r.key not in errors]
     grid = spark.createDataFrame(
         [(r.key, c.date(), 0, 0) for r in good for c in cutoffs],
         f"rule_key string, {_RUN} date, scanned bigint, failed bigint")

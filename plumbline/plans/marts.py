@@ -22,16 +22,19 @@ class Models:
     """Staging tables plus every model derived from them, built on first use."""
 
     def __init__(self, staging: Mapping[str, DataFrame], cutoff_date: str) -> None:
-        self._built = dict(staging)
+        self._staging = staging
+        self._built: dict[str, DataFrame] = {}
         self.today = F.lit(cutoff_date).cast("date")
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in self._staging:
+            return self._staging[name]
         if name not in self._built:
             self._built[name] = _BUILDERS[name](self)
         return self._built[name]
 
     def __contains__(self, name: str) -> bool:
-        return name in self._built or name in _BUILDERS
+        return name in self._staging or name in _BUILDERS
 
 
 def model_names() -> list[str]:

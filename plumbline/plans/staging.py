@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,15 +47,41 @@ def stage(table: str, raw: DataFrame) -> DataFrame:
 def enforce(df: DataFrame, contract: str) -> DataFrame:
     """Check names and types against the declared contract."""
     declared = STAGING[contract]
-    missing = [f.name for f in declared if f.name not in df.columns]
-    extra = [c for c in df.columns if c not in declared.names]
+    have = df.columns
+    missing = [f.name for f in declared if f.name not in have]
+    extra = [c for c in have if c not in declared.names]
     if missing or extra:
         raise ValueError(f"{contract}: missing columns {missing}, unexpected columns {extra}")
-    wrong = [f.name for f in declared if df.schema[f.name].dataType != f.dataType]
+    actual = df.schema
+    wrong = [f.name for f in declared if actual[f.name].dataType != f.dataType]
     if wrong:
         raise ValueError(f"{contract}: wrong column types {wrong}")
-    return df.select(*declared.names)
+    return df if have == declared.names else df.select(*declared.names)
 
 
-def stage_all(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    return {f"stg_{name}": stage(name, df) for name, df in raw.items()}
+class Staging(Mapping[str, DataFrame]):
+    """All staging tables, each projected when first asked for."""
+
+    def __init__(self, raw: Mapping[str, DataFrame]) -> None:
+        self._raw = raw
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            if name not in STAGING:
+                raise KeyError(name)
+            self._built[name] = stage(name.removeprefix("stg_"), self._raw[name.removeprefix("stg_")])
+        return self._built[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in STAGING
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(STAGING)
+
+    def __len__(self) -> int:
+        return len(STAGING)
+
+
+def stage_all(raw: Mapping[str, DataFrame]) -> Staging:
+    return Staging(raw)

@@ -35,6 +35,9 @@ def local_session(cores: int | str = 8, name: str = "plumbline") -> SparkSession
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # Call-site capture costs several JVM round trips per column function (static setting).
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +29,29 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, parallel: int = 4
         list(pool.map(lambda item: item[1].write.mode("overwrite").parquet(f"{folder}/{item[0]}"), tables.items()))
 
 
-def read_raw(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
+class RawTables(Mapping[str, DataFrame]):
+    """Raw tables in a folder, read with their fixed schema when first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str, fmt: str) -> None:
+        self._reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+        self._folder, self._fmt = folder, fmt
+        self._read: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._read:
+            self._read[name] = self._reader.schema(RAW[name]).format(self._fmt).load(f"{self._folder}/{name}")
+        return self._read[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(RAW)
+
+    def __len__(self) -> int:
+        return len(RAW)
+
+
+def read_raw(spark: SparkSession, folder: str, fmt: str = "parquet") -> RawTables:
     """Raw tables with their fixed schema; nothing is inferred."""
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return {name: reader.schema(schema).format(fmt).load(f"{folder}/{name}") for name, schema in RAW.items()}
+    return RawTables(spark, folder, fmt)
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

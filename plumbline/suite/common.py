@@ -25,13 +25,23 @@ def landed(spark: SparkSession, folder: str) -> str:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _LANDED:
         target = shared_folder(spark)
-        raw_table(spark, folder, "order_facts").write.parquet(f"{target}/order_facts")
+        spread = _spread(spark, folder)
+        spread(raw_table(spark, folder, "order_facts")).write.parquet(f"{target}/order_facts")
         facts = spark.read.parquet(f"{target}/order_facts")
-        write_tables(raw_tables(spark, folder, {"order_facts": facts}), target)
+        derived = raw_tables(spark, folder, {"order_facts": facts})
+        write_tables({name: spread(df) for name, df in derived.items()}, target)
         _LANDED[key] = target
     return _LANDED[key]
 
 
+def _spread(spark: SparkSession, folder: str):
+    """Spread landed files over the cores when the input has fewer splits than cores (small inputs only)."""
+    cores = spark.sparkContext.defaultParallelism
+    if driver_table(spark, folder, "lineitem").rdd.getNumPartitions() >= cores:
+        return lambda df: df
+    return lambda df: df.repartition(cores)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Column types every engine prints alike: BIGINT, DOUBLE, BOOLEAN and text."""
     columns = []
