@@ -2,62 +2,11 @@
 
 from __future__ import annotations
 
+from plumbline.plans.model_columns import MODEL_COLUMNS
 from plumbline.plans.model_sql import with_models
 from plumbline.sources.schemas import STAGING
 from plumbline.suite.common import Bed, plain, sql_plain, staging_oracle
 
-# Output columns of each model: i integer, f number, t text, b boolean.
-MODEL_COLUMNS = {
-    "int_payments__with_refunds": "payment_id:t order_id:t customer_id:t payment_method:t payment_status:t amount:f "
-        "currency:t processed_at:t refund_count:i refunded_amount:f last_refunded_at:t net_amount:f",
-    "int_orders__payment_summary": "order_id:t successful_payment_count:i failed_attempt_count:i amount_paid:f "
-        "amount_refunded:f first_paid_at:t last_refunded_at:t",
-    "int_orders__item_summary": "order_id:t line_count:i units:i items_subtotal:f category_count:i has_equipment:b "
-        "categories:t",
-    "int_orders__enriched": "order_id:t customer_id:t subscription_id:t campaign_id:t order_status:t sales_channel:t "
-        "currency:t ordered_at:t order_date:t subtotal_amount:f discount_amount:f shipping_amount:f tax_amount:f "
-        "total_amount:f line_count:i units:i categories:t successful_payment_count:i failed_attempt_count:i "
-        "amount_paid:f amount_refunded:f first_paid_at:t balance_due:f is_revenue_order:b net_revenue:f",
-    "int_customers__order_history": "customer_id:t first_order_at:t last_order_at:t order_count:i "
-        "subscription_order_count:i lifetime_net_revenue:f lifetime_refunds:f avg_order_value:f",
-    "int_subscriptions__mrr": "subscription_id:t customer_id:t plan_code:t subscription_status:t billing_interval:t "
-        "monthly_amount:f started_on:t ended_on:t is_active:b mrr:f tenure_months:i",
-    "int_customers__support_summary": "customer_id:t ticket_count:i open_ticket_count:i escalated_ticket_count:i "
-        "tickets_last_90d:i avg_csat:f last_ticket_at:t",
-    "int_campaigns__attributed_orders": "order_id:t campaign_id:t customer_id:t ordered_at:t net_revenue:f "
-        "is_new_customer_order:b",
-    "dim_customers": "customer_id:t email:t first_name:t last_name:t country_code:t acquisition_channel:t "
-        "customer_status:t signed_up_at:t first_order_at:t last_order_at:t order_count:i lifetime_net_revenue:f "
-        "lifetime_refunds:f avg_order_value:f active_subscription_count:i mrr:f is_subscriber:b "
-        "days_since_last_order:i",
-    "dim_products": "product_id:t sku:t product_name:t category:t list_price:f is_active:b launched_on:t "
-        "units_sold:i gross_sales:f order_count:i",
-    "fct_orders": "order_id:t customer_id:t subscription_id:t campaign_id:t order_status:t sales_channel:t currency:t "
-        "ordered_at:t order_date:t subtotal_amount:f discount_amount:f shipping_amount:f tax_amount:f total_amount:f "
-        "line_count:i units:i amount_paid:f amount_refunded:f balance_due:f is_revenue_order:b net_revenue:f "
-        "customer_country_code:t customer_acquisition_channel:t customer_is_subscriber:b",
-    "fct_payments": "payment_id:t order_id:t customer_id:t payment_method:t payment_status:t amount:f currency:t "
-        "processed_at:t refund_count:i refunded_amount:f net_amount:f order_status:t ordered_at:t "
-        "minutes_from_checkout:f",
-    "fct_subscriptions": "subscription_id:t customer_id:t plan_code:t subscription_status:t billing_interval:t "
-        "monthly_amount:f started_on:t ended_on:t is_active:b mrr:f tenure_months:i customer_country_code:t",
-    "fct_daily_revenue": "order_date:t currency:t orders:i units:i gross_sales:f discounts:f refunds:f net_revenue:f "
-        "average_order_value:f",
-    "fin_monthly_revenue_close": "revenue_month:t currency:t orders:i gross_sales:f discounts:f refunds:f "
-        "net_revenue:f cash_collected:f cash_refunded:f",
-    "customer_lifetime_value": "customer_id:t country_code:t acquisition_channel:t customer_status:t is_subscriber:b "
-        "order_count:i tenure_months:f historical_value:f monthly_value:f predicted_12m_value:f "
-        "customer_lifetime_value:f clv_tier:t",
-    "customer_health_scores": "customer_id:t customer_status:t is_subscriber:b days_since_last_order:i "
-        "open_ticket_count:i avg_csat:f clv_tier:t customer_lifetime_value:f recency_points:i subscription_points:i "
-        "support_points:i value_points:i health_score:i health_band:t",
-    "campaign_performance": "campaign_id:t campaign_name:t channel:t started_on:t ended_on:t budget_amount:f "
-        "attributed_orders:i attributed_revenue:f new_customers:i roas:f customer_acquisition_cost:f",
-    "rpt_executive_kpis": "revenue_month:t orders:i net_revenue:f refunds:f cash_collected:f average_order_value:f "
-        "active_customers:i active_subscriptions:i ending_mrr:f marketing_spend:f campaign_new_customers:i "
-        "blended_cac:f avg_health_score:f share_customers_at_risk:f",
-}
-
 QUERIES = {}
 ORACLE = {}
 
