@@ -83,10 +83,10 @@ def touched_terms(defects: DataFrame, impacted: DataFrame, terms: DataFrame, lin
     """
     live = links.join(terms.filter("status <> 'deprecated'"), "term_key").select(
         F.col("asset").alias("_asset"), "column_name", "term")
-    own = defects.join(live, defects["asset"] == F.col("_asset")).filter(
+    own = defects.withColumnRenamed("asset", "_asset").join(live, "_asset").filter(
         F.col("column_name").isNull() | (F.size("columns") == 0) | F.array_contains("columns", F.col("column_name"))
     ).select("seed", "term")
-    beyond = impacted.join(live, impacted["asset"] == F.col("_asset")).select("seed", "term")
+    beyond = impacted.select("seed", F.col("asset").alias("_asset")).join(live, "_asset").select("seed", "term")
     named = own.unionByName(beyond).groupBy("seed").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     return defects.select("seed").join(named, "seed", "left").select(
         "seed", F.coalesce("terms", F.array().cast(_NO_TEXT)).alias("terms"))

@@ -64,7 +64,7 @@ def _grow(found: DataFrame, frontier: DataFrame, step: DataFrame, depth: int, be
     """One round: up to ``_HOPS_PER_ROUND`` hops from the frontier, new nodes only."""
     hops, current = [], frontier
     for i in range(1, _HOPS_PER_ROUND + 1):
-        current = current.join(step, current["asset"] == step["_from"]).select(
+        current = current.withColumnRenamed("asset", "_from").join(step, "_from").select(
             "seed", F.col("_to").alias("asset"), F.concat("path", F.array("_to")).alias("path"))
         # Equal hop counts: the smallest path in text order wins.
         current = current.groupBy("seed", "asset").agg(best.alias("path"))
@@ -83,12 +83,12 @@ def reach(edges: DataFrame, seeds: DataFrame, downstream: bool = True, max_depth
     step = _oriented(edges, downstream)
     best = F.min("path")
     if "columns" in seeds.columns and downstream:
-        first = seeds.join(edges, seeds["asset"] == edges["upstream"]).filter(
+        first = seeds.withColumnRenamed("asset", "upstream").join(edges, "upstream").filter(
             is_referenced(F.col("referenced_columns"), F.col("columns"))).select(
-            "seed", F.col("downstream").alias("_to"), seeds["asset"].alias("_start"))
+            "seed", F.col("downstream").alias("_to"), F.col("upstream").alias("_start"))
     else:
-        first = seeds.join(step, seeds["asset"] == step["_from"]).select(
-            "seed", "_to", seeds["asset"].alias("_start"))
+        first = seeds.withColumnRenamed("asset", "_from").join(step, "_from").select(
+            "seed", "_to", F.col("_from").alias("_start"))
     frontier = first.groupBy("seed", F.col("_to").alias("asset")).agg(
         F.min(F.array("_start", "_to")).alias("path")).withColumn("depth", F.lit(1))
     found = frontier = checkpoint(frontier)
@@ -107,7 +107,7 @@ def reach(edges: DataFrame, seeds: DataFrame, downstream: bool = True, max_depth
 
 def unreferenced_consumers(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, asset): direct consumers known not to read any of the seed's columns."""
-    joined = seeds.join(edges, seeds["asset"] == edges["upstream"])
+    joined = seeds.withColumnRenamed("asset", "upstream").join(edges, "upstream")
     return joined.filter(~is_referenced(F.col("referenced_columns"), F.col("columns"))).select(
         "seed", F.col("downstream").alias("asset"))
 
@@ -172,7 +172,7 @@ def longest_chain(edges: DataFrame) -> DataFrame:
     last = current = checkpoint(current)
     while not current.isEmpty():
         last = current
-        current = checkpoint(current.join(step, current["asset"] == step["_from"]).groupBy(
+        current = checkpoint(current.withColumnRenamed("asset", "_from").join(step, "_from").groupBy(
             F.col("_to").alias("asset")).agg(F.min(F.concat("path", F.array("_to"))).alias("path")))
     return last.agg(F.min("path").alias("path")).select((F.size("path") - 1).alias("length"), "path")
 
