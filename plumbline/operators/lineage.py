@@ -80,6 +80,8 @@ def reach(edges: DataFrame, seeds: DataFrame, downstream: bool = True, max_depth
     ``seeds`` has (seed, asset) and may have ``columns``: then the first hop only follows consumers that
     read one of them. Later hops follow every edge, because a defect travels on with the derived rows.
     """
+    # Every hop joins the edges again: derive them once.
+    edges = checkpoint(edges)
     step = _oriented(edges, downstream)
     best = F.min("path")
     if "columns" in seeds.columns and downstream:
@@ -123,6 +125,7 @@ def all_paths(edges: DataFrame, pairs: DataFrame, limit: int = 20) -> DataFrame:
 
     Partial paths only grow through nodes from which the target can still be reached.
     """
+    edges, pairs = checkpoint(edges), checkpoint(pairs)
     ends = pairs.select(F.col("target").alias("seed"), F.col("target").alias("asset")).distinct()
     useful = checkpoint(reach(edges, ends, downstream=False).select(
         F.col("seed").alias("target"), F.col("asset").alias("_to")).unionByName(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,19 +45,25 @@ def local_session(cores: int | str = 8, name: str = "plumbline") -> SparkSession
     return tune(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the area named by ``spark.checkpoint.dir``.
+
+    Only a local session may fall back to a temporary folder; on a cluster a missing setting is an error,
+    because executors can be lost.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        base = tempfile.mkdtemp(prefix="plumbline-")
+    return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
+    """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only a local session may fall back to
-    a temporary folder; on a cluster a missing setting is an error, because executors can be lost.
+    Unlike an RDD checkpoint the plan runs once, and readers still prune columns and know the size.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

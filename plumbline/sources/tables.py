@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -13,16 +11,6 @@ from pyspark.sql import functions as F
 from plumbline.sources.schemas import RAW
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint area (a temporary one in local mode only)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="plumbline-tables-")
-    return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
-
-
 def write_tables(tables: Mapping[str, DataFrame], folder: str, parallel: int = 4) -> None:
     """Write several independent tables as parquet; the jobs share the cluster."""
     with ThreadPoolExecutor(parallel) as pool:

@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 
 from plumbline.plans.marts import Models
 from plumbline.plans.staging import stage_all
-from plumbline.session import tune
+from plumbline.session import shared_folder, tune
 from plumbline.sources.driver_tables import CUTOFF_DATE, driver_table, raw_table, raw_tables
 from plumbline.sources.schemas import STAGING
-from plumbline.sources.tables import read_raw, shared_folder, write_tables
+from plumbline.sources.tables import read_raw, write_tables
 
 # Raw tables already landed as parquet, per application and source folder.
 _LANDED: dict[tuple[str, str], str] = {}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.suite import models, quality
+from plumbline.suite import lineage, models, quality
 
 FLAGSHIP = "q11_run_improved_ruleset"
-_GROUPS = (models, quality)
+_GROUPS = (models, quality, lineage)
 
 
 def queries() -> dict:
