@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.suite import lineage, models, quality
+from plumbline.suite import evaluation, lineage, models, profiles, quality, runs
 
 FLAGSHIP = "q11_run_improved_ruleset"
-_GROUPS = (models, quality, lineage)
+_GROUPS = (models, quality, lineage, runs, profiles, evaluation)
 
 
 def queries() -> dict:
