@@ -68,7 +68,7 @@ def _step(state: Column, item: Column) -> Column:
 
 
 def fold(outcomes: DataFrame, actions: DataFrame | None = None) -> DataFrame:
-    """(rule_key, status, events) per rule.
+    """(rule_key, status, events) per rule; a rule that never failed has no status.
 
     ``outcomes`` is (rule_key, run_id, as_of, status, scanned, failed); errors say nothing and are dropped.
     ``actions`` is (rule_key, at, kind, status, actor, note), kind being 'action' or 'comment'.
@@ -90,8 +90,7 @@ def fold(outcomes: DataFrame, actions: DataFrame | None = None) -> DataFrame:
                      F.array().cast(f"array<{_EVENT}>").alias("events")).cast(_STATE)
     folded = line.groupBy("rule_key").agg(items.alias("items")).select(
         "rule_key", F.aggregate("items", start, _step).alias("s"))
-    return folded.select("rule_key", F.col("s.status").alias("status"), F.col("s.events").alias("events")).filter(
-        "status IS NOT NULL")
+    return folded.select("rule_key", F.col("s.status").alias("status"), F.col("s.events").alias("events"))
 
 
 _QUIET = ("seen", "skipped", "rejected")
@@ -117,7 +116,7 @@ def current(folded: DataFrame) -> DataFrame:
     closed = F.filter("events", lambda e: e["event_type"].isin("auto_resolved", "status_change")
                       & (e["to_status"] == "resolved"))
     last = F.element_at(found, -1)
-    out = folded.select(
+    out = folded.filter("status IS NOT NULL").select(
         "rule_key", "status", F.element_at(found, 1)["at"].alias("first_detected_at"),
         F.element_at(found, 1)["run_id"].alias("first_run_id"), last["at"].alias("last_detected_at"),
         last["run_id"].alias("last_run_id"), F.size(found).alias("occurrences"),

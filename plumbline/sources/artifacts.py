@@ -47,11 +47,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def _merged(*maps: Column) -> Column:
     """Merge metadata maps; later ones win."""
+    def overlay(base: Column, late: Column) -> Column:
+        kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(late, k))
+        return F.map_concat(kept, late)
+
     out = F.create_map().cast(_META)
     for m in maps:
-        late = F.coalesce(m, F.create_map().cast(_META))
-        kept = F.map_filter(out, lambda k, _, late=late: ~F.map_contains_key(late, k))
-        out = F.map_concat(kept, late)
+        out = overlay(out, F.coalesce(m, F.create_map().cast(_META)))
     return out
 
 

@@ -425,7 +425,7 @@ _POINTS = {
     "multi_team": "LEAST(8, 1.6 * GREATEST(0, len(list_filter(list_filter(x.owners, lambda o: o IS NOT NULL), "
                   "lambda o: o <> n.owner))))",
 }
-_SCORES = ("pts AS MATERIALIZED (SELECT sc.rule_key AS seed, sc.severity, sc.failed, x.asset, "
+_SCORES = ("pts AS MATERIALIZED (SELECT sc.rule_key AS seed, sc.failed, x.asset, "
            + ", ".join(f"round(CAST({e} AS DOUBLE), 1) AS {k}" for k, e in _POINTS.items())
            + " FROM scored AS sc JOIN rule_meta AS m USING (rule_key) JOIN summed AS x ON x.seed = sc.rule_key "
              "JOIN nodes AS n ON n.asset = x.asset WHERE sc.run_id = " + str(_DAYS) + "), "
