@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from plumbline.suite import catalog, evaluation, lineage, models, profiles, quality, runs
+from plumbline.suite import catalog, evaluation, lineage, models, primitives, profiles, quality, runs
 
 FLAGSHIP = "q11_run_improved_ruleset"
-_GROUPS = (models, quality, lineage, runs, profiles, evaluation, catalog)
+_GROUPS = (models, quality, lineage, runs, profiles, evaluation, catalog, primitives)
 
 
 def queries() -> dict:
