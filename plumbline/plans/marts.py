@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.joins import attach
 from plumbline.functions.scalars import money, month_start, or_zero, ratio, whole_months
+from plumbline.session import checkpoint
 
 _BUILDERS: dict[str, Callable[["Models"], DataFrame]] = {}
 
@@ -19,10 +20,15 @@ def _model(build: Callable[["Models"], DataFrame]):
 
 
 class Models:
-    """Staging tables plus every model derived from them, built on first use."""
+    """Staging tables plus every model derived from them, built on first use.
 
-    def __init__(self, staging: Mapping[str, DataFrame], cutoff_date: str) -> None:
+    ``keep`` names models that several others read: they are written once to the shared folder instead of
+    being derived again by every reader.
+    """
+
+    def __init__(self, staging: Mapping[str, DataFrame], cutoff_date: str, keep: Collection[str] = ()) -> None:
         self._staging = staging
+        self._keep = frozenset(keep)
         self._built: dict[str, DataFrame] = {}
         self.today = F.lit(cutoff_date).cast("date")
 
@@ -30,17 +36,14 @@ class Models:
         if name in self._staging:
             return self._staging[name]
         if name not in self._built:
-            self._built[name] = _BUILDERS[name](self)
+            built = _BUILDERS[name](self)
+            self._built[name] = checkpoint(built) if name in self._keep else built
         return self._built[name]
 
     def __contains__(self, name: str) -> bool:
         return name in self._staging or name in _BUILDERS
 
 
-def model_names() -> list[str]:
-    return list(_BUILDERS)
-
-
 def _when_sum(condition: Column, value: Column) -> Column:
     return F.sum(F.when(condition, value))
 

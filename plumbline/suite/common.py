@@ -91,6 +91,10 @@ class Bed:
             self._staging = stage_all(self.all_raw())
         return self._staging
 
+    def models_keeping(self, *names: str) -> Models:
+        """Models of which some are written once because the query reads them several times."""
+        return Models(self.staging, CUTOFF_DATE, names)
+
     @property
     def models(self) -> Models:
         if self._models is None:

@@ -44,7 +44,8 @@ def _test_sql(rule) -> str:
 
 
 _add("m21_data_tests",
-     lambda b: Q.rule_counts(b.spark, b.models, _TESTS, CUTOFF).select(
+     lambda b: Q.rule_counts(b.spark, b.models_keeping(*{t.asset for t in _TESTS if not t.asset.startswith('stg_')}, 'int_orders__enriched'),
+         _TESTS, CUTOFF).select(
          F.col("rule_key").alias("test"), F.col("failed").alias("failures")),
      "\nUNION ALL ".join(_test_sql(t) for t in _TESTS))
 _add("m20_order_total_formula",
