@@ -190,12 +190,14 @@ def column_references(edges: DataFrame, columns: DataFrame, texts: DataFrame) ->
     ``columns`` is (asset, column_name, ordinal), ``texts`` is (asset, text). A consumer without text gets
     NULL, meaning every column may be read. Words are matched by equality, not by one pattern per column.
     """
+    owned = columns.select(F.col("asset").alias("upstream"), "column_name", "ordinal")
     words = texts.filter("text IS NOT NULL").select(
         F.col("asset").alias("downstream"),
         F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("column_name"))
-    offered = edges.select("upstream", "downstream").join(
-        columns.select(F.col("asset").alias("upstream"), "column_name", "ordinal"), "upstream")
-    hits = offered.join(words, ["downstream", "column_name"]).groupBy("upstream", "downstream").agg(
+    # Only words that are column names go on, so an edge never meets all columns of its upstream asset.
+    names = words.join(owned.select("column_name").distinct(), "column_name", "left_semi")
+    said = edges.select("upstream", "downstream").join(names, "downstream")
+    hits = said.join(owned, ["upstream", "column_name"]).groupBy("upstream", "downstream").agg(
         F.transform(F.array_sort(F.collect_set(F.struct("ordinal", "column_name"))),
                     lambda c: c["column_name"]).alias("_hits"))
     known = texts.filter("text IS NOT NULL").select(F.col("asset").alias("downstream"), F.lit(True).alias("_known"))
