@@ -10,7 +10,7 @@ banded, and in each band the number of blocks k exceeds D of the largest sizes.
 2. Each bucket is sorted and keys of two or more sets stay. A linked pair differs in at most D of its k keys, so a set
    with fewer than k - D shared keys has no partner and goes (this removes texts that only share a common passage).
 3. Each key's smallest set is its hub. Pairs (set, hub) pass the Hamming bound of the short sketches, then the exact
-   comparison of the texts' sets.
+   comparison of the texts' sets. A second round takes another hub for each key, for sets still apart from it.
 4. Keys whose sets still belong to different components are compared completely, in blocks of bounded size: first by
    Hamming distance, and what passes is verified. So no link between different components is lost, and no pairs
    within a component are made.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
@@ -284,6 +284,23 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             .mapInArrow(_verified(size, percent), "a long, b long"))
 
 
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    found = roots.select(F.col("node").alias("cls"), "root")
+    return members.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _star(placed: DataFrame, order: Column, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the sets of each key and its hub, the first in ``order``, where the two lie in different components."""
+    hubs = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("cls").alias("hub"), F.col("root").alias("at"))).alias("first"))
+    pairs = (placed.join(hubs, "key").where("root <> first.at")
+             .select(F.least("cls", "first.hub").alias("a"), F.greatest("cls", "first.hub").alias("b")).distinct())
+    left, right = (classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+                   for x in ("a", "b"))
+    near = (pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+            .mapInArrow(_near(percent), "a long, b long"))
+    return checkpoint(_links(near, texts, size, percent))
+
+
 def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per row of ``docs(doc_id, text)``.
 
@@ -308,16 +325,12 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     classes = checkpoint(classes.select("cls", "n", "sketch", "first.doc_id", "first.tid"))
     texts = checkpoint(mine.join(classes.select("cls", "doc_id", "tid"), ["doc_id", "tid"]).select("cls", "text"))
 
-    hubs = members.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    pairs = (members.join(hubs, "key").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
-    left, right = (classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-                   for x in ("a", "b"))
-    near = (pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-            .mapInArrow(_near(percent), "a long, b long"))
-    links = checkpoint(_links(near, texts, size, percent))
-
+    links = _star(members.withColumn("root", F.col("cls")), F.col("cls"), classes, texts, size, percent)
+    placed = _placed(members, components(links))
+    more = _star(placed, F.xxhash64("key", "cls"), classes, texts, size, percent)
+    links = links.unionByName(more)
     roots = components(links)
-    placed = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    placed = _placed(members, roots)
     mixed = (placed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low <> high").select("key", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks")))
     spread = (placed.join(mixed, "key").join(classes.select("cls", "n", "sketch"), "cls")
