@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.decontaminate import find_items
+from plumbline.llm.html import extract
 from plumbline.llm.jaccard import similar_components
+from plumbline.llm.language import identify
 from plumbline.session import tune
 
 
@@ -14,13 +17,28 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(_table(spark, folder, "pages"))
+
+
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document; one in five documents is held out from learning."""
+    return identify(_table(spark, folder, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return similar_components(_table(spark, folder, "documents"), size=4, percent=85)
 
 
+def op9_benchmark_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in documents, as exact or edited copies."""
+    return find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_ngram_jaccard,)}
+    return {f.__name__: f for f in (op1_main_text, op3_language, op6_ngram_jaccard, op9_benchmark_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
