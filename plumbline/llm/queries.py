@@ -10,6 +10,8 @@ from plumbline.llm.decontaminate import find_items
 from plumbline.llm.html import extract
 from plumbline.llm.jaccard import similar_components
 from plumbline.llm.language import identify
+from plumbline.llm.repeats import repeated_passages
+from plumbline.llm.toxicity import score_documents
 from plumbline.session import tune
 
 
@@ -22,6 +24,11 @@ def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract(_table(spark, folder, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score of every document; one in four documents is held out from learning."""
+    return score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document; one in five documents is held out from learning."""
     return identify(_table(spark, folder, "documents"))
@@ -32,13 +39,18 @@ def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return similar_components(_table(spark, folder, "documents"), size=4, percent=85)
 
 
+def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words and more that stand in more than one document."""
+    return repeated_passages(_table(spark, folder, "documents"))
+
+
 def op9_benchmark_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items found in documents, as exact or edited copies."""
     return find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op3_language, op6_ngram_jaccard, op9_benchmark_copies)}
+    return {f.__name__: f for f in (op1_main_text, op2_toxicity, op3_language, op6_ngram_jaccard, op8_repeated_passages, op9_benchmark_copies)}
 
 
 def oracle_sql() -> dict[str, str]:
