@@ -301,14 +301,8 @@ def _star(placed: DataFrame, order: Column, classes: DataFrame, texts: DataFrame
     return checkpoint(_links(near, texts, size, percent))
 
 
-def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs(doc_id, text)``.
-
-    Null and empty texts and texts without words have an empty set and link with nothing; fewer than ``size`` words
-    are one shingle. A null ``doc_id`` takes no part: its component is null. Rows that repeat a ``doc_id`` are linked
-    by their own texts and reported once each. Ties do not matter: a component's name is its smallest ``doc_id``.
-    Other columns of ``docs`` are ignored.
-    """
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(doc_id, tid, n, component)`` of every row; ``tid`` is a hash of the text."""
     spark = docs.sparkSession
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     mine = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
@@ -347,7 +341,29 @@ def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
              .join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(smallest, "root").select("cls", "component")
-    return (rows.join(named, "cls", "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component"))
-                    .otherwise(F.col("doc_id")).cast("long").alias("component_id")))
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return rows.join(named, "cls", "left").select("doc_id", "tid", "n", component.cast("long").alias("component"))
+
+
+def similar_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)``, one row per row of ``docs(doc_id, text)``.
+
+    Null and empty texts and texts without words have an empty set and link with nothing; fewer than ``size`` words
+    are one shingle. A null ``doc_id`` takes no part: its component is null. Rows that repeat a ``doc_id`` are linked
+    by their own texts and reported once each. Ties do not matter: a component's name is its smallest ``doc_id``.
+    Other columns of ``docs`` are ignored.
+    """
+    return (_components(docs, size, percent)
+            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` that name their group, all columns kept.
+
+    Rows that repeat both id and text are one row; rows of empty texts and of null ids all stay.
+    """
+    first = (_components(docs, size, percent).where("doc_id = component")
+             .groupBy("doc_id", F.col("tid").alias("_tid")).agg(F.first("component").alias("_component")))
+    marked = docs.withColumn("_tid", F.xxhash64("text"))
+    return (marked.join(first, ["doc_id", "_tid"]).dropDuplicates(["doc_id", "_tid"]).select(*docs.columns)
+            .unionByName(docs.where("doc_id is null")))

@@ -10,7 +10,11 @@ from plumbline.llm.decontaminate import find_items
 from plumbline.llm.html import extract
 from plumbline.llm.jaccard import similar_components
 from plumbline.llm.language import identify
+from plumbline.llm.lattice import near_vectors
+from plumbline.llm.lines import without_boilerplate, without_boilerplate_sql
+from plumbline.llm.packing import pack
 from plumbline.llm.repeats import repeated_passages
+from plumbline.llm.secrets import find_secrets
 from plumbline.llm.toxicity import score_documents
 from plumbline.session import tune
 
@@ -34,11 +38,26 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(_table(spark, folder, "documents"))
 
 
+def op4_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that stand on ten sites or more."""
+    return without_boilerplate(_table(spark, folder, "documents")).select("doc_id", "text", "n_removed")
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents cut into pieces and packed into batches of like length."""
+    return pack(_table(spark, folder, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return similar_components(_table(spark, folder, "documents"), size=4, percent=85)
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    return find_secrets(_table(spark, folder, "documents"))
+
+
 def op8_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of 50 words and more that stand in more than one document."""
     return repeated_passages(_table(spark, folder, "documents"))
@@ -49,9 +68,16 @@ def op9_benchmark_copies(spark: SparkSession, folder: str) -> DataFrame:
     return find_items(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of embeddings with a cosine of 0.95 or more."""
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_main_text, op2_toxicity, op3_language, op6_ngram_jaccard, op8_repeated_passages, op9_benchmark_copies)}
+    return {f.__name__: f for f in (
+        op1_main_text, op2_toxicity, op3_language, op4_line_spread, op5_packing, op6_ngram_jaccard, op7_secrets,
+        op8_repeated_passages, op9_benchmark_copies, op10_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_spread": without_boilerplate_sql()}
