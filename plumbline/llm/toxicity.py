@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples.
 
 Features are the words of a text, their beginnings, and levels of how often a beginning occurs. From a bounded sample of labelled examples, features
-that go with the label (G-test) are kept and weighted by TF-IDF, with document frequencies over all documents. The
+that go with the label (G-test and lift) are kept and weighted by TF-IDF, with document frequencies over all documents. The
 examples lie in inverted lists cut into blocks that know their largest weight; a search visits blocks in the order of
 their upper bounds and stops when no block can beat the k-th best, so the cosine ranking is exact. Votes weighted by
 similarity are calibrated on the examples themselves, each left out of its own vote.
@@ -21,14 +21,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.language import held_out
+from plumbline.session import checkpoint
 
 #: Labelled examples per class that the classifier is fitted on, in expectation.
 SAMPLE_PER_CLASS = 4000
 LEAST_EXAMPLES = 3
 #: Chi-square (1 degree of freedom) that a feature must pass; chance gives one in about 10 million.
 LEAST_G = 28.0
+#: How many times as frequent a feature must be among examples with the label.
+LEAST_LIFT = 4.0
 #: Lengths of the beginnings of words that are features, and the counts that are features of their own.
-PREFIXES = range(3, 9)
+PREFIXES = range(4, 9)
+#: Letters of the words by which copies among the examples are told.
+FAMILY_WORD = 9
 LEVELS = (2, 4, 8)
 NEIGHBOURS = 25
 BLOCK = 32
@@ -147,7 +152,7 @@ def _g_test(docs: DataFrame, with_label: float, without: float) -> DataFrame:
 
     g = 2 * (part(a, n * (with_label / total)) + part(b, n * (without / total))
              + part(with_label - a, (total - n) * (with_label / total)) + part(without - b, (total - n) * (without / total)))
-    return docs.where((n >= LEAST_EXAMPLES) & (a * without > b * with_label) & (g >= LEAST_G))
+    return docs.where((n >= LEAST_EXAMPLES) & (a * without >= LEAST_LIFT * b * with_label) & (g >= LEAST_G))
 
 
 def fit(docs: DataFrame, labels: DataFrame, everything: DataFrame, sample: int = SAMPLE_PER_CLASS) -> Model | None:
@@ -165,6 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, everything: DataFrame, sample: int =
     drawn = one.where(draw < F.when(F.col("toxic") == 1, int(1_000_000 * rate[1])).otherwise(int(1_000_000 * rate[0])))
     # At most about 2 x sample rows of two numbers.
     examples = docs.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text")
+    # Near copies mostly share the smallest hash of their long words: one example speaks for all of them.
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= FAMILY_WORD)
+    family = F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
+    examples = checkpoint(examples.groupBy("toxic", family.alias("family")).agg(F.min(F.struct("doc_id", "text")).alias("first"))
+                          .select("first.doc_id", "toxic", "first.text"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
