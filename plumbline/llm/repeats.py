@@ -6,7 +6,8 @@
    combined there, so a passage that many documents share sends one row per slice.
 3. The suffixes left are sorted by their further words and compared with their neighbours, then the matches are
    extended left. Where that does not reach the full width, all ``LEAST``-word windows around the suffix are compared.
-4. Groups of more than ``BIG`` suffixes compare their windows by a Spark aggregation instead, with partial sums.
+4. Groups of more than ``BIG`` suffixes (which bounds what a task holds) compare their windows by a Spark aggregation
+   instead, after the texts of each slice have been compared among themselves.
 
 Texts that are equal count as one; their documents repeat each other as a whole. Repeats inside one text alone are
 not reported.
@@ -30,7 +31,7 @@ WINDOW = 24
 CORE = LEAST - WINDOW + 1
 #: Words beyond the core, on either side, that decide whether a window of LEAST words is shared.
 SIDE = LEAST - CORE
-BIG = 5000
+BIG = 100_000
 
 _U = np.uint64
 
@@ -196,26 +197,29 @@ def _records(batch: pa.RecordBatch, big: bool) -> Iterator[tuple[int, np.ndarray
             yield tid, spots, np.array([x["seed"] for x in own if x["big"] == big], dtype=np.int64).view(np.uint64), _sides(hashes, spots)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], big: bool) -> Iterator[list[np.ndarray]]:
+    """Seeds, tids, spots and sides of the suffixes of some texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            got = list(_records(batch.slice(at, 500), big))
+            if got:
+                yield [np.concatenate([s for _, _, s, _ in got]), np.concatenate([np.full(len(p), t, dtype=np.int64) for t, p, *_ in got]),
+                       np.concatenate([p.astype(np.int32) for _, p, *_ in got]), *(np.concatenate([x[k] for *_, x in got]) for k in range(4))]
+
+
 def _send(buckets: int):
     """Packed suffixes with their sides, per bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                got = list(_records(batch.slice(at, 500), False))
-                if not got:
-                    continue
-                seeds = np.concatenate([s for _, _, s, _ in got])
-                fields = [seeds, np.concatenate([np.full(len(p), t, dtype=np.int64) for t, p, *_ in got]),
-                          np.concatenate([p.astype(np.int32) for _, p, *_ in got]), *(np.concatenate([x[k] for *_, x in got]) for k in range(4))]
-                fields[4], fields[6] = fields[4].astype(np.int8), fields[6].astype(np.int8)
-                bucket = ((seeds >> _U(33)) % _U(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                cuts = _heads(bucket[order])
-                spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[order[a]]) for a, _ in spans], pa.int32()),
-                     *(pa.array([f[order[a:b]].tobytes() for a, b in spans], pa.binary()) for f in fields)],
-                    names=["bucket", "seeds", "tids", "spots", "left", "n_left", "right", "n_right"])
+        for fields in _gathered(batches, False):
+            fields[4], fields[6] = fields[4].astype(np.int8), fields[6].astype(np.int8)
+            bucket = ((fields[0] >> _U(33)) % _U(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cuts = _heads(bucket[order])
+            spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(bucket[order[a]]) for a, _ in spans], pa.int32()),
+                 *(pa.array([f[order[a:b]].tobytes() for a, b in spans], pa.binary()) for f in fields)],
+                names=["bucket", "seeds", "tids", "spots", "left", "n_left", "right", "n_right"])
     return run
 
 
@@ -270,12 +274,32 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for tid, spots, seeds, sides in _records(batch, True):
-            for o, have, keys in _window_hashes(seeds, *sides):
-                low = (spots[have] - o).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[have].view(np.int64)), pa.array(np.full(len(have), tid)), pa.array(low)],
-                                                 names=["window", "tid", "low"])
+    """Of big groups: spans that repeat among these texts (window null), and windows that reach beyond them."""
+    def rows(window, tids, low, high) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(window, pa.int64()), pa.array(tids), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
+                                          names=["window", "tid", "low", "high"])
+
+    for seeds, tids, spots, *sides in _gathered(batches, True):
+        before, after = np.full(len(seeds), -1), np.full(len(seeds), -1)
+        windows = list(_window_hashes(seeds, *sides))
+        for o, have, keys in windows:
+            order = np.argsort(keys, kind="stable")
+            again = have[order][_several(keys[order], tids[have[order]])]
+            before[again] = np.maximum(before[again], o)
+            after[again] = np.maximum(after[again], SIDE - o)
+        found = np.flatnonzero(before >= 0)
+        yield rows([None] * len(found), tids[found], spots[found] - before[found], spots[found] + CORE + after[found])
+        for o, have, keys in windows:
+            beyond = (o > before[have]) | (SIDE - o > after[have])
+            low = spots[have[beyond]] - o
+            yield rows(keys[beyond].view(np.int64), tids[have[beyond]], low, low + LEAST)
+        # One window stands for those settled here, so that suffixes of other tasks meet it.
+        for o, have, keys in windows:
+            settled = have[(o <= before[have]) & (SIDE - o <= after[have])]
+            keep = np.isin(have, settled)
+            own, at = np.unique(keys[keep], return_index=True)
+            low = spots[have[keep][at]] - o
+            yield rows(own.view(np.int64), tids[have[keep][at]], low, low + LEAST)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,9 +342,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = checkpoint(mine.withColumn("id", F.coalesce("doc_id", none)).join(wanted, ["tid", "id"]).select("tid", "own", "text"))
 
     spans = (texts.mapInArrow(_send(buckets), _SENT).repartition("bucket").drop("bucket").mapInArrow(_matched, _SPAN))
-    windows = texts.where(F.exists("own", lambda x: x.big)).mapInArrow(_windows, "window long, tid long, low int")
-    often = windows.groupBy("window").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("window")
-    spans = spans.unionByName(windows.join(often, "window").select("tid", "low", (F.col("low") + LEAST).alias("high")))
+    windows = checkpoint(texts.where(F.exists("own", lambda x: x.big)).mapInArrow(_windows, "window long, tid long, low int, high int"))
+    often = windows.where("window is not null").groupBy("window").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("window")
+    spans = (spans.unionByName(windows.where("window is null").select("tid", "low", "high"))
+             .unionByName(windows.join(often, "window").select("tid", "low", "high")))
     whole = copies.where("copies > 1").select("tid", F.lit(0).alias("low"), F.col("n").alias("high"))
     merged = (spans.unionByName(whole).groupBy("tid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
               .mapInArrow(_merged, "tid long, spans array<struct<first:int,end:int>>"))
