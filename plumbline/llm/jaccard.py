@@ -37,6 +37,9 @@ PERCENT = 80
 BAND_RATIO = 1.6
 BLOCK_BITS = 1024
 BLOCK_MEMBERS = 512
+SKETCH_BITS = 4
+#: Pairs that a task remembers so as not to send them again for another key.
+PAIRS_KEPT = 200_000
 CACHE_TEXTS = 64
 
 _U = np.uint64
@@ -70,8 +73,8 @@ def gram_sets(words, size: int) -> Iterator[np.ndarray]:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Parity sketch of at least two bits per element; its length is a power of two."""
-    bits = max(64, 1 << int(2 * len(elements) - 1).bit_length())
+    """Parity sketch of at least four bits per element; its length is a power of two."""
+    bits = max(64, 1 << int(SKETCH_BITS * len(elements) - 1).bit_length())
     places = (elements >> _U(7)) & _U(bits - 1)
     odd = np.bincount(places.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -254,15 +257,22 @@ def _unlike(percent: int):
     """Pairs of sets of one key that lie in different components and pass the Hamming bound, from two blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, members = None, []
+        sent: set[tuple[int, int]] = set()
 
         def pairs() -> pa.RecordBatch:
             found = set()
+            if len(sent) > PAIRS_KEPT:
+                sent.clear()
             for i, (block, cls, root, n, bits) in enumerate(members):
                 for other, cls2, root2, n2, bits2 in members[i + 1:]:
-                    if (root != root2 and (block != other or group[1] == group[2])
+                    if root == root2:
+                        continue
+                    pair = (cls, cls2) if cls < cls2 else (cls2, cls)
+                    if (pair not in sent and (block != other or group[1] == group[2])
                             and 100 * min(n, n2) >= percent * max(n, n2)
                             and hamming(bits, bits2) <= differing(n, n2, percent)):
-                        found.add((min(cls, cls2), max(cls, cls2)))
+                        found.add(pair)
+            sent.update(found)
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
