@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.words import grams, hash_words, raw, slices
+from plumbline.llm.words import LETTERS, Words, grams, slices
 
 GRAM = 3
 #: Least n-grams of an item for it to be searched: shorter ones say too little.
@@ -62,6 +63,11 @@ class Seeds:
         return at[same], index[same]
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """Slices of words in lower case, cut at white space and ASCII punctuation."""
+    return slices(pc.utf8_lower(column), LETTERS)
+
+
 def item_grams(items: Items, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, item, position) of every n-gram of every item that has enough of them."""
     runs = grams(items.words, size)
@@ -106,7 +112,7 @@ def _groups(benchmark: DataFrame) -> Iterator[Items]:
     ids, words, total = [], [], 0
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         text = pa.array([row.text], pa.string())
-        own = hash_words(*raw(text)).hashes
+        own = next(_slices(text))[2].hashes
         if words and total + len(own) > GROUP_GRAMS:
             yield Items(ids, np.concatenate(words), np.cumsum([0, *map(len, words)]))
             ids, words, total = [], [], 0
@@ -124,7 +130,7 @@ def _spread(docs: DataFrame, hashes: np.ndarray, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, total = Seeds(shared.value), np.zeros(len(shared.value), dtype=np.int64)
         for batch in batches:
-            for _, _, words in slices(batch.column(0)):
+            for _, _, words in _slices(batch.column(0)):
                 at, index = seeds.find(grams(words.hashes, size))
                 row = np.searchsorted(words.bounds, at, side="right") - 1
                 within = at + size <= words.bounds[row + 1]
@@ -203,7 +209,7 @@ def passages(index: Index, seeds: Seeds, words: np.ndarray, size: int = GRAM) ->
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, score, first_word, end_word)``: the best alignment of each item found in each document.
 
-    Words are cut at white space and compared in lower case. ``score`` is 1 for a full copy. Null and empty texts hold
+    Words are cut at white space and punctuation and compared in lower case. ``score`` is 1 for a full copy. Null and empty texts hold
     nothing; items of fewer than 5 words, null or empty are never found; equal items are each reported; rows
     that repeat a document are reported each. Without items or documents the result is empty.
     """
@@ -217,7 +223,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             own, seeds = shared.value, Seeds(shared.value.hashes)
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
-                for first, _, words in slices(batch.column(1)):
+                for first, _, words in _slices(batch.column(1)):
                     for k, (a, b) in enumerate(zip(words.bounds[:-1], words.bounds[1:], strict=True)):
                         rows += [(ids[first + k], own.items.ids[i], *rest) for i, *rest in passages(own, seeds, words.hashes[a:b])]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
@@ -241,7 +247,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             own, seeds = shared.value, Seeds(shared.value.hashes)
             for batch in batches:
                 keep = []
-                for _, _, words in slices(batch.column(place)):
+                for _, _, words in _slices(batch.column(place)):
                     keep += [not passages(own, seeds, words.hashes[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -1,6 +1,7 @@
 """Words and word hashes of whole texts, computed on Arrow string columns with numpy.
 
-A word is a maximal run of bytes that are none of space and \\t \\n \\v \\f \\r, after lower-casing A-Z. All functions
+A word is a maximal run of bytes that are none of space and \\t \\n \\v \\f \\r, after lower-casing A-Z, unless another
+kind of bytes is asked for. All functions
 take a slice of rows at a time, so memory follows ``SLICE_BYTES`` or the longest single text.
 """
 
@@ -33,8 +34,10 @@ def _byte_values() -> np.ndarray:
 
 
 _VALUES = _byte_values()
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Which bytes are part of words: all but white space, or only letters, digits and bytes beyond ASCII.
+SOLID = np.ones(256, dtype=bool)
+SOLID[[9, 10, 11, 12, 13, 32]] = False
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
 class _Powers:
@@ -82,11 +85,11 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Hashes of all words of the rows that ``offsets`` mark in ``data``."""
+def hash_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SOLID) -> Words:
+    """Hashes of all words (runs of bytes of this kind) of the rows that ``offsets`` mark in ``data``."""
     data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
     n = len(data)
-    solid = ~_SPACE[data]
+    solid = kind[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     left = np.zeros(n + 1, dtype=bool)
@@ -102,14 +105,14 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(hashes, np.searchsorted(starts, offsets), starts, ends, data, offsets)
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+def slices(column: pa.Array, kind: np.ndarray = SOLID) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) of consecutive slices of a column."""
     data, offsets = raw(column)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
         last = min(max(last, first + 1), n)
-        yield first, last, hash_words(data, offsets[first:last + 1])
+        yield first, last, hash_words(data, offsets[first:last + 1], kind)
         first = last
 
 
