@@ -66,16 +66,13 @@ def suite_problems(contracts: Mapping[str, T.StructType], cases: Mapping[str, Ma
 
 
 def label_problems(labels: DataFrame) -> DataFrame:
-    """(case_id, problem) over (case_id, expected, defect_category)."""
+    """(case_id, problem), one row per kind of problem of a case, over (case_id, expected, defect_category)."""
     expected, category = F.col("expected"), F.col("defect_category")
-    copies = labels.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("expected").alias("expected"),
-        F.min("defect_category").alias("defect_category"))
-    problem = F.when(F.col("n") > 1, "duplicate case id").when(
-        ~expected.isin(POSITIVE, NEGATIVE), "unknown label").when(
+    problem = F.when(~expected.isin(POSITIVE, NEGATIVE), "unknown label").when(
         (expected == POSITIVE) & category.isNull(), "defective case without a category").when(
         (expected == NEGATIVE) & category.isNotNull(), "valid case with a category")
-    return copies.select("case_id", problem.alias("problem")).filter("problem IS NOT NULL")
+    repeated = labels.groupBy("case_id").count().filter("count > 1").select("case_id", F.lit("duplicate case id").alias("problem"))
+    return labels.select("case_id", problem.alias("problem")).filter("problem IS NOT NULL").distinct().unionByName(repeated)
 
 
 def outcome(expected: Column, predicted: Column) -> Column:
@@ -118,18 +115,19 @@ def content_hash(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.substring(F.sha2(F.to_json(F.struct(*fields)), 256), 1, 16).alias("content_hash"))
 
 
-def suite_hash(hashes: DataFrame, parts: int = 256) -> DataFrame:
+def suite_hash(hashes: DataFrame, key: str = "case_id", digits: int = 3) -> DataFrame:
     """One hash over all case hashes, independent of row order.
 
-    Cases are hashed in buckets first, so that no task or driver sees all of them.
+    Cases are hashed in order within the buckets of their first digits, then the buckets' digests in order, so that no
+    task sees more than a bucket.
     """
-    bucket = F.pmod(F.conv(F.substring("content_hash", 1, 8), 16, 10).cast("bigint"), F.lit(parts))
-    # Sums of 60-bit digests do not depend on order and combine on the map side.
-    digest = F.conv(F.substring("content_hash", 1, 15), 16, 10).cast("decimal(38,0)")
-    sums = hashes.groupBy(bucket.alias("bucket")).agg(F.sum(digest).alias("total"), F.count(F.lit(1)).alias("n"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "total", "n"))),
-                                      lambda b: F.concat_ws(":", b["bucket"], b["total"], b["n"])), ",")
-    return sums.agg(F.substring(F.sha2(listed, 256), 1, 16).alias("suite_hash"))
+    def digest(first: Column, second: Column) -> Column:
+        lines = F.array_sort(F.collect_list(F.concat_ws(":", first, second)))
+        return F.sha2(F.array_join(lines, ","), 256)
+
+    buckets = hashes.groupBy(F.substring("content_hash", 1, digits).alias("bucket")).agg(
+        digest(F.col(key), F.col("content_hash")).alias("digest"))
+    return buckets.agg(F.substring(digest(F.col("bucket"), F.col("digest")), 1, 16).alias("suite_hash"))
 
 
 def compare_detectors(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -37,11 +37,15 @@ def _column(table: str, name: str):
     return source
 
 
-def stage(table: str, raw: DataFrame) -> DataFrame:
-    """Project one raw table onto its staging contract; a missing column or bad type is an error."""
+def stage(table: str, raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Project one raw table onto its staging contract; a missing column or bad type is an error.
+
+    ``keep`` names columns outside the contract that go along.
+    """
     contract = STAGING[f"stg_{table}"]
-    typed = raw.select(*[_column(table, f.name).cast(f.dataType).alias(f.name) for f in contract])
-    return enforce(typed, f"stg_{table}")
+    typed = raw.select(*[_column(table, f.name).cast(f.dataType).alias(f.name) for f in contract], *keep)
+    enforce(typed.drop(*keep), f"stg_{table}")
+    return typed
 
 
 def enforce(df: DataFrame, contract: str) -> DataFrame:

@@ -62,7 +62,7 @@ def raw_sql(d: Dialect) -> dict[str, str]:
                CASE WHEN c_custkey % 101 = 0 THEN 'unknown' WHEN c_acctbal < 0 THEN 'churned'
                     WHEN c_acctbal < 2000 THEN 'inactive' ELSE 'active' END AS customer_status,
                {d.plus(d.ts('1994-06-01 09:00:00'), 'c_custkey % 400')} AS signup_at,
-               {d.plus(d.ts('1994-06-01 09:30:00'), 'c_custkey % 400')} AS _loaded_at
+               {d.plus(d.ts('1994-06-01 09:30:00'), 'c_custkey % 400')} AS _loaded_at, c_custkey AS case_key
         FROM {{customer}}"""
     sql["products"] = f"""
         SELECT 'P' || p_partkey AS product_id, p_brand || '-' || p_partkey AS sku, p_name AS product_name,
@@ -87,7 +87,7 @@ def raw_sql(d: Dialect) -> dict[str, str]:
                CAST(5 AS DECIMAL(12,2)) AS shipping_amount, CAST(7 AS DECIMAL(12,2)) AS tax_amount,
                CAST(sub - disc + 12 + CASE WHEN k % 71 = 0 THEN 0.37 ELSE 0 END AS DECIMAL(12,2)) AS total_amount,
                {d.plus('dt', 'CASE WHEN k % 173 = 0 THEN 3650 ELSE 0 END')} AS ordered_at,
-               CASE WHEN copy_no = 2 THEN dt + INTERVAL '3' HOUR ELSE dt + INTERVAL '1' HOUR END AS _loaded_at
+               CASE WHEN copy_no = 2 THEN dt + INTERVAL '3' HOUR ELSE dt + INTERVAL '1' HOUR END AS _loaded_at, k AS case_key
         FROM (SELECT o.k, o.c, o.st, o.dt, o.copy_no,
                      CAST(coalesce(l.total, 0) + CASE WHEN o.k % 61 = 0 THEN 1 ELSE 0 END AS DECIMAL(12,2)) AS sub,
                      CAST(CASE WHEN o.k % 10 = 0 THEN 100 ELSE 0 END AS DECIMAL(12,2)) AS disc
@@ -106,7 +106,7 @@ def raw_sql(d: Dialect) -> dict[str, str]:
                CAST({unit} AS DECIMAL(10,2)) AS unit_price,
                CAST({unit} * l_quantity + CASE WHEN l_orderkey % 89 = 0 THEN 0.5 ELSE 0 END
                     AS DECIMAL(12,2)) AS line_amount,
-               l_shipdate + INTERVAL '1' HOUR AS _loaded_at
+               l_shipdate + INTERVAL '1' HOUR AS _loaded_at, l_orderkey AS case_key
         FROM {{lineitem}}"""
     # Payments copy the order's own amounts and dates, so they read the raw orders (first copy only).
     sql["payments"] = f"""
@@ -122,14 +122,14 @@ def raw_sql(d: Dialect) -> dict[str, str]:
                CASE WHEN k % 131 = 0 THEN ordered_at - INTERVAL '180' MINUTE
                     ELSE ordered_at + INTERVAL '10' MINUTE END AS processed_at,
                CASE WHEN copy_no = 2 THEN _loaded_at + INTERVAL '17' MINUTE
-                    ELSE _loaded_at + INTERVAL '10' MINUTE END AS _loaded_at
+                    ELSE _loaded_at + INTERVAL '10' MINUTE END AS _loaded_at, k AS case_key
         FROM (SELECT k, c, total_amount, currency, ordered_at, _loaded_at,
                      {d.upto('CASE WHEN k % 409 = 0 THEN 2 ELSE 1 END')} AS copy_no
               FROM {{order_facts}}) p"""
     sql["refunds"] = f"""
         SELECT refund_id, payment_id, refund_amount, refund_reason, refunded_at,
-               refunded_at + INTERVAL '10' MINUTE AS _loaded_at
-        FROM (SELECT 'RF' || r.k || '-' || r.ln AS refund_id,
+               refunded_at + INTERVAL '10' MINUTE AS _loaded_at, case_key
+        FROM (SELECT r.k AS case_key, 'RF' || r.k || '-' || r.ln AS refund_id,
                      CASE WHEN r.k % 521 = 0 THEN 'PAYX' || r.k ELSE 'PAY' || r.k END AS payment_id,
                      CAST(r.unit * CASE WHEN r.k % 47 = 0 THEN 60 ELSE 1 END AS DECIMAL(12,2)) AS refund_amount,
                      CASE r.k % 3 WHEN 0 THEN 'order_returned' WHEN 1 THEN 'damaged_in_transit'
@@ -137,10 +137,10 @@ def raw_sql(d: Dialect) -> dict[str, str]:
                      CASE WHEN r.k % 139 = 0 THEN o.ordered_at - INTERVAL '1' DAY
                           ELSE o.ordered_at + INTERVAL '3' DAY END AS refunded_at
               FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS ln, {unit} AS unit FROM {{lineitem}}
-                    WHERE l_returnflag = 'R' AND l_linenumber <= 2) r
+                    WHERE l_returnflag = 'R') r
               JOIN {{order_facts}} o ON o.k = r.k
               UNION ALL
-              SELECT 'RFS' || k || '-' || part_no, 'PAY' || k, CAST(total_amount * 0.6 AS DECIMAL(12,2)),
+              SELECT k, 'RFS' || k || '-' || part_no, 'PAY' || k, CAST(total_amount * 0.6 AS DECIMAL(12,2)),
                      'goodwill', ordered_at + INTERVAL '5' DAY
               FROM (SELECT k, total_amount, ordered_at, {d.upto('2')} AS part_no
                     FROM {{order_facts}} WHERE k % 1009 = 5) s) y"""
@@ -156,7 +156,7 @@ def raw_sql(d: Dialect) -> dict[str, str]:
                CASE WHEN NOT ((k % 5 = 0 AND k % 45 <> 0) OR k % 33 = 0) THEN NULL
                     WHEN k % 55 = 0 THEN {d.date_plus('start_day', '-20')}
                     ELSE {d.date_plus('start_day', '200')} END AS ended_on,
-               {d.ts('2001-07-01 04:00:00')} AS _loaded_at
+               {d.ts('2001-07-01 04:00:00')} AS _loaded_at, k AS case_key
         FROM (SELECT c_custkey AS k, {d.date_plus("DATE '1995-01-01'", 'c_custkey % 2000')} AS start_day
               FROM {{customer}} WHERE c_custkey % 3 = 0) s"""
     # Events are moved back 8220 days so that tickets end just before the cutoff.
@@ -172,7 +172,7 @@ def raw_sql(d: Dialect) -> dict[str, str]:
                     WHEN k % 127 = 0 THEN opened - INTERVAL '60' MINUTE
                     ELSE opened + INTERVAL '90' MINUTE END AS solved_at,
                CAST(CASE WHEN k % 3 = 0 THEN NULL WHEN k % 199 = 1 THEN 7 ELSE 1 + k % 5 END AS INT) AS csat_score,
-               opened + INTERVAL '100' MINUTE AS _loaded_at
+               opened + INTERVAL '100' MINUTE AS _loaded_at, k AS case_key
         FROM (SELECT event_id AS k, user_id, event_type,
                      date_trunc('second', ts) - INTERVAL '8220' DAY AS opened FROM {{events}}) e"""
     sql["campaigns"] = f"""
@@ -215,10 +215,11 @@ _INPUTS = {
 
 
 def raw_table(spark: SparkSession, folder: str, name: str,
-              ready: Mapping[str, DataFrame] | None = None) -> DataFrame:
+              ready: Mapping[str, DataFrame] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One raw commerce table derived from the driver tables, in its declared schema.
 
-    ``ready`` may hold intermediate tables that already exist.
+    ``ready`` may hold intermediate tables that already exist. ``keep`` names further columns: ``case_key`` is the
+    undamaged key of the order, customer or ticket that a row belongs to.
     """
     have = ready or {}
     inputs = {}
@@ -232,7 +233,7 @@ def raw_table(spark: SparkSession, folder: str, name: str,
     df = spark.sql(_spark_text()[name], **inputs)
     if name not in RAW:
         return df
-    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in RAW[name]])
+    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in RAW[name]], *keep)
 
 
 def raw_tables(spark: SparkSession, folder: str, ready: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:

@@ -9,10 +9,13 @@ from pyspark.sql import types as T
 from plumbline.plans.marts import Models
 from plumbline.plans.staging import stage_all
 from plumbline.session import shared_folder, tune
-from plumbline.sources.driver_tables import CUTOFF_DATE, driver_table, raw_table, raw_tables
-from plumbline.sources.schemas import STAGING
+from plumbline.sources.driver_tables import CUTOFF_DATE, driver_table, raw_table
+from plumbline.sources.schemas import RAW, STAGING
 from plumbline.sources.tables import read_raw, write_tables
 
+# Tables whose rows belong to labelled cases.
+CASED = ("orders", "order_items", "payments", "refunds", "customers", "subscriptions", "tickets")
+
 # Raw tables already landed as parquet, per application and source folder.
 _LANDED: dict[tuple[str, str], str] = {}
 
@@ -25,23 +28,16 @@ def landed(spark: SparkSession, folder: str) -> str:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _LANDED:
         target = shared_folder(spark)
-        spread = _spread(spark, folder)
-        spread(raw_table(spark, folder, "order_facts")).write.parquet(f"{target}/order_facts")
+        raw_table(spark, folder, "order_facts").write.parquet(f"{target}/order_facts")
         facts = spark.read.parquet(f"{target}/order_facts")
-        derived = raw_tables(spark, folder, {"order_facts": facts})
-        write_tables({name: spread(df) for name, df in derived.items()}, target)
+        ready = {"order_facts": facts}
+        # Readers with the fixed schema do not see the key.
+        derived = {name: raw_table(spark, folder, name, ready, ("case_key",) if name in CASED else ()) for name in RAW}
+        write_tables(derived, target)
         _LANDED[key] = target
     return _LANDED[key]
 
 
-def _spread(spark: SparkSession, folder: str):
-    """Spread landed files over the cores when the input has fewer splits than cores (small inputs only)."""
-    cores = spark.sparkContext.defaultParallelism
-    if driver_table(spark, folder, "lineitem").rdd.getNumPartitions() >= cores:
-        return lambda df: df
-    return lambda df: df.repartition(cores)
-
-
 def plain(df: DataFrame) -> DataFrame:
     """Column types every engine prints alike: BIGINT, DOUBLE, BOOLEAN and text."""
     columns = []
@@ -79,6 +75,10 @@ class Bed:
     def all_raw(self) -> dict[str, DataFrame]:
         return read_raw(self.spark, landed(self.spark, self.folder))
 
+    def keyed(self, name: str) -> DataFrame:
+        """A raw table with the undamaged key of the case that each row belongs to."""
+        return self.spark.read.parquet(f"{landed(self.spark, self.folder)}/{name}")
+
     def raw(self, name: str) -> DataFrame:
         return self.all_raw()[name]
 
