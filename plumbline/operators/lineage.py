@@ -193,7 +193,7 @@ def column_references(edges: DataFrame, columns: DataFrame, texts: DataFrame) ->
     owned = columns.select(F.col("asset").alias("upstream"), "column_name", "ordinal")
     words = texts.filter("text IS NOT NULL").select(
         F.col("asset").alias("downstream"),
-        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0)))).alias("column_name"))
+        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))).alias("column_name"))
     # Only words that are column names go on, so an edge never meets all columns of its upstream asset.
     names = words.join(owned.select("column_name").distinct(), "column_name", "left_semi")
     said = edges.select("upstream", "downstream").join(names, "downstream")

@@ -7,9 +7,11 @@ collected into one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,8 +51,8 @@ def sla_hours(count: Column, period: Column) -> Column:
 
 
 def lag_hours(freshest: Column, cutoff: Column) -> Column:
-    seconds = F.timestamp_diff("SECOND", freshest.cast("timestamp_ntz"), cutoff)
-    return F.round(seconds.cast("decimal(20,0)") / 3600, 2).cast("double")
+    micros = F.timestamp_diff("MICROSECOND", freshest.cast("timestamp_ntz"), cutoff)
+    return F.round(micros.cast("decimal(20,0)") / 3_600_000_000, 2).cast("double")
 
 
 def freshness_status(lag: Column, sla: Column) -> Column:
@@ -119,40 +121,79 @@ def exact_medians(df: DataFrame, columns: Iterable[str]) -> dict[str, float | No
 
     Each round counts the remaining value range of a column in 4096 buckets and keeps the bucket that holds
     the wanted rank. A round is one scan with map-side counting; two rounds are typical.
+    NaN counts as the largest value. Columns of one type share the scans.
     """
     result: dict[str, float | None] = {}
-    groups: dict[bool, list[str]] = {}
+    groups: dict[str, list[str]] = {}
     for name in columns:
-        groups.setdefault(isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)), []).append(name)
-    for floating, names in groups.items():
-        scale = max((getattr(df.schema[n].dataType, "scale", 0) for n in names), default=0)
-        kind = "double" if floating else f"decimal(38,{scale})"
+        kind = df.schema[name].dataType
+        floating = isinstance(kind, (T.FloatType, T.DoubleType))
+        groups.setdefault("double" if floating else f"decimal(38,{getattr(kind, 'scale', 0)})", []).append(name)
+    for kind, names in groups.items():
         result |= _narrow(df.select(*[F.col(f"`{n}`").cast(kind).alias(n) for n in names]), names, kind)
     return result
 
 
+def _share(value: Column, lo: float | Decimal, hi: float | Decimal, kind: str) -> Column:
+    """Where ``value`` lies between ``lo`` (0) and ``hi`` (1), without overflow or loss of the last digits."""
+    low, high = F.lit(lo).cast(kind), F.lit(hi).cast(kind)
+    if kind == "double":
+        if math.isinf(hi - lo):
+            value, low, high = value / 2, low / 2, high / 2
+        return (value - low) / (high - low)
+    if hi - lo >= Decimal(10) ** (37 - int(kind.split(",")[1].rstrip(")"))):
+        # The difference has no room in 38 digits, and is so wide that doubles tell its ends apart.
+        return (value.cast("double") - low.cast("double")) / (high.cast("double") - low.cast("double"))
+
+    def gap(a: Column, b: Column) -> Column:
+        # Differences of 38-digit decimals lose their last digit, those of the two parts do not.
+        one = F.lit(Decimal(1))
+        return (F.floor(a) - F.floor(b)).cast("double") + (F.pmod(a, one) - F.pmod(b, one)).cast("double")
+
+    return gap(value, low) / gap(high, low)
+
+
 def _narrow(df: DataFrame, names: list[str], kind: str) -> dict[str, float | None]:
-    bounds = df.agg(*[f(F.col(f"`{n}`")).alias(f"{tag}{i}") for i, n in enumerate(names)
-                      for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
-    # Wanted ranks: (column, rank) -> [lowest value, highest value, rows below].
-    open_ranks, found = {}, {}
-    for i, name in enumerate(names):
+    floating = kind == "double"
+    finite = {}
+    for n in names:
+        c = F.col(f"`{n}`")
+        finite[n] = F.when(F.abs(c) < float("inf"), c) if floating else c
+    aggregates = []
+    for i, n in enumerate(names):
+        c = F.col(f"`{n}`")
+        aggregates += [F.count(finite[n]).alias(f"n{i}"), F.min(finite[n]).alias(f"lo{i}"), F.max(finite[n]).alias(f"hi{i}")]
+        if floating:
+            aggregates += [F.count_if(c == value).alias(f"{tag}{i}") for tag, value in
+                           (("neg", float("-inf")), ("pos", float("inf")), ("nan", float("nan")))]
+    bounds = df.agg(*aggregates).first()
+    # Wanted ranks: (column, rank among finite values) -> [lowest value, highest value, rows below].
+    open_ranks, found, fixed = {}, {}, {}
+    for i in range(len(names)):
         n = bounds[f"n{i}"]
-        for rank in {(n - 1) // 2, n // 2} if n else set():
-            open_ranks[(i, rank)] = [bounds[f"lo{i}"], bounds[f"hi{i}"], 0]
+        ends = [(bounds[f"{tag}{i}"], value) for tag, value in
+                (("neg", float("-inf")), ("pos", float("inf")), ("nan", float("nan")))] if floating else [(0, None)] * 3
+        total = n + sum(k for k, _ in ends)
+        for rank in {(total - 1) // 2, total // 2} if total else set():
+            if rank < ends[0][0]:
+                fixed.setdefault(i, []).append(ends[0][1])
+            elif rank < ends[0][0] + n:
+                open_ranks[(i, rank - ends[0][0])] = [bounds[f"lo{i}"], bounds[f"hi{i}"], 0]
+            else:
+                fixed.setdefault(i, []).append(ends[1][1] if rank < ends[0][0] + n + ends[1][0] else ends[2][1])
     while True:
         for key in [k for k, (lo, hi, _) in open_ranks.items() if lo == hi]:
             found[key] = open_ranks.pop(key)[0]
         if not open_ranks:
             break
         keys = list(open_ranks)
+        before = {k: tuple(v[:2]) for k, v in open_ranks.items()}
         cells = []
         for j, (i, _) in enumerate(keys):
             lo, hi, _below = open_ranks[keys[j]]
-            value, low, high = F.col(f"`{names[i]}`"), F.lit(lo).cast(kind), F.lit(hi).cast(kind)
-            share = (value - low).cast("double") / (high - low).cast("double")
-            bucket = F.least(F.floor(share * _FANOUT), F.lit(_FANOUT - 1)).cast("int")
-            cells.append(F.when(value.between(low, high), F.struct(
+            value = finite[names[i]]
+            bucket = F.least(F.floor(_share(value, lo, hi, kind) * _FANOUT), F.lit(_FANOUT - 1)).cast("int")
+            cells.append(F.when(value.between(F.lit(lo).cast(kind), F.lit(hi).cast(kind)), F.struct(
                 F.lit(j).alias("j"), bucket.alias("bucket"), value.alias("v"))))
         histogram = df.select(F.explode(F.array(*cells)).alias("c")).filter("c IS NOT NULL").groupBy(
             F.col("c.j").alias("j"), F.col("c.bucket").alias("bucket")).agg(
@@ -164,10 +205,13 @@ def _narrow(df: DataFrame, names: list[str], kind: str) -> dict[str, float | Non
         for row in chosen.collect():  # one row per wanted rank
             key = keys[row["j"]]
             open_ranks[key] = [row["lo"], row["hi"], open_ranks[key][2] + row["upto"] - row["n"]]
+        # The lowest and the highest value fall into different buckets, so every range shrinks.
+        if any(tuple(v[:2]) == before[k] for k, v in open_ranks.items()):
+            raise RuntimeError("a median's range did not shrink")
     medians: dict[str, float | None] = {}
     for i, name in enumerate(names):
-        middle = [float(v) for (c, _), v in found.items() if c == i]
-        medians[name] = sum(middle) / len(middle) if middle else None
+        middle = [float(v) for (c, _), v in found.items() if c == i] + fixed.get(i, [])
+        medians[name] = sum(m / len(middle) for m in middle) if middle else None
     return medians
 
 

@@ -181,28 +181,32 @@ _add("l11_layer_counts",
      _GRAPH_SQL + " SELECT layer, COUNT(*) AS assets FROM nodes GROUP BY layer")
 
 
+#: Benchmark items that documents read, by the remainder of the document's id.
+_ITEMS = 40
+
+
 def _references(spark, folder):
-    """Which benchmark words each document reads: benchmark items as upstream columns, documents as consumer text."""
+    """Which words of a benchmark item a document mentions: items as upstream assets, documents as consumer text."""
     bed = Bed(spark, folder)
     docs = bed.source("documents").select(
-        F.concat(F.lit("D"), "doc_id").alias("asset"), F.col("lang"), F.lower("text").alias("text"))
-    langs = docs.select(F.col("lang").alias("upstream"), F.col("asset").alias("downstream"))
-    words = bed.source("benchmark").select(
-        F.explode(F.split(F.lower("text"), " ")).alias("column_name")).filter(r"column_name RLIKE '^[a-z]{4,}$'").distinct()
-    offered = docs.select(F.col("lang").alias("asset")).distinct().join(
-        words.withColumn("asset", F.explode(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]))), "asset").withColumn(
+        F.concat(F.lit("D"), "doc_id").alias("downstream"), F.concat(F.lit("B"), F.col("doc_id") % _ITEMS).alias("upstream"),
+        F.when(F.col("doc_id") % 50 != 7, F.lower("text")).alias("text"))
+    offered = bed.source("benchmark").select(
+        F.concat(F.lit("B"), "item_id").alias("asset"),
+        F.explode(F.array_distinct(F.split(F.lower("text"), r"[ \n]+"))).alias("column_name")).filter("column_name <> ''").withColumn(
         "ordinal", F.length("column_name"))
-    text = docs.select("asset", F.when(F.col("lang") != "de", F.col("text")).alias("text"))
-    return plain(L.column_references(langs, offered, text))
+    texts = docs.select(F.col("downstream").alias("asset"), "text")
+    return plain(L.column_references(docs.select("upstream", "downstream"), offered, texts))
 
 
 _add("l12_column_references", _references,
-     r"WITH w AS (SELECT DISTINCT c FROM (SELECT unnest(string_split(lower(text), ' ')) AS c FROM benchmark) AS x "
-     r"WHERE regexp_matches(c, '^[a-z]{4,}$')), t AS (SELECT doc_id, lang, list_distinct(regexp_extract_all("
-     r"lower(text), '[A-Za-z0-9_]+')) AS words FROM documents), h AS (SELECT t.doc_id, array_to_string(list(w.c ORDER BY "
-     r"length(w.c), w.c), ',') AS refs FROM (SELECT doc_id, unnest(words) AS c FROM t WHERE lang IN ('en', 'fr', 'es')) AS t "
-     r"JOIN w USING (c) GROUP BY ALL) SELECT d.lang AS upstream, 'D' || d.doc_id AS downstream, CASE WHEN d.lang = 'de' "
-     r"THEN NULL ELSE COALESCE(h.refs, '') END AS referenced_columns FROM documents AS d LEFT JOIN h USING (doc_id)")
+     f"""WITH w AS (SELECT DISTINCT 'B' || item_id AS upstream, unnest(regexp_split_to_array(lower(text), '[ \n]+')) AS c FROM benchmark),
+     t AS (SELECT doc_id, 'B' || (doc_id % {_ITEMS}) AS upstream, doc_id % 50 <> 7 AS known,
+                  unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'))) AS c FROM documents),
+     h AS (SELECT t.doc_id, array_to_string(list(c ORDER BY length(c), c), ',') AS refs FROM t JOIN w USING (upstream, c) WHERE c <> ''
+           GROUP BY ALL)
+     SELECT 'B' || (d.doc_id % {_ITEMS}) AS upstream, 'D' || d.doc_id AS downstream, CASE WHEN d.doc_id % 50 = 7 THEN NULL
+     ELSE COALESCE(h.refs, '') END AS referenced_columns FROM documents AS d LEFT JOIN h USING (doc_id)""")
 
 
 def _lineage_table(spark, folder):

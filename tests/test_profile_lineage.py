@@ -179,3 +179,22 @@ def test_small_important_defect_outranks_large_one(spark, graph):
 def test_commerce_graph(spark):
     assert (len(C.assets()), len(C.dependencies()), len(C.columns())) == (44, 56, 389)
     assert L.longest_chain(C.edge_frame(spark)).first()["length"] == 11
+
+
+def test_medians_of_odd_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1.0, 1.0, nan, -1.7e308, 5e-324, Decimal("9" * 38), Decimal("0." + "0" * 17 + "1")),
+            (2.0, 2.0, nan, 0.0, 0.0, Decimal("-" + "9" * 38), Decimal("0." + "0" * 17 + "3")),
+            (nan, inf, 1.0, 1.7e308, 1e-323, Decimal(1), Decimal("0." + "0" * 17 + "2")),
+            (None, -inf, -inf, None, None, Decimal(2), None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f decimal(38,0), g decimal(38,18)")
+    got = pr.exact_medians(df, df.columns)
+    assert (got["a"], got["b"], got["d"], got["e"], got["f"]) == (2.0, 1.5, 0.0, 5e-324, 1.5)
+    assert got["c"] != got["c"] and abs(got["g"] - 2e-18) < 1e-30
+
+
+def test_words_of_any_alphabet(spark):
+    edges = spark.createDataFrame([("up", "down")], "upstream string, downstream string")
+    columns = spark.createDataFrame([("up", "r", 1), ("up", "für", 2), ("up", "日本", 3)], "asset string, column_name string, ordinal int")
+    texts = spark.createDataFrame([("down", "gut für alle, 日本")], "asset string, text string")
+    assert L.column_references(edges, columns, texts).collect()[0].referenced_columns == ["für", "日本"]
