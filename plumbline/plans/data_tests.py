@@ -7,15 +7,23 @@ from plumbline.operators.rules import Rule
 # Which models are tested for what.
 _UNIQUE_AND_FILLED = (
     ("stg_customers", "customer_id"), ("stg_products", "product_id"), ("stg_orders", "order_id"),
+    ("stg_order_items", "order_item_id"), ("stg_payments", "payment_id"), ("stg_refunds", "refund_id"),
+    ("stg_subscriptions", "subscription_id"), ("stg_tickets", "ticket_id"), ("stg_campaigns", "campaign_id"),
     ("dim_customers", "customer_id"), ("dim_products", "product_id"), ("fct_orders", "order_id"),
     ("fct_payments", "payment_id"), ("fct_subscriptions", "subscription_id"),
 )
 _UNIQUE = (("customer_lifetime_value", "customer_id"), ("customer_health_scores", "customer_id"),
            ("campaign_performance", "campaign_id"))
-_RELATED = (("stg_orders", "customer_id", "stg_customers"), ("fct_orders", "customer_id", "dim_customers"))
+_FILLED = (("stg_orders", "customer_id"), ("stg_order_items", "order_id"), ("stg_payments", "order_id"))
+_RELATED = (
+    ("stg_orders", "customer_id", "stg_customers"), ("stg_order_items", "product_id", "stg_products"),
+    ("stg_refunds", "payment_id", "stg_payments"), ("stg_subscriptions", "customer_id", "stg_customers"),
+    ("fct_orders", "customer_id", "dim_customers"),
+)
 _ACCEPTED = (
     ("stg_customers", "customer_status", ("active", "inactive", "churned")),
     ("stg_orders", "order_status", ("placed", "shipped", "delivered", "cancelled", "returned")),
+    ("stg_payments", "payment_status", ("succeeded", "failed", "pending")),
 )
 
 
@@ -24,7 +32,7 @@ def data_tests() -> list[Rule]:
     tests = []
     for model, column in (*_UNIQUE_AND_FILLED, *_UNIQUE):
         tests.append(Rule(f"unique_{model}_{column}", "duplicate_identifier", "unique", model, "low", (column,)))
-    for model, column in (*_UNIQUE_AND_FILLED, ("stg_orders", "customer_id")):
+    for model, column in (*_UNIQUE_AND_FILLED, *_FILLED):
         tests.append(Rule(f"not_null_{model}_{column}", "missing_identifier", "not_null", model, "low", (column,)))
     for model, column, parent in _RELATED:
         tests.append(Rule(f"relationships_{model}_{column}", "broken_relationship", "relationship", model, "low",

@@ -50,10 +50,10 @@ CASES = {
     "EV-008": (case([order("A", total_amount=21.0)], [payment("a", "A", 21.0)]), "reconciliation"),
     "EV-009": (case([order("A", ordered_at="2026-06-30 23:58:59")],
                     [payment("a", "A", at="2026-06-30 23:59:30")]), None),
-    "EV-036": (case([order("A")], [payment("a", "A", customer="C2")]), "business_rule"),
-    "EV-050": (case([order("A")], [payment("a", "A")], [refund("r", "a", 12), refund("s", "a", 11)]), "financial_consistency"),
-    "EV-059": (case([order("A", 0.0)], [payment("a", "A", 0.0)]), None),
-    "EV-060": (case([order("A")], [payment("a", "A", 0.0)]), "invalid_numeric"),
+    "EV-010": (case([order("A")], [payment("a", "A", customer="C2")]), "business_rule"),
+    "EV-011": (case([order("A")], [payment("a", "A")], [refund("r", "a", 12), refund("s", "a", 11)]), "financial_consistency"),
+    "EV-012": (case([order("A", 0.0)], [payment("a", "A", 0.0)]), None),
+    "EV-013": (case([order("A")], [payment("a", "A", 0.0)]), "invalid_numeric"),
 }
 
 
@@ -70,15 +70,15 @@ def predictions(spark):
 
 def test_cases_are_isolated_and_measured(spark, predictions):
     wrong = {r["case_id"]: r["outcome"] for r in predictions["baseline"].filter("outcome IN ('FN', 'FP')").collect()}
-    assert wrong == {"EV-036": "FN", "EV-050": "FN", "EV-059": "FP"}
+    assert wrong == {"EV-010": "FN", "EV-011": "FN", "EV-012": "FP"}
     assert predictions["improved"].filter("outcome IN ('FN', 'FP')").count() == 0
     (m,) = E.confusion(predictions["baseline"]).collect()
     assert (m["tp"], m["fn"], m["fp"], m["tn"]) == (5, 2, 1, 5)
     assert (m["accuracy"], m["recall"], m["f1_score"]) == (0.7692, 0.7143, 0.7692)
     fixes = {r["case_id"]: r["fixes"] for r in E.error_fixes(
         predictions["baseline"], predictions["improved"], rules_frame(spark, commerce_rules())).collect()}
-    assert fixes == {"EV-036": ["payments_customer_matches_order"], "EV-059": ["payments_succeeded_amount_valid"],
-                     "EV-050": ["refunds_cumulative_not_exceeding_payment"]}
+    assert fixes == {"EV-010": ["payments_customer_matches_order"], "EV-012": ["payments_succeeded_amount_valid"],
+                     "EV-011": ["refunds_cumulative_not_exceeding_payment"]}
     assert E.regressions(predictions["baseline"], predictions["improved"]).count() == 0
 
 
