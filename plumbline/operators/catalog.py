@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import lookup, position
@@ -13,6 +13,8 @@ from plumbline.functions.scalars import lookup, position
 # Points per field a search word can match.
 FIELD_WEIGHTS = {"name": 10, "column": 6, "glossary": 5, "owner": 4, "domain": 4, "source_system": 4, "description": 2}
 _FIELD_ORDER = tuple(FIELD_WEIGHTS)
+#: Columns and terms that a reason names at most.
+EXAMPLES = 3
 # Order of criticality and layers.
 CRITICALITY_RANK = {"critical": 3, "high": 2, "medium": 1, "low": 0}
 LAYER_ORDER = ("raw", "staging", "intermediate", "mart", "exposure")
@@ -76,7 +78,8 @@ def search_index(assets: DataFrame, columns: DataFrame, terms: DataFrame, links:
 
 
 def tokens(query: str) -> list[str]:
-    return list(dict.fromkeys(t for t in re.split(r"[\s,]+", query.lower().strip()) if t))
+    """The words of a query, in lower case and in order; a word asked for twice counts twice."""
+    return re.findall(r"[^\s,]+", query.lower())
 
 
 def search(index: DataFrame, assets: DataFrame, query: str, **filters: Sequence[str]) -> DataFrame:
@@ -85,7 +88,8 @@ def search(index: DataFrame, assets: DataFrame, query: str, **filters: Sequence[
     A word scores its best field, doubled when it is the asset's exact name. ``filters`` keeps assets whose
     column has one of the given values.
     """
-    words = tokens(query)
+    asked = tokens(query)
+    words = list(dict.fromkeys(asked))
     chosen = assets
     for column, wanted in filters.items():
         if wanted:
@@ -100,14 +104,19 @@ def search(index: DataFrame, assets: DataFrame, query: str, **filters: Sequence[
     weight = lookup(F.col("field"), FIELD_WEIGHTS, 0)
     place = position(F.col("field"), _FIELD_ORDER)
     # First per field, so that an asset with very many columns is combined before it is ranked.
-    per_field = matched.groupBy("asset", "word", "field").agg(F.min("value").alias("example"))
+    first = Window.partitionBy("asset", "word", "field").orderBy("value")
+    examples = matched.select("asset", "word", "field", "value").distinct().withColumn("n", F.row_number().over(first)).filter(
+        F.col("n") <= EXAMPLES)
+    per_field = examples.groupBy("asset", "word", "field").agg(
+        F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("example"))
     per_word = per_field.groupBy("asset", "word").agg(
         F.max(weight).alias("best"),
         F.max_by(F.struct("field", "example"), F.struct(weight, -place)).alias("hit"))
     detail = F.when(F.col("hit.field").isin("column", "glossary"), F.concat(
         "hit.field", F.lit(": "), "hit.example")).otherwise(
         F.concat(F.replace(F.col("hit.field"), F.lit("_"), F.lit(" ")), F.lit(" matches "), "word"))
-    points = F.col("best") * F.when(F.lower("asset") == F.col("word"), 2).otherwise(1)
+    times = lookup(F.col("word"), {w: asked.count(w) for w in words}, 1)
+    points = F.col("best") * F.when(F.lower("asset") == F.col("word"), 2).otherwise(1) * times
     scored = per_word.groupBy("asset").agg(
         F.count(F.lit(1)).alias("words"), F.sum(points).cast("double").alias("score"),
         F.array_sort(F.collect_set(detail)).alias("reasons")).filter(F.col("words") == len(words))

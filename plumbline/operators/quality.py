@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import date, datetime, time, timedelta
 from functools import reduce
@@ -75,7 +76,7 @@ def _plan_set(rule: Rule, ctx: Context, by: list[str], load_column: str | None,
 
 
 def _error_text(exc: Exception) -> str:
-    return str(exc).strip()[:2000]
+    return f"{type(exc).__name__}: {exc}".rstrip()
 
 
 _PLAN_ERRORS = (PySparkException, RuleError, KeyError)
@@ -154,26 +155,32 @@ def with_status(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"status": status, "failure_rate": rate})
 
 
+def _rule_at_fault(exc: Exception) -> bool:
+    """Whether a rule's own expression failed (data, cast or analysis errors), not the cluster."""
+    return isinstance(exc, (RuleError, KeyError)) or re.search(r"SQLSTATE: (22|42|0A)", str(exc)) is not None
+
+
 def run_rules(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Sequence[Rule], as_of: datetime | str,
               filter_by_load_time: bool = False) -> DataFrame:
-    """Execute now and return the (one row per rule) results, surviving run-time errors.
+    """Execute now and return the (one row per rule) results, surviving run-time errors of rules.
 
-    When the fused job fails, every rule runs alone, so only the rules at fault report an error.
+    When a job fails by a rule's fault, its rules are split by asset and then in halves, until the rules at fault
+    stand alone. Other failures are raised.
     """
     def execute(some: Sequence[Rule]) -> list[tuple]:
-        return [tuple(r) for r in rule_counts(spark, tables, some, as_of, filter_by_load_time)
-                .select("rule_key", "scanned", "failed", "error").collect()]
-
-    try:
-        rows = execute(rules)
-    except Exception:  # noqa: BLE001 - the failing rule is found below
-        rows = []
-        for rule in rules:
-            try:
-                rows += execute([rule])
-            except Exception as exc:  # noqa: BLE001
-                rows.append((rule.key, 0, 0, _error_text(exc)))
-    return with_status(spark.createDataFrame(rows, COUNT_SCHEMA))
+        try:
+            return [tuple(r) for r in rule_counts(spark, tables, some, as_of, filter_by_load_time)
+                    .select("rule_key", "scanned", "failed", "error").collect()]
+        except Exception as exc:
+            if not _rule_at_fault(exc):
+                raise
+            if len(some) == 1:
+                return [(some[0].key, 0, 0, _error_text(exc))]
+        groups = list(_by_asset(some).values())
+        parts = groups if len(groups) > 1 else [some[:len(some) // 2], some[len(some) // 2:]]
+        return [row for part in parts for row in execute(part)]
+
+    return with_status(spark.createDataFrame(execute(rules) if rules else [], COUNT_SCHEMA))
 
 
 # --------------------------------------------------------------------------- failing rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,6 +36,7 @@ def local_session(cores: int | str = 8, name: str = "plumbline") -> SparkSession
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumbline-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         # Call-site capture costs several JVM round trips per column function (static setting).
@@ -53,7 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="plumbline-")
     return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"

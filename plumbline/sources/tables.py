@@ -21,7 +21,7 @@ class RawTables(Mapping[str, DataFrame]):
     """Raw tables in a folder, read with their fixed schema when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str, fmt: str) -> None:
-        self._reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+        self._reader = spark.read.option("header", True).option("mode", "FAILFAST") if fmt == "csv" else spark.read
         self._folder, self._fmt = folder, fmt
         self._read: dict[str, DataFrame] = {}
 
@@ -64,8 +64,8 @@ def write_json(df: DataFrame, folder: str) -> None:
 
 
 def append_run(df: DataFrame, folder: str, run_id: int) -> None:
-    """Append one run to a history partitioned by run."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(folder)
+    """Write one run into a history partitioned by run; a run that is repeated replaces itself."""
+    df.write.mode("overwrite").parquet(f"{folder}/run_id={run_id}")
 
 
 def replace_table(df: DataFrame, folder: str) -> None:
@@ -80,7 +80,9 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], keep_missing: boo
     ``keep_missing`` is off).
     """
     values = [c for c in new.columns if c not in key]
-    left = old.select(*key, *[F.col(c).alias(f"_old_{c}") for c in values if c in old.columns])
+    # Columns that the new rows lack keep their old values.
+    rest = [c for c in old.columns if c not in new.columns and c != "is_active"]
+    left = old.select(*key, *rest, *[F.col(c).alias(f"_old_{c}") for c in values if c in old.columns])
     fresh = new.withColumn("_new", F.lit(True))
     joined = left.join(fresh, list(key), "full")
 
@@ -89,7 +91,7 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], keep_missing: boo
             return F.col(name)
         return F.when(F.col("_new"), F.col(name)).otherwise(F.col(f"_old_{name}")).alias(name)
 
-    out = joined.select(*key, *[merged(c) for c in values], F.coalesce("_new", F.lit(False)).alias("is_active"))
+    out = joined.select(*key, *[merged(c) for c in values], *rest, F.coalesce("_new", F.lit(False)).alias("is_active"))
     return out if keep_missing else out.filter("is_active")
 
 
