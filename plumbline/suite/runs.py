@@ -458,9 +458,38 @@ _add("r13_breakdown",
 _add("r13_group_points",
      lambda s, f: plain(Runs(s, f).priorities().select("seed", "defect_points", "blast_radius_points")),
      _priority_sql("SELECT seed, defect AS defect_points, blast AS blast_radius_points FROM prio"))
+_REASONS = {
+    "severity": "'severity ' || sc.severity",
+    "affected_volume": "sc.failed || ' failing rows'",
+    "affected_rate": "sc.failed || ' of ' || sc.scanned || ' scanned rows'",
+    "dataset_criticality": "'dataset is ' || n.criticality",
+    "field_criticality": "IF(len(c.names) > 0, 'critical columns: ' || array_to_string(c.names, ', '), 'no critical column')",
+    "downstream_dependencies": "x.downstream_count || ' dependent assets'",
+    "critical_downstream": "x.critical_count || ' critical consumers'",
+    "financial_reporting": "IF(x.financial, 'reaches financial reporting', 'no financial reporting')",
+    "executive_or_customer_facing": "CASE WHEN x.executive THEN 'executive reporting in ' || x.hops || ' hops' WHEN x.customer_facing "
+                                    "THEN 'customer-facing output' ELSE 'no exposed output' END",
+    "multi_team": "len(t.teams) || ' teams: ' || array_to_string(t.teams, ', ')",
+}
+
+
+def _reasons_sql() -> str:
+    critical = {(r[0], r[1]) for r in C.columns() if r[3]}
+    names = _values("rule_cde", "rule_key, names", [
+        f"({_text(r.key)}, {_list([c for c in r.columns if (r.asset, c) in critical])})" for r in RULES])
+    teams = ("rule_teams AS (SELECT x.seed, list_concat(list_filter([n.owner], lambda o: o IS NOT NULL), list_filter(x.owners, lambda o: "
+             "o IS NOT NULL AND o IS DISTINCT FROM n.owner)) AS teams FROM summed AS x JOIN nodes AS n ON n.asset = x.asset)")
+    said = ", ".join(f"{{'minus': -p.{k}, 'i': {i}, 'reason': {_REASONS[k]}}}" for i, k in enumerate(P.MAX_POINTS))
+    return _sql(
+        "SELECT seed, array_to_string(list_transform(list_filter(list_sort(r)[1:3], lambda f: f.minus < 0), lambda f: f.reason), ' | ') "
+        f"AS reasons FROM (SELECT p.seed, [{said}] AS r FROM prio AS p JOIN scored AS sc ON sc.rule_key = p.seed AND sc.run_id = {_DAYS} "
+        "JOIN summed AS x ON x.seed = p.seed JOIN nodes AS n ON n.asset = x.asset JOIN rule_cde AS c ON c.rule_key = p.seed JOIN "
+        "rule_teams AS t ON t.seed = p.seed) AS y", _BLAST, _SUMMARY, _SCORES, names, teams)
+
+
 _add("r13_top_reasons",
      lambda s, f: (lambda p: p.select("seed", F.array_join(P.top_reasons(3), " | ").alias("reasons")))(
-         Runs(s, f).priorities()))
+         Runs(s, f).priorities()), _reasons_sql())
 
 
 def _what_if(s, f):
