@@ -5,8 +5,9 @@ differ in at most D(a, b) = (100 - p)(a + b) / (100 + p) elements. Each element
 of such sets differ in at most D bits; a sketch cut into more than D blocks has an equal block (pigeonhole). Sizes are
 banded, and in each band the number of blocks k exceeds D of the largest sizes.
 
-1. One scan writes, for each text, its size and a short sketch, and the block keys packed by hash bucket. A set that a
-   task has seen before sends no keys again, so copies are combined before the shuffle.
+1. One scan writes, for each text, its size and a short sketch. Another sends the block keys, packed by hash bucket. A
+   set that a task has seen before sends no keys again, so copies are combined before the shuffle. (Two scans cost less
+   than keeping the keys of one scan on disk.)
 2. Each bucket is sorted and keys of two or more sets stay. A linked pair differs in at most D of its k keys, so a set
    with fewer than k - D shared keys has no partner and goes (this removes texts that only share a common passage).
 3. Each key's smallest set is its hub. Pairs (set, hub) pass the Hamming bound of the short sketches, then the exact
@@ -114,27 +115,41 @@ def block_keys(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.nd
     return out
 
 
-_SCAN = ("doc_id long, tid long, n int, cls long, sketch binary, bucket int, keys binary, at binary, sets binary, "
-         "needs binary, bands binary")
+_ROW = "doc_id long, tid long, n int, cls long, sketch binary"
+_PACKED = "bucket int, keys binary, at binary, sets binary, needs binary, bands binary"
+_PACKED_SCHEMA = pa.schema([("bucket", pa.int32()), *((name, pa.binary()) for name in ("keys", "at", "sets", "needs", "bands"))])
 
 
-def _scan(size: int, percent: int, buckets: int):
-    """Rows of two kinds: one per text (bucket null), and packed keys per bucket (doc_id and n null)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()),
-                        ("sketch", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("at", pa.binary()),
-                        ("sets", pa.binary()), ("needs", pa.binary()), ("bands", pa.binary())])
+def _name(elements: np.ndarray) -> int:
+    """A hash of a set."""
+    return int(mix(elements.sum(dtype=np.uint64).reshape(1) + _U(len(elements)))[0].view(np.int64))
 
+
+def _rows(size: int):
+    """Size, name and sketch of each text's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            ids, tids, column = batch.column(0), batch.column(1), batch.column(2)
-            for first, last, words in slices(column):
-                sizes, classes, sketches, keys, at, sets, needs, bands = [], [], [], [], [], [], [], []
+            sizes, classes, sketches = [], [], []
+            for _, _, words in slices(batch.column(2)):
                 for elements in gram_sets(words, size):
-                    cls = int(mix(elements.sum(dtype=np.uint64).reshape(1) + _U(len(elements)))[0].view(np.int64))
                     sizes.append(len(elements))
-                    classes.append(cls)
+                    classes.append(_name(elements))
                     sketches.append(sketch(elements) if len(elements) else b"")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(classes, pa.int64()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "tid", "n", "cls", "sketch"])
+    return run
+
+
+def _keys(size: int, percent: int, buckets: int):
+    """Block keys packed per bucket, once for each set that a task sees."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, words in slices(batch.column(0)):
+                keys, at, sets, needs, bands = [], [], [], [], []
+                for elements in gram_sets(words, size):
+                    cls = _name(elements)
                     if len(elements) and cls not in seen:
                         seen.add(cls)
                         for band, need, own in block_keys(elements, percent):
@@ -143,26 +158,18 @@ def _scan(size: int, percent: int, buckets: int):
                             sets.append(cls)
                             needs.append(need)
                             bands.append(band)
-                rows = last - first
-                none = pa.nulls(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, rows), tids.slice(first, rows), pa.array(sizes, pa.int32()),
-                     pa.array(classes, pa.int64()), pa.array(sketches, pa.binary()),
-                     *(none.cast(f.type) for f in list(schema)[5:])], schema=schema)
                 if keys:
-                    yield _packed(schema, buckets, np.concatenate(keys), np.concatenate(at),
-                                  np.array(sets, dtype=np.int64), np.array(needs, dtype=np.int32),
-                                  np.array(bands, dtype=np.int32))
-
+                    yield _packed(buckets, np.concatenate(keys), np.concatenate(at), np.array(sets, dtype=np.int64),
+                                  np.array(needs, dtype=np.int32), np.array(bands, dtype=np.int32))
     return run
 
 
-def _packed(schema, buckets, keys, at, sets, needs, bands) -> pa.RecordBatch:
+def _packed(buckets, keys, at, sets, needs, bands) -> pa.RecordBatch:
     bucket = ((keys >> _U(33)) % _U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket, keys, at = bucket[order], keys[order], at[order]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    out = {name: [] for name in ("bucket", "keys", "at", "sets", "needs", "bands")}
+    out = {f.name: [] for f in _PACKED_SCHEMA}
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
         used, where = np.unique(at[a:b], return_inverse=True)
         out["bucket"].append(int(bucket[a]))
@@ -171,10 +178,7 @@ def _packed(schema, buckets, keys, at, sets, needs, bands) -> pa.RecordBatch:
         out["sets"].append(sets[used].tobytes())
         out["needs"].append(needs[used].tobytes())
         out["bands"].append(bands[used].tobytes())
-    rows = len(cuts)
-    return pa.RecordBatch.from_arrays(
-        [*(pa.nulls(rows).cast(f.type) for f in list(schema)[:5]), *(pa.array(out[f.name], f.type) for f in list(schema)[5:])],
-        schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _PACKED_SCHEMA], schema=_PACKED_SCHEMA)
 
 
 _MEMBER = "key long, cls long, need int, band int"
@@ -316,9 +320,8 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     mine = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
-    scanned = checkpoint(mine.mapInArrow(_scan(size, percent, buckets), _SCAN))
-    rows = scanned.where("n is not null").select("doc_id", "tid", "n", "cls", "sketch")
-    packed = scanned.where("bucket is not null").select("bucket", "keys", "at", "sets", "needs", "bands")
+    rows = checkpoint(mine.mapInArrow(_rows(size), _ROW))
+    packed = mine.where("doc_id is not null").select("text").mapInArrow(_keys(size, percent, buckets), _PACKED)
     members = checkpoint(packed.repartition("bucket").drop("bucket").mapInArrow(_shared, _MEMBER))
     able = members.groupBy("cls", "band").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need")
     members = checkpoint(members.join(able.select("cls", "band"), ["cls", "band"], "left_semi").select("key", "cls"))
