@@ -281,7 +281,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for seeds, tids, spots, *sides in _gathered(batches, True):
         before, after = np.full(len(seeds), -1), np.full(len(seeds), -1)
-        windows = list(_window_hashes(seeds, *sides))
+        windows = [(o, have, keys[have]) for o, have, keys in _window_hashes(seeds, *sides)]
         for o, have, keys in windows:
             order = np.argsort(keys, kind="stable")
             again = have[order][_several(keys[order], tids[have[order]])]

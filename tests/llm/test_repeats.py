@@ -48,6 +48,8 @@ def corpus(seed):
     base = prose(150)
     for _ in range(20):
         rows.append(" ".join(pick.choice(words) if pick.random() < .03 else w for w in base))
+    rows += [" ".join([*prose(k), *passages[5][:60 - k % 7]]) for k in range(12)]
+    rows += [" ".join([*passages[5][k % 5:], *prose(k)]) for k in range(12)]
     rows += [rows[3], rows[3].upper(), None, "", "x " * 400, "y " * 30 + "x " * 60]
     return list(enumerate(rows))
 
