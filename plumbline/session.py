@@ -18,6 +18,8 @@ PLAN_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join input even when that costs one more exchange afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Batches sent to Python hold whole texts: fewer rows keep both sides of the exchange small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
