@@ -29,7 +29,9 @@ SMOOTHING = 50.0
 #: Longer words are scored in parts of this many letters.
 LONGEST_WORD = 40
 CACHED_WORDS = 150_000
-SLICE_CHARS = 2_000_000
+#: Characters of text, and words, that are looked at together.
+SLICE_CHARS = 400_000
+SLICE_WORDS = 5_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -175,8 +177,8 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE_
             place = {x: k for k, x in enumerate(names)}
             lattice, total = Lattice(shared.value), np.zeros_like(probabilities)
             for batch in batches:
-                for at in range(0, batch.num_rows, 20_000):
-                    lang, word, times = (c.to_pylist() for c in batch.slice(at, 20_000).columns)
+                for at in range(0, batch.num_rows, SLICE_WORDS):
+                    lang, word, times = (c.to_pylist() for c in batch.slice(at, SLICE_WORDS).columns)
                     own = np.zeros((len(word), len(names)))
                     own[np.arange(len(word)), [place[x] for x in lang]] = times
                     total += lattice.expected(word, own, probabilities)
@@ -206,7 +208,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "h
         m: Model = shared.value
         lattice = Lattice(m.pieces) if m.languages else None
         cache: dict[str, int] = {}
-        scores = np.zeros((0, len(m.languages)))
+        scores = np.empty((CACHED_WORDS, len(m.languages)))
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             langs, best = [], []
@@ -218,13 +220,15 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id", "h
                     counts.append(words_of(text) if m.languages else {})
                     chars += len(text)
                 at += len(counts)
-                if len(cache) > CACHED_WORDS:
-                    cache, scores = {}, scores[:0]
                 fresh = list(set().union(*counts).difference(cache))
-                for k in range(0, len(fresh), 20_000):
-                    part = fresh[k:k + 20_000]
+                if len(cache) + len(fresh) > len(scores):
+                    cache, fresh = {}, list(set().union(*counts))
+                    if len(fresh) > len(scores):  # one very long text
+                        scores = np.empty((len(fresh), len(m.languages)))
+                for k in range(0, len(fresh), SLICE_WORDS):
+                    part = fresh[k:k + SLICE_WORDS]
+                    scores[len(cache):len(cache) + len(part)] = lattice.log_probabilities(part, m.theta)
                     cache.update(zip(part, range(len(cache), len(cache) + len(part)), strict=True))
-                    scores = np.concatenate([scores, lattice.log_probabilities(part, m.theta)])
                 for found in counts:
                     if not found:
                         langs.append(UNKNOWN)
