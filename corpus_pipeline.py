@@ -26,6 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A missing ``lang`` is filled in; a given one stays as it is.
     """
+    tune(spark)
     model = fit(docs.where(~held_out(F.col("doc_id"), 5, 0)))
     named = predict(docs, model, tuple(docs.columns)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR))
     return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
@@ -33,21 +34,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without cross-site boilerplate lines; ``n_chars`` follows the text."""
+    tune(spark)
     return without_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group linked by a Jaccard similarity of 0.8 on 5-word shingles."""
+    tune(spark)
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no exact or edited copy of a benchmark item."""
+    tune(spark)
     return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in batches of like length."""
+    tune(spark)
     return pack(docs)
 
 
