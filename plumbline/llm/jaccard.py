@@ -12,6 +12,7 @@ banded, and in each band the number of blocks k exceeds D of the largest sizes.
    with fewer than k - D shared keys has no partner and goes (this removes texts that only share a common passage).
 3. Each key's smallest set is its hub. Pairs (set, hub) pass the Hamming bound of the short sketches, then the exact
    comparison of the texts' sets. A second round takes another hub for each key, for sets still apart from it.
+   Only keys that lie in several components, and sets with enough such keys (as in 2), go on.
 4. Keys whose sets still belong to different components are compared completely, in blocks of bounded size: first by
    Hamming distance, and what passes is verified. So no link between different components is lost, and no pairs
    within a component are made.
@@ -303,6 +304,14 @@ def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
+def _apart(placed: DataFrame) -> DataFrame:
+    """Members of keys that lie in several components, of sets with enough such keys to have a partner elsewhere."""
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    held = checkpoint(placed.join(mixed, "key", "left_semi"))
+    able = held.groupBy("cls", "band").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need")
+    return checkpoint(held.join(able.select("cls", "band"), ["cls", "band"], "left_semi"))
+
+
 def _star(placed: DataFrame, order: Column, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between the sets of each key and its hub, the first in ``order``, where the two lie in different components."""
     hubs = placed.groupBy("key").agg(F.min(F.struct(order.alias("order"), F.col("cls").alias("hub"), F.col("root").alias("at"))).alias("first"))
@@ -324,7 +333,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     packed = mine.where("doc_id is not null").select("text").mapInArrow(_keys(size, percent, buckets), _PACKED)
     members = checkpoint(packed.repartition("bucket").drop("bucket").mapInArrow(_shared, _MEMBER))
     able = members.groupBy("cls", "band").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need")
-    members = checkpoint(members.join(able.select("cls", "band"), ["cls", "band"], "left_semi").select("key", "cls"))
+    members = checkpoint(members.join(able.select("cls", "band"), ["cls", "band"], "left_semi").select("key", "cls", "band", "need"))
 
     wanted = members.select("cls").distinct()
     classes = (rows.where("n > 0 and doc_id is not null").groupBy("cls", "n", "sketch")
@@ -333,11 +342,11 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     texts = checkpoint(mine.join(classes.select("cls", "doc_id", "tid"), ["doc_id", "tid"]).select("cls", "text"))
 
     links = _star(members.withColumn("root", F.col("cls")), F.col("cls"), classes, texts, size, percent)
-    placed = _placed(members, components(links))
+    placed = _apart(_placed(members, components(links)))
     more = _star(placed, F.xxhash64("key", "cls"), classes, texts, size, percent)
     links = links.unionByName(more)
     roots = components(links)
-    placed = _placed(members, roots)
+    placed = _apart(_placed(placed.drop("root"), roots))
     mixed = (placed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
              .where("low <> high").select("key", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks")))
     spread = (placed.join(mixed, "key").join(classes.select("cls", "n", "sketch"), "cls")
