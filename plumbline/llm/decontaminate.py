@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
-1. A first scan of the documents counts, for every word n-gram of the benchmark, the documents that hold it.
-2. The rarer half of the n-grams of each item are its seeds. A second scan finds seeds, gathers those of one item that
-   lie on neighbouring diagonals, and aligns the item's words with the passage around them (Smith-Waterman).
+1. Every word n-gram of an item is a seed, so an edited or partial copy is met by whatever n-grams it has left.
+2. One scan of the documents finds seeds, gathers those of one item that lie on neighbouring diagonals, and aligns the
+   item's words with the passage around them (Smith-Waterman), unless too few of its words occur there for the score.
 3. An item is found in a document if its best alignment reaches ``LEAST_SCORE`` of the score of a full copy.
 
 Items are taken in groups of at most ``GROUP_GRAMS`` n-grams, so what a task or the driver holds is bounded however
@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from plumbline.llm.words import LETTERS, Words, grams, slices
 
@@ -123,28 +122,6 @@ def _groups(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(ids, np.concatenate(words), np.cumsum([0, *map(len, words)]))
 
 
-def _spread(docs: DataFrame, hashes: np.ndarray, size: int) -> np.ndarray:
-    """In how many documents each n-gram occurs."""
-    shared = docs.sparkSession.sparkContext.broadcast(hashes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, total = Seeds(shared.value), np.zeros(len(shared.value), dtype=np.int64)
-        for batch in batches:
-            for _, _, words in _slices(batch.column(0)):
-                at, index = seeds.find(grams(words.hashes, size))
-                row = np.searchsorted(words.bounds, at, side="right") - 1
-                within = at + size <= words.bounds[row + 1]
-                once = np.unique(row[within] * len(total) + index[within]) % max(1, len(total))
-                total += np.bincount(once, minlength=len(total))
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["gram", "n"])
-
-    found = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    spread = np.zeros(len(hashes), dtype=np.int64)
-    spread[found.gram] = found.n
-    return spread
-
-
 @dataclass
 class Index:
     """Seeds of one group of items."""
@@ -157,22 +134,16 @@ class Index:
     enough: np.ndarray
 
 
-def build(docs: DataFrame, benchmark: DataFrame, size: int = GRAM) -> Iterator[Index]:
-    """The seed indexes of all groups of items; the counts behind them cover all documents."""
+def build(benchmark: DataFrame, size: int = GRAM) -> Iterator[Index]:
+    """The seed indexes of all groups of items."""
     for items in _groups(benchmark):
         hashes, item, place = item_grams(items, size)
-        unique, index = np.unique(hashes, return_inverse=True)
-        if not len(unique):
+        if not len(hashes):
             continue
-        spread = _spread(docs, unique, size)[index]
-        order = np.lexsort((place, spread, item))
-        rank = np.arange(len(order)) - np.searchsorted(item[order], item[order])
-        counts = np.bincount(item, minlength=len(items.ids))
-        keep = order[rank < np.maximum((counts[item[order]] + 1) // 2, np.minimum(8, counts[item[order]]))]
-        keep = keep[np.argsort(hashes[keep], kind="stable")]
-        own, firsts = np.unique(hashes[keep], return_index=True)
-        yield Index(items, own, np.append(firsts, len(keep)), item[keep], place[keep],
-                    np.minimum(LEAST_SEEDS, np.bincount(item[keep], minlength=len(items.ids))))
+        order = np.argsort(hashes, kind="stable")
+        own, firsts = np.unique(hashes[order], return_index=True)
+        yield Index(items, own, np.append(firsts, len(order)), item[order], place[order],
+                    np.minimum(LEAST_SEEDS, np.bincount(item, minlength=len(items.ids))))
 
 
 def passages(index: Index, seeds: Seeds, words: np.ndarray, size: int = GRAM) -> list[tuple[int, float, int, int]]:
@@ -199,6 +170,9 @@ def passages(index: Index, seeds: Seeds, words: np.ndarray, size: int = GRAM) ->
         n, room = int(lengths[i]), int(slack[a])
         own = index.items.words[index.items.bounds[i]:index.items.bounds[i + 1]]
         low, high = max(0, int(diagonal[a]) - room), min(len(words), int(diagonal[b - 1]) + n + room)
+        # No alignment matches more of the item's words than occur in the passage.
+        if np.isin(own, words[low:high]).sum() < LEAST_SCORE * n:
+            continue
         score, first, end = align(own, words[low:high])
         share = score / (MATCH * n)
         if share >= LEAST_SCORE and (i not in found or share > found[i][1]):
@@ -216,7 +190,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, score double, first_word int, end_word int"
     cast = docs.sparkSession.sparkContext.broadcast
     out = None
-    for index in build(docs, benchmark):
+    for index in build(benchmark):
         shared = cast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -240,7 +214,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, all columns kept. Same cases as ``find_items``."""
     cast = docs.sparkSession.sparkContext.broadcast
     place = docs.columns.index("text")
-    for index in build(docs, benchmark):
+    for index in build(benchmark):
         shared = cast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

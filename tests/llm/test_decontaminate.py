@@ -77,3 +77,21 @@ def test_odd_rows(spark):
     kept = D.without_items(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5]
     assert D.find_items(docs, bench.limit(0)).collect() == [] and D.find_items(docs.limit(0), bench).collect() == []
+
+
+def test_edited_and_partial_copies_alone(spark):
+    """Items that the corpus holds only with every 4th or 5th word changed, or only by half, and often; brute force decides."""
+    pick = random.Random(5)
+    items = [[f"w{pick.randrange(5000)}" for _ in range(50)] for _ in range(9)]
+    docs = []
+    for i, item in enumerate(items):
+        copy = [f"x{pick.randrange(5000)}" if i % 3 < 2 and k % (4 + i % 3) == 3 else w for k, w in enumerate(item)]
+        for _ in range(1 + 20 * (i // 3)):
+            around = [f"y{pick.randrange(5000)}" for _ in range(60)]
+            at = pick.randrange(60)
+            docs.append((len(docs), around[:at] + (copy if i % 3 < 2 else copy[:26]) + around[at:]))
+    want = {(d, i) for d, text in docs for i, item in enumerate(items) if plain(item, text) >= D.LEAST_SCORE * D.MATCH * len(item)}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    table = spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.find_items(table, bench).collect()} == want and len(want) == len(docs)
+    assert D.without_items(table, bench).count() == 0
