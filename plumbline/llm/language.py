@@ -37,6 +37,8 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _START = "▁"
 _LENGTHS = 64
+#: Words of a lower probability in some language are summed in logarithms, which cannot underflow.
+_LEAST = 1e-200
 
 
 def read_pieces(path: str = VOCABULARY) -> list[str]:
@@ -86,29 +88,67 @@ class Lattice:
         word = np.repeat(np.arange(len(words)), lengths)[end - 1]
         return end - size + word, end + word, end - begins[word], piece, begins + np.arange(len(words)), lengths
 
-    def forward(self, words: list[str], theta: np.ndarray):
-        """Probabilities of all prefixes (nodes x languages) and the parts they were made of; theta: pieces x languages."""
+    def forward(self, words: list[str], theta: np.ndarray, plus=np.add, times=np.multiply, zero=0.0):
+        """Probabilities of all prefixes (nodes x languages) and the parts they were made of; theta: pieces x languages.
+
+        With ``np.logaddexp``, ``np.add`` and minus infinity, ``theta`` and the result are logarithms.
+        """
         first, last, place, piece, root, lengths = self.edges(words)
         order = np.lexsort((last, place))
         first, last, place, piece = first[order], last[order], place[order], piece[order]
-        alpha = np.zeros((int(lengths.sum()) + len(words), theta.shape[1]))
-        alpha[root] = 1.0
+        alpha = np.full((int(lengths.sum()) + len(words), theta.shape[1]), zero)
+        alpha[root] = 1.0 if plus is np.add else 0.0
         cuts = np.searchsorted(place, np.arange(1, int(lengths.max()) + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b > a:
                 heads = np.flatnonzero(np.diff(last[a:b], prepend=-1))
-                alpha[last[a:b][heads]] = np.add.reduceat(alpha[first[a:b]] * theta[piece[a:b]], heads, axis=0)
+                alpha[last[a:b][heads]] = plus.reduceat(times(alpha[first[a:b]], theta[piece[a:b]]), heads, axis=0)
         return alpha, (first, last, place, piece), root, lengths
 
     def log_probabilities(self, words: list[str], theta: np.ndarray) -> np.ndarray:
         alpha, _, root, lengths = self.forward(words, theta)
-        return np.log(alpha[root + lengths])
+        ends = alpha[root + lengths]
+        out = np.log(np.maximum(ends, _LEAST))
+        small = np.flatnonzero((ends < _LEAST).any(axis=1))
+        if len(small):
+            alpha, _, root, lengths = self.forward([words[k] for k in small], np.log(theta), np.logaddexp, np.add, -np.inf)
+            out[small] = alpha[root + lengths]
+        return out
 
     def expected(self, words: list[str], times: np.ndarray, theta: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces; times: words x languages."""
-        alpha, (first, last, _, piece), root, lengths = self.forward(words, theta)
-        beta = np.zeros_like(alpha)
-        beta[root + lengths] = times / alpha[root + lengths]
+        alpha, parts, root, lengths = self.forward(words, theta)
+        ends = alpha[root + lengths]
+        small = ends < _LEAST
+        # Languages without the word count nothing; what a double cannot hold is left to the sums in logarithms.
+        alpha[root + lengths] = np.where(small, 1.0, ends)
+        beta = self._backward(parts, root, lengths, theta, np.where(small, 0.0, times) / alpha[root + lengths])
+        first, last, _, piece = parts
+        out = self._by_piece(piece, alpha[first] * theta[piece] * beta[last])
+        rest = np.flatnonzero((small & (times > 0)).any(axis=1))
+        if len(rest):
+            logs = np.log(theta)
+            alpha, parts, root, lengths = self.forward([words[k] for k in rest], logs, np.logaddexp, np.add, -np.inf)
+            own = np.where(small[rest], times[rest], 0.0)
+            ends = np.full(own.shape, -np.inf)
+            np.log(own, out=ends, where=own > 0)
+            beta = self._backward(parts, root, lengths, logs, ends - alpha[root + lengths], np.logaddexp, np.add, -np.inf)
+            first, last, _, piece = parts
+            out += self._by_piece(piece, np.exp(alpha[first] + logs[piece] + beta[last]))
+        return out
+
+    def _by_piece(self, piece: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.other + 1, weight.shape[1]))
+        for k in range(weight.shape[1]):
+            out[:, k] = np.bincount(piece, weight[:, k], minlength=self.other + 1)
+        return out
+
+    @staticmethod
+    def _backward(parts, root, lengths, theta, ends, plus=np.add, times=np.multiply, zero=0.0) -> np.ndarray:
+        """Weights of all suffixes (nodes x languages), from those of the words' ends."""
+        first, last, _, piece = parts
+        beta = np.full((int(lengths.sum()) + len(lengths), theta.shape[1]), zero)
+        beta[root + lengths] = ends
         place = first - np.repeat(root, lengths + 1)[first]
         order = np.lexsort((first, place))
         cuts = np.searchsorted(place[order], np.arange(int(lengths.max()) + 1))
@@ -116,12 +156,8 @@ class Lattice:
             if b > a:
                 own = order[a:b]
                 heads = np.flatnonzero(np.diff(first[own], prepend=-1))
-                beta[first[own][heads]] = np.add.reduceat(beta[last[own]] * theta[piece[own]], heads, axis=0)
-        weight = alpha[first] * theta[piece] * beta[last]
-        out = np.zeros_like(theta)
-        for k in range(theta.shape[1]):
-            out[:, k] = np.bincount(piece, weight[:, k], minlength=len(theta))
-        return out
+                beta[first[own][heads]] = plus.reduceat(times(beta[last[own]], theta[piece[own]]), heads, axis=0)
+        return beta
 
 
 @dataclass

@@ -32,6 +32,29 @@ def test_expected_counts_cover_every_letter():
     assert np.allclose(sizes @ seen, [sum(t * (len(w) + 1) for w, t in zip(words, times[:, k])) for k in (0, 1)])
 
 
+def test_sums_of_tiny_probabilities():
+    theta = np.random.default_rng(5).random((len(PIECES) + 1, 2)) / 5
+    tiny, plain = theta * [1, 1e-30], ["ababab", "x" * 39, "ab" * 20]
+    got = Lattice(PIECES).log_probabilities(plain, tiny)
+    assert np.isfinite(got).all() and np.allclose(got[1:, 0], Lattice(PIECES).log_probabilities(plain[1:], theta)[:, 0])
+    assert np.isclose(got[1, 1], np.log(tiny[PIECES.index("▁"), 1]) + 39 * np.log(tiny[-1, 1]))
+    times = np.array([[2., 0], [0, 3], [1, 4]])
+    seen, sizes = Lattice(PIECES).expected(plain, times, tiny), np.array([*map(len, PIECES), 1])
+    assert np.allclose(sizes @ seen, [sum(t * (len(w) + 1) for w, t in zip(plain, times[:, k])) for k in (0, 1)])
+
+
+def test_long_runs_of_two_scripts(spark):
+    runs = {"zh": "的一是在不了有和人这中大为上个国我以要他时来用们生到作地于出" * 2, "th": "กขคงจฉชซญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหอฮ"}
+    rows = [(i, runs[g][k:k + 40], g) for i in range(30) for k in (0, 3) for g in runs] + [(i, "the of and " * 30_000, "en") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs)
+    assert np.isfinite(model.theta).all()
+    got = predict(docs, model, ("doc_id", "lang")).collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in got)
+    strange = spark.createDataFrame([(1, "ა" * 40, None)], docs.schema)
+    assert all(0 <= r.score <= 1 for r in predict(strange, model, ("doc_id",)).collect())
+
+
 def test_long_words_are_scored_in_parts():
     assert sum(len(w) * n for w, n in words_of("É" * 1001 + " 12_ ab").items()) == 1003
 
