@@ -33,9 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without cross-site boilerplate lines; ``n_chars`` follows the text."""
+    """Every document without cross-site boilerplate lines, unless it has no other; ``n_chars`` follows the text."""
     tune(spark)
-    return without_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return without_boilerplate(docs, share=None).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,12 +40,12 @@ def spread_lines(docs: DataFrame, least: int = LEAST_SITES) -> DataFrame:
     return sketched.where(F.col("sites") >= least + near).select("line").unionByName(exact.select("line"))
 
 
-def without_boilerplate(docs: DataFrame, least: int = LEAST_SITES, share: float = MOST_SHARE) -> DataFrame:
+def without_boilerplate(docs: DataFrame, least: int = LEAST_SITES, share: float | None = MOST_SHARE) -> DataFrame:
     """``docs(text, source, ...)`` without boilerplate lines, and ``n_removed``, the number of lines taken out.
 
     Lines are cut at line feeds and compared without spaces around them. All rows and other columns stay; null and
     empty texts are unchanged with 0 removed. A text with more than ``share`` of its characters in boilerplate lines
-    is unchanged too. Equal texts are treated alike, so repeated rows and ids do no harm.
+    is unchanged too; with ``share`` None, only a text without any line of its own is. Equal texts are treated alike, so repeated rows and ids do no harm.
     """
     spread = checkpoint(spread_lines(docs, least))
     bad = (_lines(docs, F.xxhash64("text").alias("_tid")).join(spread, "line").groupBy("_tid").agg(F.collect_set("line").alias("_bad")))
@@ -53,7 +53,11 @@ def without_boilerplate(docs: DataFrame, least: int = LEAST_SITES, share: float
     parts = F.split("text", "\n")
     kept = F.when(F.col("_bad").isNotNull(), F.filter(parts, lambda x: ~F.array_contains("_bad", F.xxhash64(F.trim(x)))))
     cut = joined.withColumn("_kept", kept).withColumn("_new", F.array_join("_kept", "\n"))
-    whole = F.col("_kept").isNull() | (F.length("text") - F.length("_new") > share * F.length("text"))
+    if share is None:
+        copied = ~F.exists("_kept", lambda x: F.trim(x) != "")
+    else:
+        copied = F.length("text") - F.length("_new") > share * F.length("text")
+    whole = F.col("_kept").isNull() | copied
     return (cut.withColumn("n_removed", F.when(whole, 0).otherwise(F.size(parts) - F.size("_kept")).cast("int"))
             .withColumn("text", F.when(whole, F.col("text")).otherwise(F.col("_new"))).select(*docs.columns, "n_removed"))
 

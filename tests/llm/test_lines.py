@@ -2,6 +2,7 @@
 
 import duckdb
 
+from corpus_pipeline import line_dedup
 from plumbline.llm.lines import spread_lines, without_boilerplate, without_boilerplate_sql
 
 
@@ -45,3 +46,11 @@ def test_odd_rows(spark):
     assert len(got) == 17 and (None, None, 0) in got and (50, "", 0) in got
     assert got.count((50, "much more text than that\n", 1)) == 2 and (51, "y\n" * 50_000, 0) in got
     assert without_boilerplate(docs.limit(0)).collect() == []
+
+
+def test_pipeline_cleans_short_pages_with_long_banners(spark):
+    banner = "A banner that is much longer than the few words of the page below it"
+    rows = [(i, f"{banner}\nown {i}", "en", f"s{i}", 1) for i in range(12)] + [(100 + i, f"{banner}\n\n{banner} ", "en", f"s{i}", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup(spark, docs, "").collect()}
+    assert got == {**{i: (f"own {i}", len(f"own {i}")) for i in range(12)}, **{r[0]: (r[1], len(r[1])) for r in rows[12:]}}
