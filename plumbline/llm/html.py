@@ -22,6 +22,8 @@ SEMANTIC_POINTS = 25.0
 SIBLING_SHARE = 0.2
 #: A list or box of at least this many links, with so much of its text in links, is a menu.
 MENU_LINKS, MENU_DENSITY = 2, 0.7
+#: An element named like something else that yet holds more than this share of the paragraph text counts, at a discount.
+MOST_TEXT, NAME_DISCOUNT = 0.5, 0.25
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -54,6 +56,8 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.never, self.semantic = ["#page"], [-1], [False], [False]
+        #: Elements whose class or id has a word that articles do not have.
+        self.named = [False]
         #: (element, text, characters in links) of each block of text.
         self.blocks: list[tuple[int, str, int]] = []
         self.links = [0]
@@ -87,11 +91,11 @@ class Page:
         inside = any(self.semantic[k] for k in self._stack[1:])
         never = (tag in _NEVER or role in _NEVER_ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true"
                  or re.search(r"display\s*:\s*none", named.get("style", ""), re.I) is not None
-                 or tag not in ("html", "body", "main") and bool(words & _NEVER_WORDS)
-                 or not inside and tag not in _KEPT and (tag == "header" or "header" in words))
+                 or not inside and tag == "header")
         self.tags.append(tag)
         self.parents.append(parent)
         self.never.append(self.never[parent] or never)
+        self.named.append(tag not in ("html", "body", "main") and bool(words & _NEVER_WORDS) or not inside and tag not in _KEPT and "header" in words)
         self.semantic.append(semantic)
         self.links.append(0)
         self._stack.append(len(self.tags) - 1)
@@ -165,9 +169,43 @@ class Page:
         self._flush()
 
 
+def _unnamed(page: Page) -> tuple[list[bool], list[float]]:
+    """Elements that are not part of an article, by tag, role or name, and the discount of each.
+
+    A name removes neither what the page's largest article or main stands in nor, on a page without one,
+    what holds most of the paragraph text.
+    """
+    n = len(page.tags)
+    held = [0] * n
+    for node, text, link_chars in page.blocks:
+        if len(text) >= LEAST_BLOCK and not page.never[node]:
+            held[node] += len(text) - link_chars
+    for node in range(n - 1, 0, -1):
+        held[page.parents[node]] += held[node]
+    article = max((k for k in range(n) if page.semantic[k] and held[k]), key=lambda k: (held[k], -k), default=0)
+    around = set()
+    while article > 0:
+        around.add(article)
+        article = page.parents[article]
+    never, worth = list(page.never), [1.0] * n
+    for k in range(1, n):
+        never[k] = never[k] or never[page.parents[k]]
+        worth[k] = worth[page.parents[k]]
+        if page.named[k] and k not in around:
+            if not around and held[k] > MOST_TEXT * held[0]:
+                worth[k] = NAME_DISCOUNT
+            else:
+                never[k] = True
+    return never, worth
+
+
 def main_blocks(source: str | None) -> list[str]:
-    """The blocks of the main text in page order."""
+    """The blocks of the main text in page order; names of elements are left aside if they leave nothing."""
     page = Page(source or "")
+    return _main(page, *_unnamed(page)) or (_main(page, page.never, [1.0] * len(page.tags)) if any(page.named) else [])
+
+
+def _main(page: Page, never: list[bool], discount: list[float]) -> list[str]:
     n = len(page.tags)
     chars, linked, links = [0] * n, [0] * n, list(page.links)
     for node, text, link_chars in page.blocks:
@@ -183,11 +221,11 @@ def main_blocks(source: str | None) -> list[str]:
     for node in range(1, n):
         menu[node] = menu[page.parents[node]] or (page.tags[node] not in _KEPT and page.tags[node] != "p"
                                                   and links[node] >= MENU_LINKS and density[node] >= MENU_DENSITY)
-    blocks = [(node, text) for node, text, _ in page.blocks if not page.never[node] and not menu[node]]
+    blocks = [(node, text) for node, text, _ in page.blocks if not never[node] and not menu[node]]
     points = [0.0] * n
     for node, text in blocks:
         if len(text) >= LEAST_BLOCK:
-            worth = 1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3)
+            worth = discount[node] * (1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) / 100, 3))
             # Text that stands in a box itself is a paragraph of the box; a paragraph's points go to what holds it.
             node = node if page.tags[node] in ("div", "section", "td", "article", "main", "body", "html", "#page") else page.parents[node]
             for step in STEPS:
@@ -195,7 +233,7 @@ def main_blocks(source: str | None) -> list[str]:
                     break
                 points[node] += worth * step
                 node = page.parents[node]
-    total = [(points[k] + (SEMANTIC_POINTS if page.semantic[k] and chars[k] else 0)) * (1 - density[k]) if not page.never[k] else 0.0 for k in range(n)]
+    total = [(points[k] + (SEMANTIC_POINTS if page.semantic[k] and chars[k] else 0)) * (1 - density[k]) if not never[k] else 0.0 for k in range(n)]
     best = max(range(n), key=lambda k: (total[k], k))
     if total[best] <= 0:
         keep = {0}
@@ -210,7 +248,7 @@ def main_blocks(source: str | None) -> list[str]:
         keep = {best}
         if best and not (page.tags[best] in ("main", "body", "html")):
             for k in range(1, n):
-                if k != best and page.parents[k] == page.parents[best] and not page.never[k] and not menu[k]:
+                if k != best and page.parents[k] == page.parents[best] and not never[k] and not menu[k]:
                     heading = k < best and page.tags[k] in ("h1", "h2")
                     if heading or total[k] >= SIBLING_SHARE * total[best] or (page.tags[k] in ("p", "blockquote", "pre") and chars[k] >= 80 and density[k] < 0.25):
                         keep.add(k)

@@ -32,6 +32,25 @@ CASES = [
 ]
 
 
+FOUR = "".join(f"<p>{LONG} {k}.</p>" for k in range(4))
+NAMED = [
+    f"<div class='layout has-sidebar'>{FOUR}</div><div class='links'><p>Short.</p></div>",
+    f"<div class='no-sidebar'><div class='sidebar'><p>{LONG}</p></div><div>{FOUR}</div></div>",
+    f"<article class='post comments-open'>{FOUR}</article><div class='comments'><article class='comment-body'><p>{LONG}</p></article></div>",
+    f"<div class='elementor-widget-container'>{FOUR}</div>",
+    f"<div class='social-layout'><main>{FOUR}</main></div><section class='related'><article><p>{LONG}</p></article></section>",
+]
+
+
+@pytest.mark.parametrize("body", NAMED)
+def test_names_of_wrappers_do_not_remove_the_article(body):
+    assert main_blocks(page(body)) == [f"{LONG} {k}." for k in range(4)]
+
+
+def test_a_page_of_named_boxes_is_not_empty():
+    assert main_blocks(page(f"<div class='widget'><p>{LONG} 0</p></div><div class='widget'><p>{LONG} 1</p></div>")) == [f"{LONG} 0", f"{LONG} 1"]
+
+
 @pytest.mark.parametrize("source,blocks", CASES)
 def test_cases(source, blocks):
     assert main_blocks(source) == blocks
