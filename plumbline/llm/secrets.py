@@ -26,9 +26,10 @@ KINDS = ("assign", "access", "hex", "named")
 
 LEAST_SCORE = 0.5
 LEAST_LITERAL = 8
+_HEAD = 64
 
 _VALUE = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[A-Za-z0-9_$@{(/+][\w$@{}()/+.=~!#%^&*-]*)"""
-_PAIR = re.compile(rf"""(?<![\w.$-])(["']?)([A-Za-z_$][\w.-]{{0,80}})\1[ \t]*(?::[ \t]*[A-Za-z_][\w\[\]]*[ \t]*=(?!=)|:=|=>|=(?![=>~])|:(?!:))[ \t]*({_VALUE}(?:[ \t]*(?:\+|\.\.?)[ \t]*{_VALUE})*)""")
+_PAIR = re.compile(rf"""(?<![\w.$-])(["']?)([A-Za-z_$][\w.-]*+)\1[ \t]*(?::[ \t]*[A-Za-z_][\w\[\]]*[ \t]*=(?!=)|:=|=>|=(?![=>~])|:(?!:))[ \t]*({_VALUE}(?:[ \t]*(?:\+|\.\.?)[ \t]*{_VALUE})*)""")
 _PART = re.compile(_VALUE)
 _REFERENCE = re.compile(r"\$\{?(?:env\.|var\.|self\.|this\.)?([A-Za-z_][\w.-]*)\}?|([A-Za-z_][\w.]*)(?:\(\))?")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -59,38 +60,64 @@ def name_score(name: str) -> float:
     return best * (0.3 if words and words[-1] in _HARMLESS else 1.0)
 
 
-def literal_score(value: str) -> float:
+@dataclass(frozen=True)
+class Shape:
+    """What the score of a value depends on: counts of its characters, its text if short, else the first and last of it."""
+
+    counts: Counter
+    size: int
+    head: str
+    last: str
+
+    @staticmethod
+    def of(value: str) -> Shape:
+        return Shape(Counter(value), len(value), value[:_HEAD], value[-1:])
+
+    def __add__(self, other: Shape) -> Shape:
+        return Shape(self.counts + other.counts, self.size + other.size, (self.head + other.head)[:_HEAD] if self.size < _HEAD else self.head,
+                     other.last or self.last)
+
+
+def literal_score(value: str | Shape) -> float:
     """How much a literal looks like a generated secret, from 0 to 1."""
-    if len(value) < LEAST_LITERAL or " " in value or _PLACEHOLDER.match(value):
+    shape = Shape.of(value) if isinstance(value, str) else value
+    # The placeholders depend on the beginning, the last character and the set of characters of a longer text.
+    text = shape.head if shape.size <= _HEAD else shape.head + "".join(shape.counts) + shape.last
+    if shape.size < LEAST_LITERAL or " " in shape.counts or _PLACEHOLDER.match(text):
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
+    shares = [n / shape.size for n in shape.counts.values()]
+    entropy = -sum(x * math.log2(x) for x in shares if x)
+    kinds = sum(any(f(c) for c in shape.counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in shape.counts)
     return min(1.0, entropy / 3.5) * (1.0 if kinds >= 2 else 0.55)
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[Literal]]]:
-    """(name, literals its value is made of) of all assignments, in order; names stand for what they were given before."""
-    known: dict[str, list[Literal]] = {}
+def pairs(text: str) -> Iterator[tuple[str, list[Literal], Shape]]:
+    """(name, distinct literals its value is made of, shape of the value) of all assignments, in order; names stand for what they were given before."""
+    known: dict[str, tuple[list[Literal], Shape]] = {}
     for found in _PAIR.finditer(text):
-        name, literals = found[2], []
+        name, literals, shape = found[2], [], Shape.of("")
         alone = [*_PART.finditer(text, found.start(3), found.end(3))]
         for part in alone:
             value = part[0]
             if value[0] in "\"'`":
                 if len(value) > 2:
                     literals.append(Literal(part.start() + 1, part.end() - 1, value[1:-1]))
+                    shape += Shape.of(value[1:-1])
                 continue
             bare = value.rstrip(";,)")
             reference = _REFERENCE.fullmatch(bare)
             target = reference and (reference[1] or reference[2])
             if target and (target in known or target.rpartition(".")[2] in known):
-                literals += known.get(target) or known[target.rpartition(".")[2]]
+                own, of = known.get(target) or known[target.rpartition(".")[2]]
+                literals += own
+                shape += of
             elif len(alone) == 1 and not (reference and (reference[1] or bare.endswith("()"))):
                 literals.append(Literal(part.start(), part.start() + len(bare), bare))
+                shape += Shape.of(bare)
         if literals:
-            known[name] = literals[:16]
-            yield name, literals
+            # A value may repeat a literal without bound; its spans are at most the literals of the text.
+            known[name] = literals, shape = list(dict.fromkeys(literals)), shape
+            yield name, literals, shape
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -107,9 +134,9 @@ def named_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     if "=" not in text and ":" not in text:
         return []
     found = set()
-    for name, literals in pairs(text):
+    for name, literals, shape in pairs(text):
         sensitive = name_score(name)
-        if sensitive and sensitive * literal_score("".join(x.value for x in literals)) >= LEAST_SCORE:
+        if sensitive and sensitive * literal_score(shape) >= LEAST_SCORE:
             found.update((x.first, x.end) for x in literals if x.end > x.first)
     return [(a, 3, b) for a, b in sorted(found) if not any(x <= a and b <= y for x, _, y in base)]
 

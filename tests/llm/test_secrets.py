@@ -39,6 +39,16 @@ def test_named(text, found):
     assert [text[a:b] for a, _, b in named_spans(text, base_spans(text))] == found
 
 
+def test_constants_of_many_literals_and_long_names():
+    parts = [f"{chr(97 + k)}{k % 10}" for k in range(24)]
+    text = "seed = " + " + ".join(f'"{x}"' for x in parts) + "\ndb_pwd = seed"
+    assert [text[a:b] for a, _, b in named_spans(text, [])] == parts
+    text = "n" * 100 + '_pwd = "hunter2-Q9!"'
+    assert [text[a:b] for a, _, b in named_spans(text, [])] == ["hunter2-Q9!"]
+    text = 'a = "Zx81kQ0pLm"\n' + "a = a + a\n" * 2000 + "db_pwd = a"
+    assert [text[a:b] for a, _, b in named_spans(text, [])] == ["Zx81kQ0pLm"]
+
+
 def test_scores():
     assert name_score("userPassphrase") == 1 and name_score("color") == 0 and name_score("password_hint") < 0.5
     assert literal_score("short") == literal_score("your_password") == 0 and literal_score("k3Jx9-22QpZz") > 0.8
