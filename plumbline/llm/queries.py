@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.decontaminate import find_items
+from plumbline.llm.grading import grade_documents
 from plumbline.llm.html import extract
 from plumbline.llm.jaccard import similar_components
 from plumbline.llm.language import identify
@@ -73,10 +74,15 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """A quality score of every document; one in three documents is held out from learning."""
+    return grade_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_main_text, op2_toxicity, op3_language, op4_line_spread, op5_packing, op6_ngram_jaccard, op7_secrets,
-        op8_repeated_passages, op9_benchmark_copies, op10_near_vectors)}
+        op8_repeated_passages, op9_benchmark_copies, op10_near_vectors, op12_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
