@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.decontaminate import find_items
+from plumbline.llm.divergence import audit, audit_sql
 from plumbline.llm.grading import grade_documents
 from plumbline.llm.html import extract
 from plumbline.llm.jaccard import similar_components
@@ -74,6 +75,11 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(_table(spark, folder, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and the terms that set a source apart."""
+    return audit(_table(spark, folder, "documents"))
+
+
 def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
     """A quality score of every document; one in three documents is held out from learning."""
     return grade_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -82,8 +88,9 @@ def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_main_text, op2_toxicity, op3_language, op4_line_spread, op5_packing, op6_ngram_jaccard, op7_secrets,
-        op8_repeated_passages, op9_benchmark_copies, op10_near_vectors, op12_quality)}
+        op8_repeated_passages, op9_benchmark_copies, op10_near_vectors, op11_source_divergence,
+        op12_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_spread": without_boilerplate_sql()}
+    return {"op4_line_spread": without_boilerplate_sql(), "op11_source_divergence": audit_sql()}
