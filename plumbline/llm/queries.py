@@ -16,6 +16,7 @@ from plumbline.llm.lattice import near_vectors
 from plumbline.llm.lines import without_boilerplate, without_boilerplate_sql
 from plumbline.llm.packing import pack
 from plumbline.llm.repeats import repeated_passages
+from plumbline.llm.search import search, search_sql
 from plumbline.llm.secrets import find_secrets
 from plumbline.llm.toxicity import score_documents
 from plumbline.session import tune
@@ -85,12 +86,17 @@ def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
     return grade_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_main_text, op2_toxicity, op3_language, op4_line_spread, op5_packing, op6_ngram_jaccard, op7_secrets,
         op8_repeated_passages, op9_benchmark_copies, op10_near_vectors, op11_source_divergence,
-        op12_quality)}
+        op12_quality, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_spread": without_boilerplate_sql(), "op11_source_divergence": audit_sql()}
+    return {"op4_line_spread": without_boilerplate_sql(), "op11_source_divergence": audit_sql(), "op13_ranked_search": search_sql()}
