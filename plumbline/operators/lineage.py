@@ -207,6 +207,52 @@ def column_references(edges: DataFrame, columns: DataFrame, texts: DataFrame) ->
         F.col("_known"), F.coalesce("_hits", F.array().cast("array<string>"))).alias("referenced_columns"))
 
 
+#: Texts that mention a word, and owners of a word, that one join task or index row holds; a word beyond is split.
+HOT_WORD = 100_000
+POSTINGS = 1024
+
+
+def distinct_words(texts: DataFrame) -> DataFrame:
+    """(asset, word) of ``texts(asset, text)``: every different whole word of a text."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))
+    return texts.filter("text IS NOT NULL").select("asset", F.explode(words).alias("word")).distinct()
+
+
+def word_index(columns: DataFrame, postings: int = POSTINGS) -> DataFrame:
+    """Inverted index of ``columns(asset, column_name, ordinal)``: (word, owners), owners being structs (upstream, ordinal).
+
+    A word with more than ``postings`` owners has several rows, so no row grows with the catalogue.
+    """
+    nth = F.row_number().over(Window.partitionBy("word").orderBy("upstream", "ordinal"))
+    owned = columns.filter("column_name IS NOT NULL").groupBy(F.col("asset").alias("upstream"), F.col("column_name").alias("word")).agg(
+        F.min("ordinal").alias("ordinal"))
+    return owned.withColumn("chunk", F.floor((nth - 1) / postings)).groupBy("word", "chunk").agg(
+        F.collect_list(F.struct("upstream", "ordinal")).alias("owners")).drop("chunk")
+
+
+def word_references(columns: DataFrame, texts: DataFrame, hot: int = HOT_WORD, postings: int = POSTINGS) -> DataFrame:
+    """(upstream, downstream, referenced_columns) for every asset and text that share a word, columns in their order.
+
+    No pairing is given: texts meet assets through an inverted index, by word. A word in more than ``hot`` texts is split:
+    its texts are dealt to parts by their name and its index rows go to each part, so that no task joins all texts of
+    a common word. Only such words are listed in the table both sides look them up in. A NULL text may read anything: it
+    has one row without upstream and columns.
+    """
+    index = checkpoint(word_index(columns, postings))
+    said = checkpoint(distinct_words(texts).join(index.select("word").distinct(), "word", "left_semi"))
+    parts = F.ceil(F.col("n") / hot).cast("int")
+    split = checkpoint(said.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("word", parts.alias("parts")))
+    some = F.coalesce("parts", F.lit(1))
+    dealt = said.join(split, "word", "left").select("word", "asset", F.pmod(F.xxhash64("asset"), some).cast("int").alias("part"))
+    offered = index.join(split, "word", "left").select("word", "owners", F.explode(F.sequence(F.lit(0), some - 1)).alias("part"))
+    hits = dealt.join(offered, ["word", "part"]).select(F.col("asset").alias("downstream"), "word", F.explode("owners").alias("o"))
+    read = hits.groupBy("o.upstream", "downstream").agg(F.array_sort(F.collect_list(F.struct("o.ordinal", "word"))).alias("_hits"))
+    known = read.select("upstream", "downstream", F.transform("_hits", lambda h: h["word"]).alias("referenced_columns"))
+    unknown = texts.filter("text IS NULL").select(
+        F.lit(None).cast("string").alias("upstream"), F.col("asset").alias("downstream"), F.lit(None).cast("array<string>").alias("referenced_columns"))
+    return known.unionByName(unknown.distinct())
+
+
 def asset_lineage(edges: DataFrame, nodes: DataFrame, asset: str, downstream: bool = True) -> DataFrame:
     """(asset, depth, layer, asset_type, criticality, owner) of everything up- or downstream."""
     seed = edges.sparkSession.createDataFrame([(asset, asset)], "seed string, asset string")

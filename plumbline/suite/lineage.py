@@ -181,32 +181,26 @@ _add("l11_layer_counts",
      _GRAPH_SQL + " SELECT layer, COUNT(*) AS assets FROM nodes GROUP BY layer")
 
 
-#: Benchmark items that documents read, by the remainder of the document's id.
-_ITEMS = 40
+_WORD = r"(?U)\w+"
+_WORD_SQL = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')"
 
 
 def _references(spark, folder):
-    """Which words of a benchmark item a document mentions: items as upstream assets, documents as consumer text."""
+    """Which words of which benchmark item every document mentions: items as upstream assets, documents as consumer texts."""
     bed = Bed(spark, folder)
-    docs = bed.source("documents").select(
-        F.concat(F.lit("D"), "doc_id").alias("downstream"), F.concat(F.lit("B"), F.col("doc_id") % _ITEMS).alias("upstream"),
-        F.when(F.col("doc_id") % 50 != 7, F.lower("text")).alias("text"))
+    texts = bed.source("documents").select(F.concat(F.lit("D"), "doc_id").alias("asset"), F.lower("text").alias("text"))
     offered = bed.source("benchmark").select(
         F.concat(F.lit("B"), "item_id").alias("asset"),
-        F.explode(F.array_distinct(F.split(F.lower("text"), r"[ \n]+"))).alias("column_name")).filter("column_name <> ''").withColumn(
-        "ordinal", F.length("column_name"))
-    texts = docs.select(F.col("downstream").alias("asset"), "text")
-    return plain(L.column_references(docs.select("upstream", "downstream"), offered, texts))
+        F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("ordinal", "column_name"))
+    return plain(L.word_references(offered, texts))
 
 
 _add("l12_column_references", _references,
-     f"""WITH w AS (SELECT DISTINCT 'B' || item_id AS upstream, unnest(regexp_split_to_array(lower(text), '[ \n]+')) AS c FROM benchmark),
-     t AS (SELECT doc_id, 'B' || (doc_id % {_ITEMS}) AS upstream, doc_id % 50 <> 7 AS known,
-                  unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'))) AS c FROM documents),
-     h AS (SELECT t.doc_id, array_to_string(list(c ORDER BY length(c), c), ',') AS refs FROM t JOIN w USING (upstream, c) WHERE c <> ''
-           GROUP BY ALL)
-     SELECT 'B' || (d.doc_id % {_ITEMS}) AS upstream, 'D' || d.doc_id AS downstream, CASE WHEN d.doc_id % 50 = 7 THEN NULL
-     ELSE COALESCE(h.refs, '') END AS referenced_columns FROM documents AS d LEFT JOIN h USING (doc_id)""")
+     f"""WITH w AS (SELECT 'B' || item_id AS upstream, c, MIN(pos) AS pos FROM (SELECT item_id, unnest(list) AS c,
+                      generate_subscripts(list, 1) AS pos FROM (SELECT item_id, {_WORD_SQL} AS list FROM benchmark)) GROUP BY ALL),
+     t AS (SELECT DISTINCT 'D' || doc_id AS downstream, unnest({_WORD_SQL}) AS c FROM documents)
+     SELECT upstream, downstream, string_agg(c, ',' ORDER BY pos, c) AS referenced_columns FROM t JOIN w USING (c) GROUP BY ALL
+     UNION ALL SELECT DISTINCT NULL, 'D' || doc_id, NULL FROM documents WHERE text IS NULL""")
 
 
 def _lineage_table(spark, folder):

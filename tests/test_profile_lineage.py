@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import datetime
 from decimal import Decimal
 
@@ -198,3 +200,30 @@ def test_words_of_any_alphabet(spark):
     columns = spark.createDataFrame([("up", "r", 1), ("up", "für", 2), ("up", "日本", 3)], "asset string, column_name string, ordinal int")
     texts = spark.createDataFrame([("down", "gut für alle, 日本")], "asset string, text string")
     assert L.column_references(edges, columns, texts).collect()[0].referenced_columns == ["für", "日本"]
+
+
+def test_word_references_meet_all_texts_with_all_assets(spark):
+    pick = random.Random(4)
+    words = [f"w{int(pick.paretovariate(0.7))}" for _ in range(60)] + ["für", "日本", "a_b"]
+    columns = [(f"A{i}", w, k) for i in range(40) for k, w in enumerate(pick.choices(words, k=pick.randrange(1, 9)))]
+    # "id" is owned by all assets and said by all texts.
+    columns += [(f"A{i}", "id", 99) for i in range(40)] + [("A0", None, 3)]
+    texts = [(f"T{i}", " ".join([*pick.choices(words, k=pick.randrange(9)), "id, id"])) for i in range(120)] + [("T0", "w1 für"), ("none", None), ("none", None), ("empty", "")]
+    want = {}
+    for asset, text in texts:
+        for a in {c[0] for c in columns}:
+            said = set(re.findall(r"\w+", text or ""))
+            own = {}
+            for c in columns:
+                if c[0] == a and c[1] in said:
+                    own[c[1]] = min(own.get(c[1], 99), c[2])
+            if own:
+                want.setdefault((a, asset), {}).update(own)
+    want = {k: [w for _, w in sorted((n, w) for w, n in v.items())] for k, v in want.items()} | {(None, "none"): None}
+    offered = spark.createDataFrame(columns, "asset string, column_name string, ordinal int")
+    given = spark.createDataFrame(texts, "asset string, text string")
+    # Split words and split index rows give the same as whole ones.
+    for hot, postings in ((100_000, 1024), (7, 3)):
+        rows = L.word_references(offered, given, hot, postings).collect()
+        assert {(r.upstream, r.downstream): r.referenced_columns for r in rows} == want and len(rows) == len(want)
+    assert max(len(r.owners) for r in L.word_index(offered, 3).collect()) == 3
