@@ -2,14 +2,20 @@
 
 A text's set holds the hashes of its distinct word n-grams. Two sets of sizes a and b with 100 * |A and B| >= p * |A or B|
 differ in at most D(a, b) = (100 - p)(a + b) / (100 + p) elements. Each element flips one bit of a sketch, so sketches
-of such sets differ in at most D bits; a sketch cut into more than D blocks has an equal block (pigeonhole). Sizes are
-banded, and in each band the number of blocks k exceeds D of the largest sizes.
+of such sets differ in at most D bits; a sketch cut into k > D blocks has k - D equal blocks (pigeonhole). Sizes are
+banded, and in each band k is about 1.5 D of the largest sizes.
+
+An empty block is equal in a fixed share of all sets, so only filled blocks give keys. If a set has fewer than k - D empty
+blocks, any partner shares a filled one. The few sets that have more are dealt to blocks anew by another hash, and once
+more until it holds, and give the keys of every deal: of two linked sets, the one that was done first shares a filled
+block of its last deal with the other. Where D is 1 at most (tiny sets), the keys are the set and, for D = 1, the set
+without each of its elements. So a key is shared by sets with equal elements only, at any size of the corpus.
 
 1. One scan writes, for each text, its size and a short sketch. Another sends the block keys, packed by hash bucket. A
    set that a task has seen before sends no keys again, so copies are combined before the shuffle. (Two scans cost less
    than keeping the keys of one scan on disk.)
-2. Each bucket is sorted and keys of two or more sets stay. A linked pair differs in at most D of its k keys, so a set
-   with fewer than k - D shared keys has no partner and goes (this removes texts that only share a common passage).
+2. Each bucket is sorted and keys of two or more sets stay. A linked pair has k - D equal blocks, so a set with fewer
+   shared keys than that, less its empty blocks, has no partner and goes (this removes texts that only share a passage).
 3. Each key's smallest set is its hub. Pairs (set, hub) pass the Hamming bound of the short sketches, then the exact
    comparison of the texts' sets. A second round takes another hub for each key, for sets still apart from it.
    Only keys that lie in several components, and sets with enough such keys (as in 2), go on.
@@ -37,7 +43,8 @@ from plumbline.session import checkpoint
 SIZE = 5
 PERCENT = 80
 BAND_RATIO = 1.6
-BLOCK_BITS = 1024
+#: Bits of one block of a sketch; only the odd ones are ever listed.
+BLOCK_BITS = 1 << 20
 BLOCK_MEMBERS = 512
 SKETCH_BITS = 4
 #: Pairs that a task remembers so as not to send them again for another key.
@@ -45,6 +52,7 @@ PAIRS_KEPT = 200_000
 CACHE_TEXTS = 64
 
 _U = np.uint64
+_DEAL = _U(0xD1B54A32D192ED03)
 
 
 def _bands() -> np.ndarray:
@@ -102,17 +110,26 @@ def block_keys(elements: np.ndarray, percent: int) -> list[tuple[int, int, np.nd
     out = []
     for j in [band] + ([band + 1] if most >= EDGES[band + 1] else []):
         top = int(EDGES[j + 1]) - 1
-        k = differing(top, top, percent) + 1
-        block = (elements >> _U(32)) % _U(k)
-        place, times = np.unique(block * _U(BLOCK_BITS) + (elements & _U(BLOCK_BITS - 1)), return_counts=True)
-        place = place[times & 1 == 1]
-        total = np.zeros(k + 1, dtype=np.uint64)
-        ends = np.searchsorted(place, np.arange(k + 1, dtype=np.uint64) * _U(BLOCK_BITS))
-        running = np.zeros(len(place) + 1, dtype=np.uint64)
-        np.cumsum(mix(place + _U(j << 50)), dtype=np.uint64, out=running[1:])
-        total = running[ends[1:]] - running[ends[:-1]]
-        keys = mix(total + mix(np.arange(k, dtype=np.uint64) + _U(j << 40)))
-        out.append((j, max(1, k - differing(n, min(most, top), percent)), keys))
+        worst = differing(top, top, percent)
+        if worst <= 1:
+            whole = elements.sum(dtype=np.uint64).reshape(1)
+            cores = np.concatenate((whole, whole - elements)) if worst else whole
+            out.append((j, 1, mix(cores + mix(np.array([j << 40], dtype=np.uint64)))))
+            continue
+        k = worst + (worst + 1) // 2 + 2
+        spare = k - differing(n, min(most, top), percent)
+        deals: list[np.ndarray] = []
+        while True:
+            dealt = mix(elements + _U(len(deals)) * _DEAL) if deals else elements
+            place, times = np.unique((dealt >> _U(32)) % _U(k) * _U(BLOCK_BITS) + (dealt & _U(BLOCK_BITS - 1)), return_counts=True)
+            place = place[times & 1 == 1]
+            block = place // _U(BLOCK_BITS)
+            first = np.flatnonzero(np.diff(block, prepend=_U(k)))
+            total = np.add.reduceat(mix(place + _U(j << 50)), first) if len(first) else place
+            deals.append(mix(total + mix(block[first] + _U(j << 40) + _U(len(deals) << 52))))
+            if k - len(first) < spare:
+                break
+        out.append((j, spare - (k - len(deals[0])) if len(deals) == 1 else 1, np.concatenate(deals)))
     return out
 
 
@@ -173,12 +190,14 @@ def _packed(buckets, keys, at, sets, needs, bands) -> pa.RecordBatch:
     out = {f.name: [] for f in _PACKED_SCHEMA}
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
         used, where = np.unique(at[a:b], return_inverse=True)
+        narrow = np.uint16 if len(used) <= 1 << 16 else np.uint32
         out["bucket"].append(int(bucket[a]))
         out["keys"].append(keys[a:b].tobytes())
-        out["at"].append(where.astype(np.uint32).tobytes())
+        out["at"].append(where.astype(narrow).tobytes())
         out["sets"].append(sets[used].tobytes())
-        out["needs"].append(needs[used].tobytes())
-        out["bands"].append(bands[used].tobytes())
+        # A smaller need only lets more sets pass.
+        out["needs"].append(np.minimum(needs[used], 65535).astype(np.uint16).tobytes())
+        out["bands"].append(bands[used].astype(np.uint8).tobytes())
     return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _PACKED_SCHEMA], schema=_PACKED_SCHEMA)
 
 
@@ -190,9 +209,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         for keys, at, sets, needs, bands in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            where = np.frombuffer(at, np.uint32)
+            where = np.frombuffer(at, np.uint16 if 4 * len(at) == len(keys) else np.uint32)
             parts.append((np.frombuffer(keys, np.uint64), np.frombuffer(sets, np.int64)[where],
-                          np.frombuffer(needs, np.int32)[where], np.frombuffer(bands, np.int32)[where]))
+                          np.frombuffer(needs, np.uint16).astype(np.int32)[where], np.frombuffer(bands, np.uint8).astype(np.int32)[where]))
     if not parts:
         return
     key, cls, need, band = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -327,11 +346,11 @@ def _star(placed: DataFrame, order: Column, classes: DataFrame, texts: DataFrame
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``(doc_id, tid, n, component)`` of every row; ``tid`` is a hash of the text."""
     spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     mine = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text")
     rows = checkpoint(mine.mapInArrow(_rows(size), _ROW))
     packed = mine.where("doc_id is not null").select("text").mapInArrow(_keys(size, percent, buckets), _PACKED)
-    members = checkpoint(packed.repartition("bucket").drop("bucket").mapInArrow(_shared, _MEMBER))
+    members = checkpoint(packed.repartitionById(buckets, F.col("bucket")).drop("bucket").mapInArrow(_shared, _MEMBER))
     able = members.groupBy("cls", "band").agg(F.count("*").alias("shared"), F.first("need").alias("need")).where("shared >= need")
     members = checkpoint(members.join(able.select("cls", "band"), ["cls", "band"], "left_semi").select("key", "cls", "band", "need"))
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from plumbline.llm.jaccard import differing, gram_sets, hamming, similar_components, sketch
+from plumbline.llm.jaccard import block_keys, differing, gram_sets, hamming, similar_components, sketch
 from plumbline.llm.words import slices
 
 WORD = __import__("re").compile(r"[^\x20\x09-\x0D]+")
@@ -85,3 +85,26 @@ def test_sketches_bound_the_difference():
     apart = len(np.setxor1d(x, y))
     assert hamming(sketch(x), sketch(y)) <= apart
     assert differing(100, 100, 85) == 16
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_share_as_many_keys_as_they_need(percent):
+    rng = np.random.default_rng(percent)
+    for n in [*range(1, 40), *rng.integers(40, 900, 120).tolist()]:
+        for _ in range(12 if n < 40 else 2):
+            universe = rng.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * n + 2, dtype=np.uint64)
+            less, more = rng.integers(0, n // 4 + 1), rng.integers(0, n // 4 + 1)
+            a, b = universe[:n], np.concatenate((universe[less:n], universe[n:n + more]))
+            if len(b) and 100 * (n - less) >= percent * (n + more):
+                # In some band, what the two share meets the need of both.
+                left, right = ({j: (need, set(keys.tolist())) for j, need, keys in block_keys(np.sort(x), percent)} for x in (a, b))
+                assert any(len(left[j][1] & right[j][1]) >= max(1, left[j][0], right[j][0]) for j in left.keys() & right.keys()), (n, less, more)
+
+
+def test_unlike_sets_share_no_keys():
+    rng = np.random.default_rng(1)
+    for n in (2, 4, 6, 8, 12, 20, 40):
+        keys = [keys for _ in range(20_000) for _, _, keys in block_keys(rng.integers(0, 1 << 63, n, dtype=np.uint64), 80)]
+        found, times = np.unique(np.concatenate(keys), return_counts=True)
+        # An odd bit in a block of its own may coincide by chance, nothing more.
+        assert (times > 1).sum() < 0.02 * len(found) and times.max() <= 4
