@@ -89,24 +89,31 @@ def rule_history(scored: DataFrame, rule_key: str) -> DataFrame:
         "as_of", "run_id", "status", "scanned", "failed", "failure_rate").orderBy("as_of", "run_id")
 
 
-def failing_assets(scored_latest: DataFrame, nodes: DataFrame, issues: DataFrame) -> DataFrame:
-    """Assets failing in the latest run, with their worst numbers and since when they fail."""
+def failing_assets(scored_latest: DataFrame, nodes: DataFrame, issues: DataFrame, spells: DataFrame) -> DataFrame:
+    """Assets failing in the latest run, with their worst numbers, since when their issues are open and they fail without a break.
+
+    ``spells`` are the failing stretches of the rules; those still going on count.
+    """
     open_issues = issues.filter("status <> 'resolved'").select("rule_key", "first_detected_at")
-    failing = scored_latest.filter("status = 'fail'").join(open_issues, "rule_key", "left")
+    going_on = spells.filter("ended_at IS NULL").select("rule_key", "started_at", "runs")
+    failing = scored_latest.filter("status = 'fail'").join(open_issues, "rule_key", "left").join(going_on, "rule_key", "left")
     return failing.groupBy("asset").agg(
-        F.count(F.lit(1)).alias("failing_rules"), F.sum("failed").alias("failing_records"),
+        F.count(F.lit(1)).alias("failing_rules"), F.count("first_detected_at").alias("open_issues"), F.sum("failed").alias("failing_records"),
         weighted_health(1).alias("health"), F.min("first_detected_at").alias("failing_since"),
+        F.min("started_at").alias("without_a_break_since"), F.max("runs").alias("failing_runs"),
     ).join(nodes.select("asset", "layer", "owner"), "asset").orderBy(
         F.desc_nulls_last("failing_since"), F.desc("failing_rules"), "asset")
 
 
-def headline(nodes: DataFrame, columns: DataFrame, scored_latest: DataFrame, issues: DataFrame,
-             trend: DataFrame) -> DataFrame:
+def headline(nodes: DataFrame, columns: DataFrame, scored_latest: DataFrame, issues: DataFrame, trend: DataFrame,
+             rules: DataFrame, terms: DataFrame) -> DataFrame:
     """One row of headline numbers; every input is aggregated to a single row first."""
     working = F.col("status").isin("open", "investigating")
     parts = [
         nodes.agg(F.count_if(F.col("asset_type").isin("source", "model")).alias("datasets"),
-                  F.count_if(F.col("asset_type") == "exposure").alias("exposures")),
+                  F.count_if(F.col("asset_type") == "exposure").alias("exposures"), F.count_distinct("owner").alias("teams")),
+        rules.agg(F.count(F.lit(1)).alias("rules_defined")),
+        terms.agg(F.count(F.lit(1)).alias("glossary_terms")),
         columns.agg(F.count(F.lit(1)).alias("columns"), F.count_if("is_critical").alias("critical_fields")),
         scored_latest.agg(F.count(F.lit(1)).alias("rules_executed"),
                           F.count_if(F.col("status") == "fail").alias("rules_failing")),
@@ -115,7 +122,8 @@ def headline(nodes: DataFrame, columns: DataFrame, scored_latest: DataFrame, iss
                    F.count_if(working & (F.col("priority_band") == "P1")).alias("p1_issues"),
                    F.count_if(working & (F.col("severity") == "critical")).alias("critical_issues")),
         trend.agg(F.max_by("health", "run_number").alias("health"),
-                  F.max_by("health_change_7", "run_number").alias("health_change_7")),
+                  F.max_by("health_change_7", "run_number").alias("health_change_7"),
+                  F.max_by(F.round(F.col("health") - F.col("health_change_7"), 2), "run_number").alias("health_7_runs_ago")),
     ]
     # Single-row inputs meet on a constant key.
     keyed = [p.withColumn("_one", F.lit(1)) for p in parts]

@@ -1,8 +1,9 @@
-"""Issue lifecycle: fold run outcomes and triage actions into issue state and events.
+"""Issue lifecycle: fold run outcomes and triage actions into issue state, events and detail documents.
 
 At most one issue exists per rule. A failing run opens it (or reopens a resolved one), a passing run resolves
-it, and manual actions move it along allowed transitions. The fold runs per rule over its runs and actions,
-a history of one small row per run.
+it, and manual actions move it along allowed transitions. Windows cut the history of a rule into islands: runs of equal
+outcome without an action in between. Only islands and actions are folded in order; what happens inside an island
+follows from the state at its start and the run before, so a rule that fails for years costs one step.
 """
 
 from __future__ import annotations
@@ -20,115 +21,183 @@ TRANSITIONS = {
 UNRESOLVED = ("open", "investigating", "accepted")
 STATUSES = tuple(TRANSITIONS)
 
-_EVENT = ("struct<at:timestamp_ntz,run_id:bigint,event_type:string,from_status:string,to_status:string,"
-          "actor:string,note:string,affected:bigint,scanned:bigint>")
-_STATE = f"struct<status:string,affected:bigint,events:array<{_EVENT}>>"
+#: Longest actor and note that are kept.
+ACTOR_LENGTH, NOTE_LENGTH = 80, 2000
 
+_MOVE = "struct<step:bigint,before:string,event:string,after:string>"
+_STATE = f"struct<status:string,moves:array<{_MOVE}>>"
+_ORDER = ("at", "turn", "run_id", "kind", "wish", "actor", "note")
 
-def _allowed(current: Column, wanted: Column) -> Column:
-    out = F.lit(False)
+
+def allowed_moves(status: Column) -> Column:
+    """The manual moves open to an issue, in text order."""
+    out = F.array().cast("array<string>")
     for source, targets in TRANSITIONS.items():
-        out = out | ((current == source) & wanted.isin(*targets))
+        out = F.when(status == source, F.array(*[F.lit(t) for t in sorted(targets)])).otherwise(out)
     return out
 
 
+def triage(actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(valid, invalid)`` of ``actions(rule_key, at, kind, status, actor, note)``.
+
+    Actor and note lose outer blanks and what exceeds their length. An action needs an actor and a known status, a comment an
+    actor and a note; invalid ones get a ``problem``.
+    """
+    def text(column: str, length: int) -> Column:
+        return F.nullif(F.substring(F.trim(F.coalesce(column, F.lit(""))), 1, length), F.lit(""))
+
+    clean = actions.withColumns({"actor": text("actor", ACTOR_LENGTH), "note": text("note", NOTE_LENGTH)})
+    known = F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
+    problem = F.when(F.col("actor").isNull(), "no actor").when((F.col("kind") == "comment") & F.col("note").isNull(), "empty comment").when(
+        (F.col("kind") == "action") & ~known, "unknown status").when(~F.col("kind").isin("action", "comment"), "unknown kind")
+    judged = clean.withColumn("problem", problem)
+    return judged.filter("problem IS NULL").drop("problem"), judged.filter("problem IS NOT NULL")
+
+
 def _step(state: Column, item: Column) -> Column:
-    """The next state after one outcome or action."""
-    status, kind = state["status"], item["kind"]
-    failing, passing = kind == "fail", kind == "pass"
+    """The state after one island or action."""
+    status, kind, wish = state["status"], item["kind"], item["wish"]
     tracked = F.coalesce(status.isin(*UNRESOLVED), F.lit(False))
-    comment, action = kind == "comment", kind == "action"
-    moved = F.coalesce(_allowed(status, item["status"]), F.lit(False))
+    moved = F.coalesce(F.array_contains(allowed_moves(status), wish), F.lit(False))
     event = (
-        F.when(failing & status.isNull(), "created")
-        .when(failing & (status == "resolved"), "reopened")
-        .when(failing & (state["affected"] != item["failed"]), "redetected")
-        .when(failing, "seen")
-        .when(passing & tracked, "auto_resolved")
-        .when(comment & tracked, "comment")
-        .when(action & status.isNull(), "rejected")
-        .when(action & (item["status"] == status), "skipped")
-        .when(action & moved, "status_change")
-        .when(action, "rejected")
-    )
-    after = (
-        F.when(event.isin("created", "reopened"), "open")
-        .when(event == "auto_resolved", "resolved")
-        .when(event == "status_change", item["status"])
-        .otherwise(status)
-    )
-    entry = F.struct(
-        item["at"].alias("at"), item["run_id"].alias("run_id"), event.alias("event_type"),
-        status.alias("from_status"), F.when(event == "rejected", item["status"]).otherwise(after).alias("to_status"),
-        item["actor"].alias("actor"), item["note"].alias("note"), item["failed"].alias("affected"),
-        item["scanned"].alias("scanned")).cast(_EVENT)
-    events = F.when(event.isNull(), state["events"]).otherwise(F.concat(state["events"], F.array(entry)))
-    affected = F.when(failing, item["failed"]).otherwise(state["affected"])
-    return F.struct(after.alias("status"), affected.alias("affected"), events.alias("events")).cast(_STATE)
+        F.when((kind == "fail") & status.isNull(), "created").when((kind == "fail") & (status == "resolved"), "reopened")
+        .when(kind == "fail", "seen").when((kind == "pass") & tracked, "auto_resolved")
+        .when(kind.isin("action", "comment") & status.isNull(), "rejected").when(kind == "comment", "comment")
+        .when((kind == "action") & (wish == status), "skipped").when((kind == "action") & moved, "status_change")
+        .when(kind == "action", "rejected"))
+    after = F.when(event.isin("created", "reopened"), "open").when(event == "auto_resolved", "resolved").when(
+        event == "status_change", wish).otherwise(status)
+    move = F.struct(item["step"].alias("step"), status.alias("before"), event.alias("event"), after.alias("after")).cast(_MOVE)
+    return F.struct(after.alias("status"), F.concat(state["moves"], F.array(move)).alias("moves")).cast(_STATE)
 
 
 def fold(outcomes: DataFrame, actions: DataFrame | None = None) -> DataFrame:
-    """(rule_key, status, events) per rule; a rule that never failed has no status.
+    """The log, one row per run or action that touched an issue.
 
-    ``outcomes`` is (rule_key, run_id, as_of, status, scanned, failed); errors say nothing and are dropped.
-    ``actions`` is (rule_key, at, kind, status, actor, note), kind being 'action' or 'comment'.
+    (rule_key, seq, at, run_id, event_type, from_status, to_status, actor, note, affected, scanned, status), ``status`` being
+    that of the issue afterwards. ``outcomes`` is (rule_key, run_id, as_of, status, scanned, failed); errors say nothing and are
+    dropped. ``actions`` is (rule_key, at, kind, status, actor, note), kind being 'action' or 'comment'. Event types besides
+    those of ``events``: seen (a run as before), skipped (a move to the present status), rejected.
     """
-    runs = outcomes.filter("status <> 'error'").select(
+    none = F.lit(None)
+    line = outcomes.filter("status <> 'error'").select(
         "rule_key", F.col("as_of").alias("at"), F.lit(0).alias("turn"), F.col("run_id").cast("bigint").alias("run_id"),
-        F.col("status").alias("kind"), F.lit(None).cast("string").alias("status"), F.lit("engine").alias("actor"),
-        F.lit(None).cast("string").alias("note"), F.col("failed").cast("bigint").alias("failed"),
-        F.col("scanned").cast("bigint").alias("scanned"))
-    line = runs
+        F.col("status").alias("kind"), none.cast("string").alias("wish"), F.lit("engine").alias("actor"),
+        none.cast("string").alias("note"), F.col("failed").cast("bigint").alias("failed"), F.col("scanned").cast("bigint").alias("scanned"))
     if actions is not None:
-        none = F.lit(None).cast("bigint")
-        line = runs.unionByName(actions.select(
-            "rule_key", "at", F.lit(1).alias("turn"), none.alias("run_id"), "kind", "status", "actor", "note",
-            none.alias("failed"), none.alias("scanned")))
-    items = F.array_sort(F.collect_list(F.struct(
-        "at", "turn", "run_id", "kind", "status", "actor", "note", "failed", "scanned")))
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(None).cast("bigint").alias("affected"),
-                     F.array().cast(f"array<{_EVENT}>").alias("events")).cast(_STATE)
-    folded = line.groupBy("rule_key").agg(items.alias("items")).select(
-        "rule_key", F.aggregate("items", start, _step).alias("s"))
-    return folded.select("rule_key", F.col("s.status").alias("status"), F.col("s.events").alias("events"))
+        line = line.unionByName(actions.select(
+            "rule_key", "at", F.lit(1).alias("turn"), none.cast("bigint").alias("run_id"), "kind", F.col("status").alias("wish"), "actor",
+            "note", none.cast("bigint").alias("failed"), none.cast("bigint").alias("scanned")))
+    order = Window.partitionBy("rule_key").orderBy(*_ORDER)
+    failing = F.col("kind") == "fail"
+    head = F.col("kind").isin("action", "comment") | ~F.lag("kind").over(order).eqNullSafe(F.col("kind"))
+    line = line.withColumns({
+        "seq": F.row_number().over(order), "head": head,
+        "known": F.last(F.when(failing, F.col("failed")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    line = line.withColumn("step", F.sum(F.col("head").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.struct(none.cast("string").alias("status"), F.array().cast(f"array<{_MOVE}>").alias("moves")).cast(_STATE)
+    steps = line.filter("head").groupBy("rule_key").agg(F.array_sort(F.collect_list(F.struct("step", "kind", "wish"))).alias("items"))
+    moves = steps.select("rule_key", F.explode(F.aggregate("items", start, _step)["moves"]).alias("m")).select("rule_key", "m.*")
+    joined = line.join(moves, ["rule_key", "step"])
+    event = F.when(F.col("head"), F.col("event")).when(failing, "seen")
+    event = F.when((event == "seen") & (F.col("known") != F.col("failed")), "redetected").otherwise(event)
+    return joined.withColumn("event_type", event).filter("event_type IS NOT NULL").select(
+        "rule_key", "seq", "at", "run_id", "event_type", F.when(F.col("head"), F.col("before")).otherwise(F.col("after")).alias("from_status"),
+        F.when(F.col("event_type") == "rejected", F.col("wish")).otherwise(F.col("after")).alias("to_status"),
+        "actor", "note", F.col("failed").alias("affected"), "scanned", F.col("after").alias("status"))
 
 
 _QUIET = ("seen", "skipped", "rejected")
+_DETECTED = ("created", "reopened", "redetected", "seen")
 
 
-def events(folded: DataFrame) -> DataFrame:
-    """The audit log: one row per event that changed something."""
-    rows = folded.select("rule_key", F.posexplode("events").alias("seq", "e"))
-    return rows.filter(~F.col("e.event_type").isin(*_QUIET)).select(
-        "rule_key", "seq", "e.at", "e.run_id", "e.event_type", "e.from_status", "e.to_status", "e.actor", "e.note")
+def events(log: DataFrame) -> DataFrame:
+    """The audit log: one row per event that changed or noted something."""
+    return log.filter(~F.col("event_type").isin(*_QUIET)).select(
+        "rule_key", "seq", "at", "run_id", "event_type", "from_status", "to_status", "actor", "note")
 
 
-def rejected_actions(folded: DataFrame) -> DataFrame:
-    """Triage actions that did not apply: forbidden moves and moves on rules without an issue."""
-    rows = folded.select("rule_key", F.explode("events").alias("e"))
-    return rows.filter("e.event_type = 'rejected'").select(
-        "rule_key", "e.at", "e.from_status", "e.to_status", "e.actor")
+def rejected_actions(log: DataFrame) -> DataFrame:
+    """Triage that did not apply: forbidden moves, and moves and comments on rules without an issue."""
+    return log.filter("event_type = 'rejected'").select("rule_key", "at", "from_status", "to_status", "actor")
 
 
-def current(folded: DataFrame) -> DataFrame:
+def current(log: DataFrame) -> DataFrame:
     """One row per issue with its key, detection span, occurrences, latest counts and resolution time."""
-    found = F.filter("events", lambda e: e["event_type"].isin("created", "reopened", "redetected", "seen"))
-    closed = F.filter("events", lambda e: e["event_type"].isin("auto_resolved", "status_change")
-                      & (e["to_status"] == "resolved"))
-    last = F.element_at(found, -1)
-    out = folded.filter("status IS NOT NULL").select(
-        "rule_key", "status", F.element_at(found, 1)["at"].alias("first_detected_at"),
-        F.element_at(found, 1)["run_id"].alias("first_run_id"), last["at"].alias("last_detected_at"),
-        last["run_id"].alias("last_run_id"), F.size(found).alias("occurrences"),
-        last["affected"].alias("affected_records"), last["scanned"].alias("records_scanned"),
-        F.when(F.col("status") == "resolved", F.try_element_at(closed, F.lit(-1))["at"]).alias("resolved_at"))
+    found = F.col("event_type").isin(*_DETECTED)
+    closed = F.col("event_type").isin("auto_resolved", "status_change") & (F.col("to_status") == "resolved")
+
+    def at_end(column: str, when: Column, first: bool = False) -> Column:
+        pick = F.min_by if first else F.max_by
+        return pick(column, F.when(when, F.col("seq")))
+
+    every = F.lit(True)
+    out = log.groupBy("rule_key").agg(
+        at_end("status", every).alias("status"), at_end("at", found, True).alias("first_detected_at"),
+        at_end("run_id", found, True).alias("first_run_id"), at_end("at", found).alias("last_detected_at"),
+        at_end("run_id", found).alias("last_run_id"), F.count_if(found).cast("int").alias("occurrences"),
+        at_end("affected", found).alias("affected_records"), at_end("scanned", found).alias("records_scanned"),
+        at_end("at", closed).alias("_closed")).filter("status IS NOT NULL")
     order = Window.orderBy("first_detected_at", "rule_key")  # one row per rule
-    return out.withColumn("issue_key", F.format_string("DQ-%04d", F.row_number().over(order)))
+    return out.withColumns({
+        "resolved_at": F.when(F.col("status") == "resolved", F.col("_closed")),
+        "issue_key": F.format_string("DQ-%04d", F.row_number().over(order))}).drop("_closed")
+
+
+def failing_spells(results: DataFrame) -> DataFrame:
+    """Gaps and islands of ``results(rule_key, run_id, as_of, status, failed)``: one row per stretch of failing runs.
+
+    (rule_key, started_at, first_run, last_failed_at, ended_at, runs, peak): ``ended_at`` is the first passing run after it, NULL
+    while the rule still fails. Errors neither end nor extend a stretch.
+    """
+    order = Window.partitionBy("rule_key").orderBy("as_of", "run_id")
+    runs = results.filter("status <> 'error'").withColumns({
+        "_new": (~F.lag("status").over(order).eqNullSafe(F.col("status"))).cast("int"), "_next": F.lead("as_of").over(order)})
+    runs = runs.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.filter("status = 'fail'").groupBy("rule_key", "_island").agg(
+        F.min("as_of").alias("started_at"), F.min_by("run_id", "as_of").alias("first_run"), F.max("as_of").alias("last_failed_at"),
+        F.max_by("_next", "as_of").alias("ended_at"), F.count(F.lit(1)).alias("runs"), F.max("failed").alias("peak")).drop("_island")
+
+
+def _page(rows: DataFrame, order: list, name: str, columns: list[str], page: int, size: int) -> DataFrame:
+    """(rule_key, <name>, n_<name>): one page of each rule's rows as structs, and how many there are in all."""
+    by_rule = Window.partitionBy("rule_key")
+    nth = F.row_number().over(by_rule.orderBy(*order))
+    held = rows.withColumns({"_n": nth, "_all": F.count(F.lit(1)).over(by_rule)})
+    low, high = (page - 1) * size, page * size
+    # Only a page is collected; all other rows end in the filter.
+    picked = F.sort_array(F.collect_list(F.when((F.col("_n") > low) & (F.col("_n") <= high), F.struct("_n", *columns))))
+    shown = F.transform(picked, lambda x: F.struct(*[x[c].alias(c) for c in columns]))
+    kept = held.filter((F.col("_n") == 1) | (F.col("_n") > low) & (F.col("_n") <= high))
+    return kept.groupBy("rule_key").agg(shown.alias(name), F.max("_all").alias(f"n_{name}"))
+
+
+def details(issues: DataFrame, log: DataFrame, results: DataFrame, impacted: DataFrame, contacts: DataFrame, page: int = 1,
+            size: int = 20) -> DataFrame:
+    """The page of an issue: its columns with allowed moves, impacts, events, comments, run history and contacts as arrays.
+
+    Every array holds one page of at most ``size`` entries, and ``n_<array>`` counts them all. Impacts come nearest first, events
+    oldest first, comments and runs newest first, contacts with the broken asset's owner first.
+    """
+    parts = [
+        _page(impacted.withColumnRenamed("seed", "rule_key"), ["depth", "asset"], "impacts",
+              ["asset", "asset_type", "layer", "criticality", "owner", "depth", "is_critical", "path"], page, size),
+        _page(events(log), ["seq"], "events", ["event_type", "from_status", "to_status", "actor", "note", "at", "run_id"], page, size),
+        _page(log.filter("event_type = 'comment'"), [F.desc("seq")], "comments", ["at", "actor", "note"], page, size),
+        _page(results, [F.desc("as_of"), F.desc("run_id")], "history", ["as_of", "status", "failed", "scanned"], page, size),
+        _page(contacts, [F.desc("owns_broken_asset"), "owner"], "contacts", ["owner", "owns_broken_asset"], page, size),
+    ]
+    out = issues.withColumn("allowed_transitions", allowed_moves(F.col("status")))
+    for part in parts:
+        name = part.columns[1]
+        out = out.join(part, "rule_key", "left").withColumns({
+            name: F.coalesce(name, F.array().cast(part.schema[name].dataType)), f"n_{name}": F.coalesce(f"n_{name}", F.lit(0))})
+    return out
 
 
 def describe(issues: DataFrame, rules: DataFrame, impact: DataFrame) -> DataFrame:
     """Add title, description and the impact columns an issue carries."""
-    meta = rules.select("rule_key", "rule_name", "asset", "category", "severity", "business_impact")
+    meta = rules.select("rule_key", "rule_name", "rule_type", "columns", "asset", "category", "severity", "business_impact")
     reach = impact.drop("asset", "columns").withColumnRenamed("seed", "rule_key")
     out = issues.join(meta, "rule_key").join(reach, "rule_key", "left")
     share = F.when(F.col("records_scanned") > 0, F.col("affected_records") / F.col("records_scanned")).otherwise(0.0)
@@ -151,7 +220,7 @@ def queue(issues: DataFrame, statuses: list[str] | None = None, bands: list[str]
 
 def contacts(impacted: DataFrame, issues: DataFrame, nodes: DataFrame) -> DataFrame:
     """(rule_key, owner, owns_broken_asset): teams to talk to, the broken asset's owner included."""
-    own = issues.join(nodes.select("asset", "owner"), "asset").select(
+    own = issues.select("rule_key", "asset").join(nodes.select("asset", "owner"), "asset").select(
         "rule_key", "owner", F.lit(True).alias("owns_broken_asset"))
     touched = impacted.select(F.col("seed").alias("rule_key"), "owner").join(
         own.select("rule_key", F.col("owner").alias("_own")), "rule_key")

@@ -327,6 +327,22 @@ def backfill(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Sequen
     return with_status(out.select("rule_key", as_of.alias("as_of"), "scanned", "failed", "error"))
 
 
+def after_repairs(results: DataFrame, repairs: DataFrame) -> DataFrame:
+    """Counts of rules whose bad rows were repaired between runs.
+
+    ``results(rule_key, as_of, scanned, failed, error)`` count all rows loaded by then; ``repairs(rule_key, at)`` say when all
+    failing rows known to the rule were corrected. A repaired row does not fail again: from then on the rows that failed in
+    the last run up to the repair are taken off. Status and failure rate follow the new counts.
+    """
+    line = results.select("*", F.lit(0).alias("_turn")).unionByName(
+        repairs.select("rule_key", F.col("at").alias("as_of"), F.lit(1).alias("_turn")), allowMissingColumns=True)
+    past = Window.partitionBy("rule_key").orderBy("as_of", "_turn").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col("_turn") == 1, F.coalesce(F.last(F.when(F.col("_turn") == 0, F.col("failed")), True).over(past), F.lit(0)))
+    fixed = F.coalesce(F.last("_known", True).over(past), F.lit(0))
+    left = line.withColumn("_known", known).withColumn("_fixed", fixed).filter("_turn = 0")
+    return with_status(left.select("rule_key", "as_of", "scanned", F.greatest(F.col("failed") - F.col("_fixed"), F.lit(0)).alias("failed"), "error"))
+
+
 # --------------------------------------------------------------------------- many small cases at once
 
 def failing_by_case(tables: Mapping[str, DataFrame], rules: Sequence[Rule], as_of: datetime | str,

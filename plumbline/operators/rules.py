@@ -30,6 +30,20 @@ CATEGORIES = (
     "invalid_category", "inconsistent_status", "invalid_numeric", "reconciliation", "financial_consistency",
     "business_rule",
 )
+# What a defect of a category means to the people who use the data.
+CATEGORY_IMPACT = {
+    "missing_identifier": "Rows cannot be tied to anything and drop out of every join.",
+    "duplicate_identifier": "Repeated rows count twice in totals, rates and customer numbers.",
+    "broken_relationship": "Rows point to something unknown, so breakdowns lose them.",
+    "invalid_date": "Rows fall into the wrong period or into none.",
+    "chronology": "Events follow each other in an impossible order, so durations turn negative.",
+    "invalid_category": "Rows end up in no known group, and filters miss them.",
+    "inconsistent_status": "Two facts about the same row contradict each other.",
+    "invalid_numeric": "Amounts or quantities cannot be right and distort sums and averages.",
+    "reconciliation": "Parts and totals disagree, so reports differ by the level they are read at.",
+    "financial_consistency": "Money in two places differs, which puts the close of a period at risk.",
+    "business_rule": "Rows break a rule that the business agreed on.",
+}
 
 
 class RuleError(ValueError):
@@ -56,6 +70,10 @@ class Rule:
     def name(self) -> str:
         return self.title or self.key.replace("_", " ").capitalize()
 
+    @property
+    def business_impact(self) -> str:
+        return self.impact or CATEGORY_IMPACT.get(self.category, "")
+
     def with_columns(self) -> Rule:
         """Fill ``columns`` from the parameters when a rule does not list them."""
         if self.columns:
@@ -381,7 +399,7 @@ def problems(rules: list[Rule], columns_by_asset: Mapping[str, set[str]]) -> lis
 def rules_frame(spark, rules: Iterable[Rule]) -> DataFrame:
     """The rules as a small DataFrame, for joins with results."""
     rows = [(r.key, r.name, r.category, r.type, r.asset, r.severity, SEVERITY_WEIGHT[r.severity], list(r.columns),
-             list(r.rulesets), r.supersedes, r.rationale, r.impact or "") for r in rules]
+             list(r.rulesets), r.supersedes, r.rationale, r.business_impact) for r in rules]
     return spark.createDataFrame(
         rows, "rule_key string, rule_name string, category string, rule_type string, asset string, severity string, "
               "severity_weight int, columns array<string>, rulesets array<string>, supersedes string, "

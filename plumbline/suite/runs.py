@@ -1,7 +1,8 @@
 """Queries over quality runs: health, impact, priority and issues.
 
 The run history is one back-fill of daily runs over the landed tables, appended to a run table once per
-session, as a scheduler would.
+session, as a scheduler would. Between runs the owners repair what fails: each rule's known failing rows are corrected after
+the runs that ``_REPAIRED_AFTER`` gives for its severity.
 """
 
 from __future__ import annotations
@@ -29,6 +30,14 @@ ORACLE = {}
 RULES = select_ruleset(list(S.RULES.values()), "improved")
 _LAST, _DAYS = date(2001, 8, 1), 10
 _HISTORY: dict[tuple[str, str], str] = {}
+_REPAIRED_AFTER = {"critical": (4,), "high": (), "medium": (5, 8), "low": (6,)}
+
+
+def _repairs(spark) -> DataFrame:
+    """(rule_key, at): six hours after a run, all rows it found are corrected."""
+    days = Q.backfill_days(_LAST, _DAYS)
+    return spark.createDataFrame([(r.key, days[run - 1] + timedelta(hours=6)) for r in RULES for run in _REPAIRED_AFTER[r.severity]],
+                                 "rule_key string, at timestamp_ntz")
 
 
 def history(spark, folder) -> DataFrame:
@@ -36,7 +45,7 @@ def history(spark, folder) -> DataFrame:
     bed = Bed(spark, folder)
     key = (spark.sparkContext.applicationId, folder)
     if key not in _HISTORY:
-        runs = Q.backfill(spark, bed.staging, RULES, _LAST, _DAYS)
+        runs = Q.after_repairs(Q.backfill(spark, bed.staging, RULES, _LAST, _DAYS), _repairs(spark))
         first = F.lit(_LAST - timedelta(days=_DAYS))
         target = shared_folder(spark)
         runs.withColumn("run_id", F.datediff(F.col("as_of").cast("date"), first).cast("bigint")).write.partitionBy(
@@ -57,23 +66,12 @@ class Runs:
         self.nodes = C.asset_frame(spark)
         self.columns = C.column_frame(spark)
         self.scored = H.scored_results(self.history, self.rules)
-        self._impacted = None
+        self._impacted = self._of_issues = None
 
     @property
     def latest(self) -> DataFrame:
         return self.scored.filter(F.col("run_id") == _DAYS)
 
-    @property
-    def outcomes(self) -> DataFrame:
-        """Per run, whether the rows loaded since the run before bring new failures."""
-        from pyspark.sql import Window
-        order = Window.partitionBy("rule_key").orderBy("run_id")
-        new = F.col("failed") - F.lag("failed", 1, 0).over(order)
-        seen = F.col("scanned") - F.lag("scanned", 1, 0).over(order)
-        return self.history.select("rule_key", "run_id", "as_of", new.alias("failed"), seen.alias("scanned")).withColumn(
-            "status", F.when(F.col("failed") > 0, "fail").otherwise("pass")).withColumn(
-            "failed", F.greatest(F.lit(0), "failed"))
-
     @property
     def actions(self) -> DataFrame:
         """Triage by rule key length: some investigate, some accept, some close; later all reopen."""
@@ -86,31 +84,67 @@ class Runs:
                            F.lit("action").alias("kind"), wanted.alias("status"), F.lit("desk").alias("actor"),
                            F.lit(None).cast("string").alias("note")).filter("status IS NOT NULL")
 
+    @property
+    def comments(self) -> DataFrame:
+        """What the desk noted after three runs; some notes are blank and some lack a name."""
+        size = F.length("rule_key")
+        return self.history.filter("run_id IN (2, 6, 9)").select(
+            "rule_key", (F.col("as_of") + F.expr("INTERVAL '13' HOUR")).alias("at"), F.lit("comment").alias("kind"),
+            F.lit(None).cast("string").alias("status"), F.when(size % 7 == 0, " ").otherwise("  desk ").alias("actor"),
+            F.when(size % 5 == 0, "   ").otherwise(F.format_string(" %d rows fail after run %d ", "failed", "run_id")).alias("note"))
+
+    def triaged(self) -> tuple[DataFrame, DataFrame]:
+        """Valid and invalid entries of the desk."""
+        return I.triage(self.actions.unionByName(self.comments))
+
+    @property
+    def last_failing(self) -> DataFrame:
+        """Each rule's last failing result: what its issue is about, whether or not it passes by now."""
+        rest = [c for c in self.scored.columns if c != "rule_key"]
+        last = self.scored.filter("status = 'fail'").groupBy("rule_key").agg(F.max_by(F.struct(*rest), "run_id").alias("r"))
+        return last.select("rule_key", *[f"r.{c}" for c in rest])
+
+    def _defects(self, failing: DataFrame) -> DataFrame:
+        return checkpoint(B.defects_of_rules(self.rules.join(failing.select("rule_key"), "rule_key", "left_semi")))
+
     @property
     def defects(self) -> DataFrame:
-        failing = self.latest.filter("status = 'fail'").select("rule_key")
-        return checkpoint(B.defects_of_rules(self.rules.join(failing, "rule_key", "left_semi")))
+        return self._defects(self.latest.filter("status = 'fail'"))
+
+    def _impact(self, failing: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        defects, edges = self._defects(failing), C.edge_frame(self.spark)
+        impacted = checkpoint(B.impacted_assets(edges, self.nodes, defects))
+        return defects, impacted, B.impact_summary(edges, self.nodes, defects, impacted)
 
     def impact(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(defects, impacted, summary) of all failing rules."""
+        """(defects, impacted, summary) of all rules failing in the latest run."""
         if self._impacted is None:
-            defects, edges = self.defects, C.edge_frame(self.spark)
-            impacted = checkpoint(B.impacted_assets(edges, self.nodes, defects))
-            self._impacted = (defects, impacted, B.impact_summary(edges, self.nodes, defects, impacted))
+            self._impacted = self._impact(self.latest.filter("status = 'fail'"))
         return self._impacted
 
-    def priorities(self) -> DataFrame:
-        defects, _, summary = self.impact()
+    def _scores(self, results: DataFrame, summary: DataFrame) -> DataFrame:
         critical = B.critical_elements(B.defects_of_rules(self.rules).select(
             "seed", "asset").join(self.rules.select(F.col("rule_key").alias("seed"), "columns"), "seed"), self.columns)
-        return P.score(P.signals(self.latest, self.rules, summary, critical))
+        return P.score(P.signals(results, self.rules, summary, critical))
+
+    def priorities(self) -> DataFrame:
+        return self._scores(self.latest, self.impact()[2])
 
-    def issues(self) -> DataFrame:
-        folded = I.fold(self.outcomes)
-        scores = self.priorities().select(F.col("seed").alias("rule_key"), "priority_score", "priority_band")
-        meta = self.rules.select("rule_key", "asset", "category", "severity")
-        owner = self.nodes.select("asset", "owner")
-        return I.current(folded).join(meta, "rule_key").join(owner, "asset").join(scores, "rule_key", "left")
+    def issue_impact(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(defects, impacted, summary) of every rule that has an issue."""
+        if self._of_issues is None:
+            self._of_issues = self._impact(self.last_failing)
+        return self._of_issues
+
+    def issues(self, log: DataFrame | None = None) -> DataFrame:
+        """Issues with ownership, and the priority and impact of their last failure."""
+        scores = self._scores(self.last_failing, self.issue_impact()[2]).select(
+            F.col("seed").alias("rule_key"), "priority_score", "priority_band", "impact_score")
+        described = I.describe(I.current(I.fold(self.history) if log is None else log), self.rules, self.issue_impact()[2])
+        critical = B.critical_elements(self.rules.select(F.col("rule_key").alias("seed"), "asset", "columns"), self.columns).select(
+            F.col("seed").alias("rule_key"), F.transform("critical_columns", lambda c: c["column_name"]).alias("critical_columns"))
+        owner = self.nodes.select("asset", "owner", "layer", F.col("criticality").alias("business_criticality"))
+        return described.join(owner, "asset").join(scores, "rule_key", "left").join(critical, "rule_key", "left")
 
 
 # ------------------------------------------------------------------ SQL pieces
@@ -145,32 +179,35 @@ def _meta_ctes() -> list[str]:
     ]
 
 
-def _history_sql() -> str:
+def _counts_sql(runs) -> str:
+    cutoffs = Q.backfill_days(_LAST, _DAYS)
     return "\nUNION ALL ".join(
-        S.counts_sql([r.key for r in RULES], str(c), True, f", {i} AS run_id, TIMESTAMP '{c}' AS as_of")
-        for i, c in enumerate(Q.backfill_days(_LAST, _DAYS), start=1))
-
-
-def _latest_sql() -> str:
-    return S.counts_sql([r.key for r in RULES], str(Q.backfill_days(_LAST, _DAYS)[-1]), True,
-                        f", {_DAYS} AS run_id, TIMESTAMP '{Q.backfill_days(_LAST, _DAYS)[-1]}' AS as_of")
+        S.counts_sql([r.key for r in RULES], str(cutoffs[i - 1]), True, f", {i} AS run_id, TIMESTAMP '{cutoffs[i - 1]}' AS as_of") for i in runs)
 
 
+# Rows known to a repair are taken off all later runs.
+_REPAIR = "CASE m.severity " + " ".join(
+    f"WHEN '{severity}' THEN CASE " + " ".join(f"WHEN c.run_id > {d} THEN {d}" for d in sorted(days, reverse=True)) + " END"
+    for severity, days in _REPAIRED_AFTER.items() if days) + " END"
+_RUNS = ("runs AS MATERIALIZED (SELECT c.rule_key, c.scanned, GREATEST(0, c.failed - COALESCE(b.failed, 0)) AS failed, c.run_id, c.as_of "
+         f"FROM counted AS c JOIN rule_meta AS m USING (rule_key) LEFT JOIN counted AS b ON b.rule_key = c.rule_key AND b.run_id = {_REPAIR})")
 _SCORED = ("scored AS MATERIALIZED (SELECT h.*, m.asset, m.category, m.severity, m.weight, "
            "CASE WHEN h.failed > 0 THEN 'fail' ELSE 'pass' END AS status, "
            "CASE WHEN h.failed = 0 THEN 1.0 ELSE round(0.5 * (1 - LEAST(1.0, CAST(h.failed AS DOUBLE) / h.scanned "
-           "/ 0.05)), 4) END AS score FROM {h} AS h JOIN rule_meta AS m USING (rule_key))")
+           "/ 0.05)), 4) END AS score FROM runs AS h JOIN rule_meta AS m USING (rule_key){latest})")
 
 
 def _sql(body: str, *extra: str, whole: bool = False) -> str:
     """Query over ``scored`` (all runs when ``whole``, else the latest)."""
-    source = _history_sql() if whole else _latest_sql()
+    needed = sorted({_DAYS, *(d for days in _REPAIRED_AFTER.values() for d in days)})
+    source = _counts_sql(range(1, _DAYS + 1) if whole else needed)
     base = with_models("@@", {})
     text = with_models(f"@@ {source}")
     head, inner = text.split("@@ ", 1)
     prefix = head.rstrip() + ",\n" if head.strip() else "WITH RECURSIVE "
     assert base == "@@" and ctes()
-    parts = [f"runs AS MATERIALIZED ({inner})", *_meta_ctes(), _SCORED.replace("{h}", "runs"), *extra]
+    latest = "" if whole else f" WHERE h.run_id = {_DAYS}"
+    parts = [f"counted AS MATERIALIZED ({inner})", *_meta_ctes(), _RUNS, _SCORED.replace("{latest}", latest), *extra]
     return prefix + ",\n".join(parts) + "\n" + body
 
 
@@ -229,22 +266,23 @@ _add("h12_rule_catalogue_with_counts",
 
 # ------------------------------------------------------------------ issues
 
-# New failures per run, and the fold as a recursion over each rule's ordered events.
-_NEW = ("fresh AS MATERIALIZED (SELECT rule_key, run_id, as_of, asset, category, severity, GREATEST(0, failed - lag(failed, 1, 0) OVER w) AS failed, "
-        "scanned - lag(scanned, 1, 0) OVER w AS scanned FROM scored WINDOW w AS (PARTITION BY rule_key ORDER BY run_id))")
+# The fold as a recursion over each rule's ordered runs, actions and comments.
 _LINE = ("line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rule_key ORDER BY moment, turn) AS seq FROM ("
          "SELECT rule_key, as_of AS moment, 0 AS turn, run_id, CASE WHEN failed > 0 THEN 'fail' ELSE 'pass' END AS kind, "
-         "NULL AS wish, failed, scanned FROM fresh{actions}) AS x)")
+         "NULL AS wish, failed, scanned, 'engine' AS actor, NULL AS note FROM scored{actions}) AS x)")
 _ACTIONS = (" UNION ALL SELECT * FROM (SELECT rule_key, as_of + INTERVAL '12' HOUR, 1, NULL, 'action', "
             "CASE WHEN run_id = 8 THEN 'open' WHEN run_id = 3 AND length(rule_key) % 3 = 0 THEN 'investigating' "
             "WHEN run_id = 5 AND length(rule_key) % 3 = 1 THEN 'accepted' "
-            "WHEN run_id = 6 AND length(rule_key) % 3 = 2 THEN 'resolved' END AS wish, NULL, NULL FROM fresh) AS y "
-            "WHERE wish IS NOT NULL")
+            "WHEN run_id = 6 AND length(rule_key) % 3 = 2 THEN 'resolved' END AS wish, NULL, NULL, 'desk', NULL FROM scored) AS y "
+            "WHERE wish IS NOT NULL UNION ALL SELECT rule_key, as_of + INTERVAL '13' HOUR, 1, NULL, 'comment', NULL, NULL, NULL, 'desk', "
+            "failed || ' rows fail after run ' || run_id FROM scored WHERE run_id IN (2, 6, 9) AND length(rule_key) % 7 <> 0 AND "
+            "length(rule_key) % 5 <> 0")
 _FOLD = """folded AS (SELECT rule_key, 0 AS seq, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS affected,
   CAST(NULL AS VARCHAR) AS before, CAST(NULL AS VARCHAR) AS event FROM rule_meta
 UNION ALL SELECT f.rule_key, l.seq,
   CASE WHEN l.kind = 'fail' THEN CASE WHEN f.status IS NULL OR f.status = 'resolved' THEN 'open' ELSE f.status END
        WHEN l.kind = 'pass' THEN CASE WHEN f.status IS NULL THEN NULL ELSE 'resolved' END
+       WHEN l.kind = 'comment' THEN f.status
        WHEN (f.status = 'open' AND l.wish <> 'open') OR (f.status = 'investigating' AND l.wish <> 'investigating')
          OR (f.status = 'accepted' AND l.wish IN ('open', 'resolved')) OR (f.status = 'resolved' AND l.wish = 'open')
        THEN l.wish ELSE f.status END,
@@ -252,14 +290,14 @@ UNION ALL SELECT f.rule_key, l.seq,
   CASE WHEN l.kind = 'fail' THEN CASE WHEN f.status IS NULL THEN 'created' WHEN f.status = 'resolved' THEN 'reopened'
             WHEN f.affected <> l.failed THEN 'redetected' ELSE 'seen' END
        WHEN l.kind = 'pass' THEN CASE WHEN f.status IN ('open', 'investigating', 'accepted') THEN 'auto_resolved' END
-       WHEN f.status IS NULL THEN 'rejected' WHEN f.status = l.wish THEN 'skipped'
+       WHEN f.status IS NULL THEN 'rejected' WHEN l.kind = 'comment' THEN 'comment' WHEN f.status = l.wish THEN 'skipped'
        WHEN f.status = 'accepted' AND l.wish = 'investigating' THEN 'rejected'
        WHEN f.status = 'resolved' AND l.wish <> 'open' THEN 'rejected' ELSE 'status_change' END
 FROM folded AS f JOIN line AS l ON l.rule_key = f.rule_key AND l.seq = f.seq + 1)"""
 
 
 def _issue_sql(body: str, actions: bool = False) -> str:
-    return _sql(body, _NEW, _LINE.replace("{actions}", _ACTIONS if actions else ""), _FOLD, whole=True)
+    return _sql(body, _LINE.replace("{actions}", _ACTIONS if actions else ""), _FOLD, whole=True)
 
 
 _EVENTS = ("SELECT f.rule_key, f.event AS event_type, f.before AS from_status, f.status AS to_status, "
@@ -267,40 +305,66 @@ _EVENTS = ("SELECT f.rule_key, f.event AS event_type, f.before AS from_status, f
            "l.seq = f.seq WHERE f.event NOT IN ('seen', 'skipped', 'rejected')")
 
 
+def _log(r: Runs, actions: bool = True) -> DataFrame:
+    """The issue log of the history, written once: state, events and pages all read it."""
+    return checkpoint(I.fold(r.history, r.triaged()[0] if actions else None))
+
+
 def _events(actions: bool):
     def run(s, f):
         r = Runs(s, f)
-        folded = I.fold(r.outcomes, r.actions if actions else None)
-        return plain(I.events(folded).select("rule_key", "event_type", "from_status", "to_status", "at", "run_id"))
+        return plain(I.events(I.fold(r.history, r.triaged()[0] if actions else None)).select(
+            "rule_key", "event_type", "from_status", "to_status", "at", "run_id"))
     return run
 
 
 _add("i1_issue_events", _events(False), _issue_sql(_EVENTS))
 _add("i6_triage_events", _events(True), _issue_sql(_EVENTS, True))
 _add("i6_rejected_actions",
-     lambda s, f: (lambda r: plain(I.rejected_actions(I.fold(r.outcomes, r.actions)).drop("actor")))(Runs(s, f)),
+     lambda s, f: (lambda r: plain(I.rejected_actions(I.fold(r.history, r.triaged()[0])).drop("actor")))(Runs(s, f)),
      _issue_sql("SELECT f.rule_key, CAST(l.moment AS VARCHAR) AS \"at\", f.before AS from_status, l.wish AS to_status "
                 "FROM folded AS f JOIN line AS l ON l.rule_key = f.rule_key AND l.seq = f.seq "
                 "WHERE f.event = 'rejected'", True))
+_add("i7_comments_and_log",
+     lambda s, f: (lambda r: plain(I.events(I.fold(r.history, r.triaged()[0]))))(Runs(s, f)),
+     _issue_sql("SELECT f.rule_key, CAST(f.seq AS BIGINT) AS seq, CAST(l.moment AS VARCHAR) AS \"at\", l.run_id, f.event AS event_type, "
+                "f.before AS from_status, f.status AS to_status, l.actor, l.note FROM folded AS f JOIN line AS l ON l.rule_key = f.rule_key "
+                "AND l.seq = f.seq WHERE f.event NOT IN ('seen', 'skipped', 'rejected')", True))
+_add("i7_invalid_entries",
+     lambda s, f: plain(Runs(s, f).triaged()[1].select("rule_key", "at", "kind", "problem")),
+     _sql("SELECT rule_key, CAST(as_of + INTERVAL '13' HOUR AS VARCHAR) AS \"at\", 'comment' AS kind, CASE WHEN length(rule_key) % 7 = 0 THEN "
+          "'no actor' ELSE 'empty comment' END AS problem FROM scored WHERE run_id IN (2, 6, 9) AND (length(rule_key) % 7 = 0 OR "
+          "length(rule_key) % 5 = 0)", whole=True))
+_ISLANDS = ("islands AS (SELECT *, SUM(fresh) OVER (PARTITION BY rule_key ORDER BY run_id) AS island FROM (SELECT *, CASE WHEN lag(status) OVER w "
+            "IS NOT DISTINCT FROM status THEN 0 ELSE 1 END AS fresh, lead(as_of) OVER w AS after FROM scored WINDOW w AS (PARTITION BY rule_key "
+            "ORDER BY run_id)) AS x), spells AS (SELECT rule_key, MIN(as_of) AS started_at, MIN(run_id) AS first_run, MAX(as_of) AS "
+            "last_failed_at, arg_max(after, run_id) AS closed, COUNT(*) AS runs, MAX(failed) AS peak, MAX(run_id) AS last_run FROM islands WHERE "
+            f"status = 'fail' GROUP BY rule_key, island), failing AS (SELECT *, CASE WHEN last_run < {_DAYS} THEN closed END AS ended_at FROM spells)")
+_add("i1_failing_spells",
+     lambda s, f: plain(I.failing_spells(Runs(s, f).history)),
+     _sql("SELECT rule_key, CAST(started_at AS VARCHAR) AS started_at, first_run, CAST(last_failed_at AS VARCHAR) AS last_failed_at, "
+          "CAST(ended_at AS VARCHAR) AS ended_at, runs, peak FROM failing", _ISLANDS, whole=True))
 
 _STATE = ("state AS (SELECT f.rule_key, arg_max(f.status, f.seq) AS status, "
           "MIN(CASE WHEN f.event IN ('created') THEN l.moment END) AS first_detected_at, "
           "MAX(CASE WHEN l.kind = 'fail' THEN l.moment END) AS last_detected_at, "
           "COUNT(CASE WHEN l.kind = 'fail' THEN 1 END) AS occurrences, "
           "arg_max(l.failed, l.seq) FILTER (l.kind = 'fail') AS affected_records, "
-          "MAX(CASE WHEN f.event = 'auto_resolved' THEN l.moment END) AS closed_at "
+          "arg_max(CASE WHEN f.event = 'auto_resolved' OR f.event = 'status_change' AND f.status = 'resolved' THEN l.moment END, f.seq) FILTER "
+          "(f.event = 'auto_resolved' OR f.event = 'status_change' AND f.status = 'resolved') AS closed_at, "
+          "arg_max(l.scanned, l.seq) FILTER (l.kind = 'fail') AS records_scanned "
           "FROM folded AS f JOIN line AS l ON l.rule_key = f.rule_key AND l.seq = f.seq GROUP BY f.rule_key "
           "HAVING arg_max(f.status, f.seq) IS NOT NULL), "
           "numbered AS (SELECT *, printf('DQ-%04d', row_number() OVER (ORDER BY first_detected_at, rule_key)) AS "
           "issue_key FROM state)")
 _add("i2_issue_state",
-     lambda s, f: plain(I.current(I.fold(Runs(s, f).outcomes)).select(
+     lambda s, f: plain(I.current(I.fold(Runs(s, f).history)).select(
          "issue_key", "rule_key", "status", "first_detected_at", "last_detected_at", "occurrences",
          "affected_records", "resolved_at")),
      _sql("SELECT issue_key, rule_key, status, CAST(first_detected_at AS VARCHAR) AS first_detected_at, "
           "CAST(last_detected_at AS VARCHAR) AS last_detected_at, occurrences, affected_records, "
           "CASE WHEN status = 'resolved' THEN CAST(closed_at AS VARCHAR) END AS resolved_at FROM numbered",
-          _NEW, _LINE.replace("{actions}", ""), _FOLD, _STATE, whole=True))
+          _LINE.replace("{actions}", ""), _FOLD, _STATE, whole=True))
 
 # ------------------------------------------------------------------ impact and priority
 
@@ -513,61 +577,147 @@ _add("r16_volume_versus_priority",
          "(PARTITION BY failed) - 1) / 2.0 AS a, rank() OVER (ORDER BY priority_score) + (COUNT(*) OVER (PARTITION BY "
          "priority_score) - 1) / 2.0 AS b FROM prio) AS x"))
 
-_ISSUES = ("issue AS (SELECT n.*, m.asset, m.category, m.severity, d.owner, p.priority_score, " + _BAND
-           + " AS priority_band FROM numbered AS n JOIN rule_meta AS m USING (rule_key) JOIN nodes AS d "
-             "ON d.asset = m.asset LEFT JOIN prio AS p ON p.seed = n.rule_key)")
+_ISSUES = ("issue AS MATERIALIZED (SELECT n.*, m.asset, m.category, m.severity, d.owner, d.layer, d.criticality AS business_criticality, "
+           "p.priority_score, " + _BAND + " AS priority_band, round(p.blast * 100 / 45, 1) AS impact_score, x.downstream_count, "
+           "COALESCE((SELECT list(h.asset ORDER BY h.depth, h.asset) FROM hit AS h WHERE h.seed = n.rule_key AND h.asset_type = 'exposure'), []) "
+           "AS exposures FROM numbered AS n JOIN rule_meta AS m USING (rule_key) JOIN nodes AS d ON d.asset = m.asset LEFT JOIN prio AS p ON "
+           "p.seed = n.rule_key LEFT JOIN summed AS x ON x.seed = n.rule_key)")
 
 
-def _issues_sql(body: str) -> str:
-    return _sql(body, _NEW, _LINE.replace("{actions}", ""), _FOLD, _STATE, _BLAST, _SUMMARY, _SCORES, _ISSUES, whole=True)
+#: Issues are about the last failing result of their rules.
+_LAST_FAIL = ("lastfail AS MATERIALIZED (SELECT * FROM scored WHERE status = 'fail' QUALIFY row_number() OVER (PARTITION BY rule_key ORDER BY "
+              "run_id DESC) = 1)")
+_LATEST_SEEDS = f"FROM scored JOIN rule_meta AS m USING (rule_key, asset) WHERE status = 'fail' AND run_id = {_DAYS}"
+_LATEST_SCORES = ("FROM scored AS sc JOIN", f" WHERE sc.run_id = {_DAYS})")
+assert _LATEST_SEEDS in _BLAST and all(x in _SCORES for x in _LATEST_SCORES)
+_ISSUE_BLAST = _LAST_FAIL + ", " + _BLAST.replace(_LATEST_SEEDS, "FROM lastfail JOIN rule_meta AS m USING (rule_key, asset)")
+_ISSUE_SCORES = _SCORES.replace(_LATEST_SCORES[0], "FROM lastfail AS sc JOIN").replace(_LATEST_SCORES[1], ")")
 
 
-_add("i8_issue_queue",
-     lambda s, f: plain(I.queue(Runs(s, f).issues(), statuses=["open", "resolved"], owners=[
-         "Commerce", "Payments", "Customer Experience"]).select(
-         "issue_key", "rule_key", "status", "asset", "owner", "category", "severity", "priority_score",
-         "priority_band", "affected_records", "occurrences")),
-     _issues_sql("SELECT issue_key, rule_key, status, asset, owner, category, severity, priority_score, priority_band, "
-                 "affected_records, occurrences FROM issue WHERE owner IN ('Commerce', 'Payments', 'Customer Experience')"
-                 " AND status IN ('open', 'resolved')"))
+def _issues_sql(body: str, *extra: str, actions: bool = False) -> str:
+    return _sql(body, _LINE.replace("{actions}", _ACTIONS if actions else ""), _FOLD, _STATE, _ISSUE_BLAST, _SUMMARY, _ISSUE_SCORES, _ISSUES, *extra, whole=True)
 
 
-def _described(s, f):
+_TITLES = _values("titles", "rule_key, rule_name, rule_type, columns, business_impact", [
+    f"({_text(r.key)}, {_text(r.name)}, {_text(r.type)}, {_text(','.join(r.columns))}, {_text(r.business_impact)})" for r in RULES])
+_TITLE = "t.rule_name || ' - ' || format('{:,}', i.affected_records) || ' failing rows in ' || i.asset AS title"
+_RATE = "round(CAST(i.affected_records AS DOUBLE) / i.records_scanned, 6) AS affected_rate"
+
+
+def _critical_names() -> str:
+    critical = {(r[0], r[1]) for r in C.columns() if r[3]}
+    return _values("rule_cde", "rule_key, critical_columns", [
+        f"({_text(r.key)}, {_text(','.join(c for c in r.columns if (r.asset, c) in critical))})" for r in RULES])
+
+
+_QUEUE = ("issue_key", "rule_key", "title", "status", "severity", "business_criticality", "priority_band", "priority_score", "affected_records",
+          "affected_rate", "records_scanned", "asset", "layer", "owner", "category", "critical_columns", "downstream_count", "impact_score",
+          "exposures", "first_detected_at", "last_detected_at", "occurrences")
+
+
+def _queue(s, f, **filters):
     r = Runs(s, f)
-    _, _, summary = r.impact()
-    return plain(I.describe(I.current(I.fold(r.outcomes)), r.rules, summary).select("issue_key", "title", "affected_rate"))
+    return plain(I.queue(r.issues(_log(r)), **filters).select(*_QUEUE))
+
+
+def _queue_sql(where: str) -> str:
+    special = {"title": _TITLE, "affected_rate": _RATE, "critical_columns": "c.critical_columns", "exposures": "array_to_string(i.exposures, ',') AS exposures",
+               "first_detected_at": "CAST(i.first_detected_at AS VARCHAR) AS first_detected_at",
+               "last_detected_at": "CAST(i.last_detected_at AS VARCHAR) AS last_detected_at"}
+    return _issues_sql("SELECT " + ", ".join(special.get(c, f"i.{c}") for c in _QUEUE) + " FROM issue AS i JOIN titles AS t USING (rule_key) JOIN "
+                       "rule_cde AS c USING (rule_key)" + where, _TITLES, _critical_names(), actions=True)
+
+
+_add("i8_issue_queue", _queue, _queue_sql(""))
+_add("i8_issue_queue_filtered",
+     lambda s, f: _queue(s, f, statuses=["open", "investigating"], bands=["P2", "P3"], owners=["Commerce", "Payments", "Customer Experience"],
+                         assets=["stg_orders", "stg_payments", "stg_tickets"]),
+     _queue_sql(" WHERE i.owner IN ('Commerce', 'Payments', 'Customer Experience') AND i.status IN ('open', 'investigating') AND "
+                "i.priority_band IN ('P2', 'P3') AND i.asset IN ('stg_orders', 'stg_payments', 'stg_tickets')"))
+
+
+def _described(s, f):
+    return plain(Runs(s, f).issues().select("issue_key", "title", "affected_rate", "description", "business_impact"))
 
 
 _add("i4_issue_titles", _described, _issues_sql(
-    "SELECT i.issue_key, t.n || ' - ' || format('{:,}', i.affected_records) || ' failing rows in ' || i.asset AS title, "
-    "round(CAST(i.affected_records AS DOUBLE) / l.scanned, 6) AS affected_rate FROM issue AS i JOIN (VALUES "
-    + ", ".join(f"({_text(r.key)}, {_text(r.name)})" for r in RULES) + ") AS t(rule_key, n) USING (rule_key) JOIN line AS l "
-    "ON l.rule_key = i.rule_key AND l.moment = i.last_detected_at AND l.kind = 'fail'"))
+    f"SELECT i.issue_key, {_TITLE}, {_RATE}, format('{{:,}}', i.affected_records) || ' of ' || format('{{:,}}', i.records_scanned) || "
+    "' rows fail. ' || i.downstream_count || ' assets depend on them, reaching ' || CASE WHEN len(i.exposures) > 0 THEN "
+    "array_to_string(i.exposures, ', ') ELSE 'no business output' END || '.' AS description, t.business_impact FROM issue AS i JOIN titles AS t "
+    "USING (rule_key)", _TITLES))
+
+#: Entries of one page of an issue's lists.
+_PAGE = 6
+
+
+def _lines(name: str, *fields: str):
+    """Entries of a list as text lines."""
+    def line(x):
+        return F.concat_ws("/", *[F.coalesce(x[c].cast("string"), F.lit("-")) for c in fields])
+    return F.array_join(F.transform(name, line), " | ").alias(name)
+
+
+def _detail_pages(s, f):
+    r = Runs(s, f)
+    log, issues = _log(r), None
+    issues = checkpoint(r.issues(log))
+    _, impacted, _ = r.issue_impact()
+    pages = I.details(issues, log, r.history, impacted, I.contacts(impacted, issues, r.nodes), size=_PAGE)
+    return plain(pages.select(
+        "issue_key", "rule_key", "rule_name", "rule_type", "columns", "status", "asset", "owner", "priority_score", "resolved_at",
+        "allowed_transitions", _lines("impacts", "asset", "layer", "owner", "depth", "is_critical"),
+        _lines("events", "event_type", "from_status", "to_status", "actor", "note", "run_id"), _lines("comments", "at", "actor", "note"),
+        _lines("history", "as_of", "status", "failed", "scanned"), _lines("contacts", "owner", "owns_broken_asset"),
+        "n_impacts", "n_events", "n_comments", "n_history", "n_contacts"))
+
+
+def _page_sql(name: str, source: str, order: str, *fields: str) -> str:
+    line = " || '/' || ".join(f"COALESCE(CAST({c} AS VARCHAR), '-')" for c in fields)
+    return (f"{name} AS (SELECT rule_key, string_agg(line, ' | ' ORDER BY n) FILTER (n <= {_PAGE}) AS {name}, COUNT(*) AS n_{name} FROM (SELECT "
+            f"rule_key, {line} AS line, row_number() OVER (PARTITION BY rule_key ORDER BY {order}) AS n FROM {source}) AS x GROUP BY rule_key)")
+
+
+_LOGGED = ("logged AS (SELECT f.rule_key, f.seq, f.event AS event_type, f.before AS from_status, f.status AS to_status, l.actor, l.note, l.run_id, "
+           "l.moment FROM folded AS f JOIN line AS l ON l.rule_key = f.rule_key AND l.seq = f.seq WHERE f.event NOT IN ('seen', 'skipped', "
+           "'rejected'))")
+_CONTACTS = ("people AS (SELECT i.rule_key, h.owner, h.owner = i.owner AS owns FROM hit AS h JOIN issue AS i ON i.rule_key = h.seed WHERE h.owner IS "
+             "NOT NULL UNION SELECT rule_key, owner, TRUE FROM issue)")
+_MOVES = "CASE i.status " + " ".join(f"WHEN '{k}' THEN '{','.join(sorted(v))}'" for k, v in I.TRANSITIONS.items()) + " END AS allowed_transitions"
+_add("i9_issue_details", _detail_pages, _issues_sql(
+    f"SELECT i.issue_key, i.rule_key, t.rule_name, t.rule_type, t.columns, i.status, i.asset, i.owner, i.priority_score, CASE WHEN i.status = 'resolved' "
+    f"THEN CAST(i.closed_at AS VARCHAR) END AS resolved_at, {_MOVES}, " + ", ".join(
+        f"COALESCE({n}, '') AS {n}, COALESCE(n_{n}, 0) AS n_{n}" for n in ("impacts", "events", "comments", "history", "contacts"))
+    + " FROM issue AS i JOIN titles AS t USING (rule_key)" + "".join(
+        f" LEFT JOIN {n} USING (rule_key)" for n in ("impacts", "events", "comments", "history", "contacts")),
+    _TITLES, _LOGGED, _CONTACTS,
+    _page_sql("impacts", "(SELECT seed AS rule_key, *, criticality IN ('high', 'critical') AS is_critical FROM hit)", "depth, asset",
+              "asset", "layer", "owner", "depth", "is_critical"),
+    _page_sql("events", "logged", "seq", "event_type", "from_status", "to_status", "actor", "note", "run_id"),
+    _page_sql("comments", "(SELECT * FROM logged WHERE event_type = 'comment')", "seq DESC", "moment", "actor", "note"),
+    _page_sql("history", "scored", "run_id DESC", "as_of", "status", "failed", "scanned"),
+    _page_sql("contacts", "people", "owns DESC, owner", "owner", "owns"), actions=True))
 
 
 def _inherited(s, f):
     r = Runs(s, f)
-    _, impacted, _ = r.impact()
-    open_issues = I.current(I.fold(r.outcomes)).join(r.rules.select("rule_key", "asset"), "rule_key")
-    return plain(B.inherited_issues(impacted, open_issues))
+    return plain(B.inherited_issues(r.issue_impact()[1], r.issues()))
 
 
 _add("i10_inherited_issues", _inherited, _issues_sql(
     "SELECT h.asset, i.rule_key, i.asset AS source_asset, CAST(h.depth AS BIGINT) AS depth FROM hit AS h JOIN issue AS i "
     "ON i.rule_key = h.seed WHERE i.status <> 'resolved'"))
 _add("i5_impacted_assets_per_issue",
-     lambda s, f: (lambda r: plain(r.impact()[1].select(
+     lambda s, f: (lambda r: plain(r.issue_impact()[1].select(
          F.col("seed").alias("rule_key"), "asset", "depth", "is_critical").join(
-         I.current(I.fold(r.outcomes)).select("rule_key", "issue_key"), "rule_key")))(Runs(s, f)),
+         I.current(I.fold(r.history)).select("rule_key", "issue_key"), "rule_key")))(Runs(s, f)),
      _issues_sql("SELECT i.rule_key, i.issue_key, h.asset, CAST(h.depth AS BIGINT) AS depth, h.criticality IN ('high', "
                  "'critical') AS is_critical FROM hit AS h JOIN issue AS i ON i.rule_key = h.seed"))
 
 
 def _contacts(s, f):
     r = Runs(s, f)
-    _, impacted, _ = r.impact()
-    found = I.current(I.fold(r.outcomes)).join(r.rules.select("rule_key", "asset"), "rule_key")
-    return I.contacts(impacted, found, r.nodes)
+    found = I.current(I.fold(r.history)).join(r.rules.select("rule_key", "asset"), "rule_key")
+    return I.contacts(r.issue_impact()[1], found, r.nodes)
 
 
 _add("u1_issue_contacts", _contacts, _issues_sql(
@@ -583,29 +733,32 @@ _add("i11_category_by_severity",
 
 def _headline(s, f):
     r = Runs(s, f)
-    return plain(H.headline(r.nodes, r.columns, r.latest, r.issues(), H.health_trend(H.run_health(r.scored))))
+    return plain(H.headline(r.nodes, r.columns, r.latest, r.issues(), H.health_trend(H.run_health(r.scored)), r.rules, C.term_frames(s)[0]))
 
 
 _add("h9_headline_numbers", _headline, _issues_sql(
     "SELECT (SELECT COUNT(*) FROM nodes WHERE asset_type IN ('source', 'model')) AS datasets, (SELECT COUNT(*) FROM "
-    f"nodes WHERE asset_type = 'exposure') AS exposures, {len(C.columns())} AS columns, {sum(r[3] for r in C.columns())} AS "
+    f"nodes WHERE asset_type = 'exposure') AS exposures, (SELECT COUNT(DISTINCT owner) FROM nodes) AS teams, (SELECT COUNT(*) FROM rule_meta) "
+    f"AS rules_defined, {len(C.glossary()[0])} AS glossary_terms, {len(C.columns())} AS columns, {sum(r[3] for r in C.columns())} AS "
     f"critical_fields, (SELECT COUNT(*) FROM scored WHERE run_id = {_DAYS}) AS rules_executed, (SELECT COUNT(*) FROM scored "
     f"WHERE run_id = {_DAYS} AND status = 'fail') AS rules_failing, (SELECT COUNT(*) FROM issue WHERE status IN ('open', "
     "'investigating')) AS open_issues, (SELECT COUNT(*) FROM issue WHERE status = 'accepted') AS accepted_issues, "
     "(SELECT COUNT(*) FROM issue WHERE status IN ('open', 'investigating') AND priority_band = 'P1') AS p1_issues, "
     "(SELECT COUNT(*) FROM issue WHERE status IN ('open', 'investigating') AND severity = 'critical') AS critical_issues, "
-    f"t.health, round(t.health - b.health, 2) AS health_change_7 FROM (SELECT {_HEALTH.format(d=2)} AS health FROM scored "
+    f"t.health, round(t.health - b.health, 2) AS health_change_7, b.health AS health_7_runs_ago FROM (SELECT {_HEALTH.format(d=2)} AS health FROM scored "
     f"WHERE run_id = {_DAYS}) AS t, (SELECT {_HEALTH.format(d=2)} AS health FROM scored WHERE run_id = {_DAYS - 7}) AS b"))
 
 
 def _failing_assets(s, f):
     r = Runs(s, f)
-    return plain(H.failing_assets(r.latest, r.nodes, r.issues()).select(
-        "asset", "layer", "owner", "failing_rules", "failing_records", "health", "failing_since"))
+    return plain(H.failing_assets(r.latest, r.nodes, r.issues(), I.failing_spells(r.history)).select(
+        "asset", "layer", "owner", "failing_rules", "open_issues", "failing_records", "health", "failing_since", "without_a_break_since", "failing_runs"))
 
 
 _add("h10_failing_assets", _failing_assets, _issues_sql(
-    "SELECT s.asset, n.layer, n.owner, COUNT(*) AS failing_rules, CAST(SUM(s.failed) AS BIGINT) AS failing_records, "
+    "SELECT s.asset, n.layer, n.owner, COUNT(*) AS failing_rules, COUNT(CASE WHEN i.status <> 'resolved' THEN 1 END) AS open_issues, "
+    "CAST(SUM(s.failed) AS BIGINT) AS failing_records, "
     "round(100 * SUM(s.score * s.weight) / SUM(s.weight), 1) AS health, CAST(MIN(CASE WHEN i.status <> 'resolved' THEN "
-    "i.first_detected_at END) AS VARCHAR) AS failing_since FROM scored AS s JOIN nodes AS n USING (asset) LEFT JOIN issue "
-    f"AS i ON i.rule_key = s.rule_key WHERE s.run_id = {_DAYS} AND s.status = 'fail' GROUP BY s.asset, n.layer, n.owner"))
+    "i.first_detected_at END) AS VARCHAR) AS failing_since, CAST(MIN(x.started_at) AS VARCHAR) AS without_a_break_since, MAX(x.runs) AS "
+    "failing_runs FROM scored AS s JOIN nodes AS n USING (asset) LEFT JOIN issue AS i ON i.rule_key = s.rule_key LEFT JOIN failing AS x ON "
+    f"x.rule_key = s.rule_key AND x.ended_at IS NULL WHERE s.run_id = {_DAYS} AND s.status = 'fail' GROUP BY s.asset, n.layer, n.owner", _ISLANDS))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import whole_months
 from plumbline.operators import evaluation as E
 from plumbline.operators import issues as I
+from plumbline.operators import quality as Q
 from plumbline.operators.rules import rules_frame, select_ruleset
 from plumbline.plans.rulebook import commerce_rules
 from plumbline.plans.staging import enforce, stage
@@ -142,11 +143,11 @@ def test_lifecycle_against_brute_force(spark):
     folded = I.fold(
         spark.createDataFrame(outcomes, "rule_key string, run_id int, as_of timestamp_ntz, status string, scanned int, failed int"),
         spark.createDataFrame(actions, "rule_key string, at timestamp_ntz, kind string, status string, actor string, note string"))
-    state = {r["rule_key"]: r["status"] for r in folded.collect()}
+    state = {r["rule_key"]: r["status"] for r in I.current(folded).collect()}
     log = {k: [] for k in expected}
     for e in I.events(folded).orderBy("rule_key", "seq").collect():
         log[e["rule_key"]].append((e["event_type"], e["from_status"], e["to_status"]))
-    assert {k: (state[k], log[k]) for k in expected} == expected
+    assert {k: (state.get(k), log[k]) for k in expected} == expected
 
 
 def test_whole_months(spark):
@@ -172,3 +173,67 @@ def test_upsert_keeps_lost_rows_inactive(spark):
     rows = {r["k"]: (r["v"], r["is_active"]) for r in upsert(old, new, ["k"]).collect()}
     assert rows == {1: ("a", False), 2: ("B", True), 3: ("c", True)}
     assert upsert(old, new, ["k"], keep_missing=False).count() == 2
+
+
+def test_a_long_failure_is_one_step(spark):
+    """Runs without an action between them are folded once, and say the same as one by one."""
+    start = datetime(2026, 1, 1)
+    counts = [4] * 300 + [6] * 300 + [0] * 5 + [2] * 10
+    outcomes = [("r", i, start + timedelta(days=i), "fail" if n else "pass", 10, n) for i, n in enumerate(counts)]
+    schema = "rule_key string, run_id int, as_of timestamp_ntz, status string, scanned int, failed int"
+    results = spark.createDataFrame(outcomes, schema)
+    log = I.fold(results)
+    assert [(e["event_type"], e["run_id"]) for e in I.events(log).orderBy("seq").collect()] == [
+        ("created", 0), ("redetected", 300), ("auto_resolved", 600), ("reopened", 605)]
+    (issue,) = I.current(log).collect()
+    assert (issue["status"], issue["occurrences"], issue["affected_records"], issue["resolved_at"]) == ("open", 610, 2, None)
+    spells = I.failing_spells(results).orderBy("first_run").collect()
+    assert [(x["first_run"], x["runs"], x["peak"], x["ended_at"]) for x in spells] == [
+        (0, 600, 6, start + timedelta(days=600)), (605, 10, 2, None)]
+
+
+def test_triage_is_checked(spark):
+    at = datetime(2026, 1, 1)
+    rows = [("a", at, "action", "accepted", "  ann ", None), ("a", at, "action", "gone", "ann", None), ("a", at, "comment", None, "ann", " x " * 2000),
+            ("a", at, "comment", None, "ann", "  "), ("a", at, "comment", None, "  ", "x"), ("a", at, "call", None, "ann", "x"), ("a", at, "comment", None, None, "x")]
+    valid, invalid = I.triage(spark.createDataFrame(rows, "rule_key string, at timestamp_ntz, kind string, status string, actor string, note string"))
+    kept = valid.collect()
+    assert [r["actor"] for r in kept] == ["ann", "ann"] and {len(r["note"]) for r in kept if r["note"]} == {2000}
+    assert sorted(r["problem"] for r in invalid.collect()) == ["empty comment", "no actor", "no actor", "unknown kind", "unknown status"]
+
+
+def test_detail_pages_are_bounded(spark):
+    at = datetime(2026, 1, 1)
+    results = spark.createDataFrame([("r", i, at + timedelta(days=i), "fail", 100, 5 + i) for i in range(30)] + [("q", 0, at, "fail", 9, 1)],
+                                    "rule_key string, run_id int, as_of timestamp_ntz, status string, scanned int, failed int")
+    notes = spark.createDataFrame([("r", at + timedelta(days=i, hours=1), "comment", None, "ann", f"n{i}") for i in range(12)],
+                                  "rule_key string, at timestamp_ntz, kind string, status string, actor string, note string")
+    log = I.fold(results, notes)
+    impacted = spark.createDataFrame([("r", f"a{i:02d}", "model", "mart", "high", "T", 1 + i // 10, True, ["s"]) for i in range(25)],
+                                     "seed string, asset string, asset_type string, layer string, criticality string, owner string, depth int, "
+                                     "is_critical boolean, path array<string>")
+    contacts = spark.createDataFrame([("r", "T", False), ("r", "B", True)], "rule_key string, owner string, owns_broken_asset boolean")
+    pages = {}
+    for page in (1, 2):
+        pages[page] = {r["rule_key"]: r for r in I.details(I.current(log), log, results, impacted, contacts, page, 10).collect()}
+    one, two = pages[1]["r"], pages[2]["r"]
+    assert [x["asset"] for x in one["impacts"] + two["impacts"]] == [f"a{i:02d}" for i in range(20)] and one["n_impacts"] == two["n_impacts"] == 25
+    assert [x["note"] for x in one["comments"] + two["comments"]] == [f"n{i}" for i in range(11, -1, -1)]
+    assert [x["failed"] for x in one["history"]] == list(range(34, 24, -1)) and one["n_history"] == 30 and one["n_events"] == 42
+    assert [x["owner"] for x in one["contacts"]] == ["B", "T"] and two["contacts"] == []
+    assert list(one["allowed_transitions"]) == ["accepted", "investigating", "resolved"]
+    assert pages[1]["q"]["impacts"] == [] and pages[1]["q"]["n_comments"] == 0
+
+
+def test_repaired_rows_do_not_fail_again(spark):
+    at = datetime(2026, 1, 1)
+    counts = {"a": [5, 7, 7, 9, 9, 12], "b": [3, 3, 3, 3, 3, 3], "c": [0, 0, 4, 2, 2, 6]}
+    results = spark.createDataFrame([(k, at + timedelta(days=i), 100, n, None) for k, v in counts.items() for i, n in enumerate(v)],
+                                    "rule_key string, as_of timestamp_ntz, scanned bigint, failed bigint, error string")
+    repairs = spark.createDataFrame([("a", at + timedelta(days=1, hours=6)), ("a", at + timedelta(days=4, hours=1)), ("c", at + timedelta(days=2, hours=6)),
+                                     ("x", at), ("b", at - timedelta(days=1))], "rule_key string, at timestamp_ntz")
+    left = {}
+    for r in Q.after_repairs(results, repairs).orderBy("rule_key", "as_of").collect():
+        left.setdefault(r["rule_key"], []).append((r["failed"], r["status"]))
+    assert {k: [n for n, _ in v] for k, v in left.items()} == {"a": [5, 7, 0, 2, 2, 3], "b": [3] * 6, "c": [0, 0, 4, 0, 0, 2]}
+    assert all((n > 0) == (s == "fail") for v in left.values() for n, s in v)
