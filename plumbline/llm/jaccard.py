@@ -20,7 +20,8 @@ without each of its elements. So a key is shared by sets with equal elements onl
    comparison of the texts' sets. A second round takes another hub for each key, for sets still apart from it.
    Only keys that lie in several components, and sets with enough such keys (as in 2), go on.
 4. Keys whose sets still belong to different components are compared completely, in blocks of bounded size: first by
-   Hamming distance, and what passes is verified. So no link between different components is lost, and no pairs
+   Hamming distance, and what passes is verified. Keys that hold the same component lie together, so that a pair which
+   shares many keys is sent once. So no link between different components is lost, and no pairs
    within a component are made.
 
 Bounds: a task holds one bucket (buckets follow spark.sql.shuffle.partitions), two blocks of sets, or a slice of texts.
@@ -49,6 +50,8 @@ BLOCK_MEMBERS = 512
 SKETCH_BITS = 4
 #: Pairs that a task remembers so as not to send them again for another key.
 PAIRS_KEPT = 200_000
+#: Comparisons, about, of one part of the keys that hold the same component.
+PART_PAIRS = 1 << 24
 CACHE_TEXTS = 64
 
 _U = np.uint64
@@ -287,15 +290,20 @@ def _unlike(percent: int):
             found = set()
             if len(sent) > PAIRS_KEPT:
                 sent.clear()
-            for i, (block, cls, root, n, bits) in enumerate(members):
-                for other, cls2, root2, n2, bits2 in members[i + 1:]:
-                    if root == root2:
-                        continue
-                    pair = (cls, cls2) if cls < cls2 else (cls2, cls)
-                    if (pair not in sent and (block != other or group[1] == group[2])
-                            and 100 * min(n, n2) >= percent * max(n, n2)
-                            and hamming(bits, bits2) <= differing(n, n2, percent)):
-                        found.add(pair)
+            by_root: dict[int, list] = {}
+            for member in members:
+                by_root.setdefault(member[2], []).append(member)
+            before: list = []
+            # The largest component comes first, so that its sets meet the others only.
+            for own in sorted(by_root.values(), key=len, reverse=True):
+                for block, cls, _, n, bits in own:
+                    for other, cls2, _, n2, bits2 in before:
+                        pair = (cls, cls2) if cls < cls2 else (cls2, cls)
+                        if (pair not in sent and (block != other or group[1] == group[2])
+                                and 100 * min(n, n2) >= percent * max(n, n2)
+                                and hamming(bits, bits2) <= differing(n, n2, percent)):
+                            found.add(pair)
+                before += own
             sent.update(found)
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -366,14 +374,18 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     links = links.unionByName(more)
     roots = components(links)
     placed = _apart(_placed(placed.drop("root"), roots))
-    mixed = (placed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-             .where("low <> high").select("key", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks")))
-    spread = (placed.join(mixed, "key").join(classes.select("cls", "n", "sketch"), "cls")
+    mixed = (placed.groupBy("key", "root").agg(F.count("*").alias("own")).groupBy("key")
+             .agg(F.sum("own").alias("size"), F.max("own").alias("most"), F.min("root").alias("cluster"), F.max("root").alias("last"))
+             .where("cluster <> last").select("key", "cluster", "size", "most", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks")))
+    # Keys of one component hold the same pairs over and over: they go to one task, or to a few by the number of comparisons.
+    parts = mixed.groupBy("cluster").agg(F.ceil(F.sum(F.col("size") * (F.col("size") - F.col("most"))) / PART_PAIRS).alias("parts"))
+    spread = (placed.join(mixed.join(parts, "cluster"), "key").join(classes.select("cls", "n", "sketch"), "cls")
               .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls",
-                      "root", "n", "sketch"))
-    rest = (spread.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+                      "root", "n", "sketch", "cluster", "parts"))
+    dealt = spread.withColumn("part", F.pmod(F.xxhash64("key", "low", "high"), F.col("parts"))).repartition("cluster", "part")
+    rest = (dealt.sortWithinPartitions("cluster", "part", "key", "low", "high").select("key", "low", "high", "block", "cls", "root", "n", "sketch")
             .mapInArrow(_unlike(percent), "a long, b long").distinct())
     more = checkpoint(_links(rest, texts, size, percent))
     roots = components(links.unionByName(more)) if not more.isEmpty() else roots
