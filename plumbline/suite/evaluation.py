@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import corrupt as D
 from plumbline.operators import evaluation as E
+from plumbline.operators import overlay as V
 from plumbline.operators import quality as Q
 from plumbline.operators.rules import rules_frame, select_ruleset
 from plumbline.plans.model_sql import staging_sql, with_models
 from plumbline.plans.staging import stage
 from plumbline.session import checkpoint, shared_folder
 from plumbline.sources import tables as T
-from plumbline.sources.driver_tables import CUTOFF
+from plumbline.sources.driver_tables import CUTOFF, TRADING_START
 from plumbline.suite import rule_sql as S
 from plumbline.suite.common import Bed, plain
 
@@ -294,6 +295,69 @@ _add("s8_cases_with_shared_context",
                "case_id, COUNT(*) AS n FROM k_O_payments GROUP BY 1) AS p USING (case_id) LEFT JOIN (SELECT case_id, COUNT(*) AS n FROM "
                "k_O_order_items GROUP BY 1) AS i USING (case_id) WHERE l.case_id LIKE 'O%'"))
 
+# Order cases over a curated context of customers with one defective row. A third of the cases bring a repaired row of their own
+# customer (some of whom the context lacks), a fifth replace the defective row, the others are all touched by it.
+_CLEAN = (f"email IS NOT NULL AND customer_id IS NOT NULL AND customer_status IN ('active', 'inactive', 'churned') AND NOT COALESCE(signed_up_at < "
+          f"{{ts}} '{TRADING_START}' OR signed_up_at > {{ts}} '{CUTOFF}', FALSE)")
+_CONTEXT_ASSETS = ("stg_orders", "stg_order_items", "stg_payments", "stg_refunds", "stg_customers")
+
+
+def _context_rules():
+    return [r for r in select_ruleset(_ALL, "improved") if r.asset in _CONTEXT_ASSETS]
+
+
+def _overlay(s, f):
+    own = _cases(s, f, "O")
+    shared = {name: own.pop(name) for name in ("stg_customers", "stg_products", "stg_campaigns", "stg_subscriptions")}
+    labels = checkpoint(_labels(s, f).filter("case_id LIKE 'O%'"))
+    customers = shared["stg_customers"].filter(_CLEAN.format(ts="TIMESTAMP_NTZ"))
+    once = customers.groupBy("customer_id").count().filter("count = 1").select("customer_id")
+    clean = checkpoint(customers.join(once, "customer_id", "left_semi").select(*shared["stg_customers"].columns))
+    broken = clean.agg(F.min("customer_id").alias("_first"))
+    shared["stg_customers"] = clean.join(broken, clean["customer_id"] == broken["_first"], "left").withColumn(
+        "customer_status", F.when(F.col("_first").isNotNull(), "unknown").otherwise(F.col("customer_status"))).drop("_first")
+    k = F.substring("case_id", 2, 20).cast("bigint")
+    brought = own["stg_orders"].filter(k % 3 == 0).select("case_id", "customer_id").dropna().unionByName(
+        labels.filter(k % 5 == 1).select("case_id", F.lit(1).alias("one")).join(broken.select(F.lit(1).alias("one"), F.col("_first").alias("customer_id")), "one")
+        .select("case_id", "customer_id")).distinct()
+    fixed = {"email": F.lit("repaired"), "customer_status": F.lit("active"), "signed_up_at": F.lit(TRADING_START).cast("timestamp_ntz")}
+    own["stg_customers"] = brought.select("case_id", *[
+        F.col(c.name) if c.name == "customer_id" else fixed.get(c.name, F.lit(None)).cast(c.dataType).alias(c.name) for c in clean.schema])
+    return V.predict_with_context(own, shared, {"stg_customers": ["customer_id"]}, _context_rules(), labels, CUTOFF)
+
+
+def _overlay_sql() -> str:
+    start, fired = _case_sql("improved").split("fired AS MATERIALIZED ", 1)
+    lines = [x for x in fired.split("FROM (", 1)[1].rsplit(") AS x GROUP BY case_id), labels AS", 1)[0].split("\nUNION ALL ") if "'k_" not in x]
+    own = {r.key: r for r in _context_rules() if r.asset != "stg_customers"}
+    kept = []
+    for line in lines:
+        key = re.search(r"'(\w+)' AS rule_key", line)[1]
+        if key in own:
+            missing = "p.customer_id NOT IN (SELECT customer_id FROM stg_customers WHERE customer_id IS NOT NULL)"
+            line = line.replace(missing, "p.customer_id NOT IN (SELECT customer_id FROM clean) AND NOT EXISTS (FROM brought AS o WHERE o.case_id = "
+                                         "p.case_id AND o.customer_id = p.customer_id)")
+            assert "stg_customers" not in line
+            kept.append(line)
+    assert len(kept) == len(own)
+    labels = "labels AS" + _case_sql("improved").rsplit(", labels AS", 1)[1].split(", predicted AS", 1)[0]
+    text = with_models("@@ " + ", ".join([
+        start.rstrip().rstrip(","), labels,
+        f"clean AS MATERIALIZED (SELECT * FROM stg_customers WHERE {_CLEAN.format(ts='TIMESTAMP')} QUALIFY COUNT(*) OVER (PARTITION BY customer_id) = 1)",
+        "brought AS MATERIALIZED (SELECT case_id, customer_id FROM k_O_orders WHERE customer_id IS NOT NULL AND CAST(substr(case_id, 2) AS BIGINT) % 3 = 0 "
+        "UNION SELECT case_id, (SELECT MIN(customer_id) FROM clean) FROM labels WHERE case_id LIKE 'O%' AND CAST(substr(case_id, 2) AS BIGINT) % 5 = 1)",
+        "lines AS (" + "\nUNION ALL ".join(kept) + " UNION ALL SELECT l.case_id, 'customers_status_accepted_values' FROM labels AS l WHERE l.case_id LIKE 'O%' "
+        "AND NOT EXISTS (FROM brought AS o WHERE o.case_id = l.case_id AND o.customer_id = (SELECT MIN(customer_id) FROM clean)))",
+        "fired AS MATERIALIZED (SELECT case_id, array_to_string(list(DISTINCT rule_key ORDER BY rule_key), ',') AS rules FROM lines GROUP BY case_id)"]))
+    head, inner = text.split("@@ ", 1)
+    return head.rstrip() + ",\n" + inner + (
+        " SELECT l.case_id, l.expected, IF(f.rules IS NULL, 'valid', 'defective') AS predicted, CASE WHEN l.expected = 'defective' THEN IF(f.rules IS NULL, "
+        "'FN', 'TP') ELSE IF(f.rules IS NULL, 'TN', 'FP') END AS outcome, COALESCE(f.rules, '') AS triggered_rules, l.defect_category FROM labels AS l "
+        "LEFT JOIN fired AS f USING (case_id) WHERE l.case_id LIKE 'O%'")
+
+
+_add("e1_overridden_context", lambda s, f: plain(_overlay(s, f)), _overlay_sql())
+
 # ------------------------------------------------------------------ corruption
 
 # Clean copies of three tables: the planted rows of the adapter are filtered out, then new defects go in.
