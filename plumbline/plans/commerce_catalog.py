@@ -21,15 +21,6 @@ TEAMS = {
     "customer_data": "Customer Data", "platform_engineering": "Platform Engineering",
 }
 
-# Operational systems and the raw tables they feed.
-SYSTEMS = {
-    "storefront": ("customers", "products", "orders", "order_items"),
-    "payment processor": ("payments", "refunds"),
-    "billing": ("subscriptions",),
-    "support desk": ("tickets",),
-    "campaign manager": ("campaigns",),
-}
-
 # Name, owner, domain, criticality of raw tables.
 _RAW_ASSETS = (
     ("customers", "commerce", "high"), ("products", "commerce", "medium"), ("orders", "commerce", "critical"),
@@ -83,33 +74,78 @@ _EXPOSURES = (
 
 # Critical columns and their category per asset.
 _CRITICAL = {
-    "stg_customers": "customer_id:customer_identifier customer_status:status",
-    "stg_products": "product_id:identifier",
-    "stg_orders": "order_id:identifier customer_id:customer_identifier order_status:status subtotal_amount:financial "
-                  "discount_amount:financial total_amount:financial ordered_at:temporal",
-    "stg_order_items": "order_id:identifier quantity:financial line_amount:financial",
-    "stg_payments": "payment_id:identifier order_id:identifier customer_id:customer_identifier payment_status:status "
-                    "amount:financial processed_at:temporal",
-    "stg_refunds": "payment_id:identifier refund_amount:financial",
-    "stg_subscriptions": "subscription_id:identifier customer_id:customer_identifier subscription_status:status "
-                         "monthly_amount:financial ended_on:temporal",
-    "stg_tickets": "customer_id:customer_identifier",
-    "stg_campaigns": "budget_amount:financial",
-    "int_payments__with_refunds": "payment_id:identifier order_id:identifier refunded_amount:financial "
-                                  "net_amount:financial",
-    "int_orders__payment_summary": "amount_paid:financial",
-    "int_orders__enriched": "order_id:identifier customer_id:customer_identifier net_revenue:financial",
-    "int_customers__order_history": "customer_id:customer_identifier lifetime_net_revenue:financial",
-    "int_subscriptions__mrr": "is_active:status mrr:financial",
-    "dim_customers": "customer_id:customer_identifier customer_status:status lifetime_net_revenue:financial",
-    "fct_orders": "order_id:identifier customer_id:customer_identifier total_amount:financial net_revenue:financial "
-                  "ordered_at:temporal",
-    "fct_payments": "payment_id:identifier amount:financial",
-    "fct_subscriptions": "subscription_status:status mrr:financial",
-    "fct_daily_revenue": "net_revenue:financial",
-    "fin_monthly_revenue_close": "net_revenue:financial cash_collected:financial",
-    "customer_lifetime_value": "customer_lifetime_value:financial",
-    "rpt_executive_kpis": "net_revenue:financial ending_mrr:financial",
+    "stg_customers": {
+        "customer_id": "customer_identifier", "customer_status": "status",
+    },
+    "stg_products": {
+        "product_id": "identifier",
+    },
+    "stg_orders": {
+        "order_id": "identifier", "customer_id": "customer_identifier", "order_status": "status",
+        "subtotal_amount": "financial", "discount_amount": "financial", "total_amount": "financial",
+        "ordered_at": "temporal",
+    },
+    "stg_order_items": {
+        "order_id": "identifier", "quantity": "financial", "line_amount": "financial",
+    },
+    "stg_payments": {
+        "payment_id": "identifier", "order_id": "identifier", "customer_id": "customer_identifier",
+        "payment_status": "status", "amount": "financial", "processed_at": "temporal",
+    },
+    "stg_refunds": {
+        "payment_id": "identifier", "refund_amount": "financial",
+    },
+    "stg_subscriptions": {
+        "subscription_id": "identifier", "customer_id": "customer_identifier", "subscription_status": "status",
+        "monthly_amount": "financial", "ended_on": "temporal",
+    },
+    "stg_tickets": {
+        "customer_id": "customer_identifier",
+    },
+    "stg_campaigns": {
+        "budget_amount": "financial",
+    },
+    "int_payments__with_refunds": {
+        "payment_id": "identifier", "order_id": "identifier", "refunded_amount": "financial",
+        "net_amount": "financial",
+    },
+    "int_orders__payment_summary": {
+        "amount_paid": "financial",
+    },
+    "int_orders__enriched": {
+        "order_id": "identifier", "customer_id": "customer_identifier", "net_revenue": "financial",
+    },
+    "int_customers__order_history": {
+        "customer_id": "customer_identifier", "lifetime_net_revenue": "financial",
+    },
+    "int_subscriptions__mrr": {
+        "is_active": "status", "mrr": "financial",
+    },
+    "dim_customers": {
+        "customer_id": "customer_identifier", "customer_status": "status", "lifetime_net_revenue": "financial",
+    },
+    "fct_orders": {
+        "order_id": "identifier", "customer_id": "customer_identifier", "total_amount": "financial",
+        "net_revenue": "financial", "ordered_at": "temporal",
+    },
+    "fct_payments": {
+        "payment_id": "identifier", "amount": "financial",
+    },
+    "fct_subscriptions": {
+        "subscription_status": "status", "mrr": "financial",
+    },
+    "fct_daily_revenue": {
+        "net_revenue": "financial",
+    },
+    "fin_monthly_revenue_close": {
+        "net_revenue": "financial", "cash_collected": "financial",
+    },
+    "customer_lifetime_value": {
+        "customer_lifetime_value": "financial",
+    },
+    "rpt_executive_kpis": {
+        "net_revenue": "financial", "ending_mrr": "financial",
+    },
 }
 
 # Personal data per asset.
@@ -124,55 +160,83 @@ FRESHNESS = {
 
 # Glossary term, domain, owner, status, and what it is linked to.
 _TERMS = (
-    ("customer", "Customer", "customer", "customer_data", "approved",
-     "stg_customers.customer_id dim_customers.customer_id fct_orders.customer_id stg_payments.customer_id"),
-    ("customer_status", "Customer Status", "customer", "customer_data", "approved",
-     "stg_customers.customer_status dim_customers.customer_status"),
-    ("churned_customer", "Churned Customer", "customer", "customer_data", "approved",
-     "dim_customers.customer_status customer_health_scores"),
-    ("active_subscription", "Active Subscription", "subscriptions", "commerce", "approved",
-     "stg_subscriptions.subscription_status int_subscriptions__mrr.is_active fct_subscriptions.subscription_status"),
-    ("monthly_recurring_revenue", "Monthly Recurring Revenue (MRR)", "finance", "finance_analytics", "approved",
-     "stg_subscriptions.monthly_amount int_subscriptions__mrr.mrr fct_subscriptions.mrr rpt_executive_kpis.ending_mrr"),
-    ("order", "Order", "commerce", "commerce", "approved",
-     "stg_orders.order_id int_orders__enriched.order_id fct_orders.order_id"),
-    ("order_value", "Order Value", "commerce", "commerce", "approved", "stg_orders.total_amount fct_orders.total_amount"),
-    ("average_order_value", "Average Order Value (AOV)", "finance", "finance_analytics", "approved",
-     "fct_daily_revenue.average_order_value rpt_executive_kpis.average_order_value"),
-    ("successful_payment", "Successful Payment", "payments", "payments", "approved",
-     "stg_payments.payment_status stg_payments.amount fct_payments.amount int_orders__payment_summary.amount_paid"),
-    ("refund", "Refund", "payments", "payments", "approved",
-     "stg_refunds.refund_amount int_payments__with_refunds.refunded_amount fct_daily_revenue.refunds"),
-    ("gross_revenue", "Gross Sales", "finance", "finance_analytics", "approved",
-     "fct_daily_revenue.gross_sales fin_monthly_revenue_close.gross_sales"),
-    ("net_revenue", "Net Revenue", "finance", "finance_analytics", "approved",
-     "int_orders__enriched.net_revenue fct_orders.net_revenue fct_daily_revenue.net_revenue "
-     "fin_monthly_revenue_close.net_revenue rpt_executive_kpis.net_revenue"),
-    ("cash_collected", "Cash Collected", "finance", "finance_analytics", "approved",
-     "fin_monthly_revenue_close.cash_collected rpt_executive_kpis.cash_collected"),
-    ("customer_lifetime_value", "Customer Lifetime Value (CLV)", "customer", "customer_data", "approved",
-     "int_customers__order_history.lifetime_net_revenue customer_lifetime_value.customer_lifetime_value "
-     "customer_lifetime_value.clv_tier"),
-    ("customer_health_score", "Customer Health Score", "customer_experience", "customer_data", "approved",
-     "customer_health_scores.health_score customer_health_scores.health_band rpt_executive_kpis.avg_health_score"),
-    ("acquisition_source", "Acquisition Source", "growth", "growth_analytics", "approved",
-     "stg_customers.acquisition_channel dim_customers.acquisition_channel fct_orders.customer_acquisition_channel"),
-    ("campaign_attribution", "Campaign Attribution", "growth", "growth_analytics", "draft",
-     "int_campaigns__attributed_orders campaign_performance.attributed_revenue"),
-    ("customer_acquisition_cost", "Customer Acquisition Cost (CAC)", "growth", "growth_analytics", "approved",
-     "campaign_performance.customer_acquisition_cost rpt_executive_kpis.blended_cac"),
-    ("csat", "Customer Satisfaction (CSAT)", "customer_experience", "customer_experience", "approved",
-     "stg_tickets.csat_score int_customers__support_summary.avg_csat"),
-    ("legacy_customer_tier", "Legacy Customer Tier", "customer", "customer_data", "deprecated",
-     "customer_lifetime_value.clv_tier"),
+    ("customer", "Customer", "customer", "customer_data", "approved", (
+        ("stg_customers", "customer_id"), ("dim_customers", "customer_id"), ("fct_orders", "customer_id"),
+        ("stg_payments", "customer_id"),
+    )),
+    ("customer_status", "Customer Status", "customer", "customer_data", "approved", (
+        ("stg_customers", "customer_status"), ("dim_customers", "customer_status"),
+    )),
+    ("churned_customer", "Churned Customer", "customer", "customer_data", "approved", (
+        ("dim_customers", "customer_status"), ("customer_health_scores", None),
+    )),
+    ("active_subscription", "Active Subscription", "subscriptions", "commerce", "approved", (
+        ("stg_subscriptions", "subscription_status"), ("int_subscriptions__mrr", "is_active"),
+        ("fct_subscriptions", "subscription_status"),
+    )),
+    ("monthly_recurring_revenue", "Monthly Recurring Revenue (MRR)", "finance", "finance_analytics", "approved", (
+        ("stg_subscriptions", "monthly_amount"), ("int_subscriptions__mrr", "mrr"), ("fct_subscriptions", "mrr"),
+        ("rpt_executive_kpis", "ending_mrr"),
+    )),
+    ("order", "Order", "commerce", "commerce", "approved", (
+        ("stg_orders", "order_id"), ("int_orders__enriched", "order_id"), ("fct_orders", "order_id"),
+    )),
+    ("order_value", "Order Value", "commerce", "commerce", "approved", (
+        ("stg_orders", "total_amount"), ("fct_orders", "total_amount"),
+    )),
+    ("average_order_value", "Average Order Value (AOV)", "finance", "finance_analytics", "approved", (
+        ("fct_daily_revenue", "average_order_value"), ("rpt_executive_kpis", "average_order_value"),
+    )),
+    ("successful_payment", "Successful Payment", "payments", "payments", "approved", (
+        ("stg_payments", "payment_status"), ("stg_payments", "amount"), ("fct_payments", "amount"),
+        ("int_orders__payment_summary", "amount_paid"),
+    )),
+    ("refund", "Refund", "payments", "payments", "approved", (
+        ("stg_refunds", "refund_amount"), ("int_payments__with_refunds", "refunded_amount"),
+        ("fct_daily_revenue", "refunds"),
+    )),
+    ("gross_revenue", "Gross Sales", "finance", "finance_analytics", "approved", (
+        ("fct_daily_revenue", "gross_sales"), ("fin_monthly_revenue_close", "gross_sales"),
+    )),
+    ("net_revenue", "Net Revenue", "finance", "finance_analytics", "approved", (
+        ("int_orders__enriched", "net_revenue"), ("fct_orders", "net_revenue"), ("fct_daily_revenue", "net_revenue"),
+        ("fin_monthly_revenue_close", "net_revenue"), ("rpt_executive_kpis", "net_revenue"),
+    )),
+    ("cash_collected", "Cash Collected", "finance", "finance_analytics", "approved", (
+        ("fin_monthly_revenue_close", "cash_collected"), ("rpt_executive_kpis", "cash_collected"),
+    )),
+    ("customer_lifetime_value", "Customer Lifetime Value (CLV)", "customer", "customer_data", "approved", (
+        ("int_customers__order_history", "lifetime_net_revenue"),
+        ("customer_lifetime_value", "customer_lifetime_value"), ("customer_lifetime_value", "clv_tier"),
+    )),
+    ("customer_health_score", "Customer Health Score", "customer_experience", "customer_data", "approved", (
+        ("customer_health_scores", "health_score"), ("customer_health_scores", "health_band"),
+        ("rpt_executive_kpis", "avg_health_score"),
+    )),
+    ("acquisition_source", "Acquisition Source", "growth", "growth_analytics", "approved", (
+        ("stg_customers", "acquisition_channel"), ("dim_customers", "acquisition_channel"),
+        ("fct_orders", "customer_acquisition_channel"),
+    )),
+    ("campaign_attribution", "Campaign Attribution", "growth", "growth_analytics", "draft", (
+        ("int_campaigns__attributed_orders", None), ("campaign_performance", "attributed_revenue"),
+    )),
+    ("customer_acquisition_cost", "Customer Acquisition Cost (CAC)", "growth", "growth_analytics", "approved", (
+        ("campaign_performance", "customer_acquisition_cost"), ("rpt_executive_kpis", "blended_cac"),
+    )),
+    ("csat", "Customer Satisfaction (CSAT)", "customer_experience", "customer_experience", "approved", (
+        ("stg_tickets", "csat_score"), ("int_customers__support_summary", "avg_csat"),
+    )),
+    ("legacy_customer_tier", "Legacy Customer Tier", "customer", "customer_data", "deprecated", (
+        ("customer_lifetime_value", "clv_tier"),
+    )),
 )
 
 
 @lru_cache(maxsize=1)
 def assets() -> list[tuple]:
     """(asset, asset_type, layer, domain, owner, criticality, audience, financial, customer_facing, source_system)."""
-    system = {t: s for s, tables in SYSTEMS.items() for t in tables}
-    rows = [(f"raw_{n}", "source", "raw", d, TEAMS["platform_engineering"], c, None, False, False, system[n])
+    # One operational system per business domain feeds the raw tables of that domain.
+    rows = [(f"raw_{n}", "source", "raw", d, TEAMS["platform_engineering"], c, None, False, False, f"{d} system")
             for n, d, c in _RAW_ASSETS]
     for layer, group in (("staging", _STAGING_ASSETS), ("intermediate", _INTERMEDIATE_ASSETS), ("mart", _MART_ASSETS)):
         rows += [(n, "model", layer, d, TEAMS[o], c, None, d in ("finance", "executive"), False, None)
@@ -187,10 +251,10 @@ def assets() -> list[tuple]:
 def columns() -> list[tuple]:
     """(asset, column_name, ordinal, is_critical, category, contains_pii)."""
     names = {f"raw_{n}": s.names for n, s in RAW.items()} | {n: s.names for n, s in STAGING.items()}
-    names |= {n: [p.split(":")[0] for p in text.split()] for n, text in MODEL_COLUMNS.items()}
+    names |= {n: [c for c, _ in cols] for n, cols in MODEL_COLUMNS.items()}
     rows = []
     for asset, cols in names.items():
-        critical = dict(p.split(":") for p in _CRITICAL.get(asset, "").split())
+        critical = _CRITICAL.get(asset, {})
         rows += [(asset, c, i, c in critical, critical.get(c), c in PII.get(asset, ()))
                  for i, c in enumerate(cols, start=1)]
     return rows
@@ -229,15 +293,10 @@ def edges() -> list[tuple[str, str, list[str] | None]]:
 def glossary() -> tuple[list[tuple], list[tuple]]:
     """Terms (key, name, domain, owner, status) and links (key, asset, column or NULL)."""
     terms = [(k, n, d, TEAMS[o], s) for k, n, d, o, s, _ in _TERMS]
-    links = [(k, *_split(link)) for k, _, _, _, _, text in _TERMS for link in text.split()]
+    links = [(k, asset, column) for k, _, _, _, _, linked in _TERMS for asset, column in linked]
     return terms, links
 
 
-def _split(link: str) -> tuple[str, str | None]:
-    asset, _, column = link.partition(".")
-    return asset, column or None
-
-
 ASSET_SCHEMA = ("asset string, asset_type string, layer string, domain string, owner string, criticality string, "
                 "audience string, is_financial boolean, is_customer_facing boolean, source_system string")
 COLUMN_SCHEMA = ("asset string, column_name string, ordinal int, is_critical boolean, category string, "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,21 +104,21 @@ class Bed:
         return self._models
 
 
-def sql_plain(names_and_types: str) -> str:
-    """Select list casting columns for the checker: ``a:i b:f c:t d:b``."""
-    kinds = {"i": "BIGINT", "f": "DOUBLE", "t": "VARCHAR", "b": "BOOLEAN"}
-    return ", ".join(f"CAST({n} AS {kinds[k]}) AS {n}" for n, k in (p.split(":") for p in names_and_types.split()))
+_SQL_KIND = {"integer": "BIGINT", "number": "DOUBLE", "text": "VARCHAR", "boolean": "BOOLEAN"}
+_KIND = {"string": "text", "boolean": "boolean", "int": "integer", "bigint": "integer", "double": "number"}
 
 
-_KIND = {"string": "t", "boolean": "b", "int": "i", "bigint": "i", "double": "f"}
+def sql_plain(columns: Iterable[tuple[str, str]]) -> str:
+    """Select list casting (name, kind) columns for the checker."""
+    return ", ".join(f"CAST({name} AS {_SQL_KIND[kind]}) AS {name}" for name, kind in columns)
 
 
 def struct_plain(schema: T.StructType) -> str:
     """The same select list derived from a declared schema."""
     def kind(t: T.DataType) -> str:
         text = t.simpleString()
-        return "f" if text.startswith("decimal") else _KIND.get(text, "t")
-    return sql_plain(" ".join(f"{f.name}:{kind(f.dataType)}" for f in schema))
+        return "number" if text.startswith("decimal") else _KIND.get(text, "text")
+    return sql_plain((f.name, kind(f.dataType)) for f in schema)
 
 
 def staging_oracle(table: str) -> str:
