@@ -16,8 +16,6 @@ LEAST_SITES = 10
 #: Estimates within this share of the threshold (two sites at least) are counted exactly; the sketches' error is 1.6 %.
 MARGIN = 0.1
 SKETCH_BITS = 12
-#: A document with more than this share of its characters in boilerplate lines is a widely copied page and stays whole.
-MOST_SHARE = 0.5
 
 
 def _lines(docs: DataFrame, *columns: Column) -> DataFrame:
@@ -40,29 +38,38 @@ def spread_lines(docs: DataFrame, least: int = LEAST_SITES) -> DataFrame:
     return sketched.where(F.col("sites") >= least + near).select("line").unionByName(exact.select("line"))
 
 
-def without_boilerplate(docs: DataFrame, least: int = LEAST_SITES, share: float | None = MOST_SHARE) -> DataFrame:
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until no column of ``docs`` has them."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def without_boilerplate(docs: DataFrame, least: int = LEAST_SITES) -> DataFrame:
     """``docs(text, source, ...)`` without boilerplate lines, and ``n_removed``, the number of lines taken out.
 
-    Lines are cut at line feeds and compared without spaces around them. All rows and other columns stay; null and
-    empty texts are unchanged with 0 removed. A text with more than ``share`` of its characters in boilerplate lines
-    is unchanged too; with ``share`` None, only a text without any line of its own is. Equal texts are treated alike, so repeated rows and ids do no harm.
+    Lines are cut at line feeds and compared without spaces around them. All rows and other columns stay, but a given
+    ``n_removed`` is replaced; null and empty texts are unchanged with 0 removed. A text without any line of its own is a
+    widely copied page and unchanged too. Equal texts are treated alike, so repeated rows and ids do no harm.
     """
+    tid, bad_lines, kept_lines = _free(docs, "_tid", "_bad", "_kept")
     spread = checkpoint(spread_lines(docs, least))
-    bad = (_lines(docs, F.xxhash64("text").alias("_tid")).join(spread, "line").groupBy("_tid").agg(F.collect_set("line").alias("_bad")))
-    joined = docs.withColumn("_tid", F.xxhash64("text")).join(bad, "_tid", "left")
+    bad = _lines(docs.select("text"), F.xxhash64("text").alias(tid)).join(spread, "line").groupBy(tid).agg(F.collect_set("line").alias(bad_lines))
     parts = F.split("text", "\n")
-    kept = F.when(F.col("_bad").isNotNull(), F.filter(parts, lambda x: ~F.array_contains("_bad", F.xxhash64(F.trim(x)))))
-    cut = joined.withColumn("_kept", kept).withColumn("_new", F.array_join("_kept", "\n"))
-    if share is None:
-        copied = ~F.exists("_kept", lambda x: F.trim(x) != "")
-    else:
-        copied = F.length("text") - F.length("_new") > share * F.length("text")
-    whole = F.col("_kept").isNull() | copied
-    return (cut.withColumn("n_removed", F.when(whole, 0).otherwise(F.size(parts) - F.size("_kept")).cast("int"))
-            .withColumn("text", F.when(whole, F.col("text")).otherwise(F.col("_new"))).select(*docs.columns, "n_removed"))
-
-
-def without_boilerplate_sql(least: int = LEAST_SITES, share: float = MOST_SHARE) -> str:
+    kept = F.when(F.col(bad_lines).isNotNull(), F.filter(parts, lambda x: ~F.array_contains(bad_lines, F.xxhash64(F.trim(x)))))
+    cut = docs.withColumn(tid, F.xxhash64("text")).join(bad, tid, "left").withColumn(kept_lines, kept)
+    # Null where no line goes, false where no other line is left.
+    some = F.coalesce(F.exists(kept_lines, lambda x: F.trim(x) != ""), F.lit(False))
+    removed = F.when(some, F.size(parts) - F.size(kept_lines)).otherwise(0).cast("int").alias("n_removed")
+    text = F.when(some, F.array_join(kept_lines, "\n")).otherwise(F.col("text")).alias("text")
+    return cut.select(*(text if c == "text" else c for c in docs.columns if c != "n_removed"), removed)
+
+
+def without_boilerplate_sql(least: int = LEAST_SITES) -> str:
     return f"""
 WITH lines AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents),
 spread AS (SELECT trim(line) AS line FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {least}),
@@ -70,7 +77,7 @@ bad AS (SELECT coalesce(list(line), []) AS bad FROM spread),
 cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts,
                list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(bad, trim(x))) AS kept FROM documents, bad),
 put AS (SELECT *, list_aggregate(kept, 'string_agg', chr(10)) AS joined FROM cut),
-new AS (SELECT *, text IS NULL OR length(text) - coalesce(length(joined), 0) > {share} * length(text) AS whole FROM put)
+new AS (SELECT *, text IS NULL OR len(list_filter(kept, lambda x: trim(x) <> '')) = 0 AS whole FROM put)
 SELECT doc_id, CASE WHEN whole THEN text ELSE coalesce(joined, '') END AS text,
        CAST(CASE WHEN whole THEN 0 ELSE len(parts) - len(kept) END AS INTEGER) AS n_removed
 FROM new"""

@@ -48,6 +48,14 @@ def test_odd_rows(spark):
     assert without_boilerplate(docs.limit(0)).collect() == []
 
 
+def test_columns_of_like_names(spark):
+    rows = [(i, f"banner\nown {i}", f"s{i}", "t", "b", "k", "n", 77) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _tid string, _bad string, _kept string, line string, n_removed int")
+    found = without_boilerplate(docs)
+    assert found.columns == docs.columns
+    assert {(r.text, r._tid, r._bad, r._kept, r.line, r.n_removed) for r in found.collect()} == {(f"own {i}", "t", "b", "k", "n", 1) for i in range(12)}
+
+
 def test_pipeline_cleans_short_pages_with_long_banners(spark):
     banner = "A banner that is much longer than the few words of the page below it"
     rows = [(i, f"{banner}\nown {i}", "en", f"s{i}", 1) for i in range(12)] + [(100 + i, f"{banner}\n\n{banner} ", "en", f"s{i}", 1) for i in range(12)]
