@@ -1,7 +1,7 @@
 """Column and freshness profiles.
 
 One scan computes the plain statistics of every column, one shuffle of distinct values serves distinct
-counts, common values and examples, and medians are found by narrowing a histogram, so no column is ever
+counts, common values and examples, and medians are bracketed by a sketch and picked in a second scan, so no column is ever
 collected into one task.
 """
 
@@ -11,7 +11,6 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +19,9 @@ from pyspark.sql import types as T
 from plumbline.sources.tables import split_columns
 
 _FANOUT = 4096
+#: Accuracy of the quantile sketch (its error is n / accuracy ranks), and the most values that one task ranks.
+_SKETCH = 10_000
+_PICKED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -117,62 +119,77 @@ def sample_values(counts: DataFrame, size: int = 5) -> DataFrame:
 
 
 def exact_medians(df: DataFrame, columns: Iterable[str]) -> dict[str, float | None]:
-    """Exact medians (mean of the two middle values) without sorting or collecting the column.
+    """Exact medians (mean of the two middle values, as doubles) without sorting or collecting a column.
 
-    Each round counts the remaining value range of a column in 4096 buckets and keeps the bucket that holds
-    the wanted rank. A round is one scan with map-side counting; two rounds are typical.
-    NaN counts as the largest value. Columns of one type share the scans.
+    The first scan counts every column and brackets its middle by a mergeable quantile sketch; the second counts what lies
+    below the bracket and the few values inside it, and picks the ranks. Both serve all columns. Columns whose bracket
+    holds too many values for one task, misses the ranks, or that have NaN (the largest value) or infinities are
+    narrowed by histograms instead. Casting to double keeps the order, so the k-th double is the double of the k-th value.
     """
-    result: dict[str, float | None] = {}
-    groups: dict[str, list[str]] = {}
-    for name in columns:
-        kind = df.schema[name].dataType
-        floating = isinstance(kind, (T.FloatType, T.DoubleType))
-        groups.setdefault("double" if floating else f"decimal(38,{getattr(kind, 'scale', 0)})", []).append(name)
-    for kind, names in groups.items():
-        result |= _narrow(df.select(*[F.col(f"`{n}`").cast(kind).alias(n) for n in names]), names, kind)
-    return result
-
-
-def _share(value: Column, lo: float | Decimal, hi: float | Decimal, kind: str) -> Column:
-    """Where ``value`` lies between ``lo`` (0) and ``hi`` (1), without overflow or loss of the last digits."""
-    low, high = F.lit(lo).cast(kind), F.lit(hi).cast(kind)
-    if kind == "double":
-        if math.isinf(hi - lo):
-            value, low, high = value / 2, low / 2, high / 2
-        return (value - low) / (high - low)
-    if hi - lo >= Decimal(10) ** (37 - int(kind.split(",")[1].rstrip(")"))):
-        # The difference has no room in 38 digits, and is so wide that doubles tell its ends apart.
-        return (value.cast("double") - low.cast("double")) / (high.cast("double") - low.cast("double"))
-
-    def gap(a: Column, b: Column) -> Column:
-        # Differences of 38-digit decimals lose their last digit, those of the two parts do not.
-        one = F.lit(Decimal(1))
-        return (F.floor(a) - F.floor(b)).cast("double") + (F.pmod(a, one) - F.pmod(b, one)).cast("double")
-
-    return gap(value, low) / gap(high, low)
-
-
-def _narrow(df: DataFrame, names: list[str], kind: str) -> dict[str, float | None]:
-    floating = kind == "double"
+    names = list(columns)
+    df = df.select(*[F.col(f"`{n}`").cast("double").alias(n) for n in names])
+    around = [0.5 - 2 / _SKETCH, 0.5 + 2 / _SKETCH]
+    aggregates = []
+    for i, n in enumerate(names):
+        c = F.col(f"`{n}`")
+        finite = F.when(F.abs(c) < float("inf"), c)
+        aggregates += [F.count(c).alias(f"n{i}"), F.count(finite).alias(f"f{i}"), F.percentile_approx(finite, around, _SKETCH).alias(f"q{i}")]
+    seen = df.agg(*aggregates).first()
+    result: dict[str, float | None] = {n: None for i, n in enumerate(names) if not seen[f"n{i}"]}
+    quick = [(n, seen[f"n{i}"], *seen[f"q{i}"]) for i, n in enumerate(names)
+             if seen[f"n{i}"] and seen[f"n{i}"] == seen[f"f{i}"] and seen[f"n{i}"] * 6 <= _PICKED * _SKETCH]
+    result |= _pick(df, quick)
+    return result | _narrow(df, [n for n in names if n not in result])
+
+
+def _pick(df: DataFrame, brackets: list[tuple[str, int, float, float]]) -> dict[str, float]:
+    """Medians of ``(column, non-null values, low, high)`` that lie within their bracket, in one scan."""
+    if not brackets:
+        return {}
+    cells, wanted = [], []
+    for j, (name, n, low, high) in enumerate(brackets):
+        value = F.col(f"`{name}`")
+        # All values below the bracket are one entry without a value.
+        cells.append(F.when(value <= high, F.struct(F.lit(j).alias("j"), F.when(value >= low, value).alias("v"))))
+        wanted.append(F.array(*[F.lit(r).cast("bigint") for r in sorted({(n - 1) // 2, n // 2})]))
+    counts = df.select(F.explode(F.array(*cells)).alias("c")).filter("c IS NOT NULL").groupBy("c.j", "c.v").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("j").orderBy(F.asc_nulls_first("v"))
+    ranks = F.filter(F.element_at(F.array(*wanted), F.col("j") + 1), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+    hits: dict[int, list[float]] = {}
+    for row in counts.withColumn("upto", F.sum("n").over(upto)).withColumn("hits", F.size(ranks)).filter("hits > 0 AND v IS NOT NULL").collect():
+        hits.setdefault(row["j"], []).extend([row["v"]] * row["hits"])
+    return {name: sum(v / len(hits[j]) for v in hits[j]) for j, (name, n, *_) in enumerate(brackets) if len(hits.get(j, ())) == (1 if n % 2 else 2)}
+
+
+def _share(value: Column, lo: float, hi: float) -> Column:
+    """Where ``value`` lies between ``lo`` (0) and ``hi`` (1), without overflow."""
+    low, high = F.lit(lo), F.lit(hi)
+    if math.isinf(hi - lo):
+        value, low, high = value / 2, low / 2, high / 2
+    return (value - low) / (high - low)
+
+
+def _narrow(df: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """Medians by counting the remaining range of a column in 4096 buckets, round by round."""
+    if not names:
+        return {}
     finite = {}
     for n in names:
         c = F.col(f"`{n}`")
-        finite[n] = F.when(F.abs(c) < float("inf"), c) if floating else c
+        finite[n] = F.when(F.abs(c) < float("inf"), c)
     aggregates = []
     for i, n in enumerate(names):
         c = F.col(f"`{n}`")
         aggregates += [F.count(finite[n]).alias(f"n{i}"), F.min(finite[n]).alias(f"lo{i}"), F.max(finite[n]).alias(f"hi{i}")]
-        if floating:
-            aggregates += [F.count_if(c == value).alias(f"{tag}{i}") for tag, value in
-                           (("neg", float("-inf")), ("pos", float("inf")), ("nan", float("nan")))]
+        aggregates += [F.count_if(c == value).alias(f"{tag}{i}") for tag, value in
+                       (("neg", float("-inf")), ("pos", float("inf")), ("nan", float("nan")))]
     bounds = df.agg(*aggregates).first()
     # Wanted ranks: (column, rank among finite values) -> [lowest value, highest value, rows below].
     open_ranks, found, fixed = {}, {}, {}
     for i in range(len(names)):
         n = bounds[f"n{i}"]
         ends = [(bounds[f"{tag}{i}"], value) for tag, value in
-                (("neg", float("-inf")), ("pos", float("inf")), ("nan", float("nan")))] if floating else [(0, None)] * 3
+                (("neg", float("-inf")), ("pos", float("inf")), ("nan", float("nan")))]
         total = n + sum(k for k, _ in ends)
         for rank in {(total - 1) // 2, total // 2} if total else set():
             if rank < ends[0][0]:
@@ -192,8 +209,8 @@ def _narrow(df: DataFrame, names: list[str], kind: str) -> dict[str, float | Non
         for j, (i, _) in enumerate(keys):
             lo, hi, _below = open_ranks[keys[j]]
             value = finite[names[i]]
-            bucket = F.least(F.floor(_share(value, lo, hi, kind) * _FANOUT), F.lit(_FANOUT - 1)).cast("int")
-            cells.append(F.when(value.between(F.lit(lo).cast(kind), F.lit(hi).cast(kind)), F.struct(
+            bucket = F.least(F.floor(_share(value, lo, hi) * _FANOUT), F.lit(_FANOUT - 1)).cast("int")
+            cells.append(F.when(value.between(F.lit(lo), F.lit(hi)), F.struct(
                 F.lit(j).alias("j"), bucket.alias("bucket"), value.alias("v"))))
         histogram = df.select(F.explode(F.array(*cells)).alias("c")).filter("c IS NOT NULL").groupBy(
             F.col("c.j").alias("j"), F.col("c.bucket").alias("bucket")).agg(

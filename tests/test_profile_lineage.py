@@ -4,6 +4,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import impact as B
 from plumbline.operators import lineage as L
@@ -227,3 +228,17 @@ def test_word_references_meet_all_texts_with_all_assets(spark):
         rows = L.word_references(offered, given, hot, postings).collect()
         assert {(r.upstream, r.downstream): r.referenced_columns for r in rows} == want and len(rows) == len(want)
     assert max(len(r.owners) for r in L.word_index(offered, 3).collect()) == 3
+
+
+def test_medians_by_both_ways(spark, monkeypatch):
+    import statistics
+    rng = random.Random(8)
+    rows = [(rng.gauss(0, 1), rng.randrange(3), rng.randrange(10**15) * 10**3, None if rng.random() < 0.9 else rng.random(), 5.0 if i % 3 else rng.random() * 10, None)
+            for i in range(20_001)]
+    df = spark.createDataFrame(rows, "a double, b int, c bigint, d double, e double, f double").repartition(7)
+    want = {name: statistics.median([float(r[k]) for r in rows if r[k] is not None]) for k, name in enumerate("abcde")} | {"f": None}
+    assert pr.exact_medians(df, df.columns) == want
+    # Brackets too full for one task are narrowed by histograms, brackets that miss the ranks as well.
+    monkeypatch.setattr(pr, "_PICKED", 1)
+    assert pr.exact_medians(df, df.columns) == want
+    assert pr._pick(df.select(F.col("a")), [("a", 20_001, 5.0, 6.0)]) == {}
