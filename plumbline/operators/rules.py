@@ -266,19 +266,59 @@ def _chronology(rule: Rule, ctx: Context, combos: DataFrame, context: bool) -> D
     return bad.select("p.*", *([f"r.{shown}"] if context else []))
 
 
+#: How a row of the asset may differ from a row it joins: text of the condition, and the same against the smallest (``lo``) and
+#: largest (``hi``) value of all its partners and whether one of them is NULL (``hole``). ``t`` is the tolerance.
+COMPARISONS = {
+    "above": ("{own} > r.{theirs} + {t}", "{own} > a.lo + {t}"),
+    "below": ("{own} < r.{theirs} - {t}", "{own} < a.hi - {t}"),
+    "different": ("{own} <> r.{theirs}", "{own} <> a.lo OR {own} <> a.hi"),
+    "distinct": ("{own} IS DISTINCT FROM r.{theirs}", "CASE WHEN {own} IS NULL THEN a.lo IS NOT NULL ELSE a.hole OR {own} <> a.lo OR {own} <> a.hi END"),
+}
+
+
+def _comparison(rule: Rule, of_stats: bool) -> str:
+    own, kind, theirs, *tolerance = rule.params["compare"]
+    if kind not in COMPARISONS:
+        raise RuleError(f"{rule.key}: unknown comparison '{kind}'")
+    # Doubles would round the bound of a decimal column.
+    return COMPARISONS[kind][of_stats].format(own=f"p.{own}", theirs=theirs, t=f"CAST({tolerance[0] if tolerance else 0} AS DECIMAL(20,10))")
+
+
+def _join_predicate(rule: Rule) -> str:
+    return _comparison(rule, False) if "compare" in rule.params else rule.params["invalid_when"]
+
+
 def _join_condition_needs(rule: Rule, ctx: Context, primary: DataFrame) -> list[str]:
     keys = [a for a, _ in _join_columns(rule)]
-    return list(dict.fromkeys([*keys, *mentioned(primary, rule.params["invalid_when"])]))
+    return list(dict.fromkeys([*keys, *mentioned(primary, _join_predicate(rule))]))
+
+
+def _beside_stats(rule: Rule, ctx: Context, combos: DataFrame) -> DataFrame:
+    """Combinations for which some partner makes a comparison true, from the extremes of each key: no pairs within a key."""
+    pairs, theirs = _join_columns(rule), F.col(f"`{rule.params['compare'][2]}`")
+    partners = ctx.table(rule.params["reference_asset"])
+    tenants = ctx.shared_tenants(partners)
+    partners = _keyed(partners, [(b, b) for _, b in pairs])
+    stats = partners.groupBy(*tenants, *[F.col(f"`{b}`").alias(f"_k{i}") for i, (_, b) in enumerate(pairs)]).agg(
+        F.min(theirs).alias("lo"), F.max(theirs).alias("hi"), F.bool_or(theirs.isNull()).alias("hole"))
+    on = _equal([*[(a, f"_k{i}") for i, (a, _) in enumerate(pairs)], *[(t, t) for t in tenants]], "p", "a")
+    return _keyed(combos, pairs).alias("p").join(stats.alias("a"), on).filter(ctx.predicate(_comparison(rule, True))).select("p.*")
 
 
 def _join_condition(rule: Rule, ctx: Context, combos: DataFrame, context: bool) -> DataFrame:
+    """A comparison is decided by the extremes of each key; a free condition meets the distinct partners of its key."""
     p, pairs = rule.params, _join_columns(rule)
+    if "compare" in p:
+        combos = _beside_stats(rule, ctx, combos)
+        if not context:
+            return combos
     reference = ctx.table(p["reference_asset"])
     tenants = ctx.shared_tenants(reference)
+    predicate = _join_predicate(rule)
     shown = list(p.get("context_columns") or [b for _, b in pairs]) if context else []
-    used = list(dict.fromkeys([*tenants, *[b for _, b in pairs], *mentioned(reference, p["invalid_when"]), *shown]))
+    used = list(dict.fromkeys([*tenants, *[b for _, b in pairs], *mentioned(reference, predicate), *shown]))
     side = _keyed(reference.select(*used), [(b, b) for _, b in pairs]).distinct().alias("r")
-    on = _equal([*pairs, *[(t, t) for t in tenants]], "p", "r") & ctx.predicate(p["invalid_when"])
+    on = _equal([*pairs, *[(t, t) for t in tenants]], "p", "r") & ctx.predicate(predicate)
     left = _keyed(combos, pairs).alias("p")
     if not context:
         return left.join(side, on, "left_semi")

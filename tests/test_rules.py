@@ -1,11 +1,13 @@
 """Every rule type on hand-made rows with known failing counts."""
 
+import random
 from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
 
 from plumbline.operators import quality as Q
+from plumbline.operators.quality import failing_rows, rule_counts
 from plumbline.operators.rules import Rule, problems, select_ruleset
 from plumbline.plans.rulebook import commerce_rules
 from plumbline.sources.schemas import STAGING
@@ -160,3 +162,29 @@ def test_rulebook_totals_and_references():
     for part in ("duplicate rule key", "unknown asset 'nowhere'", "unknown type", "unknown category", "unknown severity",
                  "supersedes unknown", "unknown column"):
         assert part in text
+
+
+def test_comparisons_by_extremes_equal_pairs(spark):
+    """A comparison with all partners of a key is decided by their extremes, as the free condition decides it by pairs."""
+    rng = random.Random(12)
+    values = [None, "1.00", "1.01", "2.00", "2.50", "9.99"]
+
+    def rows(n):
+        # A third of both sides has one key.
+        return [(rng.choice(["hot", "a", "b", "c", None]) if rng.random() < 0.67 else "hot", None if (v := rng.choice(values)) is None else Decimal(v)) for _ in range(n)]
+
+    schema = "k string, v decimal(12,2)"
+    tables = {"left": spark.createDataFrame(rows(400), schema), "right": spark.createDataFrame(rows(400) + [("lone", None), ("same", Decimal("2.00"))], schema)}
+    tables["left"] = tables["left"].unionByName(spark.createDataFrame([("lone", Decimal("1.00")), ("lone", None), ("same", Decimal("2.00")), ("same", None), ("same", Decimal("2.01"))], schema))
+    free = {"above": "p.v > r.v + 0.01", "below": "p.v < r.v - 0.01", "different": "p.v <> r.v", "distinct": "p.v IS DISTINCT FROM r.v"}
+
+    def rule(key, **how):
+        return Rule(key, "business_rule", "join_condition", "left", "low", ("v",), {"reference_asset": "right", "join": {"k": "k"}, **how})
+
+    rules = [rule(f"{k}_pairs", invalid_when=text) for k, text in free.items()] + [rule(f"{k}_extremes", compare=("v", k, "v", "0.01")) for k in free]
+    found = {r["rule_key"]: r["failed"] for r in rule_counts(spark, tables, rules, "2026-01-01").collect()}
+    assert all(found[f"{k}_pairs"] == found[f"{k}_extremes"] > 0 for k in free), found
+    plan = rule_counts(spark, tables, [rules[-1]], "2026-01-01")._jdf.queryExecution().toString()
+    assert "LeftSemi" not in plan
+    shown = [sorted(map(tuple, failing_rows(tables, r, "2026-01-01").collect()), key=str) for r in (rules[0], rules[4])]
+    assert shown[0] == shown[1]
