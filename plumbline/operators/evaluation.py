@@ -93,6 +93,14 @@ def predict(tables: Mapping[str, DataFrame], rules: Sequence[Rule], labels: Data
                          "defect_category")
 
 
+def of_ruleset(predictions: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Predictions of a part of the rules they were made with: rules are judged one by one, so nothing is evaluated again."""
+    fired = F.array_intersect("triggered_rules", F.array(*[F.lit(r.key) for r in rules]).cast("array<string>"))
+    predicted = F.when(F.size(fired) > 0, POSITIVE).otherwise(NEGATIVE)
+    return predictions.select("case_id", "expected", predicted.alias("predicted"), outcome(F.col("expected"), predicted).alias("outcome"),
+                              F.array_sort(fired).alias("triggered_rules"), "defect_category")
+
+
 def confusion(predictions: DataFrame, *by: str) -> DataFrame:
     """Counts and metrics (four digits, NULL on an empty denominator) per group or overall."""
     counts = predictions.groupBy(*by).agg(*[

@@ -4,66 +4,113 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+
 _TYPES = {
-    "text": T.StringType(),
-    "int": T.IntegerType(),
-    "bool": T.BooleanType(),
-    "date": T.DateType(),
-    "ts": T.TimestampNTZType(),
-    "d10": T.DecimalType(10, 2),
-    "d12": T.DecimalType(12, 2),
+    "string": T.StringType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(),
+    "decimal(10,2)": T.DecimalType(10, 2), "decimal(12,2)": T.DecimalType(12, 2),
 }
 
 
-def _struct(text: str, required: tuple[str, ...] = ()) -> T.StructType:
-    fields = [part.split(":") for part in text.split()]
-    return T.StructType([T.StructField(name, _TYPES[kind], name not in required) for name, kind in fields])
+def _struct(columns: tuple[tuple[str, str], ...], required: tuple[str, ...] = ()) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind], name not in required) for name, kind in columns])
 
 
 # Columns and types of the raw landing tables.
 _RAW = {
-    "customers": "customer_id:text email:text first_name:text last_name:text country_code:text "
-                 "acquisition_channel:text customer_status:text signup_at:ts _loaded_at:ts",
-    "products": "product_id:text sku:text product_name:text category:text unit_price:d10 is_active:bool "
-                "launched_on:date _loaded_at:ts",
-    "orders": "order_id:text customer_id:text subscription_id:text campaign_id:text order_status:text "
-              "sales_channel:text currency:text subtotal_amount:d12 discount_amount:d12 shipping_amount:d12 "
-              "tax_amount:d12 total_amount:d12 ordered_at:ts _loaded_at:ts",
-    "order_items": "order_item_id:text order_id:text product_id:text quantity:int unit_price:d10 line_amount:d12 "
-                   "_loaded_at:ts",
-    "payments": "payment_id:text order_id:text customer_id:text payment_method:text payment_status:text "
-                "amount:d12 currency:text processed_at:ts _loaded_at:ts",
-    "refunds": "refund_id:text payment_id:text refund_amount:d12 refund_reason:text refunded_at:ts _loaded_at:ts",
-    "subscriptions": "subscription_id:text customer_id:text plan_code:text subscription_status:text "
-                     "billing_interval:text price_per_cycle:d10 started_on:date ended_on:date _loaded_at:ts",
-    "tickets": "ticket_id:text customer_id:text order_id:text channel:text priority:text ticket_status:text "
-               "opened_at:ts solved_at:ts csat_score:int _loaded_at:ts",
-    "campaigns": "campaign_id:text campaign_name:text channel:text started_on:date ended_on:date "
-                 "budget_amount:d12 _loaded_at:ts",
+    "customers": (
+        ("customer_id", "string"), ("email", "string"), ("first_name", "string"), ("last_name", "string"),
+        ("country_code", "string"), ("acquisition_channel", "string"), ("customer_status", "string"),
+        ("signup_at", "timestamp_ntz"), ("_loaded_at", "timestamp_ntz"),
+    ),
+    "products": (
+        ("product_id", "string"), ("sku", "string"), ("product_name", "string"), ("category", "string"),
+        ("unit_price", "decimal(10,2)"), ("is_active", "boolean"), ("launched_on", "date"),
+        ("_loaded_at", "timestamp_ntz"),
+    ),
+    "orders": (
+        ("order_id", "string"), ("customer_id", "string"), ("subscription_id", "string"), ("campaign_id", "string"),
+        ("order_status", "string"), ("sales_channel", "string"), ("currency", "string"),
+        ("subtotal_amount", "decimal(12,2)"), ("discount_amount", "decimal(12,2)"),
+        ("shipping_amount", "decimal(12,2)"), ("tax_amount", "decimal(12,2)"), ("total_amount", "decimal(12,2)"),
+        ("ordered_at", "timestamp_ntz"), ("_loaded_at", "timestamp_ntz"),
+    ),
+    "order_items": (
+        ("order_item_id", "string"), ("order_id", "string"), ("product_id", "string"), ("quantity", "int"),
+        ("unit_price", "decimal(10,2)"), ("line_amount", "decimal(12,2)"), ("_loaded_at", "timestamp_ntz"),
+    ),
+    "payments": (
+        ("payment_id", "string"), ("order_id", "string"), ("customer_id", "string"), ("payment_method", "string"),
+        ("payment_status", "string"), ("amount", "decimal(12,2)"), ("currency", "string"),
+        ("processed_at", "timestamp_ntz"), ("_loaded_at", "timestamp_ntz"),
+    ),
+    "refunds": (
+        ("refund_id", "string"), ("payment_id", "string"), ("refund_amount", "decimal(12,2)"),
+        ("refund_reason", "string"), ("refunded_at", "timestamp_ntz"), ("_loaded_at", "timestamp_ntz"),
+    ),
+    "subscriptions": (
+        ("subscription_id", "string"), ("customer_id", "string"), ("plan_code", "string"),
+        ("subscription_status", "string"), ("billing_interval", "string"), ("price_per_cycle", "decimal(10,2)"),
+        ("started_on", "date"), ("ended_on", "date"), ("_loaded_at", "timestamp_ntz"),
+    ),
+    "tickets": (
+        ("ticket_id", "string"), ("customer_id", "string"), ("order_id", "string"), ("channel", "string"),
+        ("priority", "string"), ("ticket_status", "string"), ("opened_at", "timestamp_ntz"),
+        ("solved_at", "timestamp_ntz"), ("csat_score", "int"), ("_loaded_at", "timestamp_ntz"),
+    ),
+    "campaigns": (
+        ("campaign_id", "string"), ("campaign_name", "string"), ("channel", "string"), ("started_on", "date"),
+        ("ended_on", "date"), ("budget_amount", "decimal(12,2)"), ("_loaded_at", "timestamp_ntz"),
+    ),
 }
 
 # Columns and types of the typed staging layer.
 _STAGING = {
-    "stg_customers": "customer_id:text email:text first_name:text last_name:text country_code:text "
-                     "acquisition_channel:text customer_status:text signed_up_at:ts loaded_at:ts",
-    "stg_products": "product_id:text sku:text product_name:text category:text list_price:d10 is_active:bool "
-                    "launched_on:date loaded_at:ts",
-    "stg_orders": "order_id:text customer_id:text subscription_id:text campaign_id:text order_status:text "
-                  "sales_channel:text currency:text subtotal_amount:d12 discount_amount:d12 shipping_amount:d12 "
-                  "tax_amount:d12 total_amount:d12 ordered_at:ts loaded_at:ts",
-    "stg_order_items": "order_item_id:text order_id:text product_id:text quantity:int unit_price:d10 "
-                       "line_amount:d12 loaded_at:ts",
-    "stg_payments": "payment_id:text order_id:text customer_id:text payment_method:text payment_status:text "
-                    "amount:d12 currency:text processed_at:ts loaded_at:ts",
-    "stg_refunds": "refund_id:text payment_id:text refund_amount:d12 refund_reason:text refunded_at:ts loaded_at:ts",
-    "stg_subscriptions": "subscription_id:text customer_id:text plan_code:text subscription_status:text "
-                         "billing_interval:text price_per_cycle:d10 monthly_amount:d10 started_on:date "
-                         "ended_on:date loaded_at:ts",
-    "stg_tickets": "ticket_id:text customer_id:text order_id:text channel:text priority:text ticket_status:text "
-                   "opened_at:ts solved_at:ts csat_score:int loaded_at:ts",
-    "stg_campaigns": "campaign_id:text campaign_name:text channel:text started_on:date ended_on:date "
-                     "budget_amount:d12 loaded_at:ts",
+    "stg_customers": (
+        ("customer_id", "string"), ("email", "string"), ("first_name", "string"), ("last_name", "string"),
+        ("country_code", "string"), ("acquisition_channel", "string"), ("customer_status", "string"),
+        ("signed_up_at", "timestamp_ntz"), ("loaded_at", "timestamp_ntz"),
+    ),
+    "stg_products": (
+        ("product_id", "string"), ("sku", "string"), ("product_name", "string"), ("category", "string"),
+        ("list_price", "decimal(10,2)"), ("is_active", "boolean"), ("launched_on", "date"),
+        ("loaded_at", "timestamp_ntz"),
+    ),
+    "stg_orders": (
+        ("order_id", "string"), ("customer_id", "string"), ("subscription_id", "string"), ("campaign_id", "string"),
+        ("order_status", "string"), ("sales_channel", "string"), ("currency", "string"),
+        ("subtotal_amount", "decimal(12,2)"), ("discount_amount", "decimal(12,2)"),
+        ("shipping_amount", "decimal(12,2)"), ("tax_amount", "decimal(12,2)"), ("total_amount", "decimal(12,2)"),
+        ("ordered_at", "timestamp_ntz"), ("loaded_at", "timestamp_ntz"),
+    ),
+    "stg_order_items": (
+        ("order_item_id", "string"), ("order_id", "string"), ("product_id", "string"), ("quantity", "int"),
+        ("unit_price", "decimal(10,2)"), ("line_amount", "decimal(12,2)"), ("loaded_at", "timestamp_ntz"),
+    ),
+    "stg_payments": (
+        ("payment_id", "string"), ("order_id", "string"), ("customer_id", "string"), ("payment_method", "string"),
+        ("payment_status", "string"), ("amount", "decimal(12,2)"), ("currency", "string"),
+        ("processed_at", "timestamp_ntz"), ("loaded_at", "timestamp_ntz"),
+    ),
+    "stg_refunds": (
+        ("refund_id", "string"), ("payment_id", "string"), ("refund_amount", "decimal(12,2)"),
+        ("refund_reason", "string"), ("refunded_at", "timestamp_ntz"), ("loaded_at", "timestamp_ntz"),
+    ),
+    "stg_subscriptions": (
+        ("subscription_id", "string"), ("customer_id", "string"), ("plan_code", "string"),
+        ("subscription_status", "string"), ("billing_interval", "string"), ("price_per_cycle", "decimal(10,2)"),
+        ("monthly_amount", "decimal(10,2)"), ("started_on", "date"), ("ended_on", "date"),
+        ("loaded_at", "timestamp_ntz"),
+    ),
+    "stg_tickets": (
+        ("ticket_id", "string"), ("customer_id", "string"), ("order_id", "string"), ("channel", "string"),
+        ("priority", "string"), ("ticket_status", "string"), ("opened_at", "timestamp_ntz"),
+        ("solved_at", "timestamp_ntz"), ("csat_score", "int"), ("loaded_at", "timestamp_ntz"),
+    ),
+    "stg_campaigns": (
+        ("campaign_id", "string"), ("campaign_name", "string"), ("channel", "string"), ("started_on", "date"),
+        ("ended_on", "date"), ("budget_amount", "decimal(12,2)"), ("loaded_at", "timestamp_ntz"),
+    ),
 }
 
-RAW = {name: _struct(text, ("_loaded_at",)) for name, text in _RAW.items()}
-STAGING = {name: _struct(text) for name, text in _STAGING.items()}
+RAW = {name: _struct(columns, ("_loaded_at",)) for name, columns in _RAW.items()}
+STAGING = {name: _struct(columns) for name, columns in _STAGING.items()}

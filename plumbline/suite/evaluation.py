@@ -216,8 +216,9 @@ _add("e5_suite_hash", lambda s, f: E.suite_hash(_hashes(s, f)), _CASE_HASHES[0]
 
 
 def _compared(s, f):
-    before, after = _predictions(s, f, "baseline"), _predictions(s, f, "improved")
-    return before, after
+    """Predictions of both rulesets from one evaluation of all rules."""
+    every = checkpoint(_predictions(s, f, None))
+    return tuple(E.of_ruleset(every, select_ruleset(_ALL, ruleset)) for ruleset in ("baseline", "improved"))
 
 
 def _side_by_side(s, f):
@@ -459,20 +460,39 @@ _RULE_OF = ("CASE defect_type WHEN 'orphaned_order_customer' THEN 'orders_custom
 _add("d12_ground_truth", lambda s, f: plain(D.truth_summary(_planted(s, f)[1])), with_models(
     f"SELECT defect_type, 'stg_orders' AS table_name, {_RULE_OF} AS primary_rule, n AS injected_records, n * per AS "
     f"expected_failing_rows FROM ({_TRUTH}) AS t"))
+_PLANTED = (f"planted AS (SELECT DISTINCT order_id AS record_id, CASE k % 97 WHEN 3 THEN 'orphaned_order_customer' WHEN 4 THEN 'invalid_order_status' WHEN 5 "
+            f"THEN 'future_order_date' ELSE 'duplicate_order_id' END AS defect_type FROM (SELECT order_id, {_K.format(c='order_id')} AS k FROM stg_orders "
+            "WHERE order_id IS NOT NULL) AS x WHERE k % 97 BETWEEN 3 AND 6)")
+
+
+def _with_planted(body: str, *extra: str) -> str:
+    text = with_models("@@ " + ", ".join([_PLANTED, *extra]))
+    head, inner = text.split("@@ ", 1)
+    return head.rstrip() + ",\n" + inner + " " + body
+
+
 _add("d12_no_overlap", lambda s, f: D.overlapping_records(_planted(s, f)[1]).agg(F.count(F.lit(1)).alias("overlaps")),
-     with_models("SELECT COUNT(*) AS overlaps FROM (SELECT order_id FROM stg_orders WHERE FALSE) AS x"))
+     _with_planted("SELECT COUNT(*) AS overlaps FROM (SELECT record_id FROM planted GROUP BY 1 HAVING COUNT(DISTINCT defect_type) > 1) AS x"))
 
 
 def _manifest(s, f):
+    """Summary and records written as JSON and read again: one line per defect and per planted record, so that no line grows."""
     folder = shared_folder(s)
-    _, records = _planted(s, f)
-    T.write_json(D.truth_summary(records).withColumn("columns", F.array(F.lit("order_id"))), folder)
-    schema = "defect_type string, injected_records bigint, expected_failing_rows bigint, columns array<string>"
-    return plain(s.read.schema(schema).json(folder))
+    records = _planted(s, f)[1]
+    columns = rules_frame(s, _ALL).select(F.col("rule_key").alias("primary_rule"), "columns")
+    T.write_json(D.truth_summary(records).join(columns, "primary_rule"), f"{folder}/defects")
+    T.write_json(records.select("defect_type", "record_id"), f"{folder}/records")
+    schema = "defect_type string, primary_rule string, injected_records bigint, expected_failing_rows bigint, columns array<string>"
+    named = s.read.schema("defect_type string, record_id string").json(f"{folder}/records")
+    return plain(s.read.schema(schema).json(f"{folder}/defects").join(named, "defect_type"))
 
 
-_add("s3_ground_truth_manifest", _manifest, with_models(
-    f"SELECT defect_type, n AS injected_records, n * per AS expected_failing_rows, 'order_id' AS columns FROM ({_TRUTH}) AS t"))
+_COLUMNS_OF = "CASE primary_rule " + " ".join(
+    f"WHEN '{k}' THEN '{','.join(S.RULES[k].columns)}'" for k in ("orders_customer_exists", "orders_status_accepted_values", "orders_ordered_at_not_future",
+                                                                 "orders_order_id_unique")) + " END"
+_add("s3_ground_truth_manifest", _manifest, _with_planted(
+    f"SELECT t.defect_type, t.primary_rule, t.injected_records, t.expected_failing_rows, {_COLUMNS_OF} AS columns, p.record_id FROM (SELECT defect_type, "
+    f"{_RULE_OF} AS primary_rule, n AS injected_records, n * per AS expected_failing_rows FROM ({_TRUTH}) AS y) AS t JOIN planted AS p USING (defect_type)"))
 
 
 def _coverage(s, f):
@@ -482,9 +502,22 @@ def _coverage(s, f):
                                   "orders_order_id_unique")]
     counts = Q.rule_counts(s, tables, rules, CUTOFF)
     return plain(E.coverage(D.truth_summary(records), counts, rules_frame(s, _ALL)).select(
-        "defect_type", "executed_rule", "injected_records", "expected_failing_rows", "covered"))
+        "defect_type", "executed_rule", "injected_records", "expected_failing_rows", "found", "covered"))
+
+
+def _coverage_sql() -> str:
+    k = _K.format(c="order_id")
+    changed = {"customer_id": f"IF({k} % 97 = 3, 'LEGACY-' || customer_id, customer_id)", "order_status": f"IF({k} % 97 = 4, 'in_transit', order_status)",
+               "ordered_at": f"IF({k} % 97 = 5, ordered_at + INTERVAL '3650' DAY, ordered_at)"}
+    spoiled = "SELECT * REPLACE (" + ", ".join(f"{v} AS {c}" for c, v in changed.items()) + ") FROM stg_orders WHERE order_id IS NOT NULL"
+    bad = f"bad AS MATERIALIZED ({spoiled} UNION ALL SELECT * FROM stg_orders WHERE order_id IS NOT NULL AND {k} % 97 = 6)"
+    found = "found AS (" + " UNION ALL ".join(
+        f"SELECT '{key}' AS executed_rule, COUNT(*) AS found FROM bad AS p WHERE " + S.predicate(key).replace("FROM stg_orders AS q", "FROM bad AS q")
+        for key in ("orders_customer_exists", "orders_status_accepted_values", "orders_ordered_at_not_future", "orders_order_id_unique")) + ")"
+    return _with_planted(
+        "SELECT t.defect_type, t.executed_rule, t.injected_records, t.expected_failing_rows, f.found, f.found >= t.expected_failing_rows AS covered FROM ("
+        f"SELECT defect_type, {_RULE_OF} AS executed_rule, n AS injected_records, n * per AS expected_failing_rows FROM ({_TRUTH}) AS y) AS t JOIN found AS f "
+        "USING (executed_rule)", bad, found)
 
 
-_add("e9_ground_truth_coverage", _coverage, with_models(
-    f"SELECT defect_type, {_RULE_OF} AS executed_rule, n AS injected_records, n * per AS expected_failing_rows, TRUE AS covered "
-    f"FROM ({_TRUTH}) AS t"))
+_add("e9_ground_truth_coverage", _coverage, _coverage_sql())

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from plumbline.operators import profile as P
 from plumbline.plans import commerce_catalog as C
-from plumbline.plans.model_sql import with_models
-from plumbline.plans.staging import stage
+from plumbline.plans.model_sql import staging_sql, with_models
+from plumbline.plans.staging import stage_all
 from plumbline.session import checkpoint, shared_folder
 from plumbline.sources import tables as T
 from plumbline.sources.driver_tables import CUTOFF
@@ -234,20 +235,31 @@ _add("s1_load_raw_tables",
      with_models("\nUNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS rows FROM raw_{t}" for t in RAW)))
 
 
+def _raw_cast(field) -> str:
+    kind = field.dataType.simpleString()
+    return f"CAST({field.name} AS {kind}) AS {field.name}" if kind.startswith("decimal") else field.name
+
+
+def _digest_sql(tables) -> str:
+    """Digests of all rows of some tables: {name: (relation, columns)}."""
+    def one(name: str, relation: str, columns) -> str:
+        text = ", '|', ".join(f"COALESCE(CAST({c} AS VARCHAR), '-')" for c in columns)
+        return (f"SELECT '{name}' AS table_name, COUNT(*) AS rows, CAST(COALESCE(SUM(CAST('0x' || substr(md5(concat({text})), 1, 8) AS BIGINT)), 0) AS "
+                f"BIGINT) AS digest FROM {relation}")
+    return with_models("\nUNION ALL ".join(one(n, r, c) for n, (r, c) in tables.items()))
+
+
 def _csv_roundtrip(s, f):
+    """All raw tables written as CSV and read again, then staged."""
     folder = shared_folder(s)
-    bed = Bed(s, f)
-    T.write_csv_snapshot({"payments": bed.raw("payments"), "orders": bed.raw("orders")}, folder)
-    back = T.read_raw(s, folder, "csv")
-    return plain(stage("payments", back["payments"]))
+    T.write_csv_snapshot(Bed(s, f).all_raw(), folder)
+    return T.table_digests(stage_all(T.read_raw(s, folder, "csv")))
 
 
-_add("s2_csv_snapshot_roundtrip", _csv_roundtrip, staging_oracle("stg_payments"))
-_add("s4_raw_schema_landing",
-     lambda s, f: plain(Bed(s, f).raw("subscriptions")),
-     with_models("SELECT subscription_id, customer_id, plan_code, subscription_status, billing_interval, CAST("
-                 "price_per_cycle AS DOUBLE) AS price_per_cycle, CAST(started_on AS VARCHAR) AS started_on, CAST(ended_on AS "
-                 "VARCHAR) AS ended_on, CAST(_loaded_at AS VARCHAR) AS _loaded_at FROM raw_subscriptions"))
+_add("s2_csv_snapshot_roundtrip", _csv_roundtrip, _digest_sql({
+    name: (f"({staging_sql(name)})", schema.names) for name, schema in STAGING.items()}))
+_add("s4_raw_schema_landing", lambda s, f: T.table_digests(Bed(s, f).all_raw()), _digest_sql({
+    name: (f"(SELECT {', '.join(_raw_cast(c) for c in schema)} FROM raw_{name})", schema.names) for name, schema in RAW.items()}))
 
 
 def _history_sink(s, f):
@@ -309,15 +321,16 @@ _add("s12_schema_introspection", _introspect, with_models("\nUNION ALL ".join(
 
 
 def _contract(s, f):
-    """Rows of a table that passed its contract, per declared column."""
-    df = checkpoint(Bed(s, f).staging["stg_subscriptions"])
-    kinds = [(x.name, x.dataType.simpleString()) for x in STAGING["stg_subscriptions"]]
-    declared = s.createDataFrame(kinds, "column_name string, data_type string")
-    counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("non_null")) for c in df.columns])).alias("x")).select("x.*")
-    return declared.join(counts, "column_name")
+    """Rows of every table that passed its contract, per declared column."""
+    staging = Bed(s, f).staging
+    kinds = [(name, x.name, x.dataType.simpleString()) for name, schema in STAGING.items() for x in schema]
+    declared = s.createDataFrame(kinds, "table_name string, column_name string, data_type string")
+    counts = [df.agg(*[F.count(c).alias(c) for c in df.columns]).select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col(c).alias("non_null")) for c in df.columns])).alias("x")).select("x.*")
+        for name, df in staging.items()]
+    return declared.join(reduce(lambda a, b: a.unionByName(b), counts), ["table_name", "column_name"])
 
 
 _add("t10_staging_contract", _contract, with_models("\nUNION ALL ".join(
-    f"SELECT '{x.name}' AS column_name, '{x.dataType.simpleString()}' AS data_type, COUNT({x.name}) AS non_null FROM "
-    f"stg_subscriptions" for x in STAGING["stg_subscriptions"])))
+    f"SELECT '{name}' AS table_name, '{x.name}' AS column_name, '{x.dataType.simpleString()}' AS data_type, COUNT({x.name}) AS non_null FROM {name}"
+    for name, schema in STAGING.items() for x in schema)))
