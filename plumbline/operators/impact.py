@@ -121,6 +121,19 @@ def owners_affected(impacted: DataFrame, defects: DataFrame, nodes: DataFrame) -
         "seed", "owner").agg(F.array_sort(F.collect_set("asset")).alias("owned_assets"))
 
 
+def issues_upstream(edges: DataFrame, nodes: DataFrame, issues: DataFrame) -> DataFrame:
+    """(asset, rule_key, issue_key, source_asset, depth, priority_band): open issues on the ancestors of every asset, by fewest hops.
+
+    Unlike ``inherited_issues`` every ancestor counts, whatever columns the failing rule is about: it is what to look at before an
+    asset is trusted. All assets with open issues are followed downstream together.
+    """
+    open_issues = issues.filter("status <> 'resolved'").select(
+        "rule_key", "issue_key", F.col("asset").alias("source_asset"), "priority_band")
+    starts = open_issues.select(F.col("source_asset").alias("seed"), F.col("source_asset").alias("asset")).distinct()
+    below = reach(edges, starts).join(nodes.select("asset"), "asset", "left_semi").select(F.col("seed").alias("source_asset"), "asset", "depth")
+    return below.join(open_issues, "source_asset").select("asset", "rule_key", "issue_key", "source_asset", "depth", "priority_band")
+
+
 def inherited_issues(impacted: DataFrame, issues: DataFrame) -> DataFrame:
     """(asset, rule_key, source_asset, depth): open issues that reach an asset from upstream."""
     open_issues = issues.filter("status <> 'resolved'").select(

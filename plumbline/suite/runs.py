@@ -70,7 +70,7 @@ class Runs:
 
     @property
     def latest(self) -> DataFrame:
-        return self.scored.filter(F.col("run_id") == _DAYS)
+        return H.of_latest_run(self.scored)
 
     @property
     def actions(self) -> DataFrame:
@@ -234,13 +234,6 @@ _add("h4_asset_health",
      lambda s, f: (lambda r: plain(H.asset_health(r.latest, r.nodes)))(Runs(s, f)),
      _sql("SELECT asset, n.layer, n.owner, COUNT(*) AS rules, COUNT(*) FILTER (status = 'fail') AS failing_rules, "
           + _HEALTH.format(d=1) + " AS health FROM scored JOIN nodes AS n USING (asset) GROUP BY asset, n.layer, n.owner"))
-_add("h5_results_table",
-     lambda s, f: (lambda r: plain(H.results_table(r.latest, r.nodes).select(
-         "rule_key", "asset", "layer", "owner", "category", "severity", "status", "scanned", "failed",
-         F.round("failure_rate", 6).alias("failure_rate"), "rule_score")))(Runs(s, f)),
-     _sql("SELECT rule_key, asset, n.layer, n.owner, category, severity, status, scanned, failed, "
-          "CASE WHEN scanned > 0 THEN round(CAST(failed AS DOUBLE) / scanned, 6) ELSE 0.0 END AS failure_rate, "
-          "CAST(score AS DOUBLE) AS rule_score FROM scored JOIN nodes AS n USING (asset)"))
 _add("h6_category_trend",
      lambda s, f: plain(H.category_trend(Runs(s, f).scored)),
      _sql("SELECT CAST(as_of AS VARCHAR) AS as_of, category, COUNT(*) FILTER (status = 'fail') AS failing_rules, "
@@ -258,11 +251,14 @@ _add("h8_health_trend",
           "lag(health, 7) OVER (ORDER BY as_of, run_id), 2) AS health_change_7 FROM (SELECT run_id, as_of, "
           + _HEALTH.format(d=2) + " AS health FROM scored GROUP BY ALL) AS x", whole=True))
 _add("h12_rule_catalogue_with_counts",
-     lambda s, f: (lambda r: plain(r.latest.select("rule_key", "asset", "category", "rule_type", "severity", "columns",
-                                                   "scanned")))(Runs(s, f)),
-     _sql("SELECT rule_key, asset, category, t.rule_type, severity, t.cols AS columns, scanned FROM scored JOIN (VALUES "
-          + ", ".join(f"({_text(r.key)}, {_text(r.type)}, {_text(','.join(r.columns))})" for r in RULES)
-          + ") AS t(rule_key, rule_type, cols) USING (rule_key)"))
+     lambda s, f: (lambda r: plain(r.latest.select("rule_key", "scanned", "status").join(r.rules, "rule_key").select(
+         "rule_key", "rule_name", "asset", "category", "rule_type", "severity", "columns", "rulesets", "supersedes", "rationale", "business_impact",
+         "scanned", "status")))(Runs(s, f)),
+     _sql("SELECT rule_key, t.rule_name, asset, category, t.rule_type, severity, t.cols AS columns, t.rulesets, t.supersedes, t.rationale, "
+          "t.business_impact, scanned, status FROM scored JOIN (VALUES "
+          + ", ".join("(" + ", ".join(map(_text, (r.key, r.name, r.type, ",".join(r.columns), ",".join(r.rulesets), r.supersedes, r.rationale,
+                                                   r.business_impact))) + ")" for r in RULES)
+          + ") AS t(rule_key, rule_name, rule_type, cols, rulesets, supersedes, rationale, business_impact) USING (rule_key)"))
 
 # ------------------------------------------------------------------ issues
 
@@ -646,6 +642,36 @@ _add("i4_issue_titles", _described, _issues_sql(
     "array_to_string(i.exposures, ', ') ELSE 'no business output' END || '.' AS description, t.business_impact FROM issue AS i JOIN titles AS t "
     "USING (rule_key)", _TITLES))
 
+def _results(s, f):
+    """Results of the latest run with ownership and the issue each failure belongs to."""
+    r = Runs(s, f)
+    issues = checkpoint(r.issues())
+    about = issues.select("rule_key", "critical_columns", "downstream_count", "priority_band")
+    table = H.results_table(r.latest, r.nodes, issues).join(about, "rule_key", "left")
+    return plain(table.select(
+        "rule_key", "rule_name", "asset", "layer", "owner", "category", "severity", "status", "scanned", "failed",
+        F.round("failure_rate", 6).alias("failure_rate"), "rule_score", "issue_key", "critical_columns", "downstream_count", "priority_band"))
+
+
+_add("h5_results_table", _results, _issues_sql(
+    "SELECT s.rule_key, t.rule_name, s.asset, n.layer, n.owner, s.category, s.severity, s.status, s.scanned, s.failed, CASE WHEN s.scanned > 0 THEN "
+    "round(CAST(s.failed AS DOUBLE) / s.scanned, 6) ELSE 0.0 END AS failure_rate, CAST(s.score AS DOUBLE) AS rule_score, CASE WHEN i.last_detected_at = "
+    "s.as_of THEN i.issue_key END AS issue_key, CASE WHEN i.issue_key IS NOT NULL THEN c.critical_columns END AS critical_columns, i.downstream_count, "
+    f"i.priority_band FROM scored AS s JOIN nodes AS n USING (asset) JOIN titles AS t USING (rule_key) JOIN rule_cde AS c USING (rule_key) LEFT JOIN issue "
+    f"AS i ON i.rule_key = s.rule_key WHERE s.run_id = {_DAYS}", _TITLES, _critical_names()))
+
+
+def _issues_above(s, f):
+    r = Runs(s, f)
+    return plain(B.issues_upstream(C.edge_frame(s), r.nodes, r.issues()))
+
+
+_add("b6_open_issues_upstream", _issues_above, _issues_sql(
+    "SELECT u.start AS asset, i.rule_key, i.issue_key, i.asset AS source_asset, MIN(u.depth) AS depth, i.priority_band FROM above AS u JOIN issue AS i ON "
+    "i.asset = u.asset WHERE i.status <> 'resolved' GROUP BY ALL",
+    "above AS (SELECT down AS start, up AS asset, 1 AS depth FROM edges UNION ALL SELECT a.start, e.up, a.depth + 1 FROM above AS a JOIN edges AS e ON "
+    "e.down = a.asset)"))
+
 #: Entries of one page of an issue's lists.
 _PAGE = 6
 
