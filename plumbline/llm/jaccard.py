@@ -50,8 +50,9 @@ BLOCK_MEMBERS = 512
 SKETCH_BITS = 4
 #: Pairs that a task remembers so as not to send them again for another key.
 PAIRS_KEPT = 200_000
-#: Comparisons, about, of one part of the keys that hold the same component.
-PART_PAIRS = 1 << 24
+#: Comparisons and rows, about, of one part of the keys that hold the same component.
+PART_PAIRS = 1 << 23
+PART_ROWS = 20_000
 CACHE_TEXTS = 64
 
 _U = np.uint64
@@ -378,7 +379,8 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
              .agg(F.sum("own").alias("size"), F.max("own").alias("most"), F.min("root").alias("cluster"), F.max("root").alias("last"))
              .where("cluster <> last").select("key", "cluster", "size", "most", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int").alias("blocks")))
     # Keys of one component hold the same pairs over and over: they go to one task, or to a few by the number of comparisons.
-    parts = mixed.groupBy("cluster").agg(F.ceil(F.sum(F.col("size") * (F.col("size") - F.col("most"))) / PART_PAIRS).alias("parts"))
+    share = F.col("size") * (F.col("size") - F.col("most")) / PART_PAIRS + F.col("size") * F.col("blocks") / PART_ROWS
+    parts = mixed.groupBy("cluster").agg(F.ceil(F.sum(share)).alias("parts"))
     spread = (placed.join(mixed.join(parts, "cluster"), "key").join(classes.select("cls", "n", "sketch"), "cls")
               .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
