@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.joins import count_rows
 from plumbline.functions.scalars import all_of
-from plumbline.operators.rules import Context, Rule, RuleError, mentioned, row_check, set_check
+from plumbline.operators.rules import Context, Rule, RuleError, mentioned, passes_from, row_check, set_check
 
 LOAD_COLUMN = "loaded_at"
 _RUN = "_run_day"
@@ -250,12 +250,32 @@ def _unique_by_day(rule: Rule, ctx: Context, primary: DataFrame) -> DataFrame:
         "rule_key", F.lit(rule.key))
 
 
+def _flips(rules: list[Rule], ctx: Context, seen: DataFrame, first: date, last: date) -> DataFrame:
+    """Change in failing rows per rule and run day for rules whose verdict on a row changes once: +1 when a run first sees a
+    failing row, -1 when it passes. Other rows give nothing, so a row costs at most two entries however many days there are."""
+    changes = []
+    for rule in rules:
+        time_, always = passes_from(rule, ctx)
+        almost_second = F.expr("INTERVAL '0.999999' SECOND")
+        day = F.greatest((time_ + almost_second).cast("date"), F.lit(first))
+        until = F.when(always, F.lit(last + timedelta(days=1))).otherwise(day) if always is not None else day
+        failing = F.col(_RUN) < until
+        if rule.where:
+            failing = failing & ctx.predicate(rule.where)
+        key = F.lit(rule.key).alias("rule_key")
+        changes.append(F.when(failing, F.array(F.struct(key, F.col(_RUN).alias("day"), F.lit(1).alias("n")),
+                                               F.struct(key, until.alias("day"), F.lit(-1).alias("n")))))
+    events = seen.alias("p").select(F.explode(F.flatten(F.array_compact(F.array(*changes)))).alias("e")).select("e.*")
+    return events.filter(F.col("day") <= F.lit(last)).groupBy("rule_key", F.col("day").alias(_RUN)).agg(F.sum("n").alias("failed"))
+
+
 def backfill(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Sequence[Rule], last: date,
              days: int) -> DataFrame:
     """Counts of every rule for each of the last ``days`` daily runs, in one job.
 
-    Rows are counted once, on the first day a run sees them, and the counts are summed up over the days.
-    Only rules whose verdict moves with the cutoff look at a row on each of its days.
+    Rows are counted once, on the first day a run sees them, and the counts are summed up over the days. A row whose verdict
+    changes once, as a time in the future does, is counted off on that day. Only rules with a free predicate on the cutoff
+    look at a row on each of its days.
     """
     cutoffs = backfill_days(last, days)
     first = cutoffs[0].date()
@@ -263,6 +283,7 @@ def backfill(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Sequen
     moving = Context(tables, "_as_of")
     errors: dict[str, str] = {}
     changes, levels = [], []
+    flipping: set[str] = set()
     for asset, group in _by_asset(rules).items():
         if asset not in tables:
             errors |= {r.key: f"unknown asset '{asset}'" for r in group}
@@ -284,7 +305,20 @@ def backfill(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Sequen
                 changes.append(_plan_fused(asset, [rule], fixed, [_RUN], None, seen))
             except _PLAN_ERRORS as exc:
                 errors[rule.key] = _error_text(exc)
-        moved = [r for r in group if r.uses_cutoff]
+        moved, once = [], []
+        for rule in (r for r in group if r.uses_cutoff):
+            try:
+                if passes_from(rule, fixed) is None:
+                    moved.append(rule)
+                else:
+                    # Building the plan analyses the rule.
+                    _flips([rule], fixed, seen, first, last)
+                    once.append(rule)
+            except _PLAN_ERRORS as exc:
+                errors[rule.key] = _error_text(exc)
+        if once:
+            changes += [_plan_fused(asset, once, fixed, [_RUN], None, seen).drop("failed"), _flips(once, fixed, seen, first, last)]
+            flipping |= {r.key for r in once}
         if not moved:
             continue
         needed = list(dict.fromkeys(
@@ -308,7 +342,7 @@ def backfill(spark: SparkSession, tables: Mapping[str, DataFrame], rules: Sequen
         return _union(wanted).groupBy("rule_key", _RUN).agg(
             F.sum("scanned").cast("bigint").alias("scanned"), F.sum("failed").cast("bigint").alias("failed"))
 
-    moved_keys = [r.key for r in good if r.uses_cutoff]
+    moved_keys = [r.key for r in good if r.uses_cutoff and r.key not in flipping]
     running = Window.partitionBy("rule_key").orderBy(_RUN)  # at most 90 rows per rule
     parts = []
     if changes:

@@ -176,6 +176,23 @@ def _range(rule: Rule, ctx: Context) -> Column:
     return any_of(broken)
 
 
+def passes_from(rule: Rule, ctx: Context) -> tuple[Column, Column | None] | None:
+    """``(time, always)`` of a row rule whose verdict changes once as the cutoff moves on, else None.
+
+    A row fails until the cutoff reaches ``time`` (never, if it is NULL), and at any cutoff where ``always`` is true.
+    """
+    p = rule.params
+    if "{reference_ts}" in str(rule.where):
+        return None
+    if rule.type == "not_future":
+        return F.col(f"p.`{p['column']}`").cast("timestamp_ntz") - _minutes(int(p.get("tolerance_minutes", 0))), None
+    if rule.type == "range" and p.get("max_reference"):
+        fixed = {k: v for k, v in p.items() if k != "max_reference"}
+        bounded = any(fixed.get(k) is not None for k in ("min", "max"))
+        return F.col(f"p.`{p['column']}`").cast("timestamp_ntz"), _range(replace(rule, params=fixed), ctx) if bounded else None
+    return None
+
+
 def _minutes(value: int) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(value))
 

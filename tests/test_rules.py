@@ -1,7 +1,7 @@
 """Every rule type on hand-made rows with known failing counts."""
 
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -188,3 +188,24 @@ def test_comparisons_by_extremes_equal_pairs(spark):
     assert "LeftSemi" not in plan
     shown = [sorted(map(tuple, failing_rows(tables, r, "2026-01-01").collect()), key=str) for r in (rules[0], rules[4])]
     assert shown[0] == shown[1]
+
+
+def test_moving_rules_are_counted_off_when_they_pass(spark):
+    """Times in the future pass when the runs reach them; fixed bounds never do. Every day equals a run of its own."""
+    rng = random.Random(5)
+    start = ts("2026-09-20 00:00:00")
+    rows = [(rng.choice([None, start + timedelta(hours=rng.randrange(-40, 400))]), rng.choice([None, "a", "b"]),
+             start + timedelta(hours=rng.randrange(-30, 300), microseconds=rng.choice([0, 1, 999_999]))) for _ in range(400)]
+    rows += [(start + timedelta(days=3, hours=23, minutes=59, seconds=59), "a", start), (start + timedelta(days=3, hours=23, minutes=59, seconds=59, microseconds=1), "a", start)]
+    tables = {"t": spark.createDataFrame(rows, "at timestamp_ntz, kind string, loaded_at timestamp_ntz")}
+    rules = [
+        Rule("future", "invalid_date", "not_future", "t", "low", ("at",), {"column": "at", "tolerance_minutes": 90}),
+        Rule("scoped", "invalid_date", "not_future", "t", "low", ("at",), {"column": "at"}, where="kind = 'a'"),
+        Rule("bounded", "invalid_date", "range", "t", "low", ("at",), {"column": "at", "min": "2026-09-20", "max_reference": True}),
+        Rule("open", "invalid_date", "range", "t", "low", ("at",), {"column": "at", "max_reference": True}),
+        Rule("free", "invalid_date", "row_condition", "t", "low", ("at",), {"invalid_when": "p.at > {reference_ts} AND p.kind = 'b'"}),
+    ]
+    got = {(r["as_of"], r["rule_key"]): (r["scanned"], r["failed"]) for r in Q.backfill(spark, tables, rules, date(2026, 9, 29), 9).collect()}
+    want = {(day, r["rule_key"]): (r["scanned"], r["failed"]) for day in Q.backfill_days(date(2026, 9, 29), 9)
+            for r in rule_counts(spark, tables, rules, day, True).collect()}
+    assert got == want and len({v for (_, k), v in got.items() if k == "future"}) > 5
