@@ -348,7 +348,7 @@ def campaign_performance(m: Models) -> DataFrame:
         or_zero(F.col("attributed_orders")).alias("attributed_orders"),
         revenue.alias("attributed_revenue"),
         or_zero(F.col("new_customers")).alias("new_customers"),
-        money(ratio(revenue, F.col("budget_amount")), 8).alias("roas"),
+        money(ratio(revenue, F.col("budget_amount")), 14).alias("roas"),
         money(ratio(F.col("budget_amount"), F.col("new_customers").cast("decimal(12,0)")), 12)
         .alias("customer_acquisition_cost"),
     )
