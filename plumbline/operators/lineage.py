@@ -1,7 +1,8 @@
 """Lineage over two DataFrames: nodes(asset, ...) and edges(upstream, downstream, referenced_columns).
 
-Traversals advance all seeds together, level by level, and keep one row per seed and node. Several hops are
-planned per round; a round ends in a checkpoint, so plans stay short on deep graphs.
+Traversals advance all seeds together, level by level, and keep one row per seed and node. Small graphs go several
+hops per round, large ones a single hop, so that no row is shuffled for hops that lead nowhere; a round ends in a
+checkpoint, so plans stay short on deep graphs.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from plumbline.session import checkpoint
 
 _HOPS_PER_ROUND = 4
+#: Edges up to which several hops share a round.
+SMALL_GRAPH = 1_000_000
 
 
 class CycleError(ValueError):
@@ -60,50 +63,61 @@ def is_referenced(referenced: Column, columns: Column) -> Column:
     return referenced.isNull() | columns.isNull() | (F.size(columns) == 0) | F.coalesce(hit, F.lit(False))
 
 
-def _grow(found: DataFrame, frontier: DataFrame, step: DataFrame, depth: int, best: Column) -> DataFrame | None:
-    """One round: up to ``_HOPS_PER_ROUND`` hops from the frontier, new nodes only."""
+def _grow(found: DataFrame, frontier: DataFrame, step: DataFrame, depth: int, hops_per_round: int, carried: list[str]) -> DataFrame:
+    """One round: up to ``hops_per_round`` hops from the frontier, new nodes only."""
     hops, current = [], frontier
-    for i in range(1, _HOPS_PER_ROUND + 1):
-        current = current.withColumnRenamed("asset", "_from").join(step, "_from").select(
-            "seed", F.col("_to").alias("asset"), F.concat("path", F.array("_to")).alias("path"))
-        # Equal hop counts: the smallest path in text order wins.
-        current = current.groupBy("seed", "asset").agg(best.alias("path"))
+    for i in range(1, hops_per_round + 1):
+        # An asset without edges of its own leads nowhere: only the others meet the edges.
+        current = current.filter("_on").select(F.col("asset").alias("_from"), "seed", *carried).join(step, "_from").select(
+            "seed", F.col("_to").alias("asset"), "_on", *[F.concat(c, F.array("_to")).alias(c) for c in carried])
+        current = _nearest(current, carried)
         hops.append(current.withColumn("depth", F.lit(depth + i)))
     union = reduce(DataFrame.unionByName, hops)
-    nearest = union.groupBy("seed", "asset").agg(F.min_by("path", "depth").alias("path"), F.min("depth").alias("depth"))
-    return checkpoint(nearest.join(found.select("seed", "asset"), ["seed", "asset"], "left_anti"))
+    if hops_per_round > 1:
+        union = union.groupBy("seed", "asset").agg(
+            F.max("_on").alias("_on"), *[F.min_by(c, "depth").alias(c) for c in carried], F.min("depth").alias("depth"))
+    return checkpoint(union.join(found.select("seed", "asset"), ["seed", "asset"], "left_anti"))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, downstream: bool = True, max_depth: int | None = None) -> DataFrame:
+def _nearest(rows: DataFrame, carried: list[str]) -> DataFrame:
+    """One row per seed and node reached by the same number of hops: the smallest path in text order wins."""
+    return rows.groupBy("seed", "asset").agg(F.max("_on").alias("_on"), *[F.min(c).alias(c) for c in carried])
+
+
+def reach(edges: DataFrame, seeds: DataFrame, downstream: bool = True, max_depth: int | None = None, paths: bool = True) -> DataFrame:
     """(seed, asset, depth, path): every asset reachable from each seed with its fewest hops and shortest path.
 
     ``seeds`` has (seed, asset) and may have ``columns``: then the first hop only follows consumers that
     read one of them. Later hops follow every edge, because a defect travels on with the derived rows.
+    Without ``paths`` the rows have no path, and no list is carried along, sorted or written.
     """
-    # Every hop joins the edges again: derive them once.
+    # Every hop joins the edges again: derive them once, and mark those whose far end has edges of its own.
+    near, far = ("upstream", "downstream") if downstream else ("downstream", "upstream")
     edges = checkpoint(edges)
-    step = _oriented(edges, downstream)
-    best = F.min("path")
+    goes_on = edges.select(F.col(near).alias(far)).distinct().withColumn("_on", F.lit(True))
+    edges = checkpoint(edges.join(goes_on, far, "left").withColumn("_on", F.coalesce("_on", F.lit(False))))
+    step = edges.select(F.col(near).alias("_from"), F.col(far).alias("_to"), "_on")
+    hops_per_round = _HOPS_PER_ROUND if edges.count() <= SMALL_GRAPH else 1
+    carried = ["path"] if paths else []
     if "columns" in seeds.columns and downstream:
         first = seeds.withColumnRenamed("asset", "upstream").join(edges, "upstream").filter(
             is_referenced(F.col("referenced_columns"), F.col("columns"))).select(
-            "seed", F.col("downstream").alias("_to"), F.col("upstream").alias("_start"))
+            "seed", F.col("downstream").alias("_to"), F.col("upstream").alias("_start"), "_on")
     else:
         first = seeds.withColumnRenamed("asset", "_from").join(step, "_from").select(
-            "seed", "_to", F.col("_from").alias("_start"))
-    frontier = first.groupBy("seed", F.col("_to").alias("asset")).agg(
-        F.min(F.array("_start", "_to")).alias("path")).withColumn("depth", F.lit(1))
-    found = frontier = checkpoint(frontier)
+            "seed", "_to", F.col("_from").alias("_start"), "_on")
+    frontier = _nearest(first.select("seed", F.col("_to").alias("asset"), "_on", F.array("_start", "_to").alias("path")), carried)
+    found = frontier = checkpoint(frontier.withColumn("depth", F.lit(1)))
     depth = 1
     while max_depth is None or depth < max_depth:
-        new = _grow(found, frontier, step, depth, best)
+        new = _grow(found, frontier, step, depth, hops_per_round, carried)
         if new.isEmpty():
             break
         found = found.unionByName(new)
-        depth += _HOPS_PER_ROUND
+        depth += hops_per_round
         frontier = new.filter(F.col("depth") == depth)
     starts = seeds.select("seed", "asset").distinct()
-    out = found.join(starts, ["seed", "asset"], "left_anti").select("seed", "asset", "depth", "path")
+    out = found.join(starts, ["seed", "asset"], "left_anti").select("seed", "asset", "depth", *carried)
     return out if max_depth is None else out.filter(F.col("depth") <= max_depth)
 
 
@@ -123,20 +137,20 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
 def all_paths(edges: DataFrame, pairs: DataFrame, limit: int = 20) -> DataFrame:
     """Simple paths for each (source, target) pair, shortest first: (source, target, rank, path).
 
-    Partial paths only grow through nodes from which the target can still be reached.
+    Partial paths only grow along edges from which the target can still be reached.
     """
     edges, pairs = checkpoint(edges), checkpoint(pairs)
     ends = pairs.select(F.col("target").alias("seed"), F.col("target").alias("asset")).distinct()
-    useful = checkpoint(reach(edges, ends, downstream=False).select(
-        F.col("seed").alias("target"), F.col("asset").alias("_to")).unionByName(
-        ends.select(F.col("seed").alias("target"), F.col("asset").alias("_to"))))
-    step = _oriented(edges, True).distinct()
+    useful = reach(edges, ends, downstream=False, paths=False).select("seed", "asset").unionByName(ends)
+    # The edges above each target: a path never meets the other consumers of its last node.
+    above = checkpoint(useful.select(F.col("seed").alias("target"), F.col("asset").alias("_to")).distinct().join(
+        _oriented(edges, True).distinct(), "_to").select("target", "_from", "_to"))
     growing = pairs.filter("source <> target").select("source", "target", F.array("source").alias("path"))
     done = []
     while True:
         tail = F.element_at("path", -1)
-        longer = growing.withColumn("_from", tail).join(step, "_from").filter(
-            ~F.array_contains("path", F.col("_to"))).join(useful, ["target", "_to"], "left_semi")
+        longer = growing.withColumn("_from", tail).join(above, ["target", "_from"]).filter(
+            ~F.array_contains("path", F.col("_to")))
         growing = checkpoint(longer.select("source", "target", F.concat("path", F.array("_to")).alias("path")))
         if growing.isEmpty():
             break
@@ -155,9 +169,9 @@ def neighbourhood(edges: DataFrame, asset: str, up: int = 2, down: int = 2) -> t
     seed = edges.sparkSession.createDataFrame([(asset, asset)], "seed string, asset string")
     near = seed.select("asset")
     if up:
-        near = near.unionByName(reach(edges, seed, False, up).select("asset"))
+        near = near.unionByName(reach(edges, seed, False, up, False).select("asset"))
     if down:
-        near = near.unionByName(reach(edges, seed, True, down).select("asset"))
+        near = near.unionByName(reach(edges, seed, True, down, False).select("asset"))
     keep = near.distinct()
     return keep, subgraph(edges, keep)
 
@@ -256,7 +270,7 @@ def word_references(columns: DataFrame, texts: DataFrame, hot: int = HOT_WORD, p
 def asset_lineage(edges: DataFrame, nodes: DataFrame, asset: str, downstream: bool = True) -> DataFrame:
     """(asset, depth, layer, asset_type, criticality, owner) of everything up- or downstream."""
     seed = edges.sparkSession.createDataFrame([(asset, asset)], "seed string, asset string")
-    return reach(edges, seed, downstream).join(nodes, "asset").select(
+    return reach(edges, seed, downstream, paths=False).join(nodes, "asset").select(
         "asset", "depth", "layer", "asset_type", "criticality", "owner")
 
 

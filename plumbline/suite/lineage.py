@@ -102,7 +102,7 @@ _add("l3_direct_downstream",
 
 def _descendants(spark, folder):
     g = Graph(spark, folder)
-    return L.reach(g.edges, g.regions()).select("seed", "asset")
+    return L.reach(g.edges, g.regions(), paths=False).select("seed", "asset")
 
 
 _add("l4_all_descendants", _descendants, _walk() + " SELECT DISTINCT seed, asset FROM walk")
@@ -111,7 +111,7 @@ _add("l4_all_descendants", _descendants, _walk() + " SELECT DISTINCT seed, asset
 def _ancestors(spark, folder):
     g = Graph(spark, folder)
     marts = g.nodes.filter("layer = 'mart' AND criticality = 'critical'").select(F.col("asset").alias("seed"), "asset")
-    return L.reach(g.edges, marts, downstream=False).select("seed", "asset", F.col("depth").cast("bigint").alias("depth"))
+    return L.reach(g.edges, marts, downstream=False, paths=False).select("seed", "asset", F.col("depth").cast("bigint").alias("depth"))
 
 
 _add("l5_upstream_depths", _ancestors,
@@ -121,12 +121,12 @@ _add("l5_upstream_depths", _ancestors,
      "SELECT seed, asset, CAST(MIN(depth) AS BIGINT) AS depth FROM up GROUP BY ALL")
 
 _add("l5_downstream_depths",
-     lambda s, f: (lambda g: L.reach(g.edges, g.regions()).select(
+     lambda s, f: (lambda g: L.reach(g.edges, g.regions(), paths=False).select(
          "seed", "asset", F.col("depth").cast("bigint").alias("depth")))(Graph(s, f)),
      _walk() + " SELECT seed, asset, CAST(MIN(depth) AS BIGINT) AS depth FROM walk GROUP BY ALL")
 
 _add("l6_column_scoped_descendants",
-     lambda s, f: (lambda g: L.reach(g.edges, g.regions(["name"])).select(
+     lambda s, f: (lambda g: L.reach(g.edges, g.regions(["name"]), paths=False).select(
          "seed", "asset", F.col("depth").cast("bigint").alias("depth")))(Graph(s, f)),
      _walk("list_contains(e.referenced_columns, 'name')")
      + " SELECT seed, asset, CAST(MIN(depth) AS BIGINT) AS depth FROM walk GROUP BY ALL")
@@ -147,7 +147,7 @@ def _paths(spark, folder):
     g = Graph(spark, folder)
     targets = g.nodes.filter("layer = 'mart' AND criticality = 'critical'").select(F.col("asset").alias("target"))
     # Each mart with the regions above it.
-    above = L.reach(g.edges, targets.select(F.col("target").alias("seed"), F.col("target").alias("asset")), False)
+    above = L.reach(g.edges, targets.select(F.col("target").alias("seed"), F.col("target").alias("asset")), False, paths=False)
     pairs = above.filter(F.col("asset").startswith("R")).select(F.col("asset").alias("source"), F.col("seed").alias("target"))
     return plain(L.all_paths(g.edges, pairs, 3).withColumn("path", F.array_join("path", ">")))
 
@@ -206,7 +206,7 @@ _add("l12_column_references", _references,
 def _lineage_table(spark, folder):
     g = Graph(spark, folder)
     nodes = g.nodes
-    return L.reach(g.edges, g.regions()).join(nodes, "asset").select(
+    return L.reach(g.edges, g.regions(), paths=False).join(nodes, "asset").select(
         "seed", "asset", F.col("depth").cast("bigint").alias("depth"), "layer", "asset_type", "criticality", "owner")
 
 
