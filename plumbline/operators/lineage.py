@@ -275,10 +275,13 @@ def asset_lineage(edges: DataFrame, nodes: DataFrame, asset: str, downstream: bo
 
 
 def origin_systems(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, systems): source systems of the seed and its ancestors."""
+    """(seed, systems): source systems of the seed and its ancestors.
+
+    Systems go down to everything they feed, so the rows are one per system and asset however many seeds ask.
+    """
     starts = seeds.select("seed", "asset")
-    every = reach(edges, starts, downstream=False).select("seed", "asset").unionByName(starts)
-    fed = every.join(nodes.filter("source_system IS NOT NULL"), "asset")
-    systems = fed.groupBy("seed").agg(F.array_sort(F.collect_set("source_system")).alias("systems"))
+    fed = nodes.filter("source_system IS NOT NULL").select(F.col("source_system").alias("seed"), "asset").distinct()
+    every = reach(edges, fed, paths=False).select("seed", "asset").unionByName(fed).withColumnRenamed("seed", "source_system")
+    systems = starts.join(every, "asset").groupBy("seed").agg(F.array_sort(F.collect_set("source_system")).alias("systems"))
     return starts.select("seed").distinct().join(systems, "seed", "left").select(
         "seed", F.coalesce("systems", F.array().cast("array<string>")).alias("systems"))

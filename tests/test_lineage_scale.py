@@ -32,6 +32,15 @@ def test_paths_grow_along_edges_of_their_target_only(spark, written):
     assert growing and all("target" in line for line in growing)
 
 
+def test_origins_hold_one_row_per_system_and_asset(spark, written):
+    names = [f"a{i:02}" for i in range(20)]
+    nodes = spark.createDataFrame([(n, "erp" if n == "a00" else None) for n in names], "asset string, source_system string")
+    seeds = spark.createDataFrame([*[(n, n) for n in names], ("lost", "zz"), (None, None)], "seed string, asset string")
+    found = {r["seed"]: r["systems"] for r in L.origin_systems(_edges(spark, zip(names, names[1:])), nodes, seeds).collect()}
+    assert found == {**{n: ["erp"] for n in names}, "lost": [], None: []}
+    assert sum(rows for plan, rows in written if "seed" in plan) <= len(names)
+
+
 def test_reach_without_paths_and_by_single_hops(spark, monkeypatch):
     pairs = [("r", "a"), ("r", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "b"), ("r", "f"), ("x", None), (None, "g")]
     edges = _edges(spark, pairs)
