@@ -132,37 +132,47 @@ def _unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         yield np.frombuffer(seeds, np.uint64), np.frombuffer(tids, np.int64), np.frombuffer(spots, np.int32), np.frombuffer(times, np.int32)
 
 
-_SUFFIX = "tid long, spot int, seed long"
+_OWN = "tid long, spots binary, seeds binary"
 
 
-def _suffix_rows(tids, spots, seeds) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(tids), 100_000):
-        b = a + 100_000
-        yield pa.RecordBatch.from_arrays([pa.array(tids[a:b]), pa.array(spots[a:b]), pa.array(seeds[a:b].view(np.int64))], names=["tid", "spot", "seed"])
+def _by_text(tids: np.ndarray, spots: np.ndarray, seeds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per text with its packed suffixes."""
+    order = np.argsort(tids, kind="stable")
+    tids, spots, seeds = tids[order], spots[order], seeds[order]
+    heads = _heads(tids)
+    spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(tids)], strict=True)) if len(tids) else []
+    for at in range(0, len(spans), 10_000):
+        some = spans[at:at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(tids[heads[at:at + 10_000]]), pa.array([spots[i:j].tobytes() for i, j in some], pa.binary()),
+                                          pa.array([seeds[i:j].tobytes() for i, j in some], pa.binary())], names=["tid", "spots", "seeds"])
 
 
 def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for seeds, tids, spots, _ in _unpack(batch):
-            yield from _suffix_rows(tids, spots, seeds)
+            yield from _by_text(tids, spots, seeds)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes whose seed another text holds; a row with spot -1 names the seed of a big group."""
-    parts = [p for batch in batches for p in _unpack(batch)]
-    if not parts:
-        return
-    seeds, tids, spots, times = (np.concatenate(x) for x in zip(*parts, strict=True))
-    parts.clear()
-    order = np.argsort(seeds, kind="stable")
-    seeds, tids, spots, times = seeds[order], tids[order], spots[order], times[order]
-    heads = _heads(seeds)
-    total = np.add.reduceat(times.astype(np.int64), heads)
-    big = seeds[heads[total > BIG]]
-    stands = np.repeat(np.maximum.reduceat(times, heads) > 1, np.diff(np.append(heads, len(seeds))))
-    keep = (_several(seeds, tids) | stands) & (times == 1)
-    yield from _suffix_rows(tids[keep], spots[keep], seeds[keep])
-    yield from _suffix_rows(np.zeros(len(big), np.int64), np.full(len(big), -1, np.int32), big)
+def _repeated(most: int):
+    """Suffixes whose seed another text holds, per text; rows without a text hold the seeds of groups of over ``most`` suffixes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [p for batch in batches for p in _unpack(batch)]
+        if not parts:
+            return
+        seeds, tids, spots, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order = np.argsort(seeds, kind="stable")
+        seeds, tids, spots, times = seeds[order], tids[order], spots[order], times[order]
+        heads = _heads(seeds)
+        total = np.add.reduceat(times.astype(np.int64), heads)
+        big = seeds[heads[total > most]]
+        stands = np.repeat(np.maximum.reduceat(times, heads) > 1, np.diff(np.append(heads, len(seeds))))
+        keep = (_several(seeds, tids) | stands) & (times == 1)
+        yield from _by_text(tids[keep], spots[keep], seeds[keep])
+        if len(big):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1).cast(pa.int64()), pa.array([b""], pa.binary()), pa.array([big.tobytes()], pa.binary())],
+                                             names=["tid", "spots", "seeds"])
+    return run
 
 
 def _sides(hashes: np.ndarray, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -187,30 +197,37 @@ def _window_hashes(seeds, left, n_left, right, n_right) -> Iterator[tuple[int, n
         yield o, np.flatnonzero((n_left >= o) & (n_right >= SIDE - o)), mix(seeds + mix(a[o] + _U(o)) + mix(b[SIDE - o]) * _STEP)
 
 
-def _records(batch: pa.RecordBatch, big: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
+def _own(packed: list[dict[str, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Spots and seeds of one text; tasks that met copies of it may have sent the same ones."""
+    spots = np.concatenate([np.frombuffer(x["spots"], np.int32) for x in packed]).astype(np.int64)
+    spots, at = np.unique(spots, return_index=True)
+    return spots, np.concatenate([np.frombuffer(x["seeds"], np.uint64) for x in packed])[at]
+
+
+def _records(batch: pa.RecordBatch, hubs: np.ndarray, big: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
     """(tid, spots, seeds, sides) of each text, for suffixes of big groups or of the others."""
     for i, tid in enumerate(batch.column(0).to_pylist()):
-        own = batch.column(1)[i].as_py()
-        spots = np.array([x["spot"] for x in own if x["big"] == big], dtype=np.int64)
-        if len(spots):
+        spots, seeds = _own(batch.column(1)[i].as_py())
+        mine = np.isin(seeds, hubs) == big
+        if mine.any():
             hashes = hash_words(*raw(batch.column(2).slice(i, 1))).hashes
-            yield tid, spots, np.array([x["seed"] for x in own if x["big"] == big], dtype=np.int64).view(np.uint64), _sides(hashes, spots)
+            yield tid, spots[mine], seeds[mine], _sides(hashes, spots[mine])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], big: bool) -> Iterator[list[np.ndarray]]:
+def _gathered(batches: Iterator[pa.RecordBatch], hubs: np.ndarray, big: bool) -> Iterator[list[np.ndarray]]:
     """Seeds, tids, spots and sides of the suffixes of some texts at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            got = list(_records(batch.slice(at, 500), big))
+            got = list(_records(batch.slice(at, 500), hubs, big))
             if got:
                 yield [np.concatenate([s for _, _, s, _ in got]), np.concatenate([np.full(len(p), t, dtype=np.int64) for t, p, *_ in got]),
                        np.concatenate([p.astype(np.int32) for _, p, *_ in got]), *(np.concatenate([x[k] for *_, x in got]) for k in range(4))]
 
 
-def _send(buckets: int):
+def _send(buckets: int, hubs: np.ndarray):
     """Packed suffixes with their sides, per bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fields in _gathered(batches, False):
+        for fields in _gathered(batches, hubs, False):
             fields[4], fields[6] = fields[4].astype(np.int8), fields[6].astype(np.int8)
             bucket = ((fields[0] >> _U(33)) % _U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -273,33 +290,35 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array((spots[at] + CORE + after[at]).astype(np.int32))], names=["tid", "low", "high"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(hubs: np.ndarray):
     """Of big groups: spans that repeat among these texts (window null), and windows that reach beyond them."""
     def rows(window, tids, low, high) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(window, pa.int64()), pa.array(tids), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
                                           names=["window", "tid", "low", "high"])
 
-    for seeds, tids, spots, *sides in _gathered(batches, True):
-        before, after = np.full(len(seeds), -1), np.full(len(seeds), -1)
-        windows = [(o, have, keys[have]) for o, have, keys in _window_hashes(seeds, *sides)]
-        for o, have, keys in windows:
-            order = np.argsort(keys, kind="stable")
-            again = have[order][_several(keys[order], tids[have[order]])]
-            before[again] = np.maximum(before[again], o)
-            after[again] = np.maximum(after[again], SIDE - o)
-        found = np.flatnonzero(before >= 0)
-        yield rows([None] * len(found), tids[found], spots[found] - before[found], spots[found] + CORE + after[found])
-        for o, have, keys in windows:
-            beyond = (o > before[have]) | (SIDE - o > after[have])
-            low = spots[have[beyond]] - o
-            yield rows(keys[beyond].view(np.int64), tids[have[beyond]], low, low + LEAST)
-        # One window stands for those settled here, so that suffixes of other tasks meet it.
-        for o, have, keys in windows:
-            settled = have[(o <= before[have]) & (SIDE - o <= after[have])]
-            keep = np.isin(have, settled)
-            own, at = np.unique(keys[keep], return_index=True)
-            low = spots[have[keep][at]] - o
-            yield rows(own.view(np.int64), tids[have[keep][at]], low, low + LEAST)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seeds, tids, spots, *sides in _gathered(batches, hubs, True):
+            before, after = np.full(len(seeds), -1), np.full(len(seeds), -1)
+            windows = [(o, have, keys[have]) for o, have, keys in _window_hashes(seeds, *sides)]
+            for o, have, keys in windows:
+                order = np.argsort(keys, kind="stable")
+                again = have[order][_several(keys[order], tids[have[order]])]
+                before[again] = np.maximum(before[again], o)
+                after[again] = np.maximum(after[again], SIDE - o)
+            found = np.flatnonzero(before >= 0)
+            yield rows([None] * len(found), tids[found], spots[found] - before[found], spots[found] + CORE + after[found])
+            for o, have, keys in windows:
+                beyond = (o > before[have]) | (SIDE - o > after[have])
+                low = spots[have[beyond]] - o
+                yield rows(keys[beyond].view(np.int64), tids[have[beyond]], low, low + LEAST)
+            # One window stands for those settled here, so that suffixes of other tasks meet it.
+            for o, have, keys in windows:
+                settled = have[(o <= before[have]) & (SIDE - o <= after[have])]
+                keep = np.isin(have, settled)
+                own, at = np.unique(keys[keep], return_index=True)
+                low = spots[have[keep][at]] - o
+                yield rows(own.view(np.int64), tids[have[keep][at]], low, low + LEAST)
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,18 +350,18 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     scanned = checkpoint(mine.mapInArrow(_scan(buckets), "doc_id long, tid long, n_words int, bucket int, seeds binary, tids binary, spots binary, times binary"))
     rows = scanned.where("bucket is null and n_words >= {}".format(LEAST)).select("doc_id", "tid", "n_words")
     fields = ("seeds", "tids", "spots", "times")
-    met = checkpoint(scanned.where("bucket >= 0").repartition("bucket").select(*fields).mapInArrow(_repeated, _SUFFIX)
-                     .unionByName(scanned.where("bucket = -1").select(*fields).mapInArrow(_known, _SUFFIX)))
-    big = met.where("spot < 0").select("seed", F.lit(True).alias("big"))
-    spots = (met.where("spot >= 0").join(big, "seed", "left").groupBy("tid")
-             .agg(F.collect_list(F.struct("spot", "seed", F.coalesce("big", F.lit(False)).alias("big"))).alias("own")))
+    met = checkpoint(scanned.where("bucket >= 0").repartition("bucket").select(*fields).mapInArrow(_repeated(BIG), _OWN)
+                     .unionByName(scanned.where("bucket = -1").select(*fields).mapInArrow(_known, _OWN)))
+    # There is at most one such seed for BIG suffixes.
+    hubs = np.frombuffer(b"".join(bytes(r.seeds) for r in met.where("tid is null").select("seeds").collect()), np.uint64)
+    spots = met.where("tid is not null").groupBy("tid").agg(F.collect_set(F.struct("spots", "seeds")).alias("own"))
     none = F.lit(-(1 << 62))
     copies = rows.groupBy("tid").agg(F.min(F.coalesce("doc_id", none)).alias("id"), F.count("*").alias("copies"), F.max("n_words").alias("n"))
     wanted = spots.join(copies.select("tid", "id"), "tid")
     texts = checkpoint(mine.withColumn("id", F.coalesce("doc_id", none)).join(wanted, ["tid", "id"]).select("tid", "own", "text"))
 
-    spans = (texts.mapInArrow(_send(buckets), _SENT).repartition("bucket").drop("bucket").mapInArrow(_matched, _SPAN))
-    windows = checkpoint(texts.where(F.exists("own", lambda x: x.big)).mapInArrow(_windows, "window long, tid long, low int, high int"))
+    spans = (texts.mapInArrow(_send(buckets, hubs), _SENT).repartition("bucket").drop("bucket").mapInArrow(_matched, _SPAN))
+    windows = checkpoint((texts if len(hubs) else texts.limit(0)).mapInArrow(_windows(hubs), "window long, tid long, low int, high int"))
     often = windows.where("window is not null").groupBy("window").agg(F.min("tid").alias("a"), F.max("tid").alias("b")).where("a <> b").select("window")
     spans = (spans.unionByName(windows.where("window is null").select("tid", "low", "high"))
              .unionByName(windows.join(often, "window").select("tid", "low", "high")))

@@ -70,3 +70,16 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_repeated) for r in R.repeated_passages(df).collect()), key=str)
     assert got == [(1, 60), (1, 60), (None, 60)]
     assert R.repeated_passages(df.limit(0)).collect() == []
+
+
+def test_suffixes_of_a_shared_passage_are_one_row_per_text():
+    """A task that knows suffixes to repeat names each of its texts once, however many suffixes it holds."""
+    words = R.hash_words(*R.raw(R.pa.array([" ".join(f"w{i}" for i in range(400))]))).hashes
+    at = R.minimisers(words)
+    tids = R.np.repeat(R.np.arange(1, 31), len(at))
+    packed = R._packed(4, R.np.tile(R.cores(words, at), 30), tids, R.np.tile(at.astype(R.np.int32), 30)).to_pylist()
+    names = ("seeds", "tids", "spots", "times")
+    known = R.pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in packed if r["bucket"] == -1])
+    rows = [r for batch in R._known([known]) for r in batch.to_pylist()]
+    assert len(at) > 5 and [r["tid"] for r in rows] == list(range(1, 31))
+    assert all(sorted(R.np.frombuffer(r["spots"], R.np.int32).tolist()) == at.tolist() for r in rows)
