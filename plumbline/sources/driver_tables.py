@@ -48,9 +48,27 @@ ANSI = Dialect("TIMESTAMP", "({value} + CAST({days} AS INT))", "({value} + to_da
                "unnest(generate_series(1, CAST({count} AS INT)))")
 
 
+_UNIT = "floor(l_extendedprice / l_quantity)"
+
+
+def _order_facts(d: Dialect, more: str = "") -> str:
+    """Amounts and dates of every order, before copies of orders are made."""
+    return f"""
+        SELECT o.o_orderkey AS k, o.o_custkey AS c,
+               CAST(coalesce(l.total, 0) + CASE WHEN o.o_orderkey % 61 = 0 THEN 1 ELSE 0 END
+                    - CASE WHEN o.o_orderkey % 10 = 0 THEN 100 ELSE 0 END + 12
+                    + CASE WHEN o.o_orderkey % 71 = 0 THEN 0.37 ELSE 0 END AS DECIMAL(12,2)) AS total_amount,
+               CASE o.o_custkey % 3 WHEN 0 THEN 'usd' WHEN 1 THEN 'cad' ELSE 'gbp' END AS currency,
+               {d.plus('o.o_orderdate', 'CASE WHEN o.o_orderkey % 173 = 0 THEN 3650 ELSE 0 END')} AS ordered_at,
+               o.o_orderdate + INTERVAL '1' HOUR AS _loaded_at{more}
+        FROM {{orders}} o
+        LEFT JOIN (SELECT l_orderkey, SUM(CAST({_UNIT} * l_quantity AS DECIMAL(12,2))) AS total
+                   FROM {{lineitem}} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey"""
+
+
 def raw_sql(d: Dialect) -> dict[str, str]:
     """One SELECT per raw table. ``{name}`` stands for a driver table."""
-    unit = "floor(l_extendedprice / l_quantity)"
+    unit = _UNIT
     sql: dict[str, str] = {}
     sql["customers"] = f"""
         SELECT 'C' || c_custkey AS customer_id,
@@ -183,31 +201,30 @@ def raw_sql(d: Dialect) -> dict[str, str]:
                CAST(1000 + 100 * n_nationkey AS DECIMAL(12,2)) AS budget_amount,
                {d.ts('2001-06-01 04:00:00')} AS _loaded_at
         FROM {{nation}}"""
-    sql["order_facts"] = f"""
-        SELECT o.o_orderkey AS k, o.o_custkey AS c,
-               CAST(coalesce(l.total, 0) + CASE WHEN o.o_orderkey % 61 = 0 THEN 1 ELSE 0 END
-                    - CASE WHEN o.o_orderkey % 10 = 0 THEN 100 ELSE 0 END + 12
-                    + CASE WHEN o.o_orderkey % 71 = 0 THEN 0.37 ELSE 0 END AS DECIMAL(12,2)) AS total_amount,
-               CASE o.o_custkey % 3 WHEN 0 THEN 'usd' WHEN 1 THEN 'cad' ELSE 'gbp' END AS currency,
-               {d.plus('o.o_orderdate', 'CASE WHEN o.o_orderkey % 173 = 0 THEN 3650 ELSE 0 END')} AS ordered_at,
-               o.o_orderdate + INTERVAL '1' HOUR AS _loaded_at
-        FROM {{orders}} o
-        LEFT JOIN (SELECT l_orderkey, SUM(CAST({unit} * l_quantity AS DECIMAL(12,2))) AS total
-                   FROM {{lineitem}} GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey"""
+    sql["order_facts"] = _order_facts(d)
     return sql
 
 
 @lru_cache(maxsize=1)
 def _spark_text() -> dict[str, str]:
-    return raw_sql(SPARK)
+    """The texts for Spark. The order facts also hold what the orders are made of, so that the lines are added up once."""
+    text = raw_sql(SPARK)
+    subtotal = "CAST(coalesce(l.total, 0) + CASE WHEN o.o_orderkey % 61 = 0 THEN 1 ELSE 0 END AS DECIMAL(12,2))"
+    text["order_facts"] = _order_facts(SPARK, f", o.o_orderstatus AS st, o.o_orderdate AS dt, {subtotal} AS sub")
+    head, _ = text["orders"].split("FROM (SELECT o.k, o.c,")
+    copies = SPARK.upto("CASE WHEN k % 503 = 0 THEN 2 ELSE 1 END")
+    text["orders"] = f"""{head}FROM (SELECT k, c, st, dt, sub, CAST(CASE WHEN k % 10 = 0 THEN 100 ELSE 0 END AS DECIMAL(12,2)) AS disc,
+                     {copies} AS copy_no FROM {{order_facts}}) x"""
+    return text
 
 
 def driver_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-_INPUTS = {
-    "customers": ("customer",), "products": ("part",), "orders": ("orders", "lineitem"),
+#: What each raw table is made of.
+INPUTS = {
+    "customers": ("customer",), "products": ("part",), "orders": ("order_facts",),
     "order_items": ("lineitem",), "payments": ("order_facts",), "refunds": ("lineitem", "order_facts"),
     "subscriptions": ("customer",), "tickets": ("events",), "campaigns": ("nation",),
     "order_facts": ("orders", "lineitem"),
@@ -223,7 +240,7 @@ def raw_table(spark: SparkSession, folder: str, name: str,
     """
     have = ready or {}
     inputs = {}
-    for source in _INPUTS[name]:
+    for source in INPUTS[name]:
         if source in have:
             inputs[source] = have[source]
         elif source == "order_facts":

@@ -11,35 +11,57 @@ from pyspark.sql import types as T
 from plumbline.plans.marts import Models
 from plumbline.plans.staging import stage_all
 from plumbline.session import shared_folder, tune
-from plumbline.sources.driver_tables import CUTOFF_DATE, driver_table, raw_table
+from plumbline.sources.driver_tables import CUTOFF_DATE, INPUTS, driver_table, raw_table
 from plumbline.sources.schemas import RAW, STAGING
-from plumbline.sources.tables import read_raw, write_tables
+from plumbline.sources.tables import RawTables, write_tables
 
 # Tables whose rows belong to labelled cases.
 CASED = ("orders", "order_items", "payments", "refunds", "customers", "subscriptions", "tickets")
 
-# Raw tables already landed as parquet, per application and source folder.
-_LANDED: dict[tuple[str, str], str] = {}
+# Folder of the raw tables landed as parquet and the names of those that are, per application and source folder.
+_LANDED: dict[tuple[str, str], tuple[str, set[str]]] = {}
 
 
-def landed(spark: SparkSession, folder: str) -> str:
-    """Derive the raw tables once per session and keep them as parquet in the shared folder.
-
-    Checks run on loaded tables: without landing, each of the rules would derive its inputs again.
-    """
+def _place(spark: SparkSession, folder: str) -> tuple[str, set[str]]:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _LANDED:
-        target = shared_folder(spark)
-        raw_table(spark, folder, "order_facts").write.parquet(f"{target}/order_facts")
-        facts = spark.read.parquet(f"{target}/order_facts")
-        ready = {"order_facts": facts}
-        # Readers with the fixed schema do not see the key.
-        derived = {name: raw_table(spark, folder, name, ready, ("case_key",) if name in CASED else ()) for name in RAW}
-        write_tables(derived, target)
-        _LANDED[key] = target
+        _LANDED[key] = (shared_folder(spark), set())
     return _LANDED[key]
 
 
+def landed(spark: SparkSession, folder: str, *names: str) -> str:
+    """Derive raw tables (all, if none is named) once per session and keep them as parquet in the shared folder.
+
+    Checks run on loaded tables: without landing, each of the rules would derive its inputs again. A table is landed when it
+    is first asked for, so that a query over one table does not wait for the others.
+    """
+    target, have = _place(spark, folder)
+    wanted = [name for name in names or RAW if name not in have]
+    facts = "order_facts"
+    if facts not in have and any(facts in INPUTS[name] for name in wanted):
+        raw_table(spark, folder, facts).write.mode("overwrite").parquet(f"{target}/{facts}")
+        have.add(facts)
+    ready = {facts: spark.read.parquet(f"{target}/{facts}")} if facts in have else {}
+    # Readers with the fixed schema do not see the key.
+    write_tables({name: raw_table(spark, folder, name, ready, ("case_key",) if name in CASED else ()) for name in wanted}, target)
+    have.update(wanted)
+    return target
+
+
+class _OnDemand(RawTables):
+    """Raw tables that are landed when they are first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        super().__init__(spark, _place(spark, folder)[0], "parquet")
+        self._of = spark, folder
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in RAW:
+            raise KeyError(name)
+        landed(*self._of, name)
+        return super().__getitem__(name)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Column types every engine prints alike: BIGINT, DOUBLE, BOOLEAN and text."""
     columns = []
@@ -74,12 +96,17 @@ class Bed:
         """A raw table as a lazy derivation, without landing it."""
         return raw_table(self.spark, self.folder, name)
 
-    def all_raw(self) -> dict[str, DataFrame]:
-        return read_raw(self.spark, landed(self.spark, self.folder))
+    def land(self) -> Bed:
+        """Land all raw tables side by side, for queries that read most of them."""
+        landed(self.spark, self.folder)
+        return self
+
+    def all_raw(self) -> RawTables:
+        return _OnDemand(self.spark, self.folder)
 
     def keyed(self, name: str) -> DataFrame:
         """A raw table with the undamaged key of the case that each row belongs to."""
-        return self.spark.read.parquet(f"{landed(self.spark, self.folder)}/{name}")
+        return self.spark.read.parquet(f"{landed(self.spark, self.folder, name)}/{name}")
 
     def raw(self, name: str) -> DataFrame:
         return self.all_raw()[name]

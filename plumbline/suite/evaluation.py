@@ -109,6 +109,7 @@ def _labels(s, f):
 
 def _predictions(s, f, ruleset):
     """All cases of all kinds, each kind in one job."""
+    Bed(s, f).land()
     labels = checkpoint(_labels(s, f))
     parts = [E.predict(_cases(s, f, kind), _chosen(ruleset, kind), labels.filter(F.col("case_id").startswith(kind)), CUTOFF)
              for kind, _, _ in _KINDS]

@@ -231,7 +231,7 @@ _add("p13_sla_hours",
 # ------------------------------------------------------------------ sources and sinks
 
 _add("s1_load_raw_tables",
-     lambda s, f: T.row_counts(Bed(s, f).all_raw()),
+     lambda s, f: T.row_counts(Bed(s, f).land().all_raw()),
      with_models("\nUNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS rows FROM raw_{t}" for t in RAW)))
 
 
@@ -252,13 +252,13 @@ def _digest_sql(tables) -> str:
 def _csv_roundtrip(s, f):
     """All raw tables written as CSV and read again, then staged."""
     folder = shared_folder(s)
-    T.write_csv_snapshot(Bed(s, f).all_raw(), folder)
+    T.write_csv_snapshot(Bed(s, f).land().all_raw(), folder)
     return T.table_digests(stage_all(T.read_raw(s, folder, "csv")))
 
 
 _add("s2_csv_snapshot_roundtrip", _csv_roundtrip, _digest_sql({
     name: (f"({staging_sql(name)})", schema.names) for name, schema in STAGING.items()}))
-_add("s4_raw_schema_landing", lambda s, f: T.table_digests(Bed(s, f).all_raw()), _digest_sql({
+_add("s4_raw_schema_landing", lambda s, f: T.table_digests(Bed(s, f).land().all_raw()), _digest_sql({
     name: (f"(SELECT {', '.join(_raw_cast(c) for c in schema)} FROM raw_{name})", schema.names) for name, schema in RAW.items()}))
 
 

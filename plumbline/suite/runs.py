@@ -45,7 +45,7 @@ def history(spark, folder) -> DataFrame:
     bed = Bed(spark, folder)
     key = (spark.sparkContext.applicationId, folder)
     if key not in _HISTORY:
-        runs = Q.after_repairs(Q.backfill(spark, bed.staging, RULES, _LAST, _DAYS), _repairs(spark))
+        runs = Q.after_repairs(Q.backfill(spark, bed.land().staging, RULES, _LAST, _DAYS), _repairs(spark))
         first = F.lit(_LAST - timedelta(days=_DAYS))
         target = shared_folder(spark)
         runs.withColumn("run_id", F.datediff(F.col("as_of").cast("date"), first).cast("bigint")).write.partitionBy(
