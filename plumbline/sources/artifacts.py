@@ -71,13 +71,22 @@ def _text(value: Column) -> Column:
 
 
 def nodes(documents: DataFrame) -> DataFrame:
-    """Sources, models and exposures with merged metadata: (project, unique_id, kind, node, meta)."""
-    sources = _entries(documents, MANIFEST, "sources").withColumn("kind", F.lit("source"))
-    models = _entries(documents, MANIFEST, "nodes").filter("node.resource_type = 'model'").withColumn(
-        "kind", F.lit("model"))
-    outputs = _entries(documents, MANIFEST, "exposures").withColumn("kind", F.lit("exposure"))
-    every = sources.unionByName(models).unionByName(outputs)
-    return every.withColumn("meta", _merged(F.col("node.meta"), F.col("node.config.meta")))
+    """Sources, models and exposures with merged metadata: (project, unique_id, kind, node, meta).
+
+    The three are read from a document together, so that it is parsed once.
+    """
+    def listed(field: str, kind: str) -> Column:
+        entries = F.map_entries(f"doc.{field}")
+        if kind == "model":
+            entries = F.filter(entries, lambda e: e["value"]["resource_type"] == "model")
+        return F.coalesce(F.transform(entries, lambda e: F.struct(
+            e["key"].alias("unique_id"), F.lit(kind).alias("kind"), e["value"].alias("node"))), F.array())
+
+    parsed = documents.select("project", F.from_json("text", MANIFEST).alias("doc"))
+    every = parsed.select("project", F.explode(F.concat(
+        listed("sources", "source"), listed("nodes", "model"), listed("exposures", "exposure"))).alias("entry"))
+    return every.select("project", "entry.unique_id", "entry.kind", "entry.node").withColumn(
+        "meta", _merged(F.col("node.meta"), F.col("node.config.meta")))
 
 
 def _layer(kind: Column, fqn: Column) -> Column:
@@ -169,33 +178,30 @@ def columns(documents: DataFrame, catalogs: DataFrame | None = None) -> DataFram
         _flag(F.col("meta"), "pii").alias("contains_pii"), F.map_keys("meta").alias("meta_keys"))
 
 
+def _unknown(keys: Column, allowed: Column) -> Column:
+    """The problem of unknown keys, NULL if there are none."""
+    extra = F.array_sort(F.array_except(keys, allowed))
+    return F.when(F.size(extra) > 0, F.concat(F.lit("unknown keys "), F.array_join(extra, ",")))
+
+
 def problems(documents: DataFrame, catalogs: DataFrame | None = None) -> DataFrame:
-    """(project, unique_id, problem): unknown metadata keys, bad criticality, category or layer."""
-    every = nodes(documents)
-    frames = []
-    for kind, keys in ALLOWED_KEYS.items():
-        if kind == "column":
-            continue
-        extra = F.array_sort(F.array_except(F.map_keys("meta"), F.array(*[F.lit(k) for k in keys])))
-        frames.append(every.filter(F.col("kind") == kind).filter(F.size(extra) > 0).select(
-            "project", "unique_id", F.concat(F.lit("unknown keys "), F.array_join(extra, ",")).alias("problem")))
+    """(project, unique_id, problem): unknown metadata keys, bad criticality, category or layer.
+
+    One pass looks for all problems of the nodes, another for all those of their columns.
+    """
+    every, kind = nodes(documents), F.col("kind")
+    allowed = {k: F.array(*map(F.lit, keys)) for k, keys in ALLOWED_KEYS.items()}
+    unknown = F.coalesce(*[F.when(kind == k, _unknown(F.map_keys("meta"), keys)) for k, keys in allowed.items() if k != "column"])
     level = F.coalesce(F.col("meta")["criticality"], F.lit("medium"))
-    frames.append(every.filter(~level.isin(*CRITICALITIES)).select(
-        "project", "unique_id", F.concat(F.lit("bad criticality "), level).alias("problem")))
-    frames.append(every.filter("kind = 'model'").filter(_layer(F.col("kind"), F.col("node.fqn")).isNull()).select(
-        "project", "unique_id", F.lit("model outside the layer folders").alias("problem")))
-    cols = columns(documents, catalogs)
-    extra = F.array_sort(F.array_except("meta_keys", F.array(*[F.lit(k) for k in ALLOWED_KEYS["column"]])))
-    name = F.concat("unique_id", F.lit("."), "column_name")
-    frames.append(cols.filter(F.size(extra) > 0).select(
-        "project", name.alias("unique_id"), F.concat(F.lit("unknown keys "), F.array_join(extra, ",")).alias("problem")))
+    bad_level = F.when(~level.isin(*CRITICALITIES), F.concat(F.lit("bad criticality "), level))
+    outside = F.when((kind == "model") & _layer(kind, F.col("node.fqn")).isNull(), "model outside the layer folders")
+    of_nodes = every.select("project", "unique_id", F.explode(F.array_compact(F.array(unknown, bad_level, outside))).alias("problem"))
     missing = F.col("category").isNull() | ~F.col("category").isin(*CATEGORIES)
-    frames.append(cols.filter(F.col("is_critical") & missing).select(
-        "project", name.alias("unique_id"), F.lit("critical column without a category").alias("problem")))
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    uncategorised = F.when(F.col("is_critical") & missing, "critical column without a category")
+    of_columns = columns(documents, catalogs).select(
+        "project", F.concat("unique_id", F.lit("."), "column_name").alias("unique_id"),
+        F.explode(F.array_compact(F.array(_unknown(F.col("meta_keys"), allowed["column"]), uncategorised))).alias("problem"))
+    return of_nodes.unionByName(of_columns)
 
 
 def tests(documents: DataFrame, build_results: DataFrame | None = None,
