@@ -286,19 +286,20 @@ def _chronology(rule: Rule, ctx: Context, combos: DataFrame, context: bool) -> D
 #: How a row of the asset may differ from a row it joins: text of the condition, and the same against the smallest (``lo``) and
 #: largest (``hi``) value of all its partners and whether one of them is NULL (``hole``). ``t`` is the tolerance.
 COMPARISONS = {
-    "above": ("{own} > r.{theirs} + {t}", "{own} > a.lo + {t}"),
-    "below": ("{own} < r.{theirs} - {t}", "{own} < a.hi - {t}"),
-    "different": ("{own} <> r.{theirs}", "{own} <> a.lo OR {own} <> a.hi"),
-    "distinct": ("{own} IS DISTINCT FROM r.{theirs}", "CASE WHEN {own} IS NULL THEN a.lo IS NOT NULL ELSE a.hole OR {own} <> a.lo OR {own} <> a.hi END"),
+    "above": ("{own} > r.{theirs} + {t}", "{own} > {a}lo + {t}"),
+    "below": ("{own} < r.{theirs} - {t}", "{own} < {a}hi - {t}"),
+    "different": ("{own} <> r.{theirs}", "{own} <> {a}lo OR {own} <> {a}hi"),
+    "distinct": ("{own} IS DISTINCT FROM r.{theirs}",
+                 "CASE WHEN {own} IS NULL THEN {a}lo IS NOT NULL ELSE {a}hole OR {own} <> {a}lo OR {own} <> {a}hi END"),
 }
 
 
-def _comparison(rule: Rule, of_stats: bool) -> str:
+def _comparison(rule: Rule, of_stats: bool, stats: str = "a.") -> str:
     own, kind, theirs, *tolerance = rule.params["compare"]
     if kind not in COMPARISONS:
         raise RuleError(f"{rule.key}: unknown comparison '{kind}'")
     # Doubles would round the bound of a decimal column.
-    return COMPARISONS[kind][of_stats].format(own=f"p.{own}", theirs=theirs, t=f"CAST({tolerance[0] if tolerance else 0} AS DECIMAL(20,10))")
+    return COMPARISONS[kind][of_stats].format(own=f"p.{own}", theirs=theirs, a=stats, t=f"CAST({tolerance[0] if tolerance else 0} AS DECIMAL(20,10))")
 
 
 def _join_predicate(rule: Rule) -> str:
@@ -310,14 +311,17 @@ def _join_condition_needs(rule: Rule, ctx: Context, primary: DataFrame) -> list[
     return list(dict.fromkeys([*keys, *mentioned(primary, _join_predicate(rule))]))
 
 
+def _extremes(theirs: Column, mark: str) -> list[Column]:
+    return [F.min(theirs).alias(f"{mark}lo"), F.max(theirs).alias(f"{mark}hi"), F.bool_or(theirs.isNull()).alias(f"{mark}hole")]
+
+
 def _beside_stats(rule: Rule, ctx: Context, combos: DataFrame) -> DataFrame:
     """Combinations for which some partner makes a comparison true, from the extremes of each key: no pairs within a key."""
     pairs, theirs = _join_columns(rule), F.col(f"`{rule.params['compare'][2]}`")
     partners = ctx.table(rule.params["reference_asset"])
     tenants = ctx.shared_tenants(partners)
     partners = _keyed(partners, [(b, b) for _, b in pairs])
-    stats = partners.groupBy(*tenants, *[F.col(f"`{b}`").alias(f"_k{i}") for i, (_, b) in enumerate(pairs)]).agg(
-        F.min(theirs).alias("lo"), F.max(theirs).alias("hi"), F.bool_or(theirs.isNull()).alias("hole"))
+    stats = partners.groupBy(*tenants, *[F.col(f"`{b}`").alias(f"_k{i}") for i, (_, b) in enumerate(pairs)]).agg(*_extremes(theirs, ""))
     on = _equal([*[(a, f"_k{i}") for i, (a, _) in enumerate(pairs)], *[(t, t) for t in tenants]], "p", "a")
     return _keyed(combos, pairs).alias("p").join(stats.alias("a"), on).filter(ctx.predicate(_comparison(rule, True))).select("p.*")
 
@@ -362,15 +366,69 @@ def _aggregate(rule: Rule, ctx: Context, combos: DataFrame, context: bool) -> Da
         ctx.predicate(p["child_aggregate"]).alias("reconciled_value"))
     on = _equal([*[(a, f"_k{i}") for i, (a, _) in enumerate(pairs)], *[(t, t) for t in tenants]], "p", "a")
     joined = _keyed(combos, pairs).alias("p").join(totals.alias("a"), on)
-    own, total = ctx.predicate(p["primary_expression"]), F.col("a.reconciled_value")
-    tolerance = _literal(float(p.get("tolerance", 0.01)))
-    if p.get("comparison", "equal") == "equal":
-        bad = F.abs(own - total) > tolerance
-    else:
-        bad = total > own + tolerance
+    bad = _off(rule, ctx, F.col("a.reconciled_value"))
     return joined.filter(bad).select("p.*", *(["a.reconciled_value"] if context else []))
 
 
+def _off(rule: Rule, ctx: Context, total: Column) -> Column:
+    own, tolerance = ctx.predicate(rule.params["primary_expression"]), _literal(float(rule.params.get("tolerance", 0.01)))
+    if rule.params.get("comparison", "equal") == "equal":
+        return F.abs(own - total) > tolerance
+    return total > own + tolerance
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A set rule that is decided by the statistics of the partners of a key: one row per key of the other asset.
+
+    ``bad`` is not true for a key without partners, unless that is what the rule looks for.
+    """
+
+    pairs: tuple[tuple[str, str], ...]
+    asset: str
+    where: str | None
+    stats: list[Column]
+    bad: Column
+
+
+def lookup(rule: Rule, ctx: Context, mark: str) -> Lookup | None:
+    """The rule as a lookup whose statistics are named with ``mark``; None if it needs its partners one by one."""
+    p = rule.params
+    if rule.type == "relationship":
+        return Lookup(((p["column"], p["to_column"]),), p["to_asset"], None, [F.count(F.lit(1)).alias(f"{mark}known")],
+                      F.col(f"{mark}known").isNull())
+    if rule.type == "chronology" and p.get("reference_asset"):
+        bad = _too_early(F.col(f"p.`{p['later_column']}`"), F.col(f"{mark}time"), int(p.get("tolerance_minutes", 0)))
+        return Lookup(tuple(_join_columns(rule)), p["reference_asset"], None, [F.max(f"c.`{p['earlier_column']}`").alias(f"{mark}time")], bad)
+    if rule.type == "join_condition" and "compare" in p:
+        return Lookup(tuple(_join_columns(rule)), p["reference_asset"], None, _extremes(F.col(f"c.`{p['compare'][2]}`"), mark),
+                      ctx.predicate(_comparison(rule, True, mark)))
+    if rule.type == "aggregate_reconciliation":
+        return Lookup(tuple(_join_columns(rule)), p["child_asset"], p.get("child_where"),
+                      [ctx.predicate(p["child_aggregate"]).alias(f"{mark}total")], _off(rule, ctx, F.col(f"{mark}total")))
+    return None
+
+
+def beside(rows: DataFrame, lookups: list[Lookup], ctx: Context) -> DataFrame:
+    """``rows`` (alias ``p``) with the statistics of all ``lookups``, which share their own key columns.
+
+    Lookups into the same rows of an asset share one aggregate. Rows with a NULL in the key have no partners and are left out.
+    """
+    sources: dict[tuple, list[Column]] = {}
+    for found in lookups:
+        sources.setdefault((found.asset, found.where, found.pairs), []).extend(found.stats)
+    joined = _keyed(rows, list(lookups[0].pairs)).alias("p")
+    for i, ((asset, where, pairs), stats) in enumerate(sources.items()):
+        other = ctx.table(asset).alias("c")
+        tenants = ctx.shared_tenants(other)
+        other = other.filter(all_of([F.col(f"c.`{b}`").isNotNull() for _, b in pairs] + ([ctx.predicate(where)] if where else [])))
+        keys = [F.col(f"c.`{b}`").alias(f"_k{k}") for k, (_, b) in enumerate(pairs)]
+        side = other.groupBy(*[F.col(f"c.`{t}`").alias(t) for t in tenants], *keys).agg(*stats)
+        on = _equal([*[(a, f"_k{k}") for k, (a, _) in enumerate(pairs)], *[(t, t) for t in tenants]], "p", f"a{i}")
+        joined = joined.join(side.alias(f"a{i}"), on, "left")
+    return joined
+
+
 _REF = re.compile(r"\{ref:(\w+)\}")
 
 
