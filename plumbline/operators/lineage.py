@@ -221,47 +221,112 @@ def column_references(edges: DataFrame, columns: DataFrame, texts: DataFrame) ->
         F.col("_known"), F.coalesce("_hits", F.array().cast("array<string>"))).alias("referenced_columns"))
 
 
-#: Texts that mention a word, and owners of a word, that one join task or index row holds; a word beyond is split.
+#: Texts of a shelf of the index that one join task holds; assets on a shelf, and words of theirs. What is beyond is split.
 HOT_WORD = 100_000
 POSTINGS = 1024
+SHELF_WORDS = 16_384
+#: Assets that one task deals to shelves, and rows of texts whose hits one task reads, in expectation.
+DEALT = 100_000
+TEXTS_READ = 2_000
 
 
-def distinct_words(texts: DataFrame) -> DataFrame:
-    """(asset, word) of ``texts(asset, text)``: every different whole word of a text."""
+def text_words(texts: DataFrame) -> DataFrame:
+    """(asset, word) of ``texts(asset, text)``: every different whole word of a row."""
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))
-    return texts.filter("text IS NOT NULL").select("asset", F.explode(words).alias("word")).distinct()
+    return texts.filter("text IS NOT NULL").select("asset", F.explode(words).alias("word"))
 
 
-def word_index(columns: DataFrame, postings: int = POSTINGS) -> DataFrame:
-    """Inverted index of ``columns(asset, column_name, ordinal)``: (word, owners), owners being structs (upstream, ordinal).
+def _in_order(by: str, *columns: str) -> Column:
+    """The group's values of the columns (structs, if several) as an array in the order of another."""
+    value = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])
+    return F.transform(F.array_sort(F.collect_list(F.struct(by, value.alias("value")))), lambda x: x["value"])
 
-    A word with more than ``postings`` owners has several rows, so no row grows with the catalogue.
+
+def word_index(columns: DataFrame, postings: int = POSTINGS, shelf_words: int = SHELF_WORDS) -> DataFrame:
+    """Inverted index of ``columns(asset, column_name, ordinal)``: (shelf, wide, word, nth, owners).
+
+    Assets stand on shelves, at most ``postings`` of them and less than twice ``shelf_words`` words on each; an asset with more
+    words stands in pieces on wide shelves. So no row and no shelf grows with the catalogue. ``nth`` numbers the words of
+    a shelf; owners are structs (no, place, upstream, piece): the asset's number there and the word's place among its words.
     """
-    nth = F.row_number().over(Window.partitionBy("word").orderBy("upstream", "ordinal"))
+    own = Window.partitionBy("upstream")
     owned = columns.filter("column_name IS NOT NULL").groupBy(F.col("asset").alias("upstream"), F.col("column_name").alias("word")).agg(
         F.min("ordinal").alias("ordinal"))
-    return owned.withColumn("chunk", F.floor((nth - 1) / postings)).groupBy("word", "chunk").agg(
-        F.collect_list(F.struct("upstream", "ordinal")).alias("owners")).drop("chunk")
+    placed = owned.select("upstream", "word", (F.count(F.lit(1)).over(own) > shelf_words).alias("wide"),
+                          (F.row_number().over(own.orderBy("ordinal", "word")) - 1).alias("place"))
+    pieces = checkpoint(placed.groupBy("upstream", "wide", F.floor(F.col("place") / shelf_words).cast("int").alias("piece")).agg(
+        _in_order("place", "word").alias("words")))
+    lots = -(-pieces.count() // DEALT) or 1
+    row = Window.partitionBy("wide", "lot").orderBy("upstream", "piece")
+    nth = F.floor((F.row_number().over(row) - 1) / postings)
+    size = F.floor((F.sum(F.size("words")).over(row) - 1) / shelf_words)
+    shelf = F.concat_ws("-", "wide", "lot", nth, size)
+    stood = pieces.withColumn("lot", F.pmod(F.xxhash64("upstream", "piece"), F.lit(lots))).withColumn("shelf", shelf)
+    number = (F.row_number().over(Window.partitionBy("shelf").orderBy("upstream", "piece")) - 1).alias("no")
+    spread = stood.select("shelf", "wide", number, "upstream", "piece", "words").select(
+        "shelf", "wide", "no", "upstream", "piece", F.posexplode("words").alias("place", "word"))
+    lists = spread.groupBy("shelf", "wide", "word").agg(F.collect_list(F.struct("no", "place", "upstream", "piece")).alias("owners"))
+    return lists.withColumn("nth", F.row_number().over(Window.partitionBy("shelf").orderBy("word")) - 1)
+
+
+def _shelves(index: DataFrame) -> DataFrame:
+    """(shelf, wide, lists, assets): a row per shelf. Lists hold, by ``nth``, the owners of a word as numbers
+    no * 2^32 + place; assets hold, by ``no``, structs (upstream, piece, words)."""
+    numbers = F.transform("owners", lambda o: F.shiftleft(o["no"].cast("bigint"), 32) + o["place"])
+    lists = index.select("shelf", "nth", numbers.alias("numbers")).groupBy("shelf").agg(_in_order("nth", "numbers").alias("lists"))
+    owners = index.select("shelf", "wide", "word", F.inline("owners"))
+    assets = owners.groupBy("shelf", "wide", "no", "upstream", "piece").agg(_in_order("place", "word").alias("words")).groupBy(
+        "shelf", "wide").agg(_in_order("no", "upstream", "piece", "words").alias("assets"))
+    return lists.join(assets, "shelf")
+
+
+def _read(said: DataFrame, shelves: DataFrame) -> DataFrame:
+    """(upstream, piece, downstream, words): the assets on a shelf that a text's words (numbers ``said``) belong to.
+
+    The hits of a text stay in its row: sorted, those of one asset stand side by side and are cut out as its words.
+    """
+    def asset(hit):
+        return F.get("assets", F.shiftright(hit, 32).cast("int"))
+
+    def other(i):
+        return F.shiftright(F.get("hits", i), 32) != F.shiftright(F.get("hits", i - 1), 32)
+
+    def cut(start, k):
+        own = F.slice("hits", start + 1, F.coalesce(F.get("starts", k + 1), F.size("hits")) - start)
+        first = asset(F.get("hits", start))
+        return F.struct(first["upstream"].alias("upstream"), first["piece"].alias("piece"), F.transform(
+            own, lambda h: F.get(asset(h)["words"], h.bitwiseAND(0xFFFFFFFF).cast("int"))).alias("words"))
+
+    hits = F.sort_array(F.flatten(F.transform("said", lambda nth: F.get("lists", nth))))
+    starts = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda i: (i == 0) | other(i))
+    met = said.join(shelves, ["shelf", "part"]).select("asset", "assets", hits.alias("hits")).withColumn("starts", starts)
+    return met.select(F.col("asset").alias("downstream"), F.inline(F.transform("starts", cut)))
 
 
-def word_references(columns: DataFrame, texts: DataFrame, hot: int = HOT_WORD, postings: int = POSTINGS) -> DataFrame:
+def word_references(columns: DataFrame, texts: DataFrame, hot: int = HOT_WORD, postings: int = POSTINGS,
+                    shelf_words: int = SHELF_WORDS) -> DataFrame:
     """(upstream, downstream, referenced_columns) for every asset and text that share a word, columns in their order.
 
-    No pairing is given: texts meet assets through an inverted index, by word. A word in more than ``hot`` texts is split:
-    its texts are dealt to parts by their name and its index rows go to each part, so that no task joins all texts of
-    a common word. Only such words are listed in the table both sides look them up in. A NULL text may read anything: it
-    has one row without upstream and columns.
+    No pairing is given: texts meet assets through an inverted index. A text goes to every shelf that knows one of its words,
+    with the numbers of those words only, and finds its assets there within its own row: neither hits nor pairs are shuffled. A shelf with
+    more than ``hot`` texts is copied for as many parts, so that no join task holds all texts of a shelf. Only
+    the pieces of an asset with more than ``shelf_words`` words are put together by text. A NULL text may read anything: it has
+    one row without upstream and columns.
     """
-    index = checkpoint(word_index(columns, postings))
-    said = checkpoint(distinct_words(texts).join(index.select("word").distinct(), "word", "left_semi"))
-    parts = F.ceil(F.col("n") / hot).cast("int")
-    split = checkpoint(said.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("word", parts.alias("parts")))
-    some = F.coalesce("parts", F.lit(1))
-    dealt = said.join(split, "word", "left").select("word", "asset", F.pmod(F.xxhash64("asset"), some).cast("int").alias("part"))
-    offered = index.join(split, "word", "left").select("word", "owners", F.explode(F.sequence(F.lit(0), some - 1)).alias("part"))
-    hits = dealt.join(offered, ["word", "part"]).select(F.col("asset").alias("downstream"), "word", F.explode("owners").alias("o"))
-    read = hits.groupBy("o.upstream", "downstream").agg(F.array_sort(F.collect_list(F.struct("o.ordinal", "word"))).alias("_hits"))
-    known = read.select("upstream", "downstream", F.transform("_hits", lambda h: h["word"]).alias("referenced_columns"))
+    index = checkpoint(word_index(columns, postings, shelf_words))
+    said = checkpoint(text_words(texts).join(index.select("word", "shelf", "nth"), "word").groupBy("asset", "shelf").agg(
+        F.collect_set("nth").alias("said")))
+    # Both are written, so that Spark knows their size when it plans the joins.
+    parts = checkpoint(said.groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / hot).cast("int")))
+    tasks = -(-(parts.agg(F.sum("n")).first()[0] or 0) // TEXTS_READ) or 1
+    shelves = checkpoint(_shelves(index).join(parts.drop("n"), "shelf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    dealt = said.repartition(tasks, "asset", "shelf").join(parts, "shelf").withColumn(
+        "part", F.pmod(F.xxhash64("asset"), "parts").cast("int")).drop("n", "parts")
+    known = _read(dealt, shelves.filter("NOT wide")).select("upstream", "downstream", F.col("words").alias("referenced_columns"))
+    wide = shelves.filter("wide")
+    if not wide.isEmpty():
+        known = known.unionByName(_read(dealt, wide).groupBy("upstream", "downstream").agg(
+            F.flatten(_in_order("piece", "words")).alias("referenced_columns")))
     unknown = texts.filter("text IS NULL").select(
         F.lit(None).cast("string").alias("upstream"), F.col("asset").alias("downstream"), F.lit(None).cast("array<string>").alias("referenced_columns"))
     return known.unionByName(unknown.distinct())
