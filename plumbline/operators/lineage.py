@@ -109,7 +109,7 @@ def reach(edges: DataFrame, seeds: DataFrame, downstream: bool = True, max_depth
     frontier = _nearest(first.select("seed", F.col("_to").alias("asset"), "_on", F.array("_start", "_to").alias("path")), carried)
     found = frontier = checkpoint(frontier.withColumn("depth", F.lit(1)))
     depth = 1
-    while max_depth is None or depth < max_depth:
+    while (max_depth is None or depth < max_depth) and not frontier.filter("_on").isEmpty():
         new = _grow(found, frontier, step, depth, hops_per_round, carried)
         if new.isEmpty():
             break
@@ -135,17 +135,54 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def all_paths(edges: DataFrame, pairs: DataFrame, limit: int = 20) -> DataFrame:
-    """Simple paths for each (source, target) pair, shortest first: (source, target, rank, path).
+    """Simple paths for each (source, target) pair, shortest first, equal ones in text order: (source, target, rank, path).
 
-    Partial paths only grow along edges from which the target can still be reached.
+    Paths grow from the ends of which there are fewer, and a node keeps its ``limit`` best for each of them: a path to the next node
+    is among the best only if what it prolongs is. That holds as long as no path that is kept meets itself; where one does,
+    the graph has a cycle, and every partial path has to be tried.
     """
-    edges, pairs = checkpoint(edges), checkpoint(pairs)
+    pairs = checkpoint(pairs.filter("source <> target").select("source", "target"))
+    ends = pairs.agg(F.approx_count_distinct("source").alias("sources"), F.approx_count_distinct("target").alias("targets")).first()
+    forward = ends["sources"] <= ends["targets"]
+    fixed, tip = ("source", "target") if forward else ("target", "source")
+    step = _onward(_oriented(edges, forward), pairs.select(F.col(tip).alias("_to")))
+    current = pairs.select(fixed).distinct().select(
+        fixed, F.col(fixed).alias(tip), F.lit(0).alias("rank"), F.array(fixed).alias("path"), F.lit(True).alias("_on"), F.lit(False).alias("_again"))
+    found, kept = [], current
+    while True:
+        longer = current.filter("_on").select(fixed, F.col(tip), "path").join(step, F.col(tip) == F.col("_from")).select(
+            fixed, F.col("_to").alias(tip), F.concat(*(("path", F.array("_to")) if forward else (F.array("_to"), "path"))).alias("path"), "_on",
+            F.array_contains("path", F.col("_to")).alias("_again"))
+        # Paths found before are shorter.
+        before = kept.groupBy(fixed, tip).agg(F.count(F.lit(1)).alias("_n"))
+        nth = F.row_number().over(Window.partitionBy(fixed, tip).orderBy("path"))
+        ranked = longer.join(before, [fixed, tip], "left").withColumn("rank", (nth + F.coalesce("_n", F.lit(0))).cast("int"))
+        current = checkpoint(ranked.filter(F.col("rank") <= limit).select(fixed, tip, "rank", "path", "_on", "_again"))
+        if not current.filter("_again").isEmpty():
+            return _all_simple_paths(edges, pairs, limit)
+        found.append(current)
+        if current.filter("_on").isEmpty():
+            break
+        kept = kept.unionByName(current)
+    return reduce(DataFrame.unionByName, found).select("source", "target", "rank", "path").join(pairs, ["source", "target"], "left_semi")
+
+
+def _onward(step: DataFrame, asked: DataFrame) -> DataFrame:
+    """(_from, _to, _on): the different edges that end at an asked asset or at one with edges of its own (``_on``)."""
+    known = step.select(F.col("_from").alias("_to"), F.lit(True).alias("_on")).distinct().unionByName(
+        asked.distinct().withColumn("_on", F.lit(False))).groupBy("_to").agg(F.max("_on").alias("_on"))
+    return checkpoint(step.join(known, "_to").select("_from", "_to", "_on").distinct())
+
+
+def _all_simple_paths(edges: DataFrame, pairs: DataFrame, limit: int) -> DataFrame:
+    """Paths of ``all_paths`` in any graph: all partial paths grow along edges from which the target can still be reached."""
+    edges = checkpoint(edges)
     ends = pairs.select(F.col("target").alias("seed"), F.col("target").alias("asset")).distinct()
     useful = reach(edges, ends, downstream=False, paths=False).select("seed", "asset").unionByName(ends)
     # The edges above each target: a path never meets the other consumers of its last node.
     above = checkpoint(useful.select(F.col("seed").alias("target"), F.col("asset").alias("_to")).distinct().join(
         _oriented(edges, True).distinct(), "_to").select("target", "_from", "_to"))
-    growing = pairs.filter("source <> target").select("source", "target", F.array("source").alias("path"))
+    growing = pairs.distinct().select("source", "target", F.array("source").alias("path"))
     done = []
     while True:
         tail = F.element_at("path", -1)

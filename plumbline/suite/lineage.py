@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import lineage as L
+from plumbline.session import checkpoint
 from plumbline.suite.common import Bed, plain
 
 QUERIES = {}
@@ -145,11 +146,12 @@ _add("l8_shortest_paths",
 
 def _paths(spark, folder):
     g = Graph(spark, folder)
+    edges = checkpoint(g.edges.select("upstream", "downstream"))
     targets = g.nodes.filter("layer = 'mart' AND criticality = 'critical'").select(F.col("asset").alias("target"))
-    # Each mart with the regions above it.
-    above = L.reach(g.edges, targets.select(F.col("target").alias("seed"), F.col("target").alias("asset")), False, paths=False)
-    pairs = above.filter(F.col("asset").startswith("R")).select(F.col("asset").alias("source"), F.col("seed").alias("target"))
-    return plain(L.all_paths(g.edges, pairs, 3).withColumn("path", F.array_join("path", ">")))
+    # Each mart with the regions above it: regions go down to what they feed, so rows are one per region and asset.
+    below = L.reach(edges, g.regions(), paths=False)
+    pairs = below.select(F.col("seed").alias("source"), F.col("asset").alias("target")).join(targets, "target", "left_semi")
+    return plain(L.all_paths(edges, pairs, 3).withColumn("path", F.array_join("path", ">")))
 
 
 _add("l9_all_paths_top3", _paths,
