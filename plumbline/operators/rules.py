@@ -311,8 +311,12 @@ def _join_condition_needs(rule: Rule, ctx: Context, primary: DataFrame) -> list[
     return list(dict.fromkeys([*keys, *mentioned(primary, _join_predicate(rule))]))
 
 
-def _extremes(theirs: Column, mark: str) -> list[Column]:
-    return [F.min(theirs).alias(f"{mark}lo"), F.max(theirs).alias(f"{mark}hi"), F.bool_or(theirs.isNull()).alias(f"{mark}hole")]
+def _extremes(theirs: Column, mark: str) -> dict[str, Column]:
+    return {f"{mark}lo": F.min(theirs), f"{mark}hi": F.max(theirs), f"{mark}hole": F.bool_or(theirs.isNull())}
+
+
+def _named(columns: Mapping[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
 
 
 def _beside_stats(rule: Rule, ctx: Context, combos: DataFrame) -> DataFrame:
@@ -321,7 +325,7 @@ def _beside_stats(rule: Rule, ctx: Context, combos: DataFrame) -> DataFrame:
     partners = ctx.table(rule.params["reference_asset"])
     tenants = ctx.shared_tenants(partners)
     partners = _keyed(partners, [(b, b) for _, b in pairs])
-    stats = partners.groupBy(*tenants, *[F.col(f"`{b}`").alias(f"_k{i}") for i, (_, b) in enumerate(pairs)]).agg(*_extremes(theirs, ""))
+    stats = partners.groupBy(*tenants, *[F.col(f"`{b}`").alias(f"_k{i}") for i, (_, b) in enumerate(pairs)]).agg(*_named(_extremes(theirs, "")))
     on = _equal([*[(a, f"_k{i}") for i, (a, _) in enumerate(pairs)], *[(t, t) for t in tenants]], "p", "a")
     return _keyed(combos, pairs).alias("p").join(stats.alias("a"), on).filter(ctx.predicate(_comparison(rule, True))).select("p.*")
 
@@ -387,25 +391,28 @@ class Lookup:
     pairs: tuple[tuple[str, str], ...]
     asset: str
     where: str | None
-    stats: list[Column]
+    stats: dict[str, Column]
     bad: Column
 
 
-def lookup(rule: Rule, ctx: Context, mark: str) -> Lookup | None:
-    """The rule as a lookup whose statistics are named with ``mark``; None if it needs its partners one by one."""
+def lookup(rule: Rule, ctx: Context, mark: str, other: str = "c") -> Lookup | None:
+    """The rule as a lookup whose statistics are named with ``mark``; None if it needs its partners one by one.
+
+    ``other`` is the name under which the statistics find the rows of the other asset.
+    """
     p = rule.params
     if rule.type == "relationship":
-        return Lookup(((p["column"], p["to_column"]),), p["to_asset"], None, [F.count(F.lit(1)).alias(f"{mark}known")],
+        return Lookup(((p["column"], p["to_column"]),), p["to_asset"], None, {f"{mark}known": F.count(F.lit(1))},
                       F.col(f"{mark}known").isNull())
     if rule.type == "chronology" and p.get("reference_asset"):
         bad = _too_early(F.col(f"p.`{p['later_column']}`"), F.col(f"{mark}time"), int(p.get("tolerance_minutes", 0)))
-        return Lookup(tuple(_join_columns(rule)), p["reference_asset"], None, [F.max(f"c.`{p['earlier_column']}`").alias(f"{mark}time")], bad)
+        return Lookup(tuple(_join_columns(rule)), p["reference_asset"], None, {f"{mark}time": F.max(f"{other}.`{p['earlier_column']}`")}, bad)
     if rule.type == "join_condition" and "compare" in p:
-        return Lookup(tuple(_join_columns(rule)), p["reference_asset"], None, _extremes(F.col(f"c.`{p['compare'][2]}`"), mark),
+        return Lookup(tuple(_join_columns(rule)), p["reference_asset"], None, _extremes(F.col(f"{other}.`{p['compare'][2]}`"), mark),
                       ctx.predicate(_comparison(rule, True, mark)))
     if rule.type == "aggregate_reconciliation":
         return Lookup(tuple(_join_columns(rule)), p["child_asset"], p.get("child_where"),
-                      [ctx.predicate(p["child_aggregate"]).alias(f"{mark}total")], _off(rule, ctx, F.col(f"{mark}total")))
+                      {f"{mark}total": ctx.predicate(re.sub(r"\bc\.", f"{other}.", p["child_aggregate"]))}, _off(rule, ctx, F.col(f"{mark}total")))
     return None
 
 
@@ -414,16 +421,16 @@ def beside(rows: DataFrame, lookups: list[Lookup], ctx: Context) -> DataFrame:
 
     Lookups into the same rows of an asset share one aggregate. Rows with a NULL in the key have no partners and are left out.
     """
-    sources: dict[tuple, list[Column]] = {}
+    sources: dict[tuple, dict[str, Column]] = {}
     for found in lookups:
-        sources.setdefault((found.asset, found.where, found.pairs), []).extend(found.stats)
+        sources.setdefault((found.asset, found.where, found.pairs), {}).update(found.stats)
     joined = _keyed(rows, list(lookups[0].pairs)).alias("p")
     for i, ((asset, where, pairs), stats) in enumerate(sources.items()):
         other = ctx.table(asset).alias("c")
         tenants = ctx.shared_tenants(other)
         other = other.filter(all_of([F.col(f"c.`{b}`").isNotNull() for _, b in pairs] + ([ctx.predicate(where)] if where else [])))
         keys = [F.col(f"c.`{b}`").alias(f"_k{k}") for k, (_, b) in enumerate(pairs)]
-        side = other.groupBy(*[F.col(f"c.`{t}`").alias(t) for t in tenants], *keys).agg(*stats)
+        side = other.groupBy(*[F.col(f"c.`{t}`").alias(t) for t in tenants], *keys).agg(*_named(stats))
         on = _equal([*[(a, f"_k{k}") for k, (a, _) in enumerate(pairs)], *[(t, t) for t in tenants]], "p", f"a{i}")
         joined = joined.join(side.alias(f"a{i}"), on, "left")
     return joined
