@@ -22,6 +22,9 @@ PLAN_SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
+#: Compression of tables that are written for later steps: half the disk of the default.
+PACKED = "zstd"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the planning defaults to a running session."""
@@ -69,5 +72,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
     Unlike an RDD checkpoint the plan runs once, and readers still prune columns and know the size.
     """
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.option("compression", PACKED).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)

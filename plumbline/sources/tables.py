@@ -9,13 +9,14 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import PACKED
 from plumbline.sources.schemas import RAW
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str, parallel: int = 2) -> None:
     """Write several independent tables as parquet; the jobs share the cluster."""
     with ThreadPoolExecutor(parallel) as pool:
-        list(pool.map(lambda item: item[1].write.mode("overwrite").parquet(f"{folder}/{item[0]}"), tables.items()))
+        list(pool.map(lambda item: item[1].write.mode("overwrite").option("compression", PACKED).parquet(f"{folder}/{item[0]}"), tables.items()))
 
 
 class RawTables(Mapping[str, DataFrame]):

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.plans.marts import Models
 from plumbline.plans.staging import stage_all
-from plumbline.session import shared_folder, tune
+from plumbline.session import PACKED, shared_folder, tune
 from plumbline.sources.driver_tables import CUTOFF_DATE, INPUTS, driver_table, raw_table
 from plumbline.sources.schemas import RAW, STAGING
 from plumbline.sources.tables import RawTables, write_tables
@@ -39,7 +39,7 @@ def landed(spark: SparkSession, folder: str, *names: str) -> str:
     wanted = [name for name in names or RAW if name not in have]
     facts = "order_facts"
     if facts not in have and any(facts in INPUTS[name] for name in wanted):
-        raw_table(spark, folder, facts).write.mode("overwrite").parquet(f"{target}/{facts}")
+        raw_table(spark, folder, facts).write.mode("overwrite").option("compression", PACKED).parquet(f"{target}/{facts}")
         have.add(facts)
     ready = {facts: spark.read.parquet(f"{target}/{facts}")} if facts in have else {}
     # Readers with the fixed schema do not see the key.

@@ -264,10 +264,11 @@ _add("e10_regressions",
 
 
 def _eval_runs(s, f):
-    """Three evaluation runs appended to one table; the latest per detector is kept."""
+    """Three evaluation runs appended to one table; the latest per detector is kept. All rules are judged once for both detectors."""
     folder = shared_folder(s)
+    predictions = dict(zip(("baseline", "improved"), _compared(s, f), strict=True))
     for run_id, detector in ((1, "baseline"), (2, "improved"), (3, "improved")):
-        matrix = E.confusion(_predictions(s, f, detector)).select(F.lit("orders").alias("suite"), F.lit(detector).alias(
+        matrix = E.confusion(predictions[detector]).select(F.lit("orders").alias("suite"), F.lit(detector).alias(
             "detector"), F.lit(run_id).alias("eval_run_id"), "tp", "fn", "fp", "tn")
         T.append_run(matrix, folder, run_id)
     return plain(E.latest_runs(s.read.parquet(folder).drop("run_id")))
