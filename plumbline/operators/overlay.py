@@ -8,7 +8,8 @@ cases; each case then has a difference:
 - and, where it brings or replaces rows that others refer to, the rows with these keys judged anew, less what they
   counted for before. Only the keys that a case touches are judged anew, as distinct combinations with counts.
 
-The work follows the rows of the cases and the keys they touch, not cases times context.
+The work follows the rows of the cases and the keys they touch, not cases times context. Rules on assets that no case shares with the
+context are judged as among cases without it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.evaluation import NEGATIVE, POSITIVE, outcome
-from plumbline.operators.quality import _combos, _plan_fused, _union, cutoff_sql
+from plumbline.operators.quality import _combos, _failing_fused, _plan_fused, _union, cutoff_sql, failing_by_case
 from plumbline.operators.rules import Context, Rule, RuleError, row_check, set_check
 from plumbline.session import checkpoint
 
@@ -143,14 +144,25 @@ def failing_with_context(own: Mapping[str, DataFrame], shared: Mapping[str, Data
         fused = [r for r in rules if r.asset == asset and row_check(r) is not None]
         if fused:
             totals.append(_plan_fused(asset, fused, Context(o.shared, cutoff), [], None).select("rule_key", "failed"))
-            mine = Context(o.own, cutoff)
-            parts.append(_plan_fused(asset, fused, mine, [case], None).select(case, "rule_key", "failed"))
-            parts.append(_plan_fused(asset, fused, mine, [case], None, o.replaced(asset)).select(case, "rule_key", (-F.col("failed")).alias("failed")))
+            parts.append(_failing_fused(asset, fused, Context(o.own, cutoff), [case]))
+            if asset in keys:
+                gone = _failing_fused(asset, fused, Context({asset: o.replaced(asset)}, cutoff), [case])
+                parts.append(gone.select(case, "rule_key", (-F.col("failed")).alias("failed")))
+    alone = []
     for rule in rules:
         if row_check(rule) is None:
+            seen = reference(rule)[0]
+            if rule.asset not in shared and (seen in own) != (seen in shared):
+                alone.append(rule)
+                continue
             total, differences = _set_differences(rule, o, cutoff)
             totals.append(total.select("rule_key", "failed"))
             parts += [d.select(case, "rule_key", "failed") for d in differences]
+    if alone:
+        # Neither the rows nor their partners are both of the case and shared: nothing is replaced, nothing fails for all cases.
+        found = failing_by_case({**shared, **own}, alone, as_of, case)
+        totals.append(found.sparkSession.createDataFrame([(r.key, 0) for r in alone], "rule_key string, failed bigint"))
+        parts.append(found)
     differences = _union(parts).filter(F.col(case).isNotNull() & (F.col("failed") != 0)).groupBy(case, "rule_key").agg(F.sum("failed").alias("failed"))
     return _union(totals).groupBy("rule_key").agg(F.max("failed").alias("failed")), differences
 

@@ -86,3 +86,18 @@ def test_context_of_other_assets_only(spark):
     with pytest.raises(RuleError):
         V.reference(Rule("x", "business_rule", "row_condition", "sales", "low", (), {"invalid_when": "NOT EXISTS (SELECT 1 FROM {ref:lines} l WHERE l.part > p.amount)"}))
     assert differences.select(F.count("*")).first()[0] >= 1
+
+
+def test_rules_on_own_assets_need_no_context(spark, monkeypatch):
+    """Rules on assets that are not both brought and shared are judged once, without differences."""
+    judged, differences = [], V._set_differences
+    monkeypatch.setattr(V, "_set_differences", lambda rule, *more: judged.append(rule.key) or differences(rule, *more))
+    at = datetime(2026, 2, 1)
+    own = {"sales": spark.createDataFrame([("c", "s1", "P", 5, at), ("d", "s1", "Q", 5, at), ("d", "s1", "P", 2, at)], "case_id string, " + SCHEMAS["sales"]),
+           "lines": spark.createDataFrame([("c", "s1", 1, 5), ("d", "s1", 1, 5)], "case_id string, " + SCHEMAS["lines"])}
+    shared = {"people": spark.createDataFrame([("P", "a", datetime(2026, 1, 1)), ("P", "b", datetime(2026, 3, 1))], SCHEMAS["people"])}
+    totals, found = V.failing_with_context(own, shared, KEYS, RULES, NOW)
+    assert {r.rule_key: r.failed for r in totals.collect()} == {**{r.key: 0 for r in RULES}, "one_person": 2}
+    assert {(r.case_id, r.rule_key): r.failed for r in found.collect()} == {
+        ("c", "after_join"): 1, ("d", "after_join"): 1, ("d", "buyer_exists"): 1, ("d", "one_sale"): 2, ("d", "parts_add_up"): 1, ("d", "status_b_pays"): 1}
+    assert judged == ["one_person"]
